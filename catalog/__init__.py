@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("ownership", "graphs")
+_FAMILIES = ("ownership", "graphs", "rules", "text", "sources")
 
 
 def all_catalogs():

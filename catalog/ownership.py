@@ -111,7 +111,7 @@ def tests_found(spark, d):
 @C.query("apply_git_stats", f"""WITH {ORDER_OWNED}
 SELECT f.repo_id, f.file_id, coalesce(o.change_frequency, -1)::DOUBLE AS change_frequency,
        strftime(o.git_last_modified, {_SQL_DAY}) AS last_modified,
-       CASE WHEN o.path IS NULL THEN NULL ELSE f.loc IS NOT NULL END AS has_tests
+       CASE WHEN o.path IS NULL THEN NULL ELSE (f.loc IS NOT NULL)::VARCHAR END AS has_tests
 FROM files f LEFT JOIN ownership o USING (repo_id, path)""")
 def apply_git_stats(spark, d):
     files = order_files(spark, d)
@@ -121,7 +121,8 @@ def apply_git_stats(spark, d):
         "CAST(NULL AS BOOLEAN) AS has_tests",
     )
     return own.apply_git_stats(bare, owned, detect_tests(owned, _listing(files))).select(
-        "repo_id", "file_id", "change_frequency", F.date_format("git_last_modified", _DAY).alias("last_modified"), "has_tests"
+        "repo_id", "file_id", "change_frequency", F.date_format("git_last_modified", _DAY).alias("last_modified"),
+        F.col("has_tests").cast("string").alias("has_tests"),
     )
 
 

@@ -45,6 +45,7 @@ _JS_ARROW = r"^export[ \t]+(?:const|let)[ \t]+([\w$]+)[^=\n]*=[ \t]*(?:async[ \t
 _JS_IMPORT = r"^import\b[\s\S]*?[\"'`]([^\"'`]*)[\"'`]"
 _TS_CLASS_LIKE = r"^(?:interface|type)[ \t]+([\w$]+)"
 _TS_EXPORT_NAME = r"^export[ \t]+default[ \t]+([\w$]+)[ \t]*;?[ \t]*$"
+_ARROW_PREFIX = r"^export[ \t]+(?:const|let)[ \t]+[\w$]+[^=\n]*=[ \t]*"
 _EXPORT_PREFIX = r"^export[ \t]+(?:default[ \t]+)?(?=(?:async[ \t]+)?function\b|class\b)"
 
 
@@ -145,7 +146,9 @@ def extract_symbols(files: DataFrame) -> DataFrame:
         F.when(python, py_kind).otherwise(js_kind).alias("kind"),
         F.when(python, py_name).otherwise(js_name).alias("name"),
         (F.col("start_line") + F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))).cast("int").alias("end_line"),
-        F.when(python, body).otherwise(F.regexp_replace(body, _EXPORT_PREFIX, "")).alias("source_code"),
+        F.when(python, body)
+        .when(_found(body, _JS_ARROW).isNotNull(), F.regexp_replace(F.regexp_replace(body, _ARROW_PREFIX, ""), r";\s*$", ""))
+        .otherwise(F.regexp_replace(body, _EXPORT_PREFIX, "")).alias("source_code"),
     ).where(F.col("kind").isNotNull())
     return symbols.select(
         "repo_id",
