@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_FAMILIES = ("ownership", "graphs", "rules", "text", "sources")
+_FAMILIES = ("ownership", "graphs", "rules", "text", "sources", "prep", "streams")
 
 
 def all_catalogs():
