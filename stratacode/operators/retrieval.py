@@ -35,26 +35,23 @@ def _nearest(quotas: dict[str, int], slab: int = 256):
     """Kernel for one block of vectors and one block of questions: keeps the quota only."""
 
     def kernel(vectors: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
+        hits: list[tuple] = []
         if len(vectors) and len(questions):
             repo_id = vectors["repo_id"].iloc[0]
-            q_all, q_ids = _unit(questions["embedding"]), questions["query_id"].to_numpy()
+            asked, query_ids = _unit(questions["embedding"]), questions["query_id"].to_numpy()
             for bucket, part in vectors.groupby("bucket"):
                 k = min(quotas[bucket], len(part))
                 unit, ids = _unit(part["embedding"]).T, part["source_id"].to_numpy()
-                for start in range(0, len(q_all), slab):
-                    dist = np.round(1.0 - q_all[start:start + slab] @ unit, DISTANCE_DECIMALS)
+                for start in range(0, len(asked), slab):
+                    dist = np.round(1.0 - asked[start:start + slab] @ unit, DISTANCE_DECIMALS)
                     limit = np.partition(dist, k - 1, axis=1)[:, k - 1]
                     for row, bound in enumerate(limit):
                         near = np.flatnonzero(dist[row] <= bound)
                         near = near[np.lexsort((ids[near].astype(str), dist[row][near]))][:k]
-                        found.append(pd.DataFrame({
-                            "repo_id": repo_id, "query_id": q_ids[start + row], "bucket": bucket,
-                            "source_id": ids[near], "distance": dist[row][near],
-                        }))
-        if not found:
-            return pd.DataFrame({c: [] for c in ("repo_id", "query_id", "bucket", "source_id", "distance")})
-        return pd.concat(found, ignore_index=True)
+                        query_id = query_ids[start + row]
+                        hits.extend((repo_id, query_id, bucket, ids[i], dist[row][i]) for i in near)
+        names = ["repo_id", "query_id", "bucket", "source_id", "distance"]
+        return pd.DataFrame(hits, columns=names).astype({**dict.fromkeys(names, object), "distance": float})
 
     return kernel
 

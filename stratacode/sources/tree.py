@@ -2,29 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratacode import schemas
 from stratacode.functions.paths import (
-    SUFFIX_LANGUAGE, in_skipped_dir, is_hosted_repo_url, language_of, line_count, suffix, url_name, url_owner_repo,
+    SUFFIX_LANGUAGE, base_name, in_skipped_dir, is_hosted_repo_url, language_of, line_count, suffix, url_name, url_owner_repo,
 )
 
 # Names under which a README is looked for, best first.
 README_NAMES = ("README.md", "readme.md", "Readme.md")
+# Lower-case names of the non-source files whose text is used.
+OPENED_NAMES = (
+    "package.json", "pom.xml", "build.gradle", "build.gradle.kts", "go.mod", "cargo.toml", "gemfile", "composer.json", "readme.md",
+)
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(repo_id, path, content) of every file below ``root/<repo_id>/``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/")
-    below = F.regexp_extract("path", rf"^(?:[a-z0-9]+:/*)?/?\Q{base.lstrip('/')}\E/(.*)$", 1)
-    return files.select(below.alias("below"), F.decode("content", "UTF-8").alias("content")).select(
+def _base_uri(spark: SparkSession, root: str) -> str:
+    """Fully qualified form of ``root``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(conf).makeQualified(path).toString().rstrip("/")
+
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(repo_id, path, content) of files without a byte.
+
+    Spark's file sources leave such files out, yet an empty module is a source file.
+    Only the repository names are listed on the driver; each task lists its own
+    repositories.
+    """
+    uri = _base_uri(spark, root)
+    top_fs, top_path = fs.FileSystem.from_uri(uri)
+    repos = [i.base_name for i in top_fs.get_file_info(fs.FileSelector(top_path)) if i.type == fs.FileType.Directory]
+
+    def listed(batches):
+        for pdf in batches:
+            for repo in pdf["repo_id"]:
+                system, path = fs.FileSystem.from_uri(f"{uri}/{repo}")
+                below = [
+                    i.path[len(path):].lstrip("/") for i in system.get_file_info(fs.FileSelector(path, recursive=True))
+                    if i.type == fs.FileType.File and i.size == 0
+                ]
+                yield pd.DataFrame({"repo_id": repo, "path": below, "content": ""}).astype(object)
+
+    names = spark.createDataFrame([(r,) for r in repos], "repo_id string")
+    return names.repartition("repo_id").mapInPandas(listed, schemas.SOURCE_FILES)
+
+
+def _read_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    )
+    base = len(_base_uri(spark, root)) + 1
+    below = files.select(F.substring("path", base + 1, 2**30).alias("below"), "content")
+    return below.select(
         F.substring_index("below", "/", 1).alias("repo_id"),
         F.regexp_extract("below", r"^[^/]*/(.*)$", 1).alias("path"),
         "content",
     ).where("path <> ''")
 
 
+def _text(content: Column) -> Column:
+    """Bytes as text; bytes that are no UTF-8 become replacement characters."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(repo_id, path, content) of every file below ``root/<repo_id>/``.
+
+    Only sources, manifests and READMEs are opened; the other files are listed with
+    null content, since no rule looks into them.
+    """
+    name = base_name(F.col("path"))
+    opened = suffix(F.col("path")).isin(*SUFFIX_LANGUAGE) | F.lower(name).isin(*OPENED_NAMES)
+    files = _read_files(spark, root, "*")
+    read = files.where(opened).withColumn("content", _text(F.col("content")))
+    listed = files.where(~opened).select("repo_id", "path", F.lit(None).cast("string").alias("content"))
+    return read.unionByName(listed).unionByName(_empty_files(spark, root))
+
+
 def keep_source_files(files: DataFrame) -> DataFrame:
     """Files with a known source suffix outside skipped directories."""
     path = F.col("path")
@@ -32,20 +91,10 @@ def keep_source_files(files: DataFrame) -> DataFrame:
 
 
 def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Source files only; the suffix filter runs on the listing, before any file is opened."""
+    """Source files only; suffix and folder filters run on the path, before a file is decoded."""
     wanted = "*{" + ",".join(SUFFIX_LANGUAGE) + "}"
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", wanted).load(root)
-    )
-    base = root.rstrip("/")
-    below = F.regexp_extract("path", rf"^(?:[a-z0-9]+:/*)?/?\Q{base.lstrip('/')}\E/(.*)$", 1)
-    named = files.select(below.alias("below"), "content").select(
-        F.substring_index("below", "/", 1).alias("repo_id"),
-        F.regexp_extract("below", r"^[^/]*/(.*)$", 1).alias("path"),
-        "content",
-    )
-    return keep_source_files(named).withColumn("content", F.decode("content", "UTF-8"))
+    read = keep_source_files(_read_files(spark, root, wanted)).withColumn("content", _text(F.col("content")))
+    return read.unionByName(keep_source_files(_empty_files(spark, root)))
 
 
 def to_files(source_files: DataFrame) -> DataFrame:
