@@ -43,9 +43,12 @@ def lookup(mapping: dict[str, object], key: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), key)
 
 
+_BLANKS = " \t\n\r\f\x0b"
+
+
 def strip_ws(col: Column) -> Column:
     """Trim every kind of white space, not blanks only."""
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(_BLANKS))
 
 
 def slashes(path: Column) -> Column:
@@ -122,10 +125,9 @@ def import_path(name: Column) -> Column:
 
     Null when nothing is left to resolve.
     """
-    path = F.translate(name, "\\.", "//")
-    path = strip_ws(F.regexp_replace(path, r"^[./]+", ""))
-    path = F.when(path.contains(" as "), strip_ws(F.substring_index(path, " as ", 1))).otherwise(path)
-    return F.when(name.isin("<anonymous>", "") | (path == ""), F.lit(None)).otherwise(path)
+    path = strip_ws(F.ltrim(F.translate(name, "\\.", "//"), F.lit("/")))
+    path = F.nullif(strip_ws(F.substring_index(path, " as ", 1)), F.lit(""))
+    return F.when(name != "<anonymous>", path)
 
 
 def last_segment(path: Column) -> Column:
@@ -149,8 +151,8 @@ def url_owner_repo(url: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     complete = F.size(parts) >= 2
     return F.struct(
-        F.when(complete, parts[0]).alias("owner"),
-        F.when(complete, F.regexp_replace(parts[1], r"\.git$", "")).alias("repo"),
+        F.when(complete, F.get(parts, F.lit(0))).alias("owner"),
+        F.when(complete, F.regexp_replace(F.get(parts, F.lit(1)), r"\.git$", "")).alias("repo"),
     )
 
 

@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MARK, _SEP = "\u0001", "\u0002"
+# Control characters that carry the line structure through the string functions.
+_MARK, _SEP, _QUIET = "\u0001", "\u0002", "\u0003"
 
-# A line that continues what came before: blank, indented, closing, or a comment.
-_CONTINUES = r"^(?:\s|$|[)\]}]|#|//|/\*|\*)"
+# First characters of a line that continues what came before.
+_CONTINUING = ("", " ", "\t", "\r", "\f", "\x0b", ")", "]", "}", "#", "*")
 # Blank and comment lines; at the end of a block they do not belong to it.
 _IDLE = r"^\s*(?:$|#|//|/\*|\*)"
+# Everything up to the last line that is not idle.
+_TO_LAST_LINE = rf"(?s)\A(?:.*\n)?[^{_QUIET}\n][^\n]*"
 
 # Decision tokens by language, counted for complexity.
 PYTHON_DECISIONS = (
@@ -39,8 +42,8 @@ _PY_IMPORT = r"^import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?)"
 _PY_FROM = r"^from[ \t]+(\w[\w.]*)[ \t]+import\b"
 _PY_RELATIVE = r"^from[ \t]+\.+[\w.]*[ \t]+import[\s(]+([\w.]+(?:[ \t]+as[ \t]+\w+)?)"
 
-_JS_FUNCTION = r"^(?:export[ \t]+(?:default[ \t]+)?)?(?:async[ \t]+)?function[ \t]+([\w$]+)"
-_JS_CLASS = r"^(?:export[ \t]+(?:default[ \t]+)?)?class[ \t]+([\w$]+)"
+_JS_DECLARED = r"^(?:export[ \t]+(?:default[ \t]+)?)?(?:(?:async[ \t]+)?function|class)[ \t]+([\w$]+)"
+_JS_EXPORTED_CLASS = r"^export[ \t]+(?:default[ \t]+)?class[ \t]+[\w$]+"
 _JS_ARROW = r"^export[ \t]+(?:const|let)[ \t]+([\w$]+)[^=\n]*=[ \t]*(?:async[ \t]*)?(?:\([^\n]*\)[^=\n]*|[\w$]+[ \t]*)=>"
 _JS_IMPORT = r"^import\b[\s\S]*?[\"'`]([^\"'`]*)[\"'`]"
 _TS_CLASS_LIKE = r"^(?:interface|type)[ \t]+([\w$]+)"
@@ -51,49 +54,90 @@ _EXPORT_PREFIX = r"^export[ \t]+(?:default[ \t]+)?(?=(?:async[ \t]+)?function\b|
 
 
 
-def _mark_heads(lines: Column) -> Column:
+def _mark_lines(lines: Column) -> Column:
+    """Text in which every statement head carries its line number and idle lines are flagged."""
+
     def mark(line: Column, i: Column) -> Column:
-        after_decorator = F.coalesce(F.get(lines, i - 1).startswith("@"), F.lit(False)) & (i > 0)
-        continues = line.rlike(_CONTINUES) | after_decorator
-        return F.when(continues, line).otherwise(
-            F.concat(F.lit(_MARK), (i + 1).cast("string"), F.lit(_SEP), line)
+        continues = F.left(line, F.lit(1)).isin(*_CONTINUING) | line.startswith("//") | line.startswith("/*")
+        after_decorator = (i > 0) & F.coalesce(F.get(lines, i - 1).startswith("@"), F.lit(False))
+        return (
+            F.when(continues, F.when(line.rlike(_IDLE), F.concat(F.lit(_QUIET), line)).otherwise(line))
+            .when(after_decorator, line)
+            .otherwise(F.concat(F.lit(_MARK), (i + 1).cast("string"), F.lit(_SEP), line))
         )
 
     return F.array_join(F.transform(lines, mark), "\n")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+def _statement(block: Column) -> Column:
+    text = F.regexp_extract(F.substring_index(block, _SEP, -1), _TO_LAST_LINE, 0)
+    return F.struct(
+        F.substring_index(block, _SEP, 1).try_cast("int").alias("start_line"),
+        F.translate(text, _QUIET, "").alias("text"),
+    )
+
+
+def _starts(text: Column, *words: str) -> Column:
+    hit = text.startswith(words[0])
+    for word in words[1:]:
+        hit = hit | text.startswith(word)
+    return hit
+
+
+def _first(text: Column, *patterns: str) -> Column:
+    """First capture of the first pattern that matches, else an empty string."""
+    found = F.regexp_extract(text, patterns[-1], 1)
+    for pattern in reversed(patterns[:-1]):
+        found = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")), found)
+    return found
 
 
-def _python(text: Column) -> tuple[Column, Column]:
-    head, decorated = _found(text, _PY_HEAD), F.when(text.startswith("@"), _found(text, _PY_DECORATED))
-    imported = F.coalesce(_found(text, _PY_IMPORT), _found(text, _PY_FROM), _found(text, _PY_RELATIVE))
+def _python_name(text: Column) -> Column:
+    return (
+        F.when(_starts(text, "@"), _first(text, _PY_DECORATED))
+        .when(_starts(text, "def", "class", "async"), _first(text, _PY_HEAD))
+        .when(_starts(text, "import"), _first(text, _PY_IMPORT))
+        .when(_starts(text, "from"), _first(text, _PY_FROM, _PY_RELATIVE))
+    )
+
+
+def _python_kind(text: Column, name: Column) -> Column:
+    named = name != ""
     is_import = text.rlike(r"^(?:import|from)\b") & ~text.rlike(r"^from[ \t]+__future__\b")
-    kind = (
-        F.when(decorated.isNotNull(), "function")
-        .when(text.startswith("class") & head.isNotNull(), "class")
-        .when(head.isNotNull(), "function")
-        .when(is_import, "import")
+    return (
+        F.when(_starts(text, "import", "from"), F.when(is_import, "import"))
+        .when(_starts(text, "class"), F.when(named, "class"))
+        .when(named, "function")
+    )
+
+
+def _script_name(text: Column, typescript: Column) -> Column:
+    # An export that declares neither function, class nor arrow function keeps a name
+    # only when it exports one identifier.
+    exported = F.when(typescript, _first(text, _JS_DECLARED, _JS_ARROW, _TS_EXPORT_NAME)).otherwise(
+        _first(text, _JS_DECLARED, _JS_ARROW)
+    )
+    source = F.regexp_replace(F.regexp_extract(text, _JS_IMPORT, 1), r"^[./]+", "")
+    return (
+        F.when(_starts(text, "import"), source)
+        .when(_starts(text, "export"), exported)
+        .when(_starts(text, "function", "async", "class"), _first(text, _JS_DECLARED))
+        .when(_starts(text, "interface", "type") & typescript, _first(text, _TS_CLASS_LIKE))
     )
-    name = F.coalesce(decorated, head, imported, F.lit("<anonymous>"))
-    return kind, name
-
-
-def _script(text: Column, typescript: Column) -> tuple[Column, Column]:
-    function, klass, arrow = _found(text, _JS_FUNCTION), _found(text, _JS_CLASS), _found(text, _JS_ARROW)
-    class_like = F.when(typescript, _found(text, _TS_CLASS_LIKE))
-    exported = typescript & text.rlike(r"^export\b")
-    is_import = text.rlike(r"^import\b")
-    source = F.nullif(F.regexp_replace(F.regexp_extract(text, _JS_IMPORT, 1), r"^[./]+", ""), F.lit(""))
-    kind = (
-        F.when(function.isNotNull() | arrow.isNotNull(), "function")
-        .when(klass.isNotNull() | class_like.isNotNull(), "class")
-        .when(is_import, "import")
-        .when(exported, "function")
+
+
+def _script_kind(text: Column, name: Column, typescript: Column) -> Column:
+    named = name != ""
+    exported_class = text.rlike(_JS_EXPORTED_CLASS)
+    return (
+        F.when(_starts(text, "import"), F.when(text.rlike(r"^import\b"), "import"))
+        .when(
+            _starts(text, "export") & text.rlike(r"^export\b"),
+            F.when(exported_class, "class").when(named | typescript, "function"),
+        )
+        .when(_starts(text, "class", "interface", "type"), F.when(named, "class"))
+        .when(named, "function")
     )
-    name = F.coalesce(function, arrow, klass, class_like, F.when(is_import, source), _found(text, _TS_EXPORT_NAME), F.lit("<anonymous>"))
-    return kind, name
 
 
 def _count_tokens(text: Column, patterns) -> Column:
@@ -103,19 +147,22 @@ def _count_tokens(text: Column, patterns) -> Column:
     return total
 
 
-def complexity(kind: Column, language: Column, source: Column) -> Column:
-    """1 + decision tokens for functions and methods, else 0.  Strings and comments do not count."""
-    plain = F.regexp_replace(source, _ESCAPE, "")
-    python = _count_tokens(F.regexp_replace(plain, _PY_NOISE, "\"\""), PYTHON_DECISIONS)
-    script = _count_tokens(F.regexp_replace(plain, _JS_NOISE, "\"\""), SCRIPT_DECISIONS)
-    value = F.when(language == "python", python).otherwise(script)
-    return F.when(kind.isin("function", "method"), value).otherwise(F.lit(0)).cast("int")
-
+def complexity(symbols: DataFrame) -> DataFrame:
+    """Symbols with ``cyclomatic_complexity``: 1 + decision tokens for functions and methods, else 0.
 
-def _without_idle_tail(text: Column) -> Column:
-    lines = F.split(text, "\n")
-    last = F.array_max(F.transform(lines, lambda x, i: F.when(x.rlike(_IDLE), F.lit(0)).otherwise(i)))
-    return F.array_join(F.slice(lines, F.lit(1), last + 1), "\n")
+    Strings and comments do not count.
+    """
+    counted = F.col("kind").isin("function", "method")
+    python = F.col("language") == "python"
+    plain = F.regexp_replace("source_code", _ESCAPE, "")
+    bare = F.when(python, F.regexp_replace(plain, _PY_NOISE, "\"\"")).otherwise(F.regexp_replace(plain, _JS_NOISE, "\"\""))
+    body = F.col("_bare")
+    tokens = F.when(python, _count_tokens(body, PYTHON_DECISIONS)).otherwise(_count_tokens(body, SCRIPT_DECISIONS))
+    return (
+        symbols.withColumn("_bare", F.when(counted, bare))
+        .withColumn("cyclomatic_complexity", F.coalesce(tokens, F.lit(0)).cast("int"))
+        .drop("_bare")
+    )
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
@@ -125,35 +172,37 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     which symbols are stored.
     """
     spoken = files.where(F.col("language").isin("python", "javascript", "typescript"))
-    lined = spoken.select(
-        "repo_id", "file_id", "language", F.split(F.regexp_replace("content", "\r\n", "\n"), "\n").alias("lines")
+    marked = spoken.select(
+        "repo_id", "file_id", "language", F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n").alias("lines")
+    ).select("repo_id", "file_id", "language", _mark_lines(F.col("lines")).alias("marked"))
+
+    python, typescript = F.col("language") == "python", F.col("language") == "typescript"
+    # Everything a statement needs is worked out once, inside the generator.
+    statements = F.transform(F.reverse(F.split("marked", _MARK)), _statement)
+    named = F.transform(
+        statements,
+        lambda s: F.struct(
+            s["start_line"].alias("start_line"), s["text"].alias("text"),
+            F.when(python, _python_name(s["text"])).otherwise(_script_name(s["text"], typescript)).alias("found"),
+        ),
     )
-    marked = lined.select("repo_id", "file_id", "language", _mark_heads(F.col("lines")).alias("marked"))
-    blocks = marked.select(
-        "repo_id", "file_id", "language", F.posexplode(F.reverse(F.split("marked", _MARK))).alias("ordinal", "block")
-    ).where(F.col("block").contains(_SEP))
-    text = _without_idle_tail(F.substring_index("block", _SEP, -1))
-    parts = blocks.select(
-        "repo_id", "file_id", "language", "ordinal",
-        F.substring_index("block", _SEP, 1).cast("int").alias("start_line"), text.alias("text"),
-    )
-    body = F.col("text")
-    py_kind, py_name = _python(body)
-    js_kind, js_name = _script(body, F.col("language") == "typescript")
-    python = F.col("language") == "python"
+    parts = marked.select("repo_id", "file_id", "language", F.posexplode(named).alias("ordinal", "s")).select(
+        "repo_id", "file_id", "language", "ordinal", "s.start_line", "s.text", "s.found"
+    ).where("start_line IS NOT NULL AND found IS NOT NULL")
+
+    text, found = F.col("text"), F.col("found")
+    source = F.when(python | ~_starts(text, "export"), text).when(
+        text.rlike(_JS_ARROW), F.regexp_replace(F.regexp_replace(text, _ARROW_PREFIX, ""), r";\s*$", "")
+    ).otherwise(F.regexp_replace(text, _EXPORT_PREFIX, ""))
     symbols = parts.select(
         "repo_id", "file_id", "language", "ordinal", "start_line",
-        F.when(python, py_kind).otherwise(js_kind).alias("kind"),
-        F.when(python, py_name).otherwise(js_name).alias("name"),
-        (F.col("start_line") + F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))).cast("int").alias("end_line"),
-        F.when(python, body)
-        .when(_found(body, _JS_ARROW).isNotNull(), F.regexp_replace(F.regexp_replace(body, _ARROW_PREFIX, ""), r";\s*$", ""))
-        .otherwise(F.regexp_replace(body, _EXPORT_PREFIX, "")).alias("source_code"),
+        F.when(python, _python_kind(text, found)).otherwise(_script_kind(text, found, typescript)).alias("kind"),
+        F.when(found == "", F.lit("<anonymous>")).otherwise(found).alias("name"),
+        (F.col("start_line") + F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("int").alias("end_line"),
+        source.alias("source_code"),
     ).where(F.col("kind").isNotNull())
-    return symbols.select(
+    return complexity(symbols).select(
         "repo_id",
         F.sha2(F.concat_ws("\0", "repo_id", "file_id", F.col("start_line").cast("string")), 256).alias("symbol_id"),
-        "file_id", "kind", "name", "start_line", "end_line", "source_code",
-        complexity(F.col("kind"), F.col("language"), F.col("source_code")).alias("cyclomatic_complexity"),
-        "ordinal",
+        "file_id", "kind", "name", "start_line", "end_line", "source_code", "cyclomatic_complexity", "ordinal",
     )

@@ -41,20 +41,27 @@ def _number(text: Column) -> Column:
     return F.when(text == "-", F.lit(0)).otherwise(strip_ws(text).try_cast("int"))
 
 
+def _is_header(line: Column) -> Column:
+    # A header needs all five fields; a shorter one neither starts nor ends a record.
+    return line.rlike(_HEADER) & (F.size(F.split(line, r"\|", 5)) == 5)
+
+
 def group_log_records(lines: DataFrame, lines_per_block: int = LINES_PER_BLOCK) -> DataFrame:
-    """Non-blank lines with ``log_pos``, the line number of the commit header they belong to.
+    """Change lines (those with a tab) with ``log_pos``, the line number of the commit header above.
 
     The last header above a line is found inside a block of lines first and carried
     over from earlier blocks second, so a log of any length is spread over many tasks.
-    Lines above the first header drop out.
+    Header texts stay behind, and lines above the first header drop out.
     """
-    # A header needs all five fields; a shorter one neither starts nor ends a record.
-    fields = F.size(F.split("line", r"\|", 5))
-    header = F.col("line").rlike(_HEADER) & (fields == 5)
-    marked = lines.where(strip_ws(F.col("line")) != "").select(
-        "repo_id", "line_no", "line",
-        F.floor(F.col("line_no") / F.lit(lines_per_block)).alias("block"),
-        F.when(header, F.col("line_no")).alias("head"),
+    line = F.col("line")
+    header = F.col("is_header")
+    marked = (
+        lines.select("repo_id", "line_no", "line", _is_header(line).alias("is_header"))
+        .where(header | line.contains("\t"))
+        .select(
+            "repo_id", "line_no", F.floor(F.col("line_no") / F.lit(lines_per_block)).alias("block"),
+            F.when(header, F.col("line_no")).alias("head"), F.when(~header, line).alias("line"),
+        )
     )
     running = Window.partitionBy("repo_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("repo_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,11 +71,9 @@ def group_log_records(lines: DataFrame, lines_per_block: int = LINES_PER_BLOCK)
     )
     return (
         marked.withColumn("in_block", F.max("head").over(running))
+        .where(F.col("line").isNotNull())
         .join(carry, ["repo_id", "block"])
-        .select(
-            "repo_id", "line_no", "line", F.col("head").isNotNull().alias("is_header"),
-            F.coalesce("in_block", "carried").alias("log_pos"),
-        )
+        .select("repo_id", "line_no", "line", F.coalesce("in_block", "carried").alias("log_pos"))
         .where(F.col("log_pos").isNotNull())
     )
 
@@ -79,25 +84,32 @@ def parse_git_log(lines: DataFrame, now, lines_per_block: int = LINES_PER_BLOCK)
     A date that cannot be read becomes ``now`` and is flagged by ``date_ok``.
     ``log_pos`` and ``line_no`` give the order of the log, newest first.
     """
-    records = group_log_records(lines, lines_per_block)
-    part = F.split("line", r"\|", 5)
-    date = F.try_to_timestamp(strip_ws(part[4]), F.lit(_DATE))
-    heads = records.where("is_header").select(
-        "repo_id", "log_pos",
-        strip_ws(part[0]).alias("hash"),
-        F.lower(strip_ws(part[1])).alias("author_email"),
-        strip_ws(part[2]).alias("author_name"),
-        strip_ws(part[3]).alias("message"),
-        F.coalesce(date, F.lit(now).cast("timestamp")).alias("authored_at"),
-        date.isNotNull().alias("date_ok"),
+    part = F.col("part")
+    date = F.try_to_timestamp(strip_ws(F.get(part, F.lit(4))), F.lit(_DATE))
+    heads = (
+        lines.where(F.col("line").rlike(_HEADER))
+        .select("repo_id", F.col("line_no").alias("log_pos"), F.split("line", r"\|", 5).alias("part"))
+        .where(F.size("part") == 5)
+        .select(
+            "repo_id", "log_pos",
+            strip_ws(F.get(part, F.lit(0))).alias("hash"),
+            F.lower(strip_ws(F.get(part, F.lit(1)))).alias("author_email"),
+            strip_ws(F.get(part, F.lit(2))).alias("author_name"),
+            strip_ws(F.get(part, F.lit(3))).alias("message"),
+            F.coalesce(date, F.lit(now).cast("timestamp")).alias("authored_at"),
+            date.isNotNull().alias("date_ok"),
+        )
     )
-    # Half a header ("abc1234|...") is skipped like the blank lines.
-    tab = F.split("line", "\t", 3)
+    tab = F.col("tab")
     changes = (
-        records.where(~F.col("is_header") & (F.size(tab) == 3) & ~F.col("line").rlike(_HEADER))
+        group_log_records(lines, lines_per_block)
+        # Half a header ("abc1234|...") is no change either.
+        .where(~F.col("line").rlike(_HEADER))
+        .select("repo_id", "log_pos", "line_no", F.split("line", "\t", 3).alias("tab"))
+        .where(F.size("tab") == 3)
         .select(
-            "repo_id", "log_pos", "line_no", new_path(strip_ws(tab[2])).alias("path"),
-            _number(tab[0]).alias("added"), _number(tab[1]).alias("deleted"),
+            "repo_id", "log_pos", "line_no", new_path(strip_ws(F.get(tab, F.lit(2)))).alias("path"),
+            _number(F.get(tab, F.lit(0))).alias("added"), _number(F.get(tab, F.lit(1))).alias("deleted"),
         )
         .where("added IS NOT NULL AND deleted IS NOT NULL")
     )
