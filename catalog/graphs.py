@@ -12,6 +12,7 @@ from catalog.corpora import (
 from stratacode.operators import edges as e
 from stratacode.operators import flow, graph, order
 from stratacode.operators.common import with_batch
+from stratacode.session import cut_lineage
 
 C = Catalog()
 
@@ -105,7 +106,9 @@ def file_graph_nodes(spark, d):
 SELECT repo_id, src_file_id AS source, tgt_file_id AS target, 'imports' AS type, count(*) AS weight FROM edges GROUP BY 1, 2, 3""")
 def file_graph_links(spark, d):
     files, symbols, deps = _deps(spark, d)
-    return graph.file_graph(_scored(e.fan_metrics(files, e.file_edges(deps, symbols))), symbols, deps)[1]
+    # Links do not depend on the degrees of the nodes.
+    plain = _scored(files).selectExpr("*", "0 AS fan_in", "0 AS fan_out")
+    return graph.file_graph(plain, symbols, deps)[1]
 
 
 @C.query("file_graph_metadata", f"""WITH {PART_EDGES}
@@ -318,4 +321,5 @@ def flow_from_first_entry(spark, d):
 def data_flow(spark, d):
     """Five entries share what has been seen; checked against a plain walk in the tests."""
     files, _, _, edges = _edges(spark, d)
+    edges = cut_lineage(e.distinct_edges(edges))
     return flow.trace_data_flow(_deepest_entries(files, edges, flow.MAX_ENTRIES), files, edges)

@@ -116,11 +116,12 @@ FROM files f LEFT JOIN ownership o USING (repo_id, path)""")
 def apply_git_stats(spark, d):
     files = order_files(spark, d)
     owned = _owned(spark, d)
+    tests = detect_tests(order_touches(spark, d).select("repo_id", "path"), _listing(files))
     bare = files.selectExpr(
         "*", "CAST(-1 AS DOUBLE) AS change_frequency", "CAST(NULL AS TIMESTAMP) AS git_last_modified",
         "CAST(NULL AS BOOLEAN) AS has_tests",
     )
-    return own.apply_git_stats(bare, owned, detect_tests(owned, _listing(files))).select(
+    return own.apply_git_stats(bare, owned, tests).select(
         "repo_id", "file_id", "change_frequency", F.date_format("git_last_modified", _DAY).alias("last_modified"),
         F.col("has_tests").cast("string").alias("has_tests"),
     )

@@ -13,6 +13,7 @@ from catalog.graphs import _TIERS, _reading
 from stratacode.operators import edges as e
 from stratacode.operators import flow, rules, stats, textgen, writes
 from stratacode.plans import brief as briefs
+from stratacode.session import cut_lineage
 
 C = Catalog()
 
@@ -130,12 +131,15 @@ def module_symbols(spark, d):
 
 
 def _brief_parts(spark, d):
-    measured, symbols, deps, edges = _measured(spark, d)
-    files = rules.criticality(
+    # As in the ingest, what every section reads is materialised once.
+    measured, symbols, _, edges = _measured(spark, d)
+    edges = cut_lineage(edges)
+    measured = e.fan_metrics(part_files(spark, d), edges)
+    files = cut_lineage(rules.criticality(
         measured.selectExpr("*", "CAST(NULL AS TIMESTAMP) AS git_last_modified", "CAST(NULL AS BOOLEAN) AS has_tests",
                             "CAST(NULL AS DOUBLE) AS change_frequency"),
         "2001-12-01", False,
-    )
+    ))
     listing = files.selectExpr("repo_id", "path", "CAST(NULL AS STRING) AS content")
     repos = files.select("repo_id").distinct().selectExpr("repo_id", "repo_id AS name", "'n/a' AS architecture_summary")
     entries = files.where("fan_in = 0").select("repo_id", "path")

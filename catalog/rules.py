@@ -113,7 +113,7 @@ def _site(spark, d):
     )
 
 
-@C.query("stack_labels", f"""WITH {_SITE_FILES}, hits AS (
+_STACK_LABELS = f"""WITH {_SITE_FILES}, hits AS (
   SELECT repo_id, unnest(CASE
     WHEN path = 'src/news.py' THEN ['languages:Python', 'frameworks:WebSockets', 'frameworks:Real-time System']
     WHEN path = 'app/page.tsx' THEN ['languages:TypeScript']
@@ -130,12 +130,20 @@ def _site(spark, d):
          lambda x: contains(lower(content), lower(split_part(replace(x, 'MongoDB', 'pymongo'), ':', 2))))) FROM site WHERE path IN ('src/news.py', 'manage.py')
   UNION ALL
   SELECT repo_id, 'frameworks:Monorepo' FROM site GROUP BY 1 HAVING bool_or(path LIKE 'apps/%') AND bool_or(path LIKE 'packages/%'))
-SELECT DISTINCT repo_id, split_part(hit, ':', 1) AS category, split_part(hit, ':', 2) AS label FROM hits""")
+SELECT DISTINCT repo_id, split_part(hit, ':', 1) AS category, split_part(hit, ':', 2) AS label FROM hits"""
+
+
+@C.query("stack_labels", _STACK_LABELS)
 def stack_labels(spark, d):
     return rules.stack_labels(_site(spark, d))
 
 
-@C.query("detect_stack")
+_SETS = ", ".join(
+    f"coalesce(string_agg(label, ',' ORDER BY label) FILTER (category = '{c}'), '') AS {c}" for c in rules.STACK_CATEGORIES
+)
+
+
+@C.query("detect_stack", f"SELECT repo_id, {_SETS} FROM ({_STACK_LABELS}) GROUP BY 1")
 def detect_stack(spark, d):
     stacks = rules.detect_stack(_site(spark, d))
     return stacks.select("repo_id", *[F.array_join(c, ",").alias(c) for c in rules.STACK_CATEGORIES])

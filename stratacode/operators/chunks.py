@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from stratacode.functions.paths import strip_ws
 from stratacode.functions.text import (
-    MAX_CHUNK_TOKENS, commit_chunk, file_chunk, pull_request_chunk, readme_chunk, symbol_chunk, within_budget,
+    CHARS_PER_TOKEN, MAX_CHUNK_TOKENS, commit_chunk, file_chunk, pull_request_chunk, readme_chunk, symbol_chunk, within_budget,
 )
 from stratacode.operators.common import ordered_texts
 from stratacode.operators.edges import EMBEDDABLE_KINDS, has_source, of_kind, with_file
@@ -36,8 +36,12 @@ def _symbol_texts(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def symbol_chunks(symbols: DataFrame, files: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
-    """One chunk per embeddable symbol that fits the budget."""
-    return _symbol_texts(symbols, files).where(within_budget(F.col("chunk_text"), max_tokens))
+    """One chunk per embeddable symbol that fits the budget.
+
+    A source that alone exceeds the budget is dropped before it is shuffled.
+    """
+    fitting = symbols.where(within_budget(F.col("source_code"), max_tokens))
+    return _symbol_texts(fitting, files).where(within_budget(F.col("chunk_text"), max_tokens))
 
 
 def skipped_counts(symbols: DataFrame, files: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
@@ -57,18 +61,18 @@ def unembedded_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
 def file_chunks(symbols: DataFrame, files: DataFrame, chunks: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
     """Fallback chunk of a file without symbol chunk: all its symbol sources, in order.
 
-    The joined length is summed first, so only files whose text fits the budget are
-    ever collected; a huge file costs one partial sum.
+    The length of the joined text is summed first and texts follow only for files that
+    fit the budget, so a huge file costs one partial sum and is never collected.
     """
     rest = unembedded_files(files.select("repo_id", "file_id", "path"), chunks)
     keys = ["repo_id", "file_id"]
-    sources = has_source(symbols).select(*keys, "ordinal", "symbol_id", "source_code").join(rest, keys)
-    lengths = sources.groupBy(*keys).agg(
-        (F.sum(F.length("source_code") + 1) - 1 + F.max(F.length("path")) + 3).alias("chars")
-    )
-    small = lengths.where(F.col("chars") < (max_tokens + 1) * 4).select(*keys)
+    sources = has_source(symbols)
+    lengths = sources.groupBy(*keys).agg((F.sum(F.length("source_code") + 1) - 1).alias("chars"))
+    # "# " + path + newline + text
+    small = rest.join(lengths, keys).where(F.length("path") + 3 + F.col("chars") < (max_tokens + 1) * CHARS_PER_TOKEN)
     texts = (
-        sources.join(small, keys, "left_semi")
+        sources.select(*keys, "ordinal", "symbol_id", "source_code")
+        .join(small.select(*keys, "path"), keys)
         .groupBy(*keys, "path")
         .agg(ordered_texts(F.col("source_code"), ["ordinal", "symbol_id"], "\n").alias("text"))
         .where(strip_ws(F.col("text")) != "")

@@ -96,6 +96,18 @@ def ordered_items(item: Column, order: list) -> Column:
     return F.transform(items, lambda i: i["_item"])
 
 
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` (narrow) rows, else unchanged.
+
+    Materialises ``df`` first, so that checking its size does not compute it twice.
+    """
+    ready = cut_lineage(df)
+    return F.broadcast(ready) if ready.limit(max_rows + 1).count() <= max_rows else ready
+
+
 def restrict_to(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key occurs in ``ids`` (distributed IN-list)."""
     return df.join(ids.select(*keys), keys, "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratacode.operators.common import top_k
 from stratacode.operators.edges import file_dependency_paths
+from stratacode.session import cut_lineage
 
 MAX_ENTRIES = 5
 HOPS = 2
@@ -67,7 +68,8 @@ def trace_data_flow(
     imports = file_dependency_paths(edges, files).join(paths, ["repo_id", "file_id"]).select(
         "repo_id", "from_path", F.col("target_path").alias("to_path")
     )
-    nearest = top_k(imports, ["repo_id", "from_path"], ["to_path"], max_edges, "_n").drop("_n")
+    # Every hop reads this table, so it is materialised once.
+    nearest = cut_lineage(top_k(imports, ["repo_id", "from_path"], ["to_path"], max_edges, "_n").drop("_n"))
     first = entry_points.where(F.col("entry_rank") <= max_entries).select(
         "repo_id", F.col("path").alias("from_path"), F.col("entry_rank").cast("double").alias("entry_rank")
     )

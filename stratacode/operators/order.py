@@ -12,6 +12,14 @@ from stratacode.operators.edges import distinct_edges
 from stratacode.session import cut_lineage
 
 
+# Rounds whose results are folded into one table, so that deep graphs keep a small plan.
+FOLD_ROUNDS = 24
+
+
+def _highest(presence: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, presence).groupBy("repo_id", "file_id").agg(F.max("level").alias("level"))
+
+
 def peel(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Levels of all files that import something: (repo_id, file_id, level).
 
@@ -28,6 +36,8 @@ def peel(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     while left:
         present = current.select("repo_id", F.col("src_file_id").alias("file_id")).distinct()
         presence.append(present.withColumn("level", F.lit(rounds + 1)))
+        if len(presence) >= FOLD_ROUNDS:
+            presence = [cut_lineage(_highest(presence))]
         unresolved = present.withColumnRenamed("file_id", "tgt_file_id")
         kept = cut_lineage(current.join(unresolved, ["repo_id", "tgt_file_id"], "left_semi").select(current.columns))
         still = kept.count()
@@ -39,9 +49,7 @@ def peel(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
         still = 0
     if not presence:
         return current.select("repo_id", F.col("src_file_id").alias("file_id"), F.lit(None).cast("int").alias("level"))
-    levels = (
-        reduce(DataFrame.unionByName, presence).groupBy("repo_id", "file_id").agg(F.max("level").alias("level"))
-    )
+    levels = _highest(presence)
     if not still:
         return levels
     stuck = kept.select("repo_id", F.col("src_file_id").alias("file_id")).distinct().withColumn("stuck", F.lit(True))

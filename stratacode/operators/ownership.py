@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacode.functions.paths import owner_label, slashes
@@ -18,25 +18,29 @@ def author_stats(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame:
     ``log_order`` names the columns that give the order of the log, newest first.
     Map-side combining reduces a hot file to one row per author and task.
     """
-    position = F.struct(*log_order)
+    first = F.struct(*log_order, F.col("author_name").alias("name"))
     return commit_files.groupBy(
         "repo_id", "path", F.lower("author_email").alias("email")
     ).agg(
         F.count(F.lit(1)).alias("commit_count"),
         F.max("ts").alias("last_commit"),
-        F.min_by("author_name", position).alias("name"),
-        F.min(position).alias("first_pos"),
-    )
+        F.min(first).alias("first_pos"),
+    ).withColumn("name", F.col("first_pos.name"))
 
 
-def _ranked_authors(stats: DataFrame) -> DataFrame:
-    """One row per path; its authors sorted by commits, then by first appearance."""
-    author = F.struct(
-        (-F.col("commit_count")).alias("neg_count"), "first_pos", "email", "name", "commit_count", "last_commit",
-    )
+def _per_path(stats: DataFrame) -> DataFrame:
+    """One row per path; its authors sorted by commits, then by first appearance.
+
+    Only the ``authors`` array needs all authors of a path together.  Where it is not
+    selected, the optimiser drops it and the rest combines on the map side.
+    """
+    rank = F.struct((-F.col("commit_count")).alias("neg_count"), "first_pos")
+    author = F.struct(rank.alias("rank"), "email", "name", "commit_count", "last_commit")
     return stats.groupBy("repo_id", "path").agg(
         F.sum("commit_count").alias("total_commits"),
         F.max("last_commit").alias("git_last_modified"),
+        F.min_by(owner_label(F.col("name"), F.col("email")), rank).alias("primary_owner"),
+        F.count(F.lit(1)).cast("int").alias("bus_factor"),
         F.array_sort(F.collect_list(author)).alias("authors"),
     )
 
@@ -48,7 +52,7 @@ def _share(count, total):
 
 def file_ownership(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame:
     """Change frequency, last change, ranked contributors, owner and silo flag per path."""
-    ranked = _ranked_authors(author_stats(commit_files, log_order))
+    paths = _per_path(author_stats(commit_files, log_order))
     contributors = F.transform(
         "authors",
         lambda a: F.struct(
@@ -59,33 +63,30 @@ def file_ownership(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame:
             F.date_format(a["last_commit"], ISO_UTC).alias("last_commit"),
         ),
     )
-    owner = F.col("authors")[0]
-    return ranked.select(
+    return paths.select(
         "repo_id",
         "path",
         F.col("total_commits").alias("change_frequency"),
         "git_last_modified",
-        owner_label(owner["name"], owner["email"]).alias("primary_owner"),
+        "primary_owner",
         contributors.alias("contributors"),
-        F.size("authors").alias("bus_factor"),
-        (F.size("authors") == 1).alias("is_knowledge_silo"),
+        "bus_factor",
+        (F.col("bus_factor") == 1).alias("is_knowledge_silo"),
     )
 
 
 def rank_contributors(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame:
-    """One row per (path, author) with its 1-based rank."""
-    ranked = _ranked_authors(author_stats(commit_files, log_order))
-    return ranked.select(
-        "repo_id", "path", "total_commits", F.posexplode("authors").alias("pos", "author")
-    ).select(
-        "repo_id",
-        "path",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("author.email").alias("email"),
-        F.col("author.name").alias("name"),
-        F.col("author.commit_count").alias("commit_count"),
-        _share(F.col("author.commit_count"), F.col("total_commits")).alias("percentage"),
-        F.col("author.last_commit").alias("last_commit"),
+    """One row per (path, author) with its 1-based rank.
+
+    The authors of a path are streamed through a sorted window that can spill, never
+    held as one array.
+    """
+    stats = author_stats(commit_files, log_order)
+    path = Window.partitionBy("repo_id", "path")
+    rank = F.row_number().over(path.orderBy(F.desc("commit_count"), "first_pos"))
+    return stats.select(
+        "repo_id", "path", rank.alias("rank"), "email", "name", "commit_count",
+        _share(F.col("commit_count"), F.sum("commit_count").over(path)).alias("percentage"), "last_commit",
     )
 
 

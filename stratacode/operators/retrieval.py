@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratacode.operators.common import ordered_items, top_k
+from stratacode.operators.common import broadcast_if_small, ordered_items, top_k
+from stratacode.session import cut_lineage
 
 # Hits per source type, in display order.
 QUOTAS = {"symbol": 6, "commit": 2, "pull_request": 1, "document": 1}
@@ -134,7 +135,16 @@ def resolve_sources(
     A source that cannot be found keeps null fields.
     """
     of_type = F.col("source_type")
-    texts = embeddings.select("repo_id", "source_type", "source_id", "file_id", "chunk_text")
+    key = ["repo_id", "source_type", "source_id"]
+    hits = cut_lineage(hits)
+    # The tables behind the hits are cut down to the hits first; few hits are broadcast,
+    # so that none of these tables is shuffled for a handful of rows.
+    wanted = broadcast_if_small(hits.select(*key).distinct())
+
+    def hit(df: DataFrame) -> DataFrame:
+        return df.join(wanted, key, "left_semi")
+
+    texts = hit(embeddings.select(*key, "file_id", "chunk_text"))
     symbol = symbols.select(
         "repo_id", F.lit("symbol").alias("source_type"), F.col("symbol_id").alias("source_id"),
         F.col("name").alias("symbol_name"), "start_line", "end_line",
@@ -148,12 +158,11 @@ def resolve_sources(
         F.col("number").alias("pr_number"), F.col("title").alias("pr_title"),
     )
     path = files.select("repo_id", "file_id", F.col("path").alias("file_path"))
-    key = ["repo_id", "source_type", "source_id"]
     return (
         hits.join(texts, key)
-        .join(symbol, key, "left")
-        .join(commit, key, "left")
-        .join(request, key, "left")
+        .join(hit(symbol), key, "left")
+        .join(hit(commit), key, "left")
+        .join(hit(request), key, "left")
         .join(path, ["repo_id", "file_id"], "left")
         .select(
             "repo_id", "query_id", "hit_no", "source_type", "source_id", "distance", "chunk_text",

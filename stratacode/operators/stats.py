@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratacode.functions.text import preview
-from stratacode.operators.common import number_rows, top_k
+from stratacode.operators.common import broadcast_if_small, number_rows, top_k
 from stratacode.operators.edges import GLOSSARY_KINDS, dependency_counts, of_kind
 
 # Severity order of the criticality labels.
@@ -101,7 +101,9 @@ def glossary_candidates(symbols: DataFrame, files: DataFrame, k: int = 50) -> Da
         narrow.join(files.select("repo_id", "file_id", "path", "fan_in"), ["repo_id", "file_id"]),
         ["repo_id"], [F.desc_nulls_first("fan_in"), "path", "start_line", "symbol_id"], k,
     )
-    return ranked.join(symbols.select("repo_id", "symbol_id", "source_code"), ["repo_id", "symbol_id"])
+    keys = ["repo_id", "symbol_id"]
+    # Broadcast when few, so that the texts of all other symbols stay where they are.
+    return symbols.select(*keys, "source_code").join(broadcast_if_small(ranked), keys)
 
 
 def search_glossary(glossary: DataFrame, query: str) -> DataFrame:

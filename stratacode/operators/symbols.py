@@ -72,7 +72,7 @@ def _mark_lines(lines: Column) -> Column:
 def _statement(block: Column) -> Column:
     text = F.regexp_extract(F.substring_index(block, _SEP, -1), _TO_LAST_LINE, 0)
     return F.struct(
-        F.substring_index(block, _SEP, 1).try_cast("int").alias("start_line"),
+        F.when(block.contains(_SEP), F.substring_index(block, _SEP, 1).cast("int")).alias("start_line"),
         F.translate(text, _QUIET, "").alias("text"),
     )
 

@@ -94,8 +94,12 @@ def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
     bucketed(df).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 
+def _stored(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    return spark.read.schema(f"{ddl}, {BUCKET} int").parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.schema(f"{ddl}, {BUCKET} int").parquet(path).drop(BUCKET)
+    return _stored(spark, path, ddl).drop(BUCKET)
 
 
 def append_ignore(spark: SparkSession, path: str, ddl: str, new: DataFrame, keys: list[str], order: list[str]) -> int:
@@ -107,9 +111,14 @@ def append_ignore(spark: SparkSession, path: str, ddl: str, new: DataFrame, keys
     return inserted
 
 
-def _touched(df: DataFrame, repo_ids: DataFrame) -> DataFrame:
-    buckets = bucketed(repo_ids.select("repo_id")).select(BUCKET).distinct()
-    return bucketed(df).join(buckets, BUCKET, "left_semi").drop(BUCKET)
+def _buckets(repo_ids: DataFrame) -> list[int]:
+    """Bucket numbers of the given repositories: at most N_BUCKETS integers."""
+    return [row[0] for row in bucketed(repo_ids.select("repo_id")).select(BUCKET).distinct().collect()]
+
+
+def _touched(spark: SparkSession, path: str, ddl: str, buckets: list[int]) -> DataFrame:
+    """Rows of some buckets; the list prunes the partitions that are read."""
+    return _stored(spark, path, ddl).where(F.col(BUCKET).isin(buckets)).drop(BUCKET)
 
 
 def _overwrite_buckets(df: DataFrame, path: str) -> None:
@@ -124,8 +133,9 @@ def store_upsert(spark: SparkSession, path: str, ddl: str, new: DataFrame, keys:
 
     The merged buckets are checkpointed before the first file is replaced.
     """
-    target = read_table(spark, path, ddl)
-    merged = cut_lineage(upsert(_touched(target, new), new, keys, update_cols))
+    new = cut_lineage(new)
+    target = _touched(spark, path, ddl, _buckets(new))
+    merged = cut_lineage(upsert(target, new, keys, update_cols))
     _overwrite_buckets(merged, path)
 
 
@@ -135,17 +145,11 @@ def replace_partition(spark: SparkSession, path: str, ddl: str, new: DataFrame,
     A bucket that becomes empty is not rewritten by a dynamic overwrite, so its
     remaining rows are checked for and its directory replaced by an empty one.
     """
-    target = read_table(spark, path, ddl)
-    kept = cut_lineage(replace_rows(_touched(target, repo_ids), new, repo_ids))
+    buckets = _buckets(repo_ids)
+    kept = cut_lineage(replace_rows(_touched(spark, path, ddl, buckets), new, repo_ids))
     _overwrite_buckets(kept, path)
-    emptied = (
-        bucketed(repo_ids.select("repo_id")).select(BUCKET).distinct()
-        .join(bucketed(kept).select(BUCKET).distinct(), BUCKET, "left_anti")
-    )
-    # At most N_BUCKETS numbers.
-    for row in emptied.collect():
-        empty = spark.createDataFrame([], ddl)
-        empty.write.mode("overwrite").parquet(f"{path}/{BUCKET}={row[0]}")
+    for bucket in set(buckets) - set(_buckets(kept)):
+        spark.createDataFrame([], ddl).write.mode("overwrite").parquet(f"{path}/{BUCKET}={bucket}")
 
 
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -50,8 +50,8 @@ def ingest(
 ) -> Ingested:
     """``listing`` has (repo_id, path, content) of all files, sources and manifests alike.
 
-    Symbols, file edges and the touch log are each used several times, so they are
-    materialised once in the checkpoint folder; everything else stays lazy.
+    Symbols, file edges, the touch log and ownership are each used several times, so they
+    are materialised once in the checkpoint folder; everything else stays lazy.
     """
     source_files = to_files(keep_source_files(listing))
     symbols = cut_lineage(symbol_ops.extract_symbols(source_files))
@@ -71,7 +71,7 @@ def ingest(
     commit_files = cut_lineage(
         all_changes.join(commits.select("repo_id", "log_pos"), ["repo_id", "log_pos"], "left_semi")
     )
-    owned = ownership.file_ownership(commit_files)
+    owned = cut_lineage(ownership.file_ownership(commit_files))
     tests = detect_tests(owned, listing)
     files = rules.criticality(ownership.apply_git_stats(measured, owned, tests), now, git_aware)
     owners = ownership.code_owners(owned, files)
