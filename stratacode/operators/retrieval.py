@@ -66,7 +66,8 @@ def _blocked_search(vectors: DataFrame, queries: DataFrame, quotas: dict[str, in
     most of the data is spread over as many tasks as it has blocks.
     """
     questions = queries.select("repo_id", "query_id", "embedding")
-    blocks = (
+    # One row per repository: broadcast when few, so that vectors are shuffled once only.
+    blocks = broadcast_if_small(
         vectors.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(vector_block)).cast("int").alias("n_v"))
         .join(
             questions.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block)).cast("int").alias("n_q")),

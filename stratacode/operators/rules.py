@@ -6,6 +6,8 @@ no join; only the few distinct labels per repository are shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,9 +268,8 @@ def detect_entry_points(listing: DataFrame) -> DataFrame:
         | (name.isin("page.tsx", "page.jsx") & path.contains("app"))
         | (name.isin("index.tsx", "index.jsx") & path.contains("pages"))
     )
-    marked = F.lit(False)
-    for marker in ENTRY_MARKERS:
-        marked = marked | text.contains(marker)
+    # One pass over the text looks for all markers.
+    marked = text.rlike("|".join(re.escape(m) for m in ENTRY_MARKERS))
     by_text = suffix(F.col("path")).isin(*ENTRY_TEXT_SUFFIXES) & F.coalesce(marked, F.lit(False))
     skipped = F.arrays_overlap(segments(F.col("path")), F.array(*[F.lit(d) for d in SKIP_DIRS]))
     return listing.where(~skipped & (by_name | by_text)).select("repo_id", path.alias("path")).distinct()

@@ -102,15 +102,6 @@ def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return _stored(spark, path, ddl).drop(BUCKET)
 
 
-def append_ignore(spark: SparkSession, path: str, ddl: str, new: DataFrame, keys: list[str], order: list[str]) -> int:
-    """Insert-ignore into a stored table; returns the number of rows really inserted."""
-    fresh = cut_lineage(insert_ignore(read_table(spark, path, ddl), new, keys, order))
-    inserted = fresh.count()
-    if inserted:
-        write_table(fresh, path, "append")
-    return inserted
-
-
 def _buckets(repo_ids: DataFrame) -> list[int]:
     """Bucket numbers of the given repositories: at most N_BUCKETS integers."""
     return [row[0] for row in bucketed(repo_ids.select("repo_id")).select(BUCKET).distinct().collect()]
@@ -121,6 +112,21 @@ def _touched(spark: SparkSession, path: str, ddl: str, buckets: list[int]) -> Da
     return _stored(spark, path, ddl).where(F.col(BUCKET).isin(buckets)).drop(BUCKET)
 
 
+def append_ignore(spark: SparkSession, path: str, ddl: str, new: DataFrame, keys: list[str], order: list[str]) -> int:
+    """Insert-ignore into a stored table; returns the number of rows really inserted.
+
+    Only the buckets of the repositories in ``new`` are compared, so a small batch
+    does not read the whole table.
+    """
+    new = cut_lineage(new)
+    target = _touched(spark, path, ddl, _buckets(new))
+    fresh = cut_lineage(insert_ignore(target, new, keys, order))
+    inserted = fresh.count()
+    if inserted:
+        write_table(fresh, path, "append")
+    return inserted
+
+
 def _overwrite_buckets(df: DataFrame, path: str) -> None:
     (
         bucketed(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
