@@ -265,7 +265,22 @@ def topological_tiers(spark, d):
     return order.topological_tiers(files, edges).select("repo_id", "file_id", "tier")
 
 
-@C.query("tiers_of_imports")
+# Files that reach a loop are stuck; the others have the length of their longest chain.
+@C.query("tiers_of_imports", f"""WITH RECURSIVE {PART_EDGES}, step AS (
+  SELECT DISTINCT repo_id, src_file_id AS s, tgt_file_id AS t FROM edges),
+reach AS (SELECT repo_id, s, t FROM step UNION SELECT r.repo_id, r.s, x.t FROM reach r JOIN step x ON x.repo_id = r.repo_id AND x.s = r.t),
+looped AS (SELECT repo_id, s AS f FROM reach WHERE s = t),
+stuck AS (SELECT repo_id, f FROM looped UNION SELECT r.repo_id, r.s FROM reach r JOIN looped l ON l.repo_id = r.repo_id AND l.f = r.t),
+free AS (SELECT repo_id, file_id FROM files WHERE (repo_id, file_id) NOT IN (SELECT repo_id, f FROM stuck)),
+walk AS (
+  SELECT repo_id, file_id, 0 AS level FROM files WHERE (repo_id, file_id) NOT IN (SELECT repo_id, s FROM step)
+  UNION
+  SELECT x.repo_id, x.s, w.level + 1 FROM step x JOIN walk w ON w.repo_id = x.repo_id AND w.file_id = x.t
+  JOIN free f ON f.repo_id = x.repo_id AND f.file_id = x.s),
+levels AS (SELECT repo_id, file_id, max(level) AS level FROM walk GROUP BY 1, 2),
+deepest AS (SELECT repo_id, max(level) AS deepest FROM levels GROUP BY 1)
+SELECT repo_id, file_id, coalesce(level, deepest + 1, 0)::INT AS tier
+FROM files LEFT JOIN levels USING (repo_id, file_id) LEFT JOIN deepest USING (repo_id)""")
 def tiers_of_imports(spark, d):
     """Resolved imports are full of cycles: most files end in the last tier."""
     files, _, _, edges = _edges(spark, d)
@@ -317,9 +332,39 @@ def flow_from_first_entry(spark, d):
     return flow.trace_data_flow(_deepest_entries(files, edges, 1), files, edges, max_entries=1)
 
 
-@C.query("data_flow")
+# A file emits its edges when it is first expanded: as an entry, or as an import of an
+# entry that was itself fresh.  The recursion carries the files expanded so far.
+_FRESH = "list_filter(coalesce(o.targets, []), lambda x: NOT list_contains(s.expanded, x) AND x <> e.path)"
+
+
+@C.query("data_flow", f"""WITH RECURSIVE {PART_MEASURED}, named AS (
+  SELECT DISTINCT x.repo_id, s.path AS from_path, t.path AS to_path
+  FROM edges x JOIN files s ON s.repo_id = x.repo_id AND s.file_id = src_file_id
+               JOIN files t ON t.repo_id = x.repo_id AND t.file_id = tgt_file_id),
+outgoing AS (SELECT repo_id, from_path, list(to_path ORDER BY to_path) AS targets FROM named GROUP BY 1, 2),
+entry AS (
+  SELECT repo_id, path, rk FROM (
+    SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path)::INT AS rk FROM measured WHERE fan_in = 0) WHERE rk <= 5),
+walk AS (
+  SELECT DISTINCT repo_id, 0 AS rk, []::VARCHAR[] AS expanded, NULL::VARCHAR AS parent, []::VARCHAR[] AS children FROM entry
+  UNION ALL
+  SELECT s.repo_id, s.rk + 1,
+         CASE WHEN list_contains(s.expanded, e.path) THEN s.expanded ELSE list_concat(list_append(s.expanded, e.path), {_FRESH}) END,
+         CASE WHEN NOT list_contains(s.expanded, e.path) THEN e.path END,
+         CASE WHEN list_contains(s.expanded, e.path) THEN [] ELSE {_FRESH} END
+  FROM walk s JOIN entry e ON e.repo_id = s.repo_id AND e.rk = s.rk + 1
+  LEFT JOIN outgoing o ON o.repo_id = e.repo_id AND o.from_path = e.path),
+parents AS (
+  SELECT repo_id, rk, 1 AS hop, '' AS place, parent FROM walk WHERE parent IS NOT NULL
+  UNION ALL
+  SELECT repo_id, rk, 2, child, child FROM (SELECT repo_id, rk, unnest(children) AS child FROM walk)),
+steps AS (
+  SELECT p.repo_id, from_path, to_path, hop,
+         row_number() OVER (PARTITION BY p.repo_id ORDER BY rk, hop, place, to_path)::INT AS step
+  FROM parents p JOIN named n ON n.repo_id = p.repo_id AND n.from_path = p.parent)
+SELECT repo_id, step, from_path, to_path, hop FROM steps WHERE step <= 40""")
 def data_flow(spark, d):
-    """Five entries share what has been seen; checked against a plain walk in the tests."""
+    """Five entries share what has been seen."""
     files, _, _, edges = _edges(spark, d)
     edges = cut_lineage(e.distinct_edges(edges))
     return flow.trace_data_flow(_deepest_entries(files, edges, flow.MAX_ENTRIES), files, edges)

@@ -226,3 +226,14 @@ def glossary_search_page(spark, d):
     terms = table(spark, d, "part").selectExpr("p_partkey", "p_name AS name", "p_brand AS definition")
     page, _ = stats.paginate(stats.search_glossary(terms, "d_b"), ["name", "p_partkey"], 2, 20)
     return page.selectExpr("p_partkey", "name AS p_name")
+
+
+@C.query("glossary_search_total", """SELECT count(*) AS total FROM part WHERE p_name ILIKE '%d_b%' OR p_brand ILIKE '%d_b%'""")
+def glossary_search_total(spark, d):
+    terms = table(spark, d, "part").selectExpr("p_partkey", "p_name AS name", "p_brand AS definition")
+    return stats.paginate(stats.search_glossary(terms, "d_b"), ["name", "p_partkey"], 1, 20)[1]
+
+
+@C.query("reingestible", f"WITH {_REPOS} SELECT repo_id, status FROM repos WHERE status IN ('ready', 'failed')")
+def reingestible(spark, d):
+    return stats.reingestible(_repos(spark, d)).select("repo_id", "status")

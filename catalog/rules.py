@@ -8,6 +8,7 @@ from catalog.base import Catalog, table
 from catalog.corpora import PART_MEASURED, part_files, part_symbols
 from stratacode.operators import edges as e
 from stratacode.operators import rules, stats
+from stratacode.plans import brief as briefs
 
 C = Catalog()
 
@@ -83,6 +84,26 @@ def critical_files(spark, d):
     return stats.critical_files(files).drop("change_frequency").withColumn("reasons", F.array_join("reasons", "; "))
 
 
+@C.query("guide_critical_files", f"""{_AGED}
+SELECT repo_id, path AS file_path, criticality, fan_in, CASE criticality WHEN 'critical' THEN 0 ELSE 1 END AS severity
+FROM judged WHERE criticality IN ('critical', 'caution')""")
+def guide_critical_files(spark, d):
+    files = _judged(spark, d).withColumn("change_frequency", F.lit(None).cast("double"))
+    return briefs.guide_critical_files(files).select(
+        "repo_id", "file_path", "criticality", "fan_in", stats.severity_rank(F.col("criticality")).alias("severity")
+    )
+
+
+@C.query("critical_file_previews", f"""{_AGED}
+SELECT repo_id, path, preview_pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY criticality = 'caution', fan_in DESC, path)::INT AS preview_pos
+  FROM judged WHERE criticality IN ('critical', 'caution')) WHERE preview_pos <= 8""")
+def critical_file_previews(spark, d):
+    rows = stats.critical_only(_judged(spark, d)).select("repo_id", "path", "fan_in", "criticality")
+    order = [stats.severity_rank(F.col("criticality")), F.desc("fan_in"), "path"]
+    return stats.preview_rows(rows, ["repo_id"], order, 8).select("repo_id", "path", "preview_pos")
+
+
 @C.query("key_modules", f"""WITH {PART_MEASURED}
 SELECT repo_id, file_id, path, fan_in, fan_out, language, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY fan_in DESC, path)::INT AS rank FROM measured) WHERE rank <= 10""")

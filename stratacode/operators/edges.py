@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratacode.functions.paths import (
-    file_stem, full_stem, import_path, last_segment, slashes, top_dir,
+    full_stem, import_path, last_segment, slashes, top_dir,
 )
 from stratacode.operators.common import first_per_key, ordered_items
 

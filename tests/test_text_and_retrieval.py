@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from stratacode.operators import chunks as ch
 from stratacode.operators import retrieval as ret
