@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog
-from stratacode.llm import histogram_sort, quality_rules
+from stratacode.llm import histogram_sort, packing, quality_rules
 from stratacode.llm.text import whole
 
 C = Catalog()
@@ -85,3 +86,15 @@ def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", histogram_sort.byte_size(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# --- 3: packing ---------------------------------------------------------------------------------
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@C.query("op3_hierarchical_packing")
+def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+                         "tier", "step_group")
