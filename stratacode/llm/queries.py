@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog
-from stratacode.llm import histogram_sort, packing, quality_rules
+from stratacode.llm import bottomk, histogram_sort, packing, quality_rules
 from stratacode.llm.text import whole
 
 C = Catalog()
@@ -98,3 +98,11 @@ def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
                          "tier", "step_group")
+
+
+# --- 9: near duplicates by bottom-k sketches -----------------------------------------------------
+
+
+@C.query("op9_bottom_k_near_dedup")
+def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(read(spark, sf_dir, "documents"))
