@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog
-from stratacode.llm import bottomk, histogram_sort, packing, quality_rules
+from stratacode.llm import bottomk, decontaminate, histogram_sort, packing, quality_rules
 from stratacode.llm.text import whole
 
 C = Catalog()
@@ -106,3 +106,11 @@ def op3_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @C.query("op9_bottom_k_near_dedup")
 def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+# --- 2: benchmark decontamination ----------------------------------------------------------------
+
+
+@C.query("op2_spaced_seed_decontamination")
+def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
