@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog
-from stratacode.llm import bottomk, decontaminate, histogram_sort, packing, quality_rules
+from stratacode.llm import bottomk, compact_windows, decontaminate, histogram_sort, packing, quality_rules
 from stratacode.llm.text import whole
 
 C = Catalog()
@@ -114,3 +114,11 @@ def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @C.query("op2_spaced_seed_decontamination")
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+# --- 1: substring dedup --------------------------------------------------------------------------
+
+
+@C.query("op1_compact_windows")
+def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(read(spark, sf_dir, "documents"))
