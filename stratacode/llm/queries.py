@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog
-from stratacode.llm import bottomk, compact_windows, decontaminate, histogram_sort, packing, quality_rules
+from stratacode.llm import bottomk, compact_windows, decontaminate, histogram_sort, packing, pu_quality, quality_rules, toxicity
+from stratacode.llm.staging import stage
 from stratacode.llm.text import whole
 
 C = Catalog()
@@ -122,3 +123,38 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 @C.query("op1_compact_windows")
 def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+# --- 4: toxicity by a classifier chain -------------------------------------------------------------
+
+# Words that name a category of abuse in the labelled rows; they weakly label the first links of the chain.
+CATEGORY_TERMS = {"insult": ("idiot", "moron", "stupid", "clown", "loser"), "contempt": ("worthless", "pathetic", "trash", "scum", "disgusting")}
+TOXIC_FROM = 0.5
+
+
+@C.query("op4_toxicity_chain")
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    text = docs.join(labels, "doc_id").select("doc_id", "toxic", F.lower("text").alias("t"))
+    marks = [(F.col("toxic").cast("boolean") & F.col("t").rlike("\\b(" + "|".join(terms) + ")\\b")).cast("int").alias(name) for name, terms in CATEGORY_TERMS.items()]
+    chain = toxicity.train(docs, text.select("doc_id", *marks, "toxic"), (*CATEGORY_TERMS, "toxic"))
+    scored = toxicity.score(docs.select("doc_id", "text"), chain)
+    return scored.select("doc_id", *[F.col(f"p_{c}") for c in chain.categories], (F.col("p_toxic") >= TOXIC_FROM).cast("int").alias("toxic"))
+
+
+# --- 6: quality by positive-unlabelled learning ------------------------------------------------------
+
+
+@C.query("op6_pu_quality")
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").where(~held_out)
+    trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality is not null")
+    prior = pu_quality.estimated_prior(trusted)
+    measured = pu_quality.measure(docs, ["doc_id"])
+    measured = stage(measured.join(trusted.where("quality = 1").select("doc_id", F.lit(True).alias("positive")), "doc_id", "left"), "measured")
+    model = pu_quality.fit(measured.where(~held_out), F.coalesce("positive", F.lit(False)), prior)
+    score = pu_quality.score_column(model)
+    return measured.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))

@@ -45,9 +45,8 @@ def word_spans(text: str | None, lower: bool = True) -> tuple[np.ndarray, np.nda
     return data, np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash per word, A-Z lower-cased; equal words have equal hashes."""
-    data, starts, ends = word_spans(text)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span of ``data``; equal spans have equal hashes."""
     if not len(starts):
         return np.empty(0, np.uint64)
     _grow(len(data) + 1)
@@ -56,6 +55,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """One 64-bit hash per word, A-Z lower-cased; equal words have equal hashes."""
+    return span_hashes(*word_spans(text))
+
+
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Hashes of the ``width``-word shingles by position; a shorter text is one shingle, an empty one has none."""
     n = len(words)
