@@ -216,3 +216,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rows.join(by_print, "print", "left")
     own = F.coalesce("component", "id")
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Of rows repeated under one id the one with the smallest text stays (a null text first); rows without an id all stay.
+    """
+    key = F.col(f"`{id_col}`")
+    marks = stage(near_duplicates(docs, id_col, text_col, **options), "marks")
+    dropped = stage(marks.where(~F.col("kept")).select(key.alias("_gone")).distinct(), "dropped")
+    kept = docs.join(dropped, key == F.col("_gone"), "left_anti")
+    several = stage(marks.where(key.isNotNull()).groupBy(key.alias("_many")).count().where("count > 1").select("_many"), "several")
+    repeated = kept.join(several, key == F.col("_many"), "left_semi")
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = repeated.groupBy(key).agg(F.min_by(whole_row, F.struct(text_col)).alias("_row")).select("_row.*")
+    return kept.join(several, key == F.col("_many"), "left_anti").unionAll(first)

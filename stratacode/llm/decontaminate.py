@@ -183,3 +183,10 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     )
     out = st.StructType([id_field, item_field, *[st.StructField(c, st.LongType()) for c in ("doc_start", "doc_end", "item_start", "item_end", "n_matches")]])
     return sides.mapInArrow(_verifier(window, percent), out)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the documents that hold a passage of the benchmark; rows without an id stay."""
+    spans = contaminated_spans(docs, benchmark, id_col=id_col, **options)
+    leaks = stage(spans.select(F.col("doc_id").alias("_leak")).where("_leak is not null").distinct(), "leaks")
+    return docs.join(leaks, F.col(f"`{id_col}`") == F.col("_leak"), "left_anti")

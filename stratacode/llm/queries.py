@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog
-from stratacode.llm import bottomk, compact_windows, decontaminate, histogram_sort, packing, pu_quality, quality_rules, toxicity
+from stratacode.llm import bottomk, compact_windows, decontaminate, histogram_sort, html_layout, interpolation, packing, pu_quality, quality_rules, toxicity
 from stratacode.llm.staging import stage
 from stratacode.llm.text import whole
 
@@ -158,3 +159,26 @@ def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pu_quality.fit(measured.where(~held_out), F.coalesce("positive", F.lit(False)), prior)
     score = pu_quality.score_column(model)
     return measured.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+# --- 8: language-model scores by deleted interpolation ----------------------------------------------
+
+
+@C.query("op8_deleted_interpolation")
+def op8_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return interpolation.score(read(spark, sf_dir, "documents"), held_out)
+
+
+# --- 10: layout-aware text of web pages ---------------------------------------------------------------
+
+
+@C.query("op10_html_layout")
+def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_layout.extract_text(read(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+# --- the pipeline -----------------------------------------------------------------------------------
+
+C.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
