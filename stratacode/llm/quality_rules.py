@@ -117,6 +117,8 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, prefix: str = ""
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rows of ``docs`` that pass every rule, with their own columns only."""
-    prefix = T.fresh(docs, "quality_")[0]
-    judged = measure(docs, text_col, prefix=prefix).where(reduce(and_, [passes(r, prefix) for r in rules], F.lit(True)))
-    return judged.select(*T.own(docs))
+    prefix, wall = T.fresh(docs, "quality_", "wall")
+    # A filter over plain projections would be pushed below them and copy the array expressions into its own
+    # lambdas, to be computed again for every word; it is not pushed through a row number.
+    measured = measure(docs, text_col, prefix=prefix).withColumn(wall, F.monotonically_increasing_id())
+    return measured.where(reduce(and_, [passes(r, prefix) for r in rules], F.col(wall) >= 0)).select(*T.own(docs))
