@@ -136,10 +136,8 @@ TOXIC_FROM = 0.5
 @C.query("op4_toxicity_chain")
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
-    text = docs.join(labels, "doc_id").select("doc_id", "toxic", F.lower("text").alias("t"))
-    marks = [(F.col("toxic").cast("boolean") & F.col("t").rlike("\\b(" + "|".join(terms) + ")\\b")).cast("int").alias(name) for name, terms in CATEGORY_TERMS.items()]
-    chain = toxicity.train(docs, text.select("doc_id", *marks, "toxic"), (*CATEGORY_TERMS, "toxic"))
+    named = {name: F.col("toxic").cast("boolean") & F.lower("text").rlike("\\b(" + "|".join(terms) + ")\\b") for name, terms in CATEGORY_TERMS.items()}
+    chain = toxicity.train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"), named | {"toxic": F.col("toxic")})
     scored = toxicity.score(docs.select("doc_id", "text"), chain)
     return scored.select("doc_id", *[F.col(f"p_{c}") for c in chain.categories], (F.col("p_toxic") >= TOXIC_FROM).cast("int").alias("toxic"))
 

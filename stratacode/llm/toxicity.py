@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
 
@@ -67,7 +67,7 @@ def _choose(hashes: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray:
     values, column, rows = np.unique(flat, return_inverse=True, return_counts=True)
     best = np.zeros(len(values))
     for k in range(y.shape[1]):
-        rate = y[:, k].mean()
+        rate = y[:, k].mean() if len(y) else 0.0
         if 0 < rate < 1:
             seen = np.bincount(column, y[row, k], len(values))
             best = np.maximum(best, np.abs(seen - rows * rate) / np.sqrt(rows * rate * (1 - rate)))
@@ -104,20 +104,25 @@ def fit_chain(texts: Sequence[str | None], labels: np.ndarray, folds: np.ndarray
     return Chain(categories, chosen, weights)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS,
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS,
           max_features: int = MAX_FEATURES, folds: int = FOLDS) -> Chain:
     """Fit the chain on at most ``max_rows`` labelled documents, those with the smallest id hash.
 
-    ``labels`` has the id and one 0/1 column per category; rows with a null label are not used, a repeated id counts as
-    labelled when any of its rows is.  Without labelled rows every probability is one half.
+    ``categories`` maps each category, in chain order, to a 0/1 or boolean expression over the columns of ``labels`` and the text.  Rows with a null id
+    or category are not used, a repeated id counts as labelled when any of its rows is.  Without labelled rows every probability is one half.
     """
-    marks = labels.dropna(subset=[id_col, *categories]).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(*[F.max(c).cast("int").alias(c) for c in categories])
-    order = F.xxhash64("_id")
-    chosen = marks.orderBy(order, "_id").limit(max_rows)
-    text = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    # The sample is bounded by max_rows, so its ids may be broadcast.
-    sample = text.join(F.broadcast(chosen), "_id").select("_text", F.pmod(order, F.lit(folds)).cast("int").alias("_fold"), *categories).toPandas()
-    return fit_chain(list(sample["_text"]), sample[list(categories)].to_numpy(), sample["_fold"].to_numpy(), categories, max_features)
+    key, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    order = F.xxhash64(key)
+    ids = labels.where(key.isNotNull()).select(key).distinct().orderBy(order, key).limit(max_rows)
+    # The sample is bounded by max_rows, so it may be broadcast to where the texts are.
+    chosen = labels.join(F.broadcast(ids), id_col, "left_semi").orderBy(order).limit(4 * max_rows)
+    marked = docs.select(key, text).join(F.broadcast(chosen), id_col).select(key, text, *[c.cast("int").alias(n) for n, c in categories.items()])
+    sample = (
+        marked.dropna(subset=[id_col, *categories]).groupBy(id_col, text_col).agg(*[F.max(c).alias(c) for c in categories])
+        .select(text.alias("_text"), F.pmod(order, F.lit(folds)).cast("int").alias("_fold"), *categories).toPandas()
+    )
+    names = tuple(categories)
+    return fit_chain(list(sample["_text"]), sample[list(names)].to_numpy(), sample["_fold"].to_numpy(), names, max_features)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
