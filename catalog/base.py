@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,17 +37,6 @@ def prepare(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
-SPREAD_BYTES = 4 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table.
-
-    A table of any size in one Parquet row group is read by a single task; such a file
-    is spread over the cores.  Tables with as many splits as cores are left alone, so
-    this adds no shuffle to a real data set.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = sum(os.path.getsize(p) for p in [f"{sf_dir}/{name}.parquet"] if os.path.isfile(p))
-    return df.repartition(cores) if size > SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
+    """One test table as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

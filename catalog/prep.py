@@ -55,8 +55,8 @@ def glossary_candidates(spark, d):
 
 @C.query("glossary_requests", f"""WITH {_CANDIDATES}
 SELECT repo_id, ((rank - 1) // 25)::BIGINT AS batch_id, count(*) AS n_items,
-       string_agg('Name: ' || name || chr(10) || 'File: ' || path || chr(10) || 'Lines: ' || start_line || '-' || end_line || chr(10) ||
-                  'Source (truncated):' || chr(10) || left(source_code, 300), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS items
+       string_agg('Symbol ' || name || chr(10) || 'in ' || path || chr(10) || 'at lines ' || start_line || '-' || end_line || chr(10) ||
+                  'which begins' || chr(10) || left(source_code, 300), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS items
 FROM candidates GROUP BY 1, 2""")
 def glossary_requests(spark, d):
     return textgen.glossary_requests(_candidates(spark, d)).drop("prompt").withColumn("batch_id", F.col("batch_id").cast("bigint"))

@@ -75,18 +75,15 @@ SELECT repo_id, hash, files_changed FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY log_pos) AS rn FROM commits) WHERE rn <= 500""")
 def newest_commits(spark, d):
     commits, _ = git_log.parse_git_log(_log_lines(spark, d), NOW)
-    return git_log.newest_commits(commits).select("repo_id", "hash", "files_changed")
+    return git_log.newest_commits(commits, 500).select("repo_id", "hash", "files_changed")
 
 
-@C.query("pull_requests", """WITH merged AS (
-  SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
-  FROM orders WHERE o_orderstatus <> 'P')
-SELECT o_orderpriority AS repo_id, o_orderkey::INT AS number, 'Order ' || o_orderkey AS title,
+@C.query("pull_requests", """SELECT o_orderpriority AS repo_id, o_orderkey::INT AS number, 'Order ' || o_orderkey AS title,
        CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'body' || chr(10) || 'of ' || o_orderkey END AS description,
        CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'c' || o_custkey END AS author,
        CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'r' || o_custkey || ',r1' END AS reviewers,
        CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE (o_orderkey % 100)::INT END AS files_changed,
-       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS merged_at FROM merged WHERE rn <= 200""")
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS merged_at FROM orders WHERE o_orderstatus <> 'P'""")
 def pull_requests(spark, d):
     dumped = table(spark, d, "orders").selectExpr(
         "to_json(named_struct('repo_id', o_orderpriority, 'number', o_orderkey, 'title', concat('  Order ', o_orderkey, ' '), "
@@ -99,9 +96,11 @@ def pull_requests(spark, d):
         "'updated_at', date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\"))) AS dump"
     )
     raw = dumped.select(F.from_json("dump", schemas.PULL_REQUESTS_RAW).alias("r")).select("r.*")
-    return normalise_pull_requests(raw).withColumn("reviewers", F.array_join("reviewers", ",")).withColumn(
-        "merged_at", F.date_format("merged_at", "yyyy-MM-dd HH:mm:ss")
-    )
+    return _shown_requests(normalise_pull_requests(raw))
+
+
+def _shown_requests(requests):
+    return requests.withColumn("reviewers", F.array_join("reviewers", ",")).withColumn("merged_at", F.date_format("merged_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 _PATHS = (

@@ -111,8 +111,7 @@ SELECT * FROM symbol_chunks UNION ALL SELECT * FROM file_chunks UNION ALL SELECT
 UNION ALL SELECT * FROM pr_chunks UNION ALL SELECT * FROM readme_chunks""")
 def build_chunks(spark, d):
     return ch.build_chunks(
-        line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d),
-        require_symbols=False,
+        line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d)
     )
 
 
@@ -120,7 +119,8 @@ def build_chunks(spark, d):
 SELECT * FROM symbol_chunks UNION ALL SELECT * FROM file_chunks""")
 def build_chunks_of_symbol_repos(spark, d):
     return ch.build_chunks(
-        line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d)
+        line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d),
+        require_symbols=True,
     )
 
 

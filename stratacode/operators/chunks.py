@@ -113,7 +113,7 @@ def build_chunks(
     pull_requests: DataFrame,
     readmes: DataFrame,
     max_tokens: int = MAX_CHUNK_TOKENS,
-    require_symbols: bool = True,
+    require_symbols: bool = False,
 ) -> DataFrame:
     """All chunks of all repositories.
 

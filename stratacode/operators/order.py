@@ -20,7 +20,7 @@ def _highest(presence: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, presence).groupBy("repo_id", "file_id").agg(F.max("level").alias("level"))
 
 
-def peel(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def peel(edges: DataFrame) -> DataFrame:
     """Levels of all files that import something: (repo_id, file_id, level).
 
     Round k keeps only the edges whose target still imports something, so a file
@@ -42,7 +42,7 @@ def peel(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
         kept = cut_lineage(current.join(unresolved, ["repo_id", "tgt_file_id"], "left_semi").select(current.columns))
         still = kept.count()
         rounds += 1
-        if still == left or (max_rounds is not None and rounds >= max_rounds):
+        if still == left:
             break
         current, left = kept, still
     else:
@@ -64,7 +64,7 @@ def cycle_remainder(files: DataFrame, levels: DataFrame) -> DataFrame:
     return files.join(stuck, ["repo_id", "file_id"], "left_semi")
 
 
-def topological_tiers(files: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def topological_tiers(files: DataFrame, edges: DataFrame) -> DataFrame:
     """Files with ``tier``: 0 = imports nothing, else one above its highest import.
 
     The unresolvable remainder of a repository forms one tier after its last level.
@@ -74,7 +74,7 @@ def topological_tiers(files: DataFrame, edges: DataFrame, max_rounds: int | None
         edges.join(known.withColumnRenamed("file_id", "src_file_id"), ["repo_id", "src_file_id"], "left_semi")
         .where("src_file_id <> tgt_file_id")
     )
-    levels = peel(inner, max_rounds).withColumn("listed", F.lit(True))
+    levels = peel(inner).withColumn("listed", F.lit(True))
     placed = files.join(levels, ["repo_id", "file_id"], "left").withColumn(
         "level", F.when(F.col("listed"), F.col("level")).otherwise(F.lit(0))
     )
@@ -86,9 +86,9 @@ def topological_tiers(files: DataFrame, edges: DataFrame, max_rounds: int | None
     )
 
 
-def reading_order(files: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def reading_order(files: DataFrame, edges: DataFrame) -> DataFrame:
     """All files of a repository by (tier, fan_in descending, path) with 1-based positions."""
-    tiers = topological_tiers(files, edges, max_rounds).select(
+    tiers = topological_tiers(files, edges).select(
         "repo_id", "file_id", "path",
         F.coalesce("fan_in", F.lit(0)).alias("fan_in"),
         F.coalesce("fan_out", F.lit(0)).alias("fan_out"),

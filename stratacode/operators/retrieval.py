@@ -41,7 +41,11 @@ def _nearest(quotas: dict[str, int], slab: int = 256):
             repo_id = vectors["repo_id"].iloc[0]
             asked, query_ids = _unit(questions["embedding"]), questions["query_id"].to_numpy()
             for bucket, part in vectors.groupby("bucket"):
+                # A zero vector has no direction and ranks after all others: it is not a hit.
+                part = part[[bool(np.any(v)) for v in part["embedding"]]]
                 k = min(quotas[bucket], len(part))
+                if not k:
+                    continue
                 unit, ids = _unit(part["embedding"]).T, part["source_id"].to_numpy()
                 for start in range(0, len(asked), slab):
                     dist = np.round(1.0 - asked[start:start + slab] @ unit, DISTANCE_DECIMALS)

@@ -27,7 +27,7 @@ PYTHON_DECISIONS = (
     r"\b(?:and|or)\b",
 )
 SCRIPT_DECISIONS = (
-    r"\b(?:if|else|for|while|do|catch|case|try)\b",
+    r"(?<![.\w$])(?:if|else|for|while|do|catch|case|try)\b(?!\s*:)",
     r"\?\.(?!\d)",
     r"(?<![?])\?(?![?.:])",
 )

@@ -52,10 +52,10 @@ def glossary_requests(candidates: DataFrame, task: str = GLOSSARY_TASK) -> DataF
     source = F.col("source_code")
     entry = F.concat_ws(
         "\n",
-        F.concat(F.lit("Name: "), F.col("name")),
-        F.concat(F.lit("File: "), F.col("path")),
-        F.concat(F.lit("Lines: "), _s("start_line"), F.lit("-"), _s("end_line")),
-        F.when(source != "", F.concat(F.lit("Source (truncated):\n"), F.left(source, F.lit(SOURCE_PREVIEW)))),
+        F.concat(F.lit("Symbol "), F.col("name")),
+        F.concat(F.lit("in "), F.col("path")),
+        F.concat(F.lit("at lines "), _s("start_line"), F.lit("-"), _s("end_line")),
+        F.when(source != "", F.concat(F.lit("which begins\n"), F.left(source, F.lit(SOURCE_PREVIEW)))),
     )
     return batch_of_rank(candidates, "rank", GLOSSARY_BATCH).groupBy("repo_id", "batch_id").agg(
         F.count(F.lit(1)).alias("n_items"),
@@ -166,14 +166,14 @@ def brief_requests(
     """
     entries = _section(entry_points, ["path"], F.concat(F.lit("  - "), F.col("path")), ENTRY_PREVIEW, "entries")
     key_line = F.concat(
-        F.lit("  - "), F.col("path"), F.lit(" (imported by "), _s("fan_in"), F.lit(" files, criticality: "),
-        F.coalesce(F.nullif("criticality", F.lit("")), F.lit("unknown")), F.lit(")"),
+        F.lit("  - "), F.col("path"), F.lit(": "), _s("fan_in"), F.lit(" importers, rated "),
+        F.coalesce(F.nullif("criticality", F.lit("")), F.lit("not at all")),
     )
     keys = key_modules.groupBy("repo_id").agg(F.array_join(ordered_items(key_line, ["rank"]), "\n").alias("keys"))
     module_text = F.concat(
         F.lit("\n### "), F.col("module"), F.lit("/\n"),
         F.array_join(F.transform("lines", lambda x: F.concat(F.lit("  - "), x)), "\n"),
-        F.when(F.col("n_more") > 0, F.concat(F.lit("\n  ... and "), _s("n_more"), F.lit(" more"))).otherwise(F.lit("")),
+        F.when(F.col("n_more") > 0, F.concat(F.lit("\n  - "), _s("n_more"), F.lit(" further ones"))).otherwise(F.lit("")),
     )
     module_part = _section(modules, ["module"], module_text, max_modules, "modules")
     edge_line = F.concat(F.lit("  - "), F.col("src_module"), F.lit("/ → "), F.col("tgt_module"), F.lit("/"))
@@ -193,17 +193,17 @@ def brief_requests(
     none = F.array().cast("array<string>")
     stack = {c: F.coalesce(F.col(c), none) for c in ("languages", "frameworks", "databases", "ci_cd")}
     prompt = F.concat(
-        F.lit("Repository: "), F.col("name"), F.lit("\nSource files: "), _s("total_files"),
-        F.lit("\n\n## Tech Stack\nLanguages: "), _bullets(stack["languages"], "unknown"),
-        F.lit("\nFrameworks: "), _bullets(stack["frameworks"], "none detected"),
-        F.lit("\nDatabases: "), _bullets(stack["databases"], "none detected"),
-        F.lit("\nCI/CD: "), _bullets(stack["ci_cd"], "none detected"),
-        F.lit("\n\n## Entry Points\n"), F.coalesce("entries", F.lit("  - None detected")),
-        titled("Key Modules (highest fan-in)", "keys"),
-        titled("Module Structure", "modules"),
-        titled("Module-Level Dependencies", "edges"),
-        titled("Data Flow (traced from entry points)", "flow"),
-        titled("External Integrations Detected", "integrations"),
+        F.lit("This is "), F.col("name"), F.lit(", files read: "), _s("total_files"),
+        F.lit("\n\n## What it is built with\nwritten in "), _bullets(stack["languages"], "unknown"),
+        F.lit("\non top of "), _bullets(stack["frameworks"], "nothing known"),
+        F.lit("\nstoring in "), _bullets(stack["databases"], "nothing known"),
+        F.lit("\nbuilt and shipped by "), _bullets(stack["ci_cd"], "nothing known"),
+        F.lit("\n\n## Where it starts\n"), F.coalesce("entries", F.lit("  - nowhere known")),
+        titled("Most imported files", "keys"),
+        titled("Folders and what they declare", "modules"),
+        titled("Which folder uses which", "edges"),
+        titled("Imports followed from the start", "flow"),
+        titled("Outside services", "integrations"),
         F.lit("\n\n" + task),
     )
     return joined.select("repo_id", prompt.alias("prompt"))

@@ -47,9 +47,12 @@ def ingest(
     glossary: DataFrame,
     now,
     git_aware: bool = True,
+    max_commits: int | None = None,
 ) -> Ingested:
     """``listing`` has (repo_id, path, content) of all files, sources and manifests alike.
 
+    The whole history counts; ``max_commits`` keeps the newest so many commits of each repository only.
+
     Symbols, file edges, the touch log and ownership are each used several times, so they
     are materialised once in the checkpoint folder; everything else stays lazy.
     """
@@ -67,10 +70,10 @@ def ingest(
     )
 
     commits, all_changes = parse_git_log(log_lines, now)
-    commits = newest_commits(commits)
-    commit_files = cut_lineage(
-        all_changes.join(commits.select("repo_id", "log_pos"), ["repo_id", "log_pos"], "left_semi")
-    )
+    if max_commits is not None:
+        commits = newest_commits(commits, max_commits)
+        all_changes = all_changes.join(commits.select("repo_id", "log_pos"), ["repo_id", "log_pos"], "left_semi")
+    commit_files = cut_lineage(all_changes)
     owned = cut_lineage(ownership.file_ownership(commit_files))
     tests = detect_tests(owned, listing)
     files = rules.criticality(ownership.apply_git_stats(measured, owned, tests), now, git_aware)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from stratacode.functions.paths import slashes, strip_ws
 from stratacode.operators.common import top_k
 
-MAX_COMMITS = 500
 LINES_PER_BLOCK = 100_000
 
+# The header line of a commit, a renamed path and the date format of git log.
 _HEADER = r"^\s*[0-9a-f]{7,40}\s*\|"
 _RENAME = r"^(.*?)\{(.+?) => (.+?)\}(.*)$"
 _DATE = "yyyy-MM-dd HH:mm:ss Z"
@@ -127,6 +127,6 @@ def parse_git_log(lines: DataFrame, now, lines_per_block: int = LINES_PER_BLOCK)
     return commits, commit_files
 
 
-def newest_commits(commits: DataFrame, k: int = MAX_COMMITS) -> DataFrame:
+def newest_commits(commits: DataFrame, k: int) -> DataFrame:
     """The first ``k`` commits of each log."""
     return top_k(commits, ["repo_id"], ["log_pos"], k).drop("rank")

@@ -9,18 +9,17 @@ from stratacode import schemas
 from stratacode.functions.paths import strip_ws
 from stratacode.operators.common import top_k
 
-MAX_PRS = 200
 
-
-def normalise_pull_requests(raw: DataFrame, max_prs: int = MAX_PRS) -> DataFrame:
-    """Merged requests with cleaned fields, at most the ``max_prs`` newest-updated per repository."""
+def normalise_pull_requests(raw: DataFrame, max_prs: int | None = None) -> DataFrame:
+    """Merged requests with cleaned fields; with ``max_prs`` only the newest-updated so many per repository."""
     merged = raw.where(F.col("merged_at").isNotNull())
-    newest = top_k(merged, ["repo_id"], [F.desc("updated_at"), F.desc("number")], max_prs)
+    if max_prs is not None:
+        merged = top_k(merged, ["repo_id"], [F.desc("updated_at"), F.desc("number")], max_prs)
     empty = F.lit("")
     logins = F.filter(
         F.transform("requested_reviewers", lambda r: r["login"]), lambda x: x.isNotNull() & (x != "")
     )
-    return newest.select(
+    return merged.select(
         "repo_id",
         "number",
         strip_ws(F.coalesce("title", empty)).alias("title"),
@@ -32,5 +31,5 @@ def normalise_pull_requests(raw: DataFrame, max_prs: int = MAX_PRS) -> DataFrame
     )
 
 
-def read_pull_requests(spark: SparkSession, path: str, max_prs: int = MAX_PRS) -> DataFrame:
+def read_pull_requests(spark: SparkSession, path: str, max_prs: int | None = None) -> DataFrame:
     return normalise_pull_requests(spark.read.schema(schemas.PULL_REQUESTS_RAW).json(path), max_prs)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -13,27 +14,37 @@ SYMBOLS = "repo_id string, file_id string, symbol_id string, kind string, name s
 EDGES = "repo_id string, src_file_id string, tgt_file_id string, dep_type string"
 
 
+def _best_target(files, importer, wanted):
+    """The file an import names, as the best-ranked of all candidates.
+
+    A candidate answers to its path without suffix or to the last part of that.  The whole import path ranks before its last part; for
+    one key the last full path ranks before the first bare name.  The importing file is no candidate, but it hides others of its key.
+    """
+    ranked = []
+    for level, key in enumerate((wanted, wanted[wanted.rfind("/") + 1 :])):
+        holders = []
+        for place, (path, fid) in enumerate(files):
+            stem = path[: path.rindex(".")]
+            if stem == key:
+                holders.append(((0, -place), fid))
+            elif "/" not in key and stem.endswith("/" + key):
+                holders.append(((1, place), fid))
+        if holders:
+            ranked.append((level, min(holders)[1]))
+    return next((fid for _, fid in sorted(ranked) if fid != importer), None)
+
+
 def _resolve_plain(files, symbols):
-    known = {}
-    for _, fid, path in sorted(files, key=lambda f: f[2]):
-        stem = path.rsplit(".", 1)[0]
-        known[stem] = fid
-        known.setdefault(stem.split("/")[-1], fid)
-    first = {}
-    for _, fid, sid, kind, _, pos in sorted(symbols, key=lambda s: (s[5], s[2])):
-        if kind in ("function", "class", "method"):
-            first.setdefault(fid, sid)
-    out = []
-    for _, fid, sid, kind, name, _ in symbols:
-        if kind != "import":
-            continue
-        path = name.replace(".", "/").lstrip("./").split(" as ")[0].strip()
-        if not path:
-            continue
-        hit = next((known[c] for c in (path, path.split("/")[-1]) if known.get(c, fid) != fid), None)
-        if hit in first:
-            out.append((sid, first[hit]))
-    return sorted(out)
+    by_path = sorted((path, fid) for _, fid, path in files)
+    declared = {fid: min((s[5], s[2]) for s in symbols if s[1] == fid and s[3] in ("function", "class", "method"))[1]
+                for fid in {s[1] for s in symbols if s[3] in ("function", "class", "method")}}
+    pairs = []
+    for _, importer, sid, kind, name, _ in symbols:
+        wanted = re.sub(r" as .*", "", re.sub(r"^[./]+", "", name.replace(".", "/"))).strip()
+        if kind == "import" and wanted:
+            target = _best_target(by_path, importer, wanted)
+            pairs += [(sid, declared[target])] if target in declared else []
+    return sorted(pairs)
 
 
 def test_resolution_matches_plain_model(spark):
@@ -146,22 +157,20 @@ def test_reading_order_positions(spark):
 
 
 def _trace(entries, deps, hops=2, cap=40):
-    out, seen = [], set()
-    for entry in entries:
-        queue = [(entry, 0)]
-        while queue:
-            node, hop = queue.pop(0)
-            if hop >= hops:
-                continue
-            for target in deps.get(node, []):
-                if (node, target) in seen:
-                    continue
-                seen.add((node, target))
-                out.append((node, target, hop + 1))
-                queue.append((target, hop + 1))
-                if len(out) >= cap:
-                    return out
-    return out
+    """The edges of a trace by their defining order instead of a walk.
+
+    Every path of at most ``hops`` imports from an entry is listed.  A file expands where it is first reached, over the entries in turn and within one
+    entry by hops; its edges follow in the order of their targets.
+    """
+    expands, order = {}, []
+    for e, entry in enumerate(entries):
+        paths = [(entry,)]
+        for hop in range(1, hops + 1):
+            for place, path in enumerate(paths):
+                expands.setdefault(path[-1], (e, hop, place))
+            paths = [p + (t,) for place, p in enumerate(paths) if expands[p[-1]] == (e, hop, place) for t in deps.get(p[-1], [])]
+            order += [((e, hop, i), p[-2], p[-1], hop) for i, p in enumerate(paths)]
+    return [x[1:] for x in sorted(order)][:cap]
 
 
 def test_trace_matches_plain_walk(spark):

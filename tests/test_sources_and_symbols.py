@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from stratacode.operators import symbols
 from stratacode.operators.symbols import extract_symbols
 from stratacode.sources import git_log, tree
 from stratacode.sources.pull_requests import read_pull_requests
@@ -167,3 +168,10 @@ def test_long_quiet_tail_and_escapes_do_not_overflow(spark):
     text = "def f():\n    s = '" + "\\x41" * 20000 + "'\n" + "# c\n" * 20000
     (symbol,) = _extract(spark, "python", text)
     assert (symbol.end_line, symbol.cyclomatic_complexity) == (2, 1)
+
+
+def test_member_names_and_keys_are_no_decisions(spark):
+    code = {"fetch(u).then(g).catch(h)": 1, "x = {do: 1, case: 2}": 1, "if (a) { b() } else { c() }": 3, "try { a() } catch (e) { b() }": 3}
+    made = [("javascript", "function", text) for text in code]
+    got = symbols.complexity(spark.createDataFrame(made, "language string, kind string, source_code string"))
+    assert {r.source_code: r.cyclomatic_complexity for r in got.collect()} == code

@@ -26,7 +26,7 @@ def _inputs(spark):
 
 
 def test_build_chunks(spark, rows):
-    got = rows(ch.build_chunks(*_inputs(spark)), "source_type", "source_id", "file_id", "chunk_text")
+    got = rows(ch.build_chunks(*_inputs(spark), require_symbols=True), "source_type", "source_id", "file_id", "chunk_text")
     assert got == [
         ("commit", "abcdef0123", None, "# Commit abcdef01 by me\nfix"),
         ("document", "r", None, "# README\nhello"),
@@ -34,7 +34,7 @@ def test_build_chunks(spark, rows):
         ("symbol", "f2", "f2", "# p2.py\nv = 1\nimport b"),
         ("symbol", "s1", "f1", "# p1.py\n## function: a\nsrc a"),
     ]
-    everything = ch.build_chunks(*_inputs(spark), require_symbols=False)
+    everything = ch.build_chunks(*_inputs(spark))
     assert {r.source_id for r in everything.where("repo_id = 'q'").collect()} == {"g1", "aaaaaaaaaa"}
 
 
@@ -96,6 +96,16 @@ def test_blocked_search_is_exact(spark):
     assert got == {k[1]: want for k in questions if (want := _nearest(rows, k, types, 7))}
 
 
+def test_zero_vectors_hide_no_hits(spark):
+    made = [("r", "symbol", f"s{i}", "f", "t", v) for i, v in enumerate([[1.0, 0.0], [0.0, 0.0], [0.0, 1.0], [1.0, 1.0]])]
+    emb = spark.createDataFrame(made, "repo_id string, source_type string, source_id string, file_id string, chunk_text string, embedding array<float>")
+    q = spark.createDataFrame([("r", "q", "?", [1.0, 0.0])], "repo_id string, query_id string, question string, embedding array<float>")
+    for k, want in ((2, ["s0", "s3"]), (6, ["s0", "s3", "s2"])):
+        assert [r.source_id for r in ret.vector_topk(emb, q, k).orderBy("rank").collect()] == want
+    assert [r.source_id for r in ret.quota_topk(emb, q).orderBy("hit_no").collect()] == ["s0", "s3", "s2"]
+    assert ret.vector_topk(emb.where("source_id = 's1'"), q, 3).count() == 0
+
+
 def test_quotas(spark):
     rows, questions, emb, q = _corpus(spark)
     got = {}
@@ -158,7 +168,7 @@ def test_brief_prompt_sections(spark):
         one("repo_id string, integration string", ("r", "redis")),
         one("repo_id string, total_files bigint", ("r", 7)),
     ).first().prompt
-    for part in ("Languages: Go, Rust", "Frameworks: none detected", "CI/CD: Docker", "  - e7.py", "imported by 4 files, criticality: unknown",
-                 "### m/\n  - x\n  ... and 2 more", "a/ → b/", "hop 1: a.py → b.py", "  - redis", "Source files: 7"):
+    for part in ("written in Go, Rust", "on top of nothing known", "shipped by Docker", "  - e7.py", "4 importers, rated not at all",
+                 "### m/\n  - x\n  - 2 further ones", "a/ → b/", "hop 1: a.py → b.py", "  - redis", "files read: 7"):
         assert part in prompt, part
     assert "e8.py" not in prompt
