@@ -54,11 +54,23 @@ _EXPORT_PREFIX = r"^export[ \t]+(?:default[ \t]+)?(?=(?:async[ \t]+)?function\b|
 
 
 
-def _mark_lines(lines: Column) -> Column:
-    """Text in which every statement head carries its line number and idle lines are flagged."""
+def _without_docstrings(content: Column) -> Column:
+    """Python text with the inside of triple-quoted strings emptied; the line breaks stay."""
+    for quotes in ('"""', "'''"):
+        emptied = lambda part, i: F.when(i % 2 == 1, F.regexp_replace(part, r"[^\n]", "")).otherwise(part)
+        content = F.array_join(F.transform(F.split(content, quotes), emptied), quotes)
+    return content
+
+
+def _mark_lines(lines: Column, outside: Column) -> Column:
+    """Text in which every statement head carries its line number and idle lines are flagged.
+
+    ``outside`` has the same lines without what lies inside strings: only they can begin a statement.
+    """
 
     def mark(line: Column, i: Column) -> Column:
-        continues = F.left(line, F.lit(1)).isin(*_CONTINUING) | line.startswith("//") | line.startswith("/*")
+        head = F.get(outside, i)
+        continues = F.left(head, F.lit(1)).isin(*_CONTINUING) | head.startswith("//") | head.startswith("/*")
         after_decorator = (i > 0) & F.coalesce(F.get(lines, i - 1).startswith("@"), F.lit(False))
         return (
             F.when(continues, F.when(line.rlike(_IDLE), F.concat(F.lit(_QUIET), line)).otherwise(line))
@@ -172,9 +184,11 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     which symbols are stored.
     """
     spoken = files.where(F.col("language").isin("python", "javascript", "typescript"))
+    content = F.replace("content", F.lit("\r\n"), F.lit("\n"))
+    outside = F.when((F.col("language") == "python") & content.rlike("\"{3}|'{3}"), F.split(_without_docstrings(content), "\n"))
     marked = spoken.select(
-        "repo_id", "file_id", "language", F.split(F.replace("content", F.lit("\r\n"), F.lit("\n")), "\n").alias("lines")
-    ).select("repo_id", "file_id", "language", _mark_lines(F.col("lines")).alias("marked"))
+        "repo_id", "file_id", "language", F.split(content, "\n").alias("lines"), outside.alias("outside")
+    ).select("repo_id", "file_id", "language", _mark_lines(F.col("lines"), F.coalesce("outside", "lines")).alias("marked"))
 
     python, typescript = F.col("language") == "python", F.col("language") == "typescript"
     # Everything a statement needs is worked out once, inside the generator.

@@ -175,3 +175,10 @@ def test_member_names_and_keys_are_no_decisions(spark):
     made = [("javascript", "function", text) for text in code]
     got = symbols.complexity(spark.createDataFrame(made, "language string, kind string, source_code string"))
     assert {r.source_code: r.cyclomatic_complexity for r in got.collect()} == code
+
+
+def test_text_inside_docstrings_declares_nothing(spark):
+    code = '"""About this.\nfrom config import x\nclass of things\n"""\nimport real\n\n\ndef f():\n    """One\nclass Two:\n    """\n    return 1\n'
+    files = spark.createDataFrame([("r", "f", "a.py", "python", code)], "repo_id string, file_id string, path string, language string, content string")
+    got = {(r.kind, r.name, r.start_line) for r in extract_symbols(files).collect()}
+    assert got == {("import", "real", 5), ("function", "f", 8)}
