@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratacode.session import ensure_checkpoint_dir
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir`` (a local fallback only where that is unset, as in tests)."""
@@ -18,8 +20,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read back.
 
     Cuts the lineage like a checkpoint, but columnar: later steps read only the columns they use, and a lost
-    executor costs a re-read.
+    executor costs a re-read.  The shuffle files behind the table are of no further use and are removed with the
+    write, so a job of many steps needs the disk of its widest step only.
     """
-    path = folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = folder(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
