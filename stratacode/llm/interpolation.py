@@ -4,9 +4,10 @@
 words, with weights that depend on how often the context ``u`` was seen (buckets of doubling frequency).  The weights come
 from expectation-maximisation on deleted counts: every training token is held out in turn, its own occurrence taken off all counts.
 
-Documents are dealt into chunks of bounded text.  The distinct words of a chunk are counted over the corpus and the counts joined back to
-the chunk, then its bigrams: what is shuffled are distinct items per chunk, never one row per token.  A
-bigram seen once is known from its unigrams alone, so only repeated ones go back to the documents:
+Documents are read in chunks of bounded text, and what is shuffled are the distinct items of a chunk, never one row per token.  Word counts
+are broadcast while the whole table of them measures at most ``broadcast_bytes``; beyond that size each chunk gets the counts of its own
+words by a join, with the same result.  A bigram seen once is known from its unigrams alone, so only repeated ones
+go back to the documents:
 
 * a bitmap of fixed size over the repeated bigrams lets a chunk keep most others at home,
 * bigrams more frequent than one in ``2^HEAVY_BITS`` tokens (at most that many, whatever the corpus) are
@@ -16,10 +17,13 @@ bigram seen once is known from its unigrams alone, so only repeated ones go back
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as st
@@ -31,10 +35,11 @@ from stratacode.llm.staging import stage
 
 CHUNK_BYTES = 12 << 20
 BITMAP_BITS = 27
-HEAVY_BITS = 18
+HEAVY_BITS = 20
 EM_ROUNDS = 60
-# Hashes of the two tokens that are no words.
-START, END = (int(x) for x in mix(np.array([101, 102], np.uint64)))
+BROADCAST_BYTES = 64 << 20
+# Hashes of the two tokens that are no words: fixed values that no short word's hash takes.
+START, END = 0x6A09E667F3BCC908, 0xBB67AE8584CAA73B
 _NONE = -1000  # bin of a probability of zero
 
 
@@ -57,7 +62,7 @@ class Corpus:
 class _Chunk:
     """The documents of one chunk with the corpus counts of their words."""
 
-    def __init__(self, rows: pa.Table, counts: pa.Table, corpus: Corpus) -> None:
+    def __init__(self, rows: pa.Table, counts: tuple[np.ndarray, np.ndarray], corpus: Corpus) -> None:
         ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
         held = rows.column("held").to_pylist()
         # A fixed order, so that a repeated task numbers the documents alike.
@@ -72,16 +77,45 @@ class _Chunk:
         before[first] = START
         self.keys = mix(before * np.uint64(0xD1342543DE82EF95) + tokens)
         self.doc = np.repeat(np.arange(len(parts)), self.sizes)
-        known = counts.column("w").to_numpy().view(np.uint64)
-        n = counts.column("c").to_numpy()
-        by = np.argsort(known)
-        known, n = known[by], n[by]
+        known, n = counts
         self.cv = n[np.searchsorted(known, tokens)]
         self.cu = np.append(np.int64(0), self.cv[:-1])
         self.cu[first] = corpus.documents
         self.train = ~self.held[self.doc]
 
 
+def _by_hash(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in the order of the unsigned hashes, for look-ups."""
+    known = words.view(np.uint64)
+    order = np.argsort(known)
+    return known[order], counts[order]
+
+
+def _gathered(function, chunk_bytes: int):
+    """``function`` of a table as a function of batches: tables of about ``chunk_bytes`` of text, numbered within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held, size = TaskContext.get().partitionId() << 12, [], 0
+
+        def emit(number: int) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            yield from function(table.append_column("chunk", pa.array(np.full(table.num_rows, first + number, np.int64)))).to_batches(max_chunksize=1 << 16)
+
+        number = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                held.append(part)
+                size += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+                if size >= chunk_bytes:
+                    yield from emit(number)
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from emit(number)
+
+    return run
+
+
 def _word_counts(table: pa.Table) -> pa.Table:
     chunk = table.column("chunk")[0].as_py()
     held = np.array([bool(x) for x in table.column("held").to_pylist()], bool)
@@ -94,7 +128,7 @@ def _word_counts(table: pa.Table) -> pa.Table:
 
 
 def _bigram_counts(corpus: Corpus):
-    def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, counts: tuple[np.ndarray, np.ndarray]) -> pa.Table:
         if not rows.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("key", "train", "held", "cu", "cv")})
         x = _Chunk(rows, counts, corpus)
@@ -144,12 +178,12 @@ def learn_weights(seen: dict[tuple[int, int, int], float], rounds: int = EM_ROUN
 
 
 def _scorer(bitmap, heavy, corpus: Corpus, weights: np.ndarray, bits: int, schema_type: pa.DataType):
-    names = ["uid", "key", "n", "id", "held", "n_tokens", "n_known", "base", "rest"]
+    fields = [("id", schema_type), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("rest", pa.float64())]
 
-    def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        types = [pa.int64()] * 3 + [schema_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    def run(rows: pa.Table, counts: tuple[np.ndarray, np.ndarray]) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in zip(names, types)})
+            longs = {c: pa.array([], pa.int64()) for c in ("uid", "key", "n")}
+            return pa.table(longs | {"doc": pa.array([], pa.struct(fields))})
         x = _Chunk(rows, counts, corpus)
         docs = len(x.ids)
         chunk = rows.column("chunk")[0].as_py()
@@ -180,20 +214,16 @@ def _scorer(bitmap, heavy, corpus: Corpus, weights: np.ndarray, bits: int, schem
         uid = np.int64(chunk) << np.int64(20)
         sent = len(doc)
         own = np.arange(docs)
-        ids = [None] * sent + x.ids
-        blank = np.zeros(sent, bool)
-        mask = np.concatenate([np.ones(sent, bool), np.zeros(docs, bool)])
-        fill = lambda v, t: pa.array(np.concatenate([blank.astype(v.dtype), v]), t, mask=mask)
         sums = lambda v: np.bincount(x.doc, v, docs)
-        columns = [
-            pa.array(np.concatenate([uid + doc, uid + own]).astype(np.int64)),
+        facts = [x.held, x.sizes, sums(x.cv > 0).astype(np.int64), sums(base), sums(logs)]
+        about = pa.StructArray.from_arrays([pa.array(x.ids, schema_type), *[pa.array(v, t) for v, (_, t) in zip(facts, fields[1:])]], fields=[pa.field(n, t) for n, t in fields])
+        return pa.table({
+            "uid": pa.array(np.concatenate([uid + doc, uid + own]).astype(np.int64)),
             # A document's own row has a key of its own that no bigram has.
-            pa.array(np.concatenate([key, mix((uid + own).astype(np.uint64))]).view(np.int64)),
-            pa.array(np.concatenate([np.where(x.held[doc], -times, times), np.zeros(docs, np.int64)])),
-            pa.array(ids, schema_type), fill(x.held, pa.bool_()), fill(x.sizes, pa.int64()), fill(sums(x.cv > 0).astype(np.int64), pa.int64()),
-            fill(sums(base), pa.float64()), fill(sums(logs), pa.float64()),
-        ]
-        return pa.table(dict(zip(names, columns)))
+            "key": pa.array(np.concatenate([key, mix((uid + own).astype(np.uint64) + np.uint64(1))]).view(np.int64)),
+            "n": pa.array(np.concatenate([np.where(x.held[doc], -times, times), np.zeros(docs, np.int64)])),
+            "doc": pa.chunked_array([pa.nulls(sent, about.type), about]),
+        })
 
     return run
 
@@ -206,14 +236,14 @@ def _marked(spark, keys: DataFrame, bits: int):
         .groupBy(F.bitmap_bucket_number("slot").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     )
     marked = np.zeros(1 << (bits - 3), np.uint8)
-    for row in chunks.toLocalIterator():  # 2^bits bits at most
+    for row in chunks.collect():  # 2^bits bits at most
         at = (row["chunk"] - 1) * len(row["bits"])
         marked[at : at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
     return spark.sparkContext.broadcast(marked.tobytes())
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
-          bitmap_bits: int = BITMAP_BITS, heavy_bits: int = HEAVY_BITS) -> DataFrame:
+          bitmap_bits: int = BITMAP_BITS, heavy_bits: int = HEAVY_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per input row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
     Rows for which ``held_out`` is true are scored but not learned from; a null condition (of a null id, say) counts as false.  A null or empty
@@ -224,19 +254,32 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     id_type = rows.schema["id"].dataType
-    total = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count_if(~F.col("held")).alias("d")).first()
-    chunks = max(1, -(-(total["b"] or 0) // chunk_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
-
     longs = lambda *names: st.StructType([st.StructField(n, st.LongType()) for n in names])
-    words = stage(rows.groupBy("chunk").applyInArrow(_word_counts, longs("chunk", "w", "n")), "words")
+    words = rows.mapInArrow(_gathered(_word_counts, chunk_bytes), longs("chunk", "w", "n"))
     unigrams = stage(words.groupBy("w").agg(F.sum("n").alias("c")), "unigrams")
-    size = unigrams.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    size = unigrams.agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count_if(~F.col("held")).alias("d")).first()
     corpus = Corpus(size["n"] or 0, size["v"] or 0, total["d"] or 0)
-    counts = stage(words.select("chunk", "w").join(unigrams, "w").select("chunk", "w", "c"), "counts")
 
-    def by_chunk(function, schema):
-        return rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(function, schema)
+    if 16 * size["rows"] <= broadcast_bytes:
+        table = unigrams.toArrow()
+        shared = spark.sparkContext.broadcast(_by_hash(table.column("w").to_numpy(), table.column("c").to_numpy()))
+        del table
+
+        def by_chunk(function, schema):
+            return rows.mapInArrow(_gathered(lambda table: function(table, shared.value), chunk_bytes), schema)
+
+    else:
+        chunks = max(1, -(-(total["b"] or 0) // chunk_bytes))
+        dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
+        asked = dealt.groupBy("chunk").applyInArrow(_word_counts, longs("chunk", "w", "n"))
+        counts = stage(asked.join(unigrams, "w").select("chunk", "w", "c"), "counts")
+
+        def by_chunk(function, schema):
+            def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+                return function(texts, _by_hash(known.column("w").to_numpy(), known.column("c").to_numpy()))
+
+            return dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, schema)
 
     met = by_chunk(_bigram_counts(corpus), longs("key", "train", "held", "cu", "cv"))
     pairs = met.groupBy("key").agg(F.sum("train").alias("train"), F.sum("held").alias("held"), F.max("cu").alias("cu"), F.max("cv").alias("cv"))
@@ -267,20 +310,22 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     full = F.log10(rest + weight(0) * F.col("train") / context)
     gains = repeated.select("key", "train", (full - F.log10(rest + weight(0) / context)).alias("gain_train"), (full - F.log10(rest)).alias("gain_held"))
     # At most 2^heavy_bits bigrams can be as frequent as this.
-    hot = gains.where(F.col("train") > F.lit(max(1, corpus.tokens >> heavy_bits))).select("key", "gain_train", "gain_held").toPandas()
-    hot_keys = hot["key"].to_numpy(np.int64).view(np.uint64)
+    hot = gains.where(F.col("train") > F.lit(max(1, corpus.tokens >> heavy_bits))).select("key", "gain_train", "gain_held").toArrow()
+    hot_keys = hot.column("key").to_numpy().view(np.uint64)
     order = np.argsort(hot_keys)
-    heavy = spark.sparkContext.broadcast((hot_keys[order], hot["gain_train"].to_numpy(float)[order], hot["gain_held"].to_numpy(float)[order]))
+    heavy = spark.sparkContext.broadcast((hot_keys[order], hot.column("gain_train").to_numpy()[order], hot.column("gain_held").to_numpy()[order]))
     bitmap = _marked(spark, repeated.select("key"), bitmap_bits)
 
-    schema = st.StructType([*longs("uid", "key", "n").fields, st.StructField("id", id_type), st.StructField("held", st.BooleanType()),
-                            *longs("n_tokens", "n_known").fields, st.StructField("base", st.DoubleType()), st.StructField("rest", st.DoubleType())])
+    about = st.StructType([st.StructField("id", id_type), st.StructField("held", st.BooleanType()), *longs("n_tokens", "n_known").fields,
+                           st.StructField("base", st.DoubleType()), st.StructField("rest", st.DoubleType())])
+    schema = st.StructType([*longs("uid", "key", "n").fields, st.StructField("doc", about)])
     sent = by_chunk(_scorer(bitmap, heavy, corpus, weights, bitmap_bits, to_arrow_type(id_type)), schema)
     n = F.col("n")
-    gain = F.when(n > 0, n * F.col("gain_train")).when(n < 0, -n * F.col("gain_held")).otherwise(F.lit(0.0))
+    gain = F.coalesce(F.when(n > 0, n * F.col("gain_train")).when(n < 0, -n * F.col("gain_held")), F.lit(0.0))
     return (
         sent.join(gains.drop("train"), "key", "left")
-        .groupBy("uid").agg(F.max("id").alias("id"), F.max("held").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"),
-                            F.max("base").alias("base_score"), (F.max("rest") + F.sum(F.coalesce(gain, F.lit(0.0)))).alias("score"))
-        .select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+        .select("uid", gain.alias("gain"), "doc.*")
+        .groupBy("uid").agg(*[F.max(c).alias(c) for c in ("id", "held", "n_tokens", "n_known", "base")], (F.max("rest") + F.sum("gain")).alias("score"))
+        .select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(corpus.tokens).cast("bigint").alias("train_tokens"),
+                F.col("base").alias("base_score"), "score")
     )
