@@ -34,6 +34,8 @@ from stratacode.llm.shingles import mix, word_hashes
 from stratacode.llm.staging import stage
 
 CHUNK_BYTES = 12 << 20
+CHUNK_ROWS = 1 << 18
+PLACE_BITS = 31  # an Arrow column holds fewer rows
 BITMAP_BITS = 27
 HEAVY_BITS = 20
 EM_ROUNDS = 60
@@ -91,11 +93,11 @@ def _by_hash(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return known[order], counts[order]
 
 
-def _gathered(function, chunk_bytes: int):
-    """``function`` of a table as a function of batches: tables of about ``chunk_bytes`` of text, numbered within the task."""
+def _gathered(function, chunk_bytes: int, chunk_rows: int = CHUNK_ROWS):
+    """``function`` of a table as a function of batches: tables of about ``chunk_bytes`` of text and ``chunk_rows`` rows at most, numbered within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held, size = TaskContext.get().partitionId() << 12, [], 0
+        first, held, size, count = TaskContext.get().partitionId() << 12, [], 0, 0
 
         def emit(number: int) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
@@ -103,13 +105,16 @@ def _gathered(function, chunk_bytes: int):
 
         number = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, min(1000, chunk_rows - count))
+                at += part.num_rows
                 held.append(part)
                 size += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
-                if size >= chunk_bytes:
+                count += part.num_rows
+                if size >= chunk_bytes or count >= chunk_rows:  # null and empty texts have no bytes
                     yield from emit(number)
-                    number, held, size = number + 1, [], 0
+                    number, held, size, count = number + 1, [], 0, 0
         if held:
             yield from emit(number)
 
@@ -211,7 +216,7 @@ def _scorer(bitmap, heavy, corpus: Corpus, weights: np.ndarray, bits: int, schem
         start = np.flatnonzero(new)
         times = np.diff(np.append(start, len(key)))
         doc, key = doc[start], key[start]
-        uid = np.int64(chunk) << np.int64(20)
+        uid = np.int64(chunk) << np.int64(PLACE_BITS)
         sent = len(doc)
         own = np.arange(docs)
         sums = lambda v: np.bincount(x.doc, v, docs)
@@ -243,7 +248,8 @@ def _marked(spark, keys: DataFrame, bits: int):
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
-          bitmap_bits: int = BITMAP_BITS, heavy_bits: int = HEAVY_BITS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+          bitmap_bits: int = BITMAP_BITS, heavy_bits: int = HEAVY_BITS, broadcast_bytes: int = BROADCAST_BYTES,
+          chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One row per input row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
     Rows for which ``held_out`` is true are scored but not learned from; a null condition (of a null id, say) counts as false.  A null or empty
@@ -255,10 +261,10 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     id_type = rows.schema["id"].dataType
     longs = lambda *names: st.StructType([st.StructField(n, st.LongType()) for n in names])
-    words = rows.mapInArrow(_gathered(_word_counts, chunk_bytes), longs("chunk", "w", "n"))
+    words = rows.mapInArrow(_gathered(_word_counts, chunk_bytes, chunk_rows), longs("chunk", "w", "n"))
     unigrams = stage(words.groupBy("w").agg(F.sum("n").alias("c")), "unigrams")
     size = unigrams.agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    total = rows.agg(F.sum(F.octet_length("text") + 1).alias("b"), F.count_if(~F.col("held")).alias("d")).first()
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held")).alias("d")).first()
     corpus = Corpus(size["n"] or 0, size["v"] or 0, total["d"] or 0)
 
     if 16 * size["rows"] <= broadcast_bytes:
@@ -267,10 +273,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         del table
 
         def by_chunk(function, schema):
-            return rows.mapInArrow(_gathered(lambda table: function(table, shared.value), chunk_bytes), schema)
+            return rows.mapInArrow(_gathered(lambda table: function(table, shared.value), chunk_bytes, chunk_rows), schema)
 
     else:
-        chunks = max(1, -(-(total["b"] or 0) // chunk_bytes))
+        # Hashing deals unevenly, so twice as many chunks as the rows need.
+        chunks = max(1, -(-(total["b"] or 0) // chunk_bytes), -(-2 * total["rows"] // chunk_rows))
         dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)))
         asked = dealt.groupBy("chunk").applyInArrow(_word_counts, longs("chunk", "w", "n"))
         counts = stage(asked.join(unigrams, "w").select("chunk", "w", "c"), "counts")

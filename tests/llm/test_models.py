@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_corpora import prose, words_of
 from pyspark.sql import functions as F
@@ -145,3 +146,17 @@ def test_scores_of_nothing(edge):
 def test_weights_are_shares_and_prefer_what_predicts():
     w = ip.learn_weights({(3, -10, 12): 90.0, (3, -10, ip._NONE): 10.0, (4, -10, ip._NONE): 50.0})
     assert np.allclose(w.sum(1), 1) and w[3, 0] > 0.5 and w[4, 0] < 0.01
+
+
+def test_chunks_close_on_rows_without_bytes(make, monkeypatch):
+    monkeypatch.setattr(ip, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Of", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    texts = [None] * 2500 + [""] * 2500 + ["a b"] * 7
+    rows = pa.record_batch({"id": pa.array(range(len(texts))), "text": pa.array(texts, pa.string())})
+    out = pa.Table.from_batches(ip._gathered(lambda table: table, 1 << 20, 1024)([rows])).to_pydict()
+    sizes = Counter(out["chunk"])
+    assert out["id"] == list(range(len(texts))) and max(sizes.values()) <= 1024 and len(sizes) == 5
+    assert ip.PLACE_BITS + 12 + 20 <= 63 and ip.CHUNK_ROWS < 1 << ip.PLACE_BITS
+    monkeypatch.undo()
+    docs = make([(i, None if i % 3 else "a b c") for i in range(60)])
+    column = lambda **o: sorted((r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in ip.score(docs, F.lit(False), bitmap_bits=20, **o).collect())
+    assert column() == column(chunk_rows=7) == column(chunk_rows=7, broadcast_bytes=0)
