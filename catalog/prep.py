@@ -33,7 +33,7 @@ SELECT repo_id, (position - 1) // 10 AS batch_id, count(*) AS n_items,
                   ' | tier=' || tier || ' | language=' || language, chr(10) ORDER BY position) AS items
 FROM numbered WHERE position <= 100 GROUP BY 1, 2""")
 def annotation_requests(spark, d):
-    return textgen.annotation_requests(_reading(spark, d)[0]).drop("prompt")
+    return textgen.annotation_requests(_reading(spark, d)[0], max_files=100).drop("prompt")
 
 
 _CANDIDATES = f"""{PART_MEASURED}, ranked AS (

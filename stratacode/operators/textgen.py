@@ -10,7 +10,7 @@ from stratacode.operators.common import batch_of_rank, ordered_items, top_k
 from stratacode.operators.edges import TARGET_KINDS, of_kind, with_file
 
 # Request sizes.
-ANNOTATED_FILES, ANNOTATION_BATCH = 100, 10
+ANNOTATION_BATCH = 10
 GLOSSARY_BATCH, SOURCE_PREVIEW = 25, 300
 ENTRY_PREVIEW, MODULE_SYMBOL_PREVIEW, EDGE_PREVIEW, FLOW_PREVIEW = 8, 8, 20, 20
 BLOCK_SEPARATOR = "\n\n---\n\n"
@@ -34,9 +34,10 @@ def _s(col) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("string")
 
 
-def annotation_requests(order: DataFrame, task: str = ANNOTATION_TASK) -> DataFrame:
-    """One prompt per ten files of the first hundred of each reading order."""
-    first = batch_of_rank(order.where(F.col("position") <= ANNOTATED_FILES), "position", ANNOTATION_BATCH)
+def annotation_requests(order: DataFrame, task: str = ANNOTATION_TASK, max_files: int | None = None) -> DataFrame:
+    """One prompt per ten files of each reading order, or of its first ``max_files``."""
+    wanted = order if max_files is None else order.where(F.col("position") <= max_files)
+    first = batch_of_rank(wanted, "position", ANNOTATION_BATCH)
     item = F.concat(
         _s("batch_pos"), F.lit(". file_path="), F.col("path"), F.lit(" | fan_in="), _s("fan_in"),
         F.lit(" | fan_out="), _s("fan_out"), F.lit(" | tier="), _s("tier"),

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 
 from stratacode.operators import chunks as ch
+from stratacode.operators import textgen
 from stratacode.operators import retrieval as ret
 from stratacode.operators import textgen
 
@@ -172,3 +173,12 @@ def test_brief_prompt_sections(spark):
                  "### m/\n  - x\n  - 2 further ones", "a/ → b/", "hop 1: a.py → b.py", "  - redis", "files read: 7"):
         assert part in prompt, part
     assert "e8.py" not in prompt
+
+
+def test_every_file_gets_an_annotation_request(spark):
+    made = [("r", f"p{i}.py", i, 0, 0, 0, "Python") for i in range(1, 236)]
+    order = spark.createDataFrame(made, "repo_id string, path string, position int, fan_in int, fan_out int, tier int, language string")
+    for limit, files, batches in ((None, 235, 24), (100, 100, 10)):
+        got = textgen.annotation_requests(order, max_files=limit).collect()
+        assert (sum(r.n_items for r in got), len(got)) == (files, batches)
+        assert all(f"file_path=p{i}.py |" in "".join(r.prompt for r in got) for i in (1, files))
