@@ -40,7 +40,7 @@ file_chunks AS (SELECT * FROM file_texts WHERE length(chunk_text) // 4 <= 2048)"
 
 @C.query("symbol_chunks", f"WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS} SELECT * FROM symbol_chunks")
 def symbol_chunks(spark, d):
-    return ch.symbol_chunks(line_symbols(spark, d), line_files(spark, d))
+    return ch.symbol_chunks(line_symbols(spark, d), line_files(spark, d), oversize="drop")
 
 
 @C.query("skipped_chunks", f"""WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}
@@ -53,13 +53,13 @@ def skipped_chunks(spark, d):
 @C.query("file_chunks", f"WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}, {_FILE_CHUNKS} SELECT * FROM file_chunks")
 def file_chunks(spark, d):
     symbols, files = line_symbols(spark, d), line_files(spark, d)
-    return ch.file_chunks(symbols, files, ch.symbol_chunks(symbols, files))
+    return ch.file_chunks(symbols, files, ch.symbol_chunks(symbols, files, oversize="drop"))
 
 
 @C.query("unembedded_files", f"""WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}, {_FILE_CHUNKS} SELECT repo_id, file_id, path FROM rest""")
 def unembedded_files(spark, d):
     symbols, files = line_symbols(spark, d), line_files(spark, d)
-    return ch.unembedded_files(files, ch.symbol_chunks(symbols, files))
+    return ch.unembedded_files(files, ch.symbol_chunks(symbols, files, oversize="drop"))
 
 
 def _commits(spark, d):
@@ -93,17 +93,17 @@ _README_CHUNKS = """readme_chunks AS (
 
 @C.query("commit_chunks", f"WITH {_COMMIT_CHUNKS} SELECT * FROM commit_chunks")
 def commit_chunks(spark, d):
-    return ch.commit_chunks(_commits(spark, d))
+    return ch.commit_chunks(_commits(spark, d), oversize="drop")
 
 
 @C.query("pr_chunks", f"WITH {_PR_CHUNKS} SELECT * FROM pr_chunks")
 def pr_chunks(spark, d):
-    return ch.pr_chunks(_requests(spark, d))
+    return ch.pr_chunks(_requests(spark, d), oversize="drop")
 
 
 @C.query("doc_chunks", f"WITH {_README_CHUNKS} SELECT * FROM readme_chunks")
 def doc_chunks(spark, d):
-    return ch.doc_chunks(_readmes(spark, d))
+    return ch.doc_chunks(_readmes(spark, d), oversize="drop")
 
 
 @C.query("build_chunks", f"""WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}, {_FILE_CHUNKS}, {_COMMIT_CHUNKS}, {_PR_CHUNKS}, {_README_CHUNKS}
@@ -111,7 +111,8 @@ SELECT * FROM symbol_chunks UNION ALL SELECT * FROM file_chunks UNION ALL SELECT
 UNION ALL SELECT * FROM pr_chunks UNION ALL SELECT * FROM readme_chunks""")
 def build_chunks(spark, d):
     return ch.build_chunks(
-        line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d)
+        line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d),
+        oversize="drop",
     )
 
 
@@ -120,7 +121,7 @@ SELECT * FROM symbol_chunks UNION ALL SELECT * FROM file_chunks""")
 def build_chunks_of_symbol_repos(spark, d):
     return ch.build_chunks(
         line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d),
-        require_symbols=True,
+        require_symbols=True, oversize="drop",
     )
 
 

@@ -9,6 +9,7 @@ from stratacode.functions.paths import strip_ws
 
 CHARS_PER_TOKEN = 4
 MAX_CHUNK_TOKENS = 2048
+PART_MARK = "\x1f"  # stands between the id of a source and the number of a later part of its text
 
 
 def token_estimate(text: Column) -> Column:
@@ -20,6 +21,13 @@ def within_budget(text: Column, max_tokens: int = MAX_CHUNK_TOKENS) -> Column:
     return F.length(text) < F.lit((max_tokens + 1) * CHARS_PER_TOKEN)
 
 
+def parts_within_budget(text: Column, max_tokens: int = MAX_CHUNK_TOKENS) -> Column:
+    """The text in consecutive windows within the budget; an empty text is one window."""
+    size = (max_tokens + 1) * CHARS_PER_TOKEN - 1
+    last = F.greatest(F.ceil(F.length(text) / F.lit(size)).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * F.lit(size) + F.lit(1), F.lit(size)))
+
+
 def symbol_chunk(path: Column, kind: Column, name: Column, source: Column) -> Column:
     return F.concat(F.lit("# "), path, F.lit("\n## "), kind, F.lit(": "), name, F.lit("\n"), source)
 

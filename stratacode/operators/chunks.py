@@ -14,7 +14,8 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from stratacode.functions.paths import strip_ws
 from stratacode.functions.text import (
-    CHARS_PER_TOKEN, MAX_CHUNK_TOKENS, commit_chunk, file_chunk, pull_request_chunk, readme_chunk, symbol_chunk, within_budget,
+    CHARS_PER_TOKEN, MAX_CHUNK_TOKENS, PART_MARK, commit_chunk, file_chunk, parts_within_budget, pull_request_chunk, readme_chunk, symbol_chunk,
+    within_budget,
 )
 from stratacode.operators.common import ordered_texts
 from stratacode.operators.edges import EMBEDDABLE_KINDS, has_source, of_kind, with_file
@@ -23,6 +24,21 @@ CHUNK_COLUMNS = ("repo_id", "source_type", "source_id", "file_id", "chunk_text")
 EMBED_BATCH = 100
 
 
+def _fitted(chunks: DataFrame, max_tokens: int, oversize: str) -> DataFrame:
+    """Chunks within the budget: longer texts are split into windows, or left out with ``oversize="drop"``.
+
+    The first window keeps the id of its source; later ones add ``PART_MARK`` and their number.
+    """
+    if oversize == "drop":
+        return chunks.where(within_budget(F.col("chunk_text"), max_tokens))
+    if oversize != "split":
+        raise ValueError(f"oversize is split or drop, not {oversize!r}")
+    kept = [F.col(c) for c in chunks.columns if c != "chunk_text"]
+    parts = chunks.select(*kept, F.posexplode(parts_within_budget(F.col("chunk_text"), max_tokens)).alias("_part", "chunk_text"))
+    marked = F.concat("source_id", F.lit(PART_MARK), F.col("_part").cast("string"))
+    return parts.withColumn("source_id", F.when(F.col("_part") == 0, F.col("source_id")).otherwise(marked)).drop("_part")
+
+
 def embeddable(symbols: DataFrame) -> DataFrame:
     return has_source(of_kind(symbols, EMBEDDABLE_KINDS))
 
@@ -35,13 +51,13 @@ def _symbol_texts(symbols: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def symbol_chunks(symbols: DataFrame, files: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
-    """One chunk per embeddable symbol that fits the budget.
+def symbol_chunks(symbols: DataFrame, files: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS, oversize: str = "split") -> DataFrame:
+    """Chunks of every embeddable symbol, or with ``oversize="drop"`` of those that fit the budget.
 
-    A source that alone exceeds the budget is dropped before it is shuffled.
+    A source to be dropped for its own length is dropped before it is shuffled.
     """
-    fitting = symbols.where(within_budget(F.col("source_code"), max_tokens))
-    return _symbol_texts(fitting, files).where(within_budget(F.col("chunk_text"), max_tokens))
+    fitting = symbols.where(within_budget(F.col("source_code"), max_tokens)) if oversize == "drop" else symbols
+    return _fitted(_symbol_texts(fitting, files), max_tokens, oversize)
 
 
 def skipped_counts(symbols: DataFrame, files: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
@@ -58,18 +74,21 @@ def unembedded_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return files.join(done, ["repo_id", "file_id"], "left_anti")
 
 
-def file_chunks(symbols: DataFrame, files: DataFrame, chunks: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
+def file_chunks(
+    symbols: DataFrame, files: DataFrame, chunks: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS, oversize: str = "drop"
+) -> DataFrame:
     """Fallback chunk of a file without symbol chunk: all its symbol sources, in order.
 
-    The length of the joined text is summed first and texts follow only for files that
-    fit the budget, so a huge file costs one partial sum and is never collected.
+    Files over the budget are left out unless ``oversize="split"``.  To leave them out, the length of the joined text
+    is summed first and texts follow only for files that fit, so a huge file costs one partial sum.
     """
     rest = unembedded_files(files.select("repo_id", "file_id", "path"), chunks)
     keys = ["repo_id", "file_id"]
-    sources = has_source(symbols)
-    lengths = sources.groupBy(*keys).agg((F.sum(F.length("source_code") + 1) - 1).alias("chars"))
-    # "# " + path + newline + text
-    small = rest.join(lengths, keys).where(F.length("path") + 3 + F.col("chars") < (max_tokens + 1) * CHARS_PER_TOKEN)
+    sources, small = has_source(symbols), rest
+    if oversize == "drop":
+        lengths = sources.groupBy(*keys).agg((F.sum(F.length("source_code") + 1) - 1).alias("chars"))
+        # "# " + path + newline + text
+        small = rest.join(lengths, keys).where(F.length("path") + 3 + F.col("chars") < (max_tokens + 1) * CHARS_PER_TOKEN)
     texts = (
         sources.select(*keys, "ordinal", "symbol_id", "source_code")
         .join(small.select(*keys, "path"), keys)
@@ -77,33 +96,35 @@ def file_chunks(symbols: DataFrame, files: DataFrame, chunks: DataFrame, max_tok
         .agg(ordered_texts(F.col("source_code"), ["ordinal", "symbol_id"], "\n").alias("text"))
         .where(strip_ws(F.col("text")) != "")
     )
-    return texts.select(
+    joined = texts.select(
         "repo_id", F.lit("symbol").alias("source_type"), F.col("file_id").alias("source_id"), "file_id",
         file_chunk(F.col("path"), F.col("text")).alias("chunk_text"),
     )
+    return joined if oversize == "drop" else _fitted(joined, max_tokens, oversize)
 
 
-def _document_chunks(df: DataFrame, source_type: str, source_id, text, max_tokens: int) -> DataFrame:
-    return df.select(
+def _document_chunks(df: DataFrame, source_type: str, source_id, text, max_tokens: int, oversize: str) -> DataFrame:
+    texts = df.select(
         "repo_id", F.lit(source_type).alias("source_type"), source_id.cast("string").alias("source_id"),
         F.lit(None).cast("string").alias("file_id"), text.alias("chunk_text"),
-    ).where(within_budget(F.col("chunk_text"), max_tokens))
+    )
+    return _fitted(texts, max_tokens, oversize)
 
 
-def commit_chunks(commits: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
+def commit_chunks(commits: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS, oversize: str = "split") -> DataFrame:
     text = commit_chunk(F.col("hash"), F.col("author_name"), F.col("message"))
-    return _document_chunks(commits, "commit", F.col("hash"), text, max_tokens)
+    return _document_chunks(commits, "commit", F.col("hash"), text, max_tokens, oversize)
 
 
-def pr_chunks(pull_requests: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
+def pr_chunks(pull_requests: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS, oversize: str = "split") -> DataFrame:
     text = pull_request_chunk(F.col("number"), F.col("title"), F.col("description"))
-    return _document_chunks(pull_requests, "pull_request", F.col("number"), text, max_tokens)
+    return _document_chunks(pull_requests, "pull_request", F.col("number"), text, max_tokens, oversize)
 
 
-def doc_chunks(readmes: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS) -> DataFrame:
-    """README chunk per repository; empty documents give none."""
+def doc_chunks(readmes: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS, oversize: str = "split") -> DataFrame:
+    """README chunks per repository; empty documents give none."""
     filled = readmes.where(F.col("content") != "")
-    return _document_chunks(filled, "document", F.col("repo_id"), readme_chunk(F.col("content")), max_tokens)
+    return _document_chunks(filled, "document", F.col("repo_id"), readme_chunk(F.col("content")), max_tokens, oversize)
 
 
 def build_chunks(
@@ -114,19 +135,20 @@ def build_chunks(
     readmes: DataFrame,
     max_tokens: int = MAX_CHUNK_TOKENS,
     require_symbols: bool = False,
+    oversize: str = "drop",
 ) -> DataFrame:
     """All chunks of all repositories.
 
     With ``require_symbols`` a repository without any embeddable symbol gives no
-    chunk of any kind.
+    chunk of any kind.  Texts over the budget are left out unless ``oversize="split"``, as the ingest asks.
     """
-    from_symbols = symbol_chunks(symbols, files, max_tokens)
+    from_symbols = symbol_chunks(symbols, files, max_tokens, oversize)
     parts = [
         from_symbols,
-        file_chunks(symbols, files, from_symbols, max_tokens),
-        commit_chunks(commits, max_tokens),
-        pr_chunks(pull_requests, max_tokens),
-        doc_chunks(readmes, max_tokens),
+        file_chunks(symbols, files, from_symbols, max_tokens, oversize),
+        commit_chunks(commits, max_tokens, oversize),
+        pr_chunks(pull_requests, max_tokens, oversize),
+        doc_chunks(readmes, max_tokens, oversize),
     ]
     chunks = parts[0]
     for part in parts[1:]:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratacode.functions.text import PART_MARK
 from stratacode.operators.common import broadcast_if_small, ordered_items, top_k
 from stratacode.session import cut_lineage
 
@@ -137,37 +138,37 @@ def resolve_sources(
 ) -> DataFrame:
     """Hits with the text and the fields of the symbol, commit or pull request behind them.
 
-    A source that cannot be found keeps null fields.
+    A source that cannot be found keeps null fields.  A part of a long text has the fields of its source.
     """
     of_type = F.col("source_type")
-    key = ["repo_id", "source_type", "source_id"]
-    hits = cut_lineage(hits)
+    key, behind = ["repo_id", "source_type", "source_id"], ["repo_id", "source_type", "origin"]
+    hits = cut_lineage(hits).withColumn("origin", F.substring_index("source_id", PART_MARK, 1))
     # The tables behind the hits are cut down to the hits first; few hits are broadcast,
     # so that none of these tables is shuffled for a handful of rows.
-    wanted = broadcast_if_small(hits.select(*key).distinct())
+    wanted = broadcast_if_small(hits.select(*key, "origin").distinct())
 
     def hit(df: DataFrame) -> DataFrame:
-        return df.join(wanted, key, "left_semi")
+        return df.join(wanted, behind, "left_semi")
 
-    texts = hit(embeddings.select(*key, "file_id", "chunk_text"))
+    texts = embeddings.select(*key, "file_id", "chunk_text").join(wanted, key, "left_semi")
     symbol = symbols.select(
-        "repo_id", F.lit("symbol").alias("source_type"), F.col("symbol_id").alias("source_id"),
+        "repo_id", F.lit("symbol").alias("source_type"), F.col("symbol_id").alias("origin"),
         F.col("name").alias("symbol_name"), "start_line", "end_line",
     )
     commit = commits.select(
-        "repo_id", F.lit("commit").alias("source_type"), F.col("hash").alias("source_id"),
+        "repo_id", F.lit("commit").alias("source_type"), F.col("hash").alias("origin"),
         F.col("hash").alias("commit_hash"), "author_name",
     )
     request = pull_requests.select(
-        "repo_id", F.lit("pull_request").alias("source_type"), F.col("number").cast("string").alias("source_id"),
+        "repo_id", F.lit("pull_request").alias("source_type"), F.col("number").cast("string").alias("origin"),
         F.col("number").alias("pr_number"), F.col("title").alias("pr_title"),
     )
     path = files.select("repo_id", "file_id", F.col("path").alias("file_path"))
     return (
         hits.join(texts, key)
-        .join(hit(symbol), key, "left")
-        .join(hit(commit), key, "left")
-        .join(hit(request), key, "left")
+        .join(hit(symbol), behind, "left")
+        .join(hit(commit), behind, "left")
+        .join(hit(request), behind, "left")
         .join(path, ["repo_id", "file_id"], "left")
         .select(
             "repo_id", "query_id", "hit_no", "source_type", "source_id", "distance", "chunk_text",

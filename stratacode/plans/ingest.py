@@ -86,7 +86,7 @@ def ingest(
     positions = order.reading_order(files, edges)
     first_entries = rules.rank_entry_points(entry_points, flow.MAX_ENTRIES)
     data_flow = flow.trace_data_flow(first_entries, files, edges)
-    chunks = chunk_ops.build_chunks(symbols, files, commits, pull_requests, pick_readme(listing))
+    chunks = chunk_ops.build_chunks(symbols, files, commits, pull_requests, pick_readme(listing), oversize="split")
     candidates = stats.glossary_candidates(symbols, files)
     brief = build_brief(
         repositories, files, symbols, stacks, entry_points, module_edges, data_flow, integrations, owners,

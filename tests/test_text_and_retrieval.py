@@ -182,3 +182,26 @@ def test_every_file_gets_an_annotation_request(spark):
         got = textgen.annotation_requests(order, max_files=limit).collect()
         assert (sum(r.n_items for r in got), len(got)) == (files, batches)
         assert all(f"file_path=p{i}.py |" in "".join(r.prompt for r in got) for i in (1, files))
+
+
+def test_long_texts_are_split_and_found_again(spark):
+    _, files, commits, prs, _ = _inputs(spark)
+    long = "".join(chr(97 + i % 26) for i in range(20_000)) + "é\U0001f600"
+    symbols = spark.createDataFrame([("r", "f1", "s1", "function", "a", long, 0), ("r", "f2", "s2", "import", "b", long, 0)], SYMBOL)
+    readmes = spark.createDataFrame([("r", long), ("q", "")], "repo_id string, content string")
+    texts: dict = {}
+    for r in ch.build_chunks(symbols, files, commits, prs, readmes, oversize="split").collect():
+        source, _, part = r.source_id.partition("\x1f")
+        texts.setdefault((r.source_type, source), {})[int(part or 0)] = r.chunk_text
+        assert len(r.chunk_text) <= 8195
+    whole = {k: "".join(v[i] for i in range(len(v))) for k, v in texts.items()}
+    assert whole["symbol", "s1"] == "# p1.py\n## function: a\n" + long
+    assert whole["symbol", "f2"] == "# p2.py\n" + long and whole["document", "r"] == "# README\n" + long
+    assert len(whole["document", "r"]) == sum(map(len, texts["document", "r"].values())) and len(texts["document", "r"]) == 3
+    dropped = ch.build_chunks(symbols, files, commits, prs, readmes, oversize="drop")
+    assert {r.source_type for r in dropped.collect()} == {"commit", "pull_request"}
+    chunks = ch.symbol_chunks(symbols, files)
+    hits = chunks.selectExpr("repo_id", "'1' AS query_id", "1 AS hit_no", "source_type", "source_id", "0.0 AS distance")
+    named = symbols.selectExpr("repo_id", "symbol_id", "name", "1 AS start_line", "2 AS end_line")
+    got = ret.resolve_sources(hits, chunks, named, files, commits, prs).collect()
+    assert sorted(r.chunk_text for r in got) == sorted(texts["symbol", "s1"].values()) and {r.symbol_name for r in got} == {"a"}
