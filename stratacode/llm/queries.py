@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog
-from stratacode.llm import bottomk, compact_windows, decontaminate, histogram_sort, html_layout, interpolation, packing, pu_quality, quality_rules, toxicity
+from stratacode.llm import (
+    alignment, bottomk, compact_windows, decontaminate, divergence, histogram_sort, html_layout, interpolation, min_slack, packing, pu_quality,
+    quality_rules, toxicity,
+)
 from stratacode.llm.staging import stage
 from stratacode.llm.text import whole
 
@@ -177,6 +180,68 @@ def op10_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+# --- 11: source divergence audit ----------------------------------------------------------------------
+
+
+def _distance_sql(p: str, q: str) -> str:
+    return f"(({p} - {q}) * ({p} - {q}) // ({p} + {q}))"
+
+
+@C.query("op11_count_cell_ranking", rf"""
+WITH named AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+used AS (SELECT row, lang, source, unnest(terms) AS term FROM named),
+kept AS (
+  SELECT lang, term, count(*) AS n FROM used GROUP BY lang, term HAVING count(DISTINCT row) >= {divergence.MIN_DOCS}),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+held AS (
+  SELECT u.lang, u.source, u.term, count(*) AS n FROM used u JOIN kept k ON u.lang = k.lang AND u.term = k.term GROUP BY u.lang, u.source, u.term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(sum(h.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM named) g LEFT JOIN held h ON g.lang = h.lang AND g.source = h.source GROUP BY g.lang, g.source),
+rated AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.n, 0) AS n,
+         (1 + ({divergence.SCALE} * (coalesce(h.n, 0) + 2)) // (g.total + 2 * s.v))::BIGINT AS p,
+         (1 + ({divergence.SCALE} * (k.n + 2)) // (s.total + 2 * s.v))::BIGINT AS q
+  FROM groups g JOIN sizes s ON g.lang = s.lang JOIN kept k ON g.lang = k.lang
+  LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum({_distance_sql('x.p', 'y.p')}) AS value
+  FROM rated x JOIN rated y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+told AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups o ON g.lang = o.lang AND g.source <> o.source
+  LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = o.source
+  UNION ALL
+  SELECT lang, source, 'term', term, {_distance_sql('p', 'q')}::BIGINT FROM rated WHERE n > 0 AND p > q)
+SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM told)
+WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+""")
+def op11_count_cell_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+# --- 12: best-fit packing by minimum bin slack ----------------------------------------------------------
+
+
+@C.query("op12_minimum_bin_slack")
+def op12_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = min_slack.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset").withColumn("piece", F.col("piece").cast("int"))
+
+
+# --- 13: cross-tokenizer alignment ----------------------------------------------------------------------
+
+
+@C.query("op13_fragment_monoid")
+def op13_fragment_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
 # --- the pipeline -----------------------------------------------------------------------------------
 
 C.query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
