@@ -140,8 +140,8 @@ def _packer(path: str, tiers: tuple[int, ...], end_id: int, buffer_tokens: int):
         id_type = pa.int64()
         for rows in batches:
             id_type = rows.schema.field(0).type
-            for key, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for key, ids in zip(rows.column(0).to_pylist(), encode.batch(rows.column(1))):
+                ids += end
                 docs[seen] = (key, ids)
                 pool.add(seen, 0, len(ids) // 4)
                 seen += 1
