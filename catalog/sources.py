@@ -156,6 +156,9 @@ _TS = {
     "RO": "export class K_{k} {{\n  m() {{ return 1; }}\n}}",
     "RF": "export interface I_{k} {{\n  a: number;\n}}",
 }
+# What every file begins with: text in strings and comments that only looks like declarations.
+_PY_LEAD = "# the \"\"\" mark opens a docstring\nQ = '\"\"\"'\nS = \"\"\"\nclass of things\nimport nothing\n\"\"\"\n"
+_TS_LEAD = "/*\nclass of things {}\n*/\nconst glob = 'src/**/*.ts';\nconst page = `\nclass of ${ a ? `b\nclass Inner {}\n` : \"`\" } it's\nimport x from 'y';\n`;\n"
 _TAIL = {"py": "\n# tail\n", "ts": "\n// tail\n"}
 
 
@@ -185,8 +188,9 @@ def _code_files(spark, d):
         f"concat(IF(ts, {_case(_TS, _spark_text)}, {_case(_PY, _spark_text)}), IF(ts, '\\n// tail\\n', '\\n# tail\\n')) AS snippet",
     )
     return parts.groupBy("repo_id", "l_orderkey", "ts").agg(
-        F.expr("array_join(transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey, snippet))), x -> x.snippet), '\n')").alias("content")
-    ).selectExpr("repo_id", "concat('o', l_orderkey) AS file_id", "IF(ts, 'typescript', 'python') AS language", "content")
+        F.expr("array_join(transform(array_sort(collect_list(struct(l_linenumber, l_partkey, l_suppkey, snippet))), x -> x.snippet), '\n')").alias("body")
+    ).withColumn("content", F.concat(F.when(F.col("ts"), F.lit(_TS_LEAD)).otherwise(F.lit(_PY_LEAD)), "body")).selectExpr(
+        "repo_id", "concat('o', l_orderkey) AS file_id", "IF(ts, 'typescript', 'python') AS language", "content")
 
 
 def _lines_of(texts):
@@ -197,6 +201,7 @@ def _lines_of(texts):
 _CODE = f"""code AS (
   SELECT o_orderpriority AS repo_id, 'o' || o_orderkey AS file_id, o_custkey % 2 = 1 AS ts, l_partkey, l_returnflag, l_linestatus,
          CASE WHEN o_custkey % 2 = 1 THEN {_lines_of(_TS)} ELSE {_lines_of(_PY)} END AS n_lines,
+         CASE WHEN o_custkey % 2 = 1 THEN {_TS_LEAD.count(chr(10))} ELSE {_PY_LEAD.count(chr(10))} END AS lead,
          row_number() OVER w AS rn, count(*) OVER (PARTITION BY l_orderkey) AS n_stmts,
          sum(2 + CASE WHEN o_custkey % 2 = 1 THEN {_lines_of(_TS)} ELSE {_lines_of(_PY)} END) OVER w AS upto
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey
@@ -207,7 +212,7 @@ extracted AS (
          CASE WHEN l_returnflag = 'A' THEN CASE WHEN ts THEN 'mod' || l_partkey ELSE 'pkg.mod' || l_partkey END
               WHEN l_returnflag = 'N' THEN 'fn_' || l_partkey WHEN l_linestatus = 'O' THEN CASE WHEN ts THEN 'K_' ELSE 'C_' END || l_partkey
               WHEN ts THEN '<anonymous>' ELSE 'D_' || l_partkey END AS name,
-         (upto - n_lines - 1)::INT AS start_line, (upto - 2)::INT AS end_line,
+         (lead + upto - n_lines - 1)::INT AS start_line, (lead + upto - 2)::INT AS end_line,
          CASE WHEN l_returnflag = 'N' THEN CASE WHEN ts THEN 2 ELSE 3 END
               WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 1 ELSE 0 END AS cyclomatic_complexity,
          (n_stmts - rn)::INT AS ordinal,

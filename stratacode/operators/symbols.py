@@ -51,15 +51,74 @@ _TS_EXPORT_NAME = r"^export[ \t]+default[ \t]+([\w$]+)[ \t]*;?[ \t]*$"
 _ARROW_PREFIX = r"^export[ \t]+(?:const|let)[ \t]+[\w$]+[^=\n]*=[ \t]*"
 _EXPORT_PREFIX = r"^export[ \t]+(?:default[ \t]+)?(?=(?:async[ \t]+)?function\b|class\b)"
 
+# The scanner.  Escaped characters are blanked first, so that every quote left opens or closes.
+_ESCAPED = r"\\[^\n]"
+# What no statement can begin in, read from left to right: whichever opens first wins.
+_PY_SILENT = r"\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"[^\"\n]*\"|'[^'\n]*'|#[^\n]*"
+_JS_SILENT = r"/\*[\s\S]*?\*/|//[^\n]*|\"[^\"\n]*\"|'[^'\n]*'"
+# Marks at which a script with template strings can change its state.
+_JS_MARKS = r"/\*|\*/|//|\n|[\"'`{}]|\$\{"
 
 
+def _blanked(content: Column, silent: str) -> Column:
+    """Text without strings and comments; a string leaves its first quote, and all line breaks stay."""
+    code, found = F.split(content, silent, -1), F.regexp_extract_all(content, F.lit(silent), F.lit(0))
 
-def _without_docstrings(content: Column) -> Column:
-    """Python text with the inside of triple-quoted strings emptied; the line breaks stay."""
-    for quotes in ('"""', "'''"):
-        emptied = lambda part, i: F.when(i % 2 == 1, F.regexp_replace(part, r"[^\n]", "")).otherwise(part)
-        content = F.array_join(F.transform(F.split(content, quotes), emptied), quotes)
-    return content
+    def rest(token: Column) -> Column:
+        quote = F.when(F.left(token, F.lit(1)).isin("'", '"'), F.lit('"')).otherwise("")
+        return F.concat(quote, F.regexp_replace(token, r"[^\n]+", ""))
+
+    return F.array_join(F.zip_with(code, found, lambda c, t: F.concat(c, F.coalesce(rest(t), F.lit("")))), "")
+
+
+def _silent_lines(content: Column) -> Column:
+    """One character per line of a script: ``1`` if it begins inside a template string, a block comment or a string, else ``0``.
+
+    A state machine over the marks of the text.  ``mode`` says what the scanner is in: code, a line comment ``/``, a block comment ``*``, a quote, or the text of a template; ``open`` is the
+    stack of what code is nested in: ``{`` for a block and ```` ` ```` for the ``${`` of a template.
+    """
+    start = F.struct(F.lit("").alias("mode"), F.lit("").alias("open"), F.lit("0").alias("lines"))
+
+    def step(state: Column, mark: Column) -> Column:
+        mode, stack, lines = state["mode"], state["open"], state["lines"]
+        code, top = mode == "", F.right(stack, F.lit(1))
+        push = lambda c: F.concat(stack, F.lit(c))
+        popped = F.left(stack, F.greatest(F.length(stack) - 1, F.lit(0)))
+
+        def to(new_mode, new_stack=stack, new_lines=lines):
+            as_column = lambda x: F.lit(x) if isinstance(x, str) else x
+            return F.struct(as_column(new_mode).alias("mode"), as_column(new_stack).alias("open"), new_lines.alias("lines"))
+
+        # A line comment and an open quote end with their line.
+        at_break = F.when(mode.isin("/", "'", '"'), F.lit("")).otherwise(mode)
+        return (
+            F.when(mark == "\n", to(at_break, new_lines=F.concat(lines, F.when(at_break == "", F.lit("0")).otherwise("1"))))
+            .when(code & mark.isin("'", '"', "`"), to(mark))
+            .when(code & (mark == "//"), to("/"))
+            .when(code & (mark == "/*"), to("*"))
+            .when(code & mark.isin("{", "${"), to("", push("{")))
+            .when(code & (mark == "}"), to(F.when(top == "`", F.lit("`")).otherwise(""), popped))
+            .when((mode == "`") & (mark == "${"), to("", push("`")))
+            .when((mode == mark) & mark.isin("'", '"', "`") | (mode == "*") & (mark == "*/"), to(""))
+            .otherwise(state)
+        )
+
+    return F.aggregate(F.regexp_extract_all(content, F.lit(_JS_MARKS), F.lit(0)), start, step, lambda state: state["lines"])
+
+
+def _outside(content: Column, lines: Column, python: Column) -> Column:
+    """The lines of a file as far as statements can begin in them; null where they are the lines themselves.
+
+    Only what spans lines matters, so files without any of it are not scanned.
+    """
+    bare = F.regexp_replace(content, _ESCAPED, "  ")
+    flags = _silent_lines(bare)
+    template = F.transform(lines, lambda line, i: F.when(F.substring(flags, i + 1, F.lit(1)) == "1", F.lit("")).otherwise(line))
+    return (
+        F.when(python & content.rlike("\"{3}|'{3}"), F.split(_blanked(bare, _PY_SILENT), "\n"))
+        .when(~python & content.contains("`"), template)
+        .when(~python & content.contains("/*"), F.split(_blanked(bare, _JS_SILENT), "\n"))
+    )
 
 
 def _mark_lines(lines: Column, outside: Column) -> Column:
@@ -184,13 +243,14 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     which symbols are stored.
     """
     spoken = files.where(F.col("language").isin("python", "javascript", "typescript"))
-    content = F.replace("content", F.lit("\r\n"), F.lit("\n"))
-    outside = F.when((F.col("language") == "python") & content.rlike("\"{3}|'{3}"), F.split(_without_docstrings(content), "\n"))
-    marked = spoken.select(
-        "repo_id", "file_id", "language", F.split(content, "\n").alias("lines"), outside.alias("outside")
-    ).select("repo_id", "file_id", "language", _mark_lines(F.col("lines"), F.coalesce("outside", "lines")).alias("marked"))
-
     python, typescript = F.col("language") == "python", F.col("language") == "typescript"
+    text = F.replace("content", F.lit("\r\n"), F.lit("\n"))
+    lined = spoken.select("repo_id", "file_id", "language", text.alias("content"), F.split(text, "\n").alias("lines"))
+    outside = _outside(F.col("content"), F.col("lines"), python)
+    marked = lined.select("repo_id", "file_id", "language", "lines", outside.alias("outside")).select(
+        "repo_id", "file_id", "language", _mark_lines(F.col("lines"), F.coalesce("outside", "lines")).alias("marked")
+    )
+
     # Everything a statement needs is worked out once, inside the generator.
     statements = F.transform(F.reverse(F.split("marked", _MARK)), _statement)
     named = F.transform(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -182,3 +183,84 @@ def test_text_inside_docstrings_declares_nothing(spark):
     files = spark.createDataFrame([("r", "f", "a.py", "python", code)], "repo_id string, file_id string, path string, language string, content string")
     got = {(r.kind, r.name, r.start_line) for r in extract_symbols(files).collect()}
     assert got == {("import", "real", 5), ("function", "f", 8)}
+
+
+def _named(spark, language, content):
+    return [(s.kind, s.name, s.start_line, s.end_line) for s in _extract(spark, language, content)]
+
+
+def test_quotes_in_comments_and_strings_open_nothing(spark):
+    code = "# the \"\"\" mark opens a docstring\nimport os\n\n\ndef f():\n    return 1\n\n\nclass A:\n    pass\n"
+    assert _named(spark, "python", code) == [("import", "os", 2, 2), ("function", "f", 5, 6), ("class", "A", 9, 10)]
+    code = "Q = '\"\"\"'\nimport os\nR = \"it's '''\"\ndef f():\n    s = '''\nclass of things\n'''\n    return s\n"
+    assert _named(spark, "python", code) == [("import", "os", 2, 2), ("function", "f", 4, 8)]
+    code = "S = \"\"\"a \\\"\"\" still\nclass of things\n\"\"\"\nclass A:\n    pass\n"
+    assert _named(spark, "python", code) == [("class", "A", 4, 5)]
+
+
+SCRIPT = """\
+/*
+class of comments {}
+*/
+const glob = "src/**/*.ts"; // ` is only a comment
+const page = `
+class of templates
+import x from 'y';
+it's ${ list.map((a) => { return `<li>
+class Inner {}
+${a} } </li>`; }).join("`") } and
+function no() {}
+`;
+export class Real {
+  m() { return `${this.a}`; }
+}
+import z from './z';
+function last() {}
+"""
+
+
+def test_template_strings_and_block_comments_declare_nothing(spark):
+    want = [("class", "Real", 13, 15), ("import", "z", 16, 16), ("function", "last", 17, 17)]
+    assert _named(spark, "typescript", SCRIPT) == want
+    assert _named(spark, "javascript", SCRIPT) == want
+    plain = "/*\nclass of things {}\n*/\nconst glob = 'a/**/*.ts';\nclass A {}\nconst b = 'c/*';\nclass B {}\n"
+    assert _named(spark, "typescript", plain) == [("class", "A", 5, 5), ("class", "B", 7, 7)]
+
+
+def test_scanner_against_a_plain_walk(spark):
+    """The state of every line start equals a character walk over random marks."""
+    rng = random.Random(3)
+
+    def walk(text):
+        mode, stack, out, i = "", [], ["0"], 0
+        while i < len(text):
+            two, c = text[i:i + 2], text[i]
+            i += 1
+            if c == "\n":
+                mode = "" if mode in ("/", "'", '"') else mode
+                out.append("1" if mode else "0")
+            elif mode == "":
+                if two in ("//", "/*"):
+                    mode, i = two[1], i + 1
+                elif c in "'\"`":
+                    mode = c
+                elif c == "{":
+                    stack.append("{")
+                elif c == "}":
+                    mode = "`" if stack and stack.pop() == "`" else ""
+            elif mode == "`" and two == "${":
+                stack.append("`")
+                mode, i = "", i + 1
+            elif mode == "*" and two == "*/":
+                mode, i = "", i + 1
+            elif mode == c and c in "'\"`":
+                mode = ""
+        return "".join(out)
+
+    marks = ["'", '"', "`", "${", "{", "}", "\n", "//", "/* ", " */", " a ", "class X"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+    # Neighbouring marks may form others (a star and a slash); the walk and the scanner read them alike only where marks are apart.
+    texts = [t for t in texts if not any(x in t for x in ("/*/", "//*", "///", "*//", "*/*"))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r.t: r.s for r in df.select("t", symbols._silent_lines(F.col("t")).alias("s")).collect()}
+    assert got == {t: walk(t) for t in texts}
