@@ -141,24 +141,32 @@ def cosine_distances(spark, d):
     return a.join(b, "vec_id").select("vec_id", (F.round(cosine_distance(F.col("a"), F.col("b")), 6) + 0.0).alias("distance"))
 
 
-# Every vector asks for its neighbours among the vectors with its label.
+# Every vector asks for its neighbours among the vectors with its label.  Some have no direction: a number that is none or infinite, or all zeros.
+_ODD_VECTOR = (
+    "CASE vec_id % 50 WHEN 3 THEN transform(embedding, (x, i) -> IF(i = 0, CAST('NaN' AS FLOAT), CAST(x AS FLOAT))) "
+    "WHEN 7 THEN transform(embedding, (x, i) -> IF(i = 1, CAST('Infinity' AS FLOAT), CAST(x AS FLOAT))) "
+    "WHEN 11 THEN transform(embedding, x -> CAST(0 AS FLOAT)) ELSE CAST(embedding AS ARRAY<FLOAT>) END AS embedding"
+)
+_ODD = "vec_id % 50 IN (3, 7, 11)"
+
+
 def _vectors(spark, d):
     return table(spark, d, "embeddings").selectExpr(
         "concat('repo', label) AS repo_id",
         "CASE vec_id % 4 WHEN 0 THEN 'symbol' WHEN 1 THEN 'commit' WHEN 2 THEN 'pull_request' ELSE 'document' END AS source_type",
         "CASE vec_id % 4 WHEN 0 THEN concat('P', vec_id) WHEN 1 THEN sha1(CAST(vec_id AS STRING)) ELSE CAST(vec_id AS STRING) END AS source_id",
         "CASE WHEN vec_id % 4 = 0 THEN concat('f', vec_id) END AS file_id",
-        "concat('chunk ', vec_id) AS chunk_text", "embedding",
+        "concat('chunk ', vec_id) AS chunk_text", _ODD_VECTOR,
     )
 
 
 def _questions(spark, d):
     return table(spark, d, "embeddings").selectExpr(
-        "concat('repo', label) AS repo_id", "CAST(vec_id AS STRING) AS query_id", "concat('question ', vec_id) AS question", "embedding"
+        "concat('repo', label) AS repo_id", "CAST(vec_id AS STRING) AS query_id", "concat('question ', vec_id) AS question", _ODD_VECTOR
     )
 
 
-_VECTORS = """vectors AS (
+_VECTORS = f"""vectors AS (
   SELECT vec_id, 'repo' || label AS repo_id,
          CASE vec_id % 4 WHEN 0 THEN 'symbol' WHEN 1 THEN 'commit' WHEN 2 THEN 'pull_request' ELSE 'document' END AS source_type,
          CASE vec_id % 4 WHEN 0 THEN 'P' || vec_id WHEN 1 THEN sha1(vec_id::VARCHAR) ELSE vec_id::VARCHAR END AS source_id,
@@ -166,7 +174,7 @@ _VECTORS = """vectors AS (
 pairs AS (
   SELECT q.repo_id, q.vec_id::VARCHAR AS query_id, 'question ' || q.vec_id AS question, v.source_type, v.source_id, v.vec_id, v.chunk_text,
          round(list_cosine_distance(v.embedding, q.embedding), 9) AS distance
-  FROM vectors q JOIN vectors v USING (repo_id))"""
+  FROM vectors q JOIN vectors v USING (repo_id) WHERE NOT (q.{_ODD}) AND NOT (v.{_ODD}))"""
 
 _HITS = f"""{_VECTORS}, typed AS (
   SELECT *, row_number() OVER (PARTITION BY repo_id, query_id, source_type ORDER BY distance, source_id) AS type_rank,
@@ -245,7 +253,10 @@ contexts AS (
          string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY hit_no) AS context FROM blocks GROUP BY 1, 2)"""
 
 
-@C.query("build_context", f"WITH {_CONTEXT} SELECT repo_id, query_id, question, context, n_sources, NULL::VARCHAR AS answer FROM contexts")
+@C.query("build_context", f"""WITH {_CONTEXT}
+SELECT q.repo_id, vec_id::VARCHAR AS query_id, 'question ' || vec_id AS question, context, coalesce(n_sources, 0) AS n_sources,
+       CASE WHEN n_sources IS NULL THEN '{ret.NO_HIT_ANSWER}' END AS answer
+FROM vectors q LEFT JOIN contexts c ON c.repo_id = q.repo_id AND c.query_id = vec_id::VARCHAR""")
 def build_context(spark, d):
     return ret.build_context(_sources(spark, d), _questions(spark, d))
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacode.functions.text import PART_MARK
-from stratacode.operators.common import broadcast_if_small, ordered_items, top_k
+from stratacode.operators.common import broadcast_if_small, number_rows, ordered_items, top_k
 from stratacode.session import cut_lineage
 
 # Hits per source type, in display order.
@@ -27,80 +30,118 @@ SYSTEM_INSTRUCTIONS = (
 _HITS = "repo_id string, query_id string, bucket string, source_id string, distance double"
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    matrix = np.array(vectors.tolist(), dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(norms == 0, np.nan, norms)
-
-
-def _nearest(quotas: dict[str, int], slab: int = 256):
-    """Kernel for one block of vectors and one block of questions: keeps the quota only."""
-
-    def kernel(vectors: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        hits: list[tuple] = []
-        if len(vectors) and len(questions):
-            repo_id = vectors["repo_id"].iloc[0]
-            asked, query_ids = _unit(questions["embedding"]), questions["query_id"].to_numpy()
-            for bucket, part in vectors.groupby("bucket"):
-                # A zero vector has no direction and ranks after all others: it is not a hit.
-                part = part[[bool(np.any(v)) for v in part["embedding"]]]
-                k = min(quotas[bucket], len(part))
-                if not k:
-                    continue
-                unit, ids = _unit(part["embedding"]).T, part["source_id"].to_numpy()
-                for start in range(0, len(asked), slab):
-                    dist = np.round(1.0 - asked[start:start + slab] @ unit, DISTANCE_DECIMALS)
-                    limit = np.partition(dist, k - 1, axis=1)[:, k - 1]
-                    for row, bound in enumerate(limit):
-                        near = np.flatnonzero(dist[row] <= bound)
-                        near = near[np.lexsort((ids[near].astype(str), dist[row][near]))][:k]
-                        query_id = query_ids[start + row]
-                        hits.extend((repo_id, query_id, bucket, ids[i], dist[row][i]) for i in near)
-        names = ["repo_id", "query_id", "bucket", "source_id", "distance"]
-        return pd.DataFrame(hits, columns=names).astype({**dict.fromkeys(names, object), "distance": float})
+class _Slab:
+    """Some questions by repository, as unit vectors.  A question without a direction asks for nothing."""
+
+    def __init__(self, questions: pa.Table) -> None:
+        unit, kept = _directions(questions.column("embedding"))
+        repos, ids = (questions.column(c).to_pylist() for c in ("repo_id", "query_id"))
+        rows: dict[str, list[int]] = {}
+        for at, row in enumerate(kept.tolist()):
+            rows.setdefault(repos[row], []).append(at)
+        self.by_repo = {repo: ([ids[kept[i]] for i in at], unit[at]) for repo, at in rows.items()}
+
+
+def _directions(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, their rows) of the vectors that have a direction: all of one length, finite and not zero."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    if not sizes.any():
+        return np.empty((0, 0)), np.empty(0, np.int64)
+    dim = int(np.bincount(sizes[sizes > 0]).argmax())
+    rows = np.flatnonzero(sizes == dim)
+    matrix = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+    largest = np.abs(matrix).max(axis=1)
+    good = np.isfinite(largest) & (largest > 0)
+    matrix = matrix[good] / largest[good, None]
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True), rows[good]
+
+
+class _Best:
+    """The nearest ``k`` so far of each question, by (distance, id)."""
+
+    def __init__(self, questions: int, k: int) -> None:
+        self.k = k
+        self.bound = np.full(questions, np.inf)  # no distance beyond it can enter
+        self.hits: list[list[tuple[float, str]]] = [[] for _ in range(questions)]
+
+    def add(self, distances: np.ndarray, ids: list[str]) -> None:
+        for row in np.flatnonzero(distances.min(axis=1) <= self.bound):
+            near = np.flatnonzero(distances[row] <= self.bound[row])
+            if len(near) > self.k:
+                limit = np.partition(distances[row][near], self.k - 1)[self.k - 1]
+                near = near[distances[row][near] <= limit]
+            found = self.hits[row] + [(float(distances[row][i]), ids[i]) for i in near]
+            # Ids are compared as Spark compares them, by their UTF-8 bytes.
+            self.hits[row] = sorted(found, key=lambda hit: (hit[0], hit[1].encode("utf-8")))[: self.k]
+            if len(self.hits[row]) == self.k:
+                self.bound[row] = self.hits[row][-1][0]
+
+
+def _nearest(slab, quotas: dict[str, int], vector_block: int):
+    """Kernel over the vectors of a task: keeps the quota of each question and nothing else."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = slab.value.by_repo, {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, vector_block):
+                batch = whole.slice(start, vector_block)
+                unit, rows = _directions(batch.column(3))
+                repos, buckets, ids = (batch.column(i).take(pa.array(rows)).to_pylist() for i in range(3))
+                groups: dict[tuple[str, str], list[int]] = {}
+                for i, key in enumerate(zip(repos, buckets)):
+                    if key[0] in asked:
+                        groups.setdefault(key, []).append(i)
+                for (repo, bucket), at in groups.items():
+                    query_ids, questions = asked[repo]
+                    if questions.shape[1] != unit.shape[1]:
+                        continue
+                    state = best.setdefault((repo, bucket), _Best(len(query_ids), quotas[bucket]))
+                    state.add(np.round(1.0 - questions @ unit[at].T, DISTANCE_DECIMALS), [ids[i] for i in at])
+        for (repo, bucket), state in best.items():
+            hits = [(repo, q, bucket, i, d) for q, found in zip(asked[repo][0], state.hits) for d, i in found]
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*hits)], ["repo_id", "query_id", "bucket", "source_id", "distance"])
 
     return kernel
 
 
-def _blocked_search(vectors: DataFrame, queries: DataFrame, quotas: dict[str, int], vector_block: int, query_block: int) -> DataFrame:
-    """Top rows per (question, bucket) by a blocked search.
+def _slabs(queries: DataFrame, size: int) -> Iterator[_Slab]:
+    """The questions in slabs of at most ``size``, neighbours by repository."""
+    questions = cut_lineage(queries.select("repo_id", "query_id", "embedding"))
+    n = questions.count()
+    if n <= size:
+        yield _Slab(questions.toArrow())
+        return
+    placed = cut_lineage(number_rows(questions.withColumn("_all", F.lit(0)), ["_all"], ["repo_id", "query_id"], "_at"))
+    for start in range(0, n, size):
+        yield _Slab(placed.where(F.col("_at").between(start + 1, start + size)).toArrow())
 
-    A repository is cut into vector blocks and question blocks of bounded size by
-    hash; each pair of blocks meets in one task, which emits at most the quota per
-    question.  Distances of single pairs are never rows, and a repository that holds
-    most of the data is spread over as many tasks as it has blocks.
-    """
-    questions = queries.select("repo_id", "query_id", "embedding")
-    # One row per repository: broadcast when few, so that vectors are shuffled once only.
-    blocks = broadcast_if_small(
-        vectors.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(vector_block)).cast("int").alias("n_v"))
-        .join(
-            questions.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(query_block)).cast("int").alias("n_q")),
-            "repo_id",
-        )
-    )
 
-    def block_of(key, n):
-        return F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+def _search(vectors: DataFrame, queries: DataFrame, quotas: dict[str, int], vector_block: int, query_block: int) -> DataFrame:
+    """Candidates per (question, bucket): the nearest of every task.
 
-    def every(n):
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    Questions go to the vectors in slabs of bounded size, and each slab is one pass over the vectors where they lie: no vector is shuffled or copied, and
+    only the quota of a question leaves a task.
+    """
+    spark = vectors.sparkSession
+    narrow = vectors.select("repo_id", "bucket", "source_id", "embedding")
+    passes = [narrow.mapInArrow(_nearest(spark.sparkContext.broadcast(slab), quotas, vector_block), _HITS) for slab in _slabs(queries, query_block)]
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionAll(more)
+    return found
 
-    left = vectors.join(blocks, "repo_id").select(
-        "repo_id", "bucket", "source_id", "embedding",
-        block_of(("bucket", "source_id"), "n_v").alias("v_block"), every("n_q").alias("q_block"),
-    )
-    right = questions.join(blocks, "repo_id").select(
-        "repo_id", "query_id", "embedding", block_of(("query_id",), "n_q").alias("q_block"), every("n_v").alias("v_block"),
-    )
-    pair = ["repo_id", "v_block", "q_block"]
-    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(_nearest(quotas), _HITS)
 
+def vector_topk(embeddings: DataFrame, queries: DataFrame, k: int = 10, vector_block: int = 2048, query_block: int = 1024) -> DataFrame:
+    """``k`` nearest chunks of the question's repository by cosine distance, ties by source_id.
 
-def vector_topk(embeddings: DataFrame, queries: DataFrame, k: int = 10, vector_block: int = 8192, query_block: int = 1024) -> DataFrame:
-    """``k`` nearest chunks of the question's repository by cosine distance, ties by source_id."""
+    Vectors that are zero, hold a null, NaN or infinite number, or have another length than the question have no direction and are no hits.
+    ``query_block`` questions go over the vectors at a time, ``vector_block`` vectors into one product.
+    """
     vectors = embeddings.select("repo_id", F.lit("all").alias("bucket"), F.col("source_id"), "embedding")
-    partial = _blocked_search(vectors, queries, {"all": k}, vector_block, query_block)
+    partial = _search(vectors, queries, {"all": k}, vector_block, query_block)
     return top_k(partial, ["repo_id", "query_id"], ["distance", "source_id"], k).drop("bucket")
 
 
@@ -108,7 +149,7 @@ def quota_topk(
     embeddings: DataFrame,
     queries: DataFrame,
     quotas: dict[str, int] | None = None,
-    vector_block: int = 8192,
+    vector_block: int = 2048,
     query_block: int = 1024,
 ) -> DataFrame:
     """Nearest chunks per source type, the types in quota order: ``hit_no`` counts through them."""
@@ -116,7 +157,7 @@ def quota_topk(
     vectors = embeddings.where(F.col("source_type").isin(*quotas)).select(
         "repo_id", F.col("source_type").alias("bucket"), "source_id", "embedding"
     )
-    partial = _blocked_search(vectors, queries, quotas, vector_block, query_block)
+    partial = _search(vectors, queries, quotas, vector_block, query_block)
     quota, type_no = F.lit(0), F.lit(0)
     for no, (name, limit) in enumerate(quotas.items()):
         quota = F.when(F.col("bucket") == name, F.lit(limit)).otherwise(quota)

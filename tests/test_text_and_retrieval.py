@@ -107,6 +107,29 @@ def test_zero_vectors_hide_no_hits(spark):
     assert ret.vector_topk(emb.where("source_id = 's1'"), q, 3).count() == 0
 
 
+def test_vectors_without_direction_are_no_hits(spark):
+    nan, inf = float("nan"), float("inf")
+    made = [[1.0, 0.0], [nan, 0.0], [0.0, 1.0], [inf, 1.0], [1.0, None], [0.0, 0.0], [1.0, 1.0, 1.0], None, [-inf, nan], [1e300, 1e300]]
+    ddl = "repo_id string, source_type string, source_id string, file_id string, chunk_text string, embedding array<double>"
+    emb = spark.createDataFrame([("r", "symbol", f"s{i}", "f", "t", v) for i, v in enumerate(made)], ddl)
+    asked = [("r", "q", "?", [1.0, 0.0]), ("r", "nan", "?", [nan, 1.0]), ("r", "zero", "?", [0.0, 0.0]), ("none", "q2", "?", [1.0, 0.0])]
+    q = spark.createDataFrame(asked, "repo_id string, query_id string, question string, embedding array<double>")
+    for k, want in ((1, ["s0"]), (2, ["s0", "s9"]), (3, ["s0", "s9", "s2"]), (10, ["s0", "s9", "s2"])):
+        for blocks in ({}, {"vector_block": 2, "query_block": 1}):
+            assert [(r.query_id, r.source_id) for r in ret.vector_topk(emb, q, k, **blocks).orderBy("rank").collect()] == [("q", x) for x in want]
+
+
+def test_search_leaves_the_vectors_where_they_lie(spark, tmp_path):
+    _, _, emb, q = _corpus(spark)
+    emb.write.parquet(str(tmp_path / "emb"))
+    plan = ret.vector_topk(spark.read.parquet(str(tmp_path / "emb")), q, 3, query_block=8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 4 and "CartesianProduct" not in plan and "NestedLoop" not in plan and "Join" not in plan
+    # Below the search there is a scan and nothing that moves rows: what is exchanged are hits, which have no vectors.
+    assert all("embedding" not in line for line in plan.splitlines() if "Exchange" in line)
+    for below in plan.split("MapInArrow")[1:]:
+        assert "Exchange" not in below.split("Scan parquet")[0]
+
+
 def test_quotas(spark):
     rows, questions, emb, q = _corpus(spark)
     got = {}
