@@ -220,6 +220,25 @@ def glossary_search(spark, d):
     return stats.search_glossary(terms, "RING").selectExpr("p_partkey", "name AS p_name", "definition AS p_brand")
 
 
+# Terms of all kinds: parts of names in both cases, wildcards inside and alone, runs that no entry has.
+_TERMS = (
+    "CASE s_suppkey % 12 WHEN 0 THEN upper(substr(s_name, 1, 4)) WHEN 1 THEN 'd_b' WHEN 2 THEN '%' WHEN 3 THEN '' WHEN 4 THEN 'r%g' WHEN 5 THEN 'zzz' "
+    "WHEN 6 THEN '__' WHEN 7 THEN concat('Brand#', s_suppkey % 60) WHEN 8 THEN 'R_N%a' WHEN 9 THEN 'a' WHEN 10 THEN concat('%', s_suppkey % 10, '%') ELSE 'Steel' END"
+)
+
+
+@C.query("glossary_search_terms", f"""WITH terms AS (
+  SELECT s_suppkey AS term_id, 's' || (s_suppkey % 40) AS repo_id, {_TERMS} AS term FROM supplier),
+glossary AS (
+  SELECT 's' || (p_partkey % 40) AS repo_id, p_partkey AS entry_id, p_name AS name, CASE WHEN p_partkey % 7 > 0 THEN p_brand END AS definition FROM part)
+SELECT term_id, repo_id, entry_id FROM terms JOIN glossary USING (repo_id) WHERE name ILIKE '%' || term || '%' OR definition ILIKE '%' || term || '%'""")
+def glossary_search_terms(spark, d):
+    terms = table(spark, d, "supplier").selectExpr("s_suppkey AS term_id", "concat('s', s_suppkey % 40) AS repo_id", f"{_TERMS} AS term")
+    glossary = table(spark, d, "part").selectExpr(
+        "concat('s', p_partkey % 40) AS repo_id", "p_partkey AS entry_id", "p_name AS name", "IF(p_partkey % 7 > 0, p_brand, NULL) AS definition")
+    return stats.search_terms(glossary, terms)
+
+
 @C.query("glossary_search_page", """SELECT p_partkey, p_name FROM part
 WHERE p_name ILIKE '%d_b%' OR p_brand ILIKE '%d_b%' ORDER BY p_name, p_partkey LIMIT 20 OFFSET 20""")
 def glossary_search_page(spark, d):

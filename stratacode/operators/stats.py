@@ -112,6 +112,51 @@ def search_glossary(glossary: DataFrame, query: str) -> DataFrame:
     return glossary.where(F.col("name").ilike(pattern) | F.col("definition").ilike(pattern))
 
 
+GRAM = 3
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of one to ``GRAM`` characters of a text."""
+    chars, n = F.split(text, ""), F.length(text)
+
+    def runs(size: int) -> Column:
+        at = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(size)]))
+
+    return F.array_distinct(F.concat(*[runs(size) for size in range(1, GRAM + 1)]))
+
+
+def _literal_parts(term: Column) -> Column:
+    """What a term asks for letter by letter: its parts between the wildcards."""
+    return F.filter(F.split(term, "[%_]"), lambda part: part != F.lit(""))
+
+
+def search_terms(glossary: DataFrame, terms: DataFrame, entry_key: str = "entry_id", term_key: str = "term_id") -> DataFrame:
+    """``search_glossary`` for a table of terms: (``term_key``, repo_id, ``entry_key``) of every entry that contains the term.
+
+    ``glossary`` has (repo_id, ``entry_key``, name, definition), ``terms`` (repo_id, ``term_key``, term).  Entries are indexed by the runs of one to three characters of
+    their texts.  A term is looked up by the run of its literal parts that the fewest entries of its repository have, and each entry found is verified with ``ilike``.  A
+    term of wildcards only, or an empty one, looks up the empty run, which every entry has.  Null terms find nothing; ``%`` and ``_`` stay wildcards and no
+    character escapes them.
+    """
+    lowered = [F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "definition")]
+    runs = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(c) for c in lowered]))
+    postings = glossary.select("repo_id", entry_key, F.explode(runs).alias("gram"))
+    asked = terms.where("term is not null").select(
+        "repo_id", term_key, "term",
+        F.explode(F.concat(F.array(F.lit("")), F.flatten(F.transform(_literal_parts(F.lower("term")), _grams)))).alias("gram"),
+    )
+    frequency = postings.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # A run that no entry has ends the search; else the rarest one decides, a longer one first among equals.
+    rated = asked.join(frequency, ["repo_id", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rated.groupBy("repo_id", term_key, "term").agg(F.min_by("gram", F.struct("n", -F.length("gram"), "gram")).alias("gram"))
+    found = rarest.join(postings, ["repo_id", "gram"]).select("repo_id", term_key, "term", entry_key)
+    pattern = F.concat(F.lit("%"), F.replace("term", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
+    texts = glossary.select("repo_id", entry_key, "name", "definition")
+    matches = F.call_function("ilike", F.col("name"), pattern) | F.call_function("ilike", F.col("definition"), pattern)
+    return found.join(texts, ["repo_id", entry_key]).where(matches).select(term_key, "repo_id", entry_key)
+
+
 def by_path(df: DataFrame, path: str, column: str = "path") -> DataFrame:
     return df.where(F.col(column) == path)
 
