@@ -1,8 +1,12 @@
-"""Bounded data-flow trace from the entry points of each repository."""
+"""Data-flow trace from the entry points of each repository, as joins.
+
+Entries are walked one after another, all repositories at once.  A walk goes ``hops`` steps breadth-first; a file emits its imports the first time that
+any walk of its repository expands it and never again, which is an anti join with what was expanded before.  The order of the trace is a key
+of its own: (rank of the entry, hop, path of files that led to the parent, import path), so the report is cut last, from whole rows.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,43 +14,48 @@ from stratacode.operators.common import top_k
 from stratacode.operators.edges import file_dependency_paths
 from stratacode.session import cut_lineage
 
+# What the report of a brief shows.
 MAX_ENTRIES = 5
 HOPS = 2
 MAX_EDGES = 40
 
-_TRACE = "repo_id string, step int, from_path string, to_path string, hop int"
-
+ORDER = ["entry_rank", "hop", "via", "to_path"]
 
-def _trace_one_repo(hops: int, max_edges: int):
-    """Breadth-first walk over one repository's (already bounded) neighbourhood."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["from_path", "to_path", "entry_rank"])
-        entries = pdf.dropna(subset=["entry_rank"]).sort_values("entry_rank")["from_path"].tolist()
-        pairs = pdf.dropna(subset=["to_path"]).sort_values(["from_path", "to_path"])
-        targets = {p: list(dict.fromkeys(g)) for p, g in pairs.groupby("from_path")["to_path"]}
-        out, expanded = [], set()
-        for entry in dict.fromkeys(entries):
-            level = [entry]
-            for hop in range(1, hops + 1):
-                # A parent emits its edges only the first time it is expanded.
-                fresh = [p for p in dict.fromkeys(level) if p not in expanded]
-                expanded.update(fresh)
-                step = [(p, t, hop) for p in fresh for t in targets.get(p, [])]
-                out.extend(step)
-                level = [t for _, t, _ in step]
-        rows = out[:max_edges]
-        return pd.DataFrame(
-            {
-                "repo_id": pdf["repo_id"].iloc[0],
-                "step": range(1, len(rows) + 1),
-                "from_path": [r[0] for r in rows],
-                "to_path": [r[1] for r in rows],
-                "hop": [r[2] for r in rows],
-            }
-        )
+def trace(entry_points: DataFrame, files: DataFrame, edges: DataFrame, hops: int = HOPS, max_entries: int | None = None) -> DataFrame:
+    """Every import met by the walks: (repo_id, entry_rank, hop, via, from_path, to_path), in the order of ``ORDER`` within a repository.
 
-    return walk
+    ``entry_points`` has (repo_id, path, entry_rank); ``via`` lists the files from the entry to ``from_path``, the least such list where several lead
+    there.  Entries that are no file of their repository are left out.  There is one small job per rank and hop, whatever the number of repositories.
+    """
+    paths = files.select("repo_id", "file_id", F.col("path").alias("from_path"))
+    # Every step reads this table, so it is materialised once.
+    imports = cut_lineage(
+        file_dependency_paths(edges, files).join(paths, ["repo_id", "file_id"])
+        .select("repo_id", "from_path", F.col("target_path").alias("to_path")).distinct()
+    )
+    asked = entry_points if max_entries is None else entry_points.where(F.col("entry_rank") <= max_entries)
+    entries = cut_lineage(
+        asked.select("repo_id", F.col("path").alias("from_path"), F.col("entry_rank").cast("int").alias("entry_rank"))
+        .join(paths.select("repo_id", "from_path"), ["repo_id", "from_path"], "left_semi")
+    )
+    ranks = sorted(r[0] for r in entries.select("entry_rank").distinct().collect())
+    node = ["repo_id", "from_path"]
+    expanded, steps = entries.select(*node).limit(0), None
+    for rank in ranks:
+        level = entries.where(F.col("entry_rank") == rank).groupBy(*node).agg(F.array("from_path").alias("via"))
+        for hop in range(1, hops + 1):
+            fresh = cut_lineage(level.join(expanded, node, "left_anti"))
+            if fresh.isEmpty():
+                break
+            expanded = expanded.unionByName(fresh.select(*node))
+            step = fresh.join(imports, node).select("repo_id", F.lit(rank).alias("entry_rank"), F.lit(hop).alias("hop"), "via", "from_path", "to_path")
+            steps = step if steps is None else steps.unionByName(step)
+            level = step.groupBy("repo_id", F.col("to_path").alias("from_path")).agg(F.min(F.concat("via", F.array("to_path"))).alias("via"))
+    if steps is None:
+        none = F.lit(None)
+        return imports.limit(0).select("repo_id", none.cast("int").alias("entry_rank"), none.cast("int").alias("hop"), none.cast("array<string>").alias("via"), "from_path", "to_path")
+    return steps
 
 
 def trace_data_flow(
@@ -54,41 +63,10 @@ def trace_data_flow(
     files: DataFrame,
     edges: DataFrame,
     hops: int = HOPS,
-    max_edges: int = MAX_EDGES,
-    max_entries: int = MAX_ENTRIES,
+    max_edges: int | None = MAX_EDGES,
+    max_entries: int | None = MAX_ENTRIES,
 ) -> DataFrame:
-    """Edges met by a walk of ``hops`` steps from the first entry points, in order.
-
-    ``entry_points`` has (repo_id, path, entry_rank).  The report stops after
-    ``max_edges`` edges, so only the first ``max_edges`` imports of a file (by path)
-    can ever appear in it: cutting each file's imports there is exact and bounds
-    what one repository contributes to the final walk.
-    """
-    paths = files.select("repo_id", "file_id", F.col("path").alias("from_path"))
-    imports = file_dependency_paths(edges, files).join(paths, ["repo_id", "file_id"]).select(
-        "repo_id", "from_path", F.col("target_path").alias("to_path")
-    )
-    # Every hop reads this table, so it is materialised once.
-    nearest = cut_lineage(top_k(imports, ["repo_id", "from_path"], ["to_path"], max_edges, "_n").drop("_n"))
-    first = entry_points.where(F.col("entry_rank") <= max_entries).select(
-        "repo_id", F.col("path").alias("from_path"), F.col("entry_rank").cast("double").alias("entry_rank")
-    )
-    frontier = first.join(paths.select("repo_id", "from_path"), ["repo_id", "from_path"], "left_semi")
-    reached = frontier.join(nearest, ["repo_id", "from_path"], "left")
-    parts = [reached]
-    level = reached
-    for _ in range(hops - 1):
-        parents = (
-            level.where(F.col("to_path").isNotNull())
-            .select("repo_id", F.col("to_path").alias("from_path")).distinct()
-        )
-        level = parents.join(nearest, ["repo_id", "from_path"]).withColumn("entry_rank", F.lit(None).cast("double"))
-        parts.append(level)
-    neighbourhood = parts[0]
-    for part in parts[1:]:
-        neighbourhood = neighbourhood.unionByName(part)
-    return (
-        neighbourhood.select("repo_id", "from_path", "to_path", "entry_rank")
-        .groupBy("repo_id")
-        .applyInPandas(_trace_one_repo(hops, max_edges), _TRACE)
-    )
+    """The first ``max_edges`` imports of the trace of each repository, numbered by ``step``; all of them with ``None``."""
+    whole = trace(entry_points, files, edges, hops, max_entries)
+    shown = top_k(whole, ["repo_id"], ORDER, max_edges if max_edges is not None else (1 << 31) - 1, "step")
+    return shown.select("repo_id", "step", "from_path", "to_path", "hop")
