@@ -11,7 +11,7 @@ from catalog.base import Catalog, table
 from stratacode import schemas
 from stratacode.operators.writes import append_ignore, read_table, write_table
 from stratacode.session import ensure_checkpoint_dir
-from stratacode.streaming import commit_ingest, progress
+from stratacode.streaming import commit_ingest, keyed, progress
 
 C = Catalog()
 
@@ -23,6 +23,10 @@ _RAW = (
 )
 
 
+BATCHES = 4
+LATE = "event_id * 7919 % 4"  # deals events of all times over the batches, so each batch after the first brings late ones
+
+
 def _run_dir(spark) -> str:
     return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -33,51 +37,52 @@ def _stream(spark, d, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _finish(df: DataFrame, mode: str) -> DataFrame:
+def _late_events(spark, d):
+    """The event table as a stream of ``BATCHES`` files, one a micro-batch; every file holds events of all times."""
+    events, path = table(spark, d, "events"), f"{_run_dir(spark)}/in"
+    for i in range(BATCHES):
+        events.where(f"{LATE} = {i}").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return progress.progress_events(stream.selectExpr(*_RAW))
+
+
+def _finish(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream to its end and read what it stored in the checkpoint folder."""
     spark = df.sparkSession
     base = _run_dir(spark)
-
-    def store(batch: DataFrame, _batch_id: int) -> None:
-        # Complete mode replaces the whole result, append mode adds to it.
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
-
-    query = (
-        df.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{base}/state")
-        .trigger(availableNow=True).start()
-    )
+    query = keyed.store(df, f"{base}/out", f"{base}/state", mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+    return keyed.read_latest(spark, f"{base}/out", df.schema, keys) if keys else keyed.read_all(spark, f"{base}/out", df.schema).drop(keyed.BATCH)
 
 
 @C.query("progress_events", """SELECT user_id::VARCHAR AS repo_id, event_id, CASE event_type WHEN 'purchase' THEN 'done' ELSE event_type END AS event,
   props AS message, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts,
   CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'parsing' END AS status FROM events""")
 def progress_events(spark, d):
-    events = progress.progress_events(_stream(spark, d, "events").selectExpr(*_RAW))
-    return _finish(events, "append").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return _finish(_late_events(spark, d), "append").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @C.query("repo_status", """SELECT user_id::VARCHAR AS repo_id, count(*) AS n_events, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_event,
   arg_max(CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'error' THEN 'failed' ELSE 'parsing' END, ts)
     FILTER (event_type IN ('purchase', 'error', 'signup')) AS status FROM events GROUP BY 1""")
 def repo_status(spark, d):
-    events = progress.progress_events(_stream(spark, d, "events").selectExpr(*_RAW))
-    status = _finish(progress.repo_status(events), "complete")
+    status = _finish(progress.repo_status(_late_events(spark, d)), "update", ["repo_id"])
     return status.withColumn("last_event", F.date_format("last_event", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@C.query("finished_repos", "SELECT DISTINCT user_id::VARCHAR AS repo_id FROM events WHERE event_type IN ('purchase', 'error')")
+_FIRST_END = """SELECT repo_id, event_id, event FROM (
+  SELECT user_id::VARCHAR AS repo_id, event_id, CASE event_type WHEN 'purchase' THEN 'done' ELSE 'error' END AS event,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events WHERE event_type IN ('purchase', 'error')) WHERE rn = 1"""
+
+
+@C.query("finished_repos", _FIRST_END)
 def finished_repos(spark, d):
-    """As a stream; all events arrive in one batch, so each repository is reported once."""
-    events = progress.progress_events(_stream(spark, d, "events").selectExpr(*_RAW))
-    return _finish(progress.finished(events), "append").select("repo_id")
+    """As a stream: a terminal event that arrives late replaces the one reported before."""
+    return _finish(progress.finished(_late_events(spark, d)), "update", ["repo_id"]).select("repo_id", "event_id", "event")
 
 
-@C.query("first_terminal_events", """SELECT repo_id, event_id, event FROM (
-  SELECT user_id::VARCHAR AS repo_id, event_id, CASE event_type WHEN 'purchase' THEN 'done' ELSE 'error' END AS event,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
-  FROM events WHERE event_type IN ('purchase', 'error')) WHERE rn = 1""")
+@C.query("first_terminal_events", _FIRST_END)
 def first_terminal_events(spark, d):
     events = progress.progress_events(table(spark, d, "events").selectExpr(*_RAW))
     return progress.finished(events).select("repo_id", "event_id", "event")

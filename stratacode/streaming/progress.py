@@ -28,7 +28,8 @@ def progress_events(raw: DataFrame, repo_id: str | None = None) -> DataFrame:
 def repo_status(events: DataFrame) -> DataFrame:
     """Latest status, number of events and last event time per repository.
 
-    Events without a status count but do not change it.
+    Events without a status count but do not change it.  On a stream the state is one row per repository and events may come late: run it in update mode, where a
+    batch gives the repositories it touched.
     """
     reported = F.when(F.col("status").isNotNull(), F.struct("ts", "event_id"))
     return events.groupBy("repo_id").agg(
@@ -38,14 +39,12 @@ def repo_status(events: DataFrame) -> DataFrame:
     )
 
 
-def finished(events: DataFrame, terminal=TERMINAL_EVENTS, delay: str = "1 hour") -> DataFrame:
-    """First terminal event of each repository.
+def finished(events: DataFrame, terminal=TERMINAL_EVENTS) -> DataFrame:
+    """First terminal event of each repository by (ts, event_id).
 
-    On a stream the state of a repository is dropped once the watermark has passed,
-    so a later re-ingest is reported again.
+    The same on streams, in update mode: the state keeps the smallest event of a repository (one row each, no watermark needed), and one that arrives late but
+    happened earlier replaces what was reported.
     """
-    ends = events.where(F.col("event").isin(*terminal)).select("repo_id", "event_id", "event", "ts")
-    if ends.isStreaming:
-        return ends.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["repo_id"])
+    ends = events.where(F.col("event").isin(*terminal))
     first = F.min_by(F.struct("event_id", "event", "ts"), F.struct("ts", "event_id"))
     return ends.groupBy("repo_id").agg(first.alias("e")).select("repo_id", "e.*")

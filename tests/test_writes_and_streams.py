@@ -3,9 +3,11 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from stratacode import schemas
 from stratacode.operators import writes
-from stratacode.streaming import commit_ingest, progress
+from stratacode.streaming import commit_ingest, keyed, progress
 
 
 def _commits(spark, rows):
@@ -96,13 +98,36 @@ def test_progress_stream_equals_batch(spark, tmp_path, rows):
     events = progress.progress_events(stream)
     assert rows(run(events, "append", "all_events")) == rows(batch) and batch.count() == len(EVENTS)
     assert rows(progress.progress_events(spark.read.schema(RAW).json(str(source)), "b"), "event_id") == [(3,), (4,)]
+    for i, (df, want) in enumerate([(progress.repo_status(events), progress.repo_status(batch)), (progress.finished(events), progress.finished(batch))]):
+        out, state = str(tmp_path / f"out{i}"), str(tmp_path / f"state{i}")
+        keyed.store(df, out, state, "update").trigger(availableNow=True).start().awaitTermination()
+        assert rows(keyed.read_latest(spark, out, df.schema, ["repo_id"])) == rows(want)
+        # A batch that is run again changes nothing.
+        stored = keyed.read_all(spark, out, df.schema)
+        last = stored.agg(F.max(keyed.BATCH)).first()[0]
+        again = spark.createDataFrame(stored.where(F.col(keyed.BATCH) == last).drop(keyed.BATCH).collect(), df.schema)
+        keyed.batch_writer(out)(again, last)
+        assert last >= 3 and rows(keyed.read_latest(spark, out, df.schema, ["repo_id"])) == rows(want)
     status = run(progress.repo_status(events), "complete", "status_now")
     assert rows(status) == rows(progress.repo_status(batch))
     assert rows(status, "repo_id", "status", "n_events") == [("a", "ready", 6), ("b", "failed", 2)]
-    assert rows(run(progress.finished(events), "append", "ended"), "repo_id") == [("a",), ("b",)]
     assert rows(progress.finished(batch), "repo_id", "event_id", "event") == [("a", 6, "done"), ("b", 4, "error")]
 
 
+def test_late_terminal_event_replaces_a_later_one(spark, tmp_path, rows):
+    source = tmp_path / "late"
+    source.mkdir()
+    for i, (n, event) in enumerate([(50, "done"), (70, "error"), (20, "error"), (20, "done"), (60, "info")]):
+        data = {"event": event, "message": "m", "timestamp": f"2024-01-01T00:00:{n // 10:02d}+00:00", "status": event}
+        (source / f"{i}.json").write_text(json.dumps({"channel": "task:a:logs", "event_id": 10 - i, "data": json.dumps(data)}))
+    stream = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).json(str(source))
+    df = progress.finished(progress.progress_events(stream))
+    out = str(tmp_path / "out")
+    keyed.store(df, out, str(tmp_path / "state"), "update").trigger(availableNow=True).start().awaitTermination()
+    assert rows(keyed.read_latest(spark, out, df.schema, ["repo_id"]), "repo_id", "event_id", "event") == [("a", 7, "done")]
+    assert len(rows(keyed.read_all(spark, out, df.schema))) >= 3
+
+
 def test_commit_stream_is_insert_ignore(spark, tmp_path, rows):
     path, source = str(tmp_path / "commits"), str(tmp_path / "in")
     writes.write_table(_commits(spark, [("r", "h0", "kept", 0)]), path)
