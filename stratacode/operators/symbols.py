@@ -112,8 +112,9 @@ def _outside(content: Column, lines: Column, python: Column) -> Column:
     Only what spans lines matters, so files without any of it are not scanned.
     """
     bare = F.regexp_replace(content, _ESCAPED, "  ")
-    flags = _silent_lines(bare)
-    template = F.transform(lines, lambda line, i: F.when(F.substring(flags, i + 1, F.lit(1)) == "1", F.lit("")).otherwise(line))
+    # As an argument of its own, the scan runs once for the file and not once for every line.
+    flags = F.slice(F.split(_silent_lines(bare), ""), F.lit(1), F.size(lines))
+    template = F.zip_with(lines, flags, lambda line, flag: F.when(flag == "1", F.lit("")).otherwise(line))
     return (
         F.when(python & content.rlike("\"{3}|'{3}"), F.split(_blanked(bare, _PY_SILENT), "\n"))
         .when(~python & content.contains("`"), template)
