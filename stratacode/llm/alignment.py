@@ -34,9 +34,9 @@ from stratacode.llm.staging import stage
 CHUNK_BYTES = 1 << 16
 FANOUT = 16
 HEAVY_BITS = 20
-UNITS = 400_000  # distinct units that a worker remembers, but for those of one batch
-BATCH_BYTES = 4 << 20
-HELD_LINKS = 4_000_000  # links that a task sums before it sends them
+UNITS = 300_000  # distinct units that a worker remembers, but for those of one batch
+BATCH_BYTES = 1 << 20
+HELD_LINKS = 2_000_000  # links that a task sums before it sends them
 PAIR = 1 << 32
 
 # White space other than ASCII, in UTF-8 (fixed values of the Unicode property).
