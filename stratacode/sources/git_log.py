@@ -21,13 +21,19 @@ _DATE = "yyyy-MM-dd HH:mm:ss Z"
 
 
 def read_git_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """(repo_id, line_no, line) of ``<folder>/<repo_id>.log`` files, one row per file while splitting."""
-    texts = spark.read.text(folder, wholetext=True).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("repo_id"), "value"
-    )
-    return texts.select("repo_id", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line")).select(
-        "repo_id", F.col("line_no").cast("bigint").alias("line_no"), "line"
+    """(repo_id, line_no, line) of ``<folder>/<repo_id>.log`` files of any size.
+
+    Logs are read by splits.  ``line_no`` rises with the lines of a log but is not gapless: it is twice the byte at which a line's split starts plus its place in
+    the split, and a split has at most one line more than bytes.  Places come from one small count per split.
+    """
+    read = spark.read.option("lineSep", "\n").text(folder).select(
+        F.regexp_replace("_metadata.file_name", r"\.[^.]*$", "").alias("repo_id"), "_metadata.file_path", "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("read_no"), F.regexp_replace("value", r"\r$", "").alias("line"),
     )
+    split = ["file_path", "file_block_start"]
+    first = read.groupBy(*split).agg(F.min("read_no").alias("first_no"))
+    line_no = 2 * F.col("file_block_start") + F.col("read_no") - F.col("first_no")
+    return read.join(first, split).select("repo_id", line_no.alias("line_no"), "line")
 
 
 def new_path(path: Column) -> Column:
