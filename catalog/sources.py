@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog, table
 from stratacode import schemas
 from stratacode.operators.symbols import extract_symbols
+from stratacode.session import ensure_checkpoint_dir
 from stratacode.sources import git_log, tree
 from stratacode.sources.pull_requests import normalise_pull_requests
 
@@ -110,11 +113,19 @@ _PATHS = (
 )
 
 
+# Some files are empty, and some are listed but not opened.
+_CONTENT = "CASE WHEN doc_id % 27 = 3 THEN '' WHEN doc_id % 9 = 6 THEN NULL ELSE text END"
+
+
 def _tree_files(spark, d):
-    return table(spark, d, "documents").selectExpr("concat('doc', doc_id) AS repo_id", f"{_PATHS} AS path", "text AS content")
+    """A stored listing of files, one repository a document, read back by a scan."""
+    made = table(spark, d, "documents").selectExpr("concat('doc', doc_id) AS repo_id", f"{_PATHS} AS path", f"{_CONTENT} AS content")
+    path = f"{ensure_checkpoint_dir(spark)}/listing-{uuid.uuid4().hex}"
+    tree.write_listing(made, path)
+    return tree.read_listing(spark, path)
 
 
-@C.query("source_files", f"""WITH f AS (SELECT 'doc' || doc_id AS repo_id, doc_id, text, {_PATHS} AS path FROM documents)
+@C.query("source_files", f"""WITH f AS (SELECT 'doc' || doc_id AS repo_id, doc_id, {_CONTENT} AS text, {_PATHS} AS path FROM documents)
 SELECT repo_id, path, CASE doc_id % 9 WHEN 0 THEN 'python' WHEN 3 THEN 'typescript' ELSE 'rust' END AS language,
        (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS loc FROM f WHERE doc_id % 9 IN (0, 3, 8)""")
 def source_files(spark, d):

@@ -2,6 +2,8 @@
 
 SOURCE_FILES = "repo_id string, path string, content string"
 
+LISTING = "repo_id string, path string, size bigint, content string"
+
 REPOSITORIES = (
     "repo_id string, repo_number int, user_id string, github_url string, name string, "
     "default_branch string, primary_language string, status string, "
@@ -68,6 +70,11 @@ READING_ORDER = (
     "tier int, position bigint, annotation string"
 )
 
+GUIDES = (
+    "repo_id string, reading_order array<struct<path:string,position:bigint,annotation:string>>, critical_files array<struct<path:string,criticality:string,"
+    "reasons:array<string>>>, key_modules array<struct<path:string,fan_in:int>>, architecture_narrative string, generated_at timestamp"
+)
+
 PROGRESS_EVENTS = (
     "repo_id string, event_id bigint, event string, message string, ts timestamp, status string"
 )
@@ -83,11 +90,13 @@ TABLES = {
     "embeddings": EMBEDDINGS,
     "glossary": GLOSSARY,
     "reading_order": READING_ORDER,
+    "guides": GUIDES,
     "progress_events": PROGRESS_EVENTS,
 }
 
 # Child tables removed together with a repository, and the column that links them.
 REPO_CHILDREN = (
     "files", "symbols", "dependencies", "commits", "pull_requests", "code_owners",
-    "embeddings", "glossary", "reading_order", "progress_events",
+    "embeddings", "glossary", "reading_order", "guides",
+    "progress_events",
 )

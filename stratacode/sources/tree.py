@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,29 +25,30 @@ def _base_uri(spark: SparkSession, root: str) -> str:
     return path.getFileSystem(conf).makeQualified(path).toString().rstrip("/")
 
 
-def _empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """(repo_id, path, content) of files without a byte.
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(repo_id, path, size) of a listing with one line a file: its bytes, a tab, and its path below the root (``find . -type f -printf '%s\\t%P\\n'``).
 
-    Spark's file sources leave such files out, yet an empty module is a source file.
-    Only the repository names are listed on the driver; each task lists its own
-    repositories.
+    The lines are read by splits; a line that is none of this drops out.
     """
-    uri = _base_uri(spark, root)
-    top_fs, top_path = fs.FileSystem.from_uri(uri)
-    repos = [i.base_name for i in top_fs.get_file_info(fs.FileSelector(top_path)) if i.type == fs.FileType.Directory]
+    line = F.regexp_extract("value", r"^(\d+)\t([^/]+)/(.+)$", 0)
+    parts = [F.regexp_extract("value", r"^(\d+)\t([^/]+)/(.+)$", i) for i in (1, 2, 3)]
+    read = spark.read.option("lineSep", "\n").text(path).where(line != "")
+    return read.select(parts[1].alias("repo_id"), parts[2].alias("path"), parts[0].cast("bigint").alias("size"))
 
-    def listed(batches):
-        for pdf in batches:
-            for repo in pdf["repo_id"]:
-                system, path = fs.FileSystem.from_uri(f"{uri}/{repo}")
-                below = [
-                    i.path[len(path):].lstrip("/") for i in system.get_file_info(fs.FileSelector(path, recursive=True))
-                    if i.type == fs.FileType.File and i.size == 0
-                ]
-                yield pd.DataFrame({"repo_id": repo, "path": below, "content": ""}).astype(object)
 
-    names = spark.createDataFrame([(r,) for r in repos], "repo_id string")
-    return names.repartition("repo_id").mapInPandas(listed, schemas.SOURCE_FILES)
+def _empty_files(manifest: DataFrame) -> DataFrame:
+    """(repo_id, path, content) of files without a byte: Spark's file sources leave such files out, yet an empty module is a source file."""
+    return manifest.where("size = 0").select("repo_id", "path", F.lit("").alias("content"))
+
+
+def write_listing(files: DataFrame, path: str) -> None:
+    """Store (repo_id, path, content) rows as a listing table with the size of each file."""
+    files.select("repo_id", "path", F.coalesce(F.octet_length("content"), F.lit(0)).cast("bigint").alias("size"), "content").write.parquet(path)
+
+
+def read_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(repo_id, path, content) of a stored listing: one scan, of which filters on paths read no content."""
+    return spark.read.schema(schemas.LISTING).parquet(path).drop("size")
 
 
 def _read_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -70,18 +69,19 @@ def _text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
     """(repo_id, path, content) of every file below ``root/<repo_id>/``.
 
     Only sources, manifests and READMEs are opened; the other files are listed with
-    null content, since no rule looks into them.
+    null content, since no rule looks into them.  Files without a byte are known from ``manifest`` only (``read_manifest``).
     """
     name = base_name(F.col("path"))
     opened = suffix(F.col("path")).isin(*SUFFIX_LANGUAGE) | F.lower(name).isin(*OPENED_NAMES)
     files = _read_files(spark, root, "*")
     read = files.where(opened).withColumn("content", _text(F.col("content")))
     listed = files.where(~opened).select("repo_id", "path", F.lit(None).cast("string").alias("content"))
-    return read.unionByName(listed).unionByName(_empty_files(spark, root))
+    found = read.unionByName(listed)
+    return found if manifest is None else found.unionByName(_empty_files(manifest))
 
 
 def keep_source_files(files: DataFrame) -> DataFrame:
@@ -90,11 +90,11 @@ def keep_source_files(files: DataFrame) -> DataFrame:
     return files.where(suffix(path).isin(*SUFFIX_LANGUAGE) & ~in_skipped_dir(path))
 
 
-def scan_source_tree(spark: SparkSession, root: str) -> DataFrame:
+def scan_source_tree(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
     """Source files only; suffix and folder filters run on the path, before a file is decoded."""
     wanted = "*{" + ",".join(SUFFIX_LANGUAGE) + "}"
     read = keep_source_files(_read_files(spark, root, wanted)).withColumn("content", _text(F.col("content")))
-    return read.unionByName(keep_source_files(_empty_files(spark, root)))
+    return read if manifest is None else read.unionByName(keep_source_files(_empty_files(manifest)))
 
 
 def to_files(source_files: DataFrame) -> DataFrame:

@@ -40,10 +40,36 @@ def test_git_log(spark):
     assert git_log.newest_commits(commits, 2).count() == 2
 
 
-def test_read_git_logs(spark, tmp_path):
-    (tmp_path / "one.log").write_text("a\nb\n")
+def _log_of(rng, commits):
+    out = []
+    for i in range(commits):
+        out.append(f"{rng.getrandbits(160):040x}|a{i % 7}@x|A{i % 7}|subject {i}|2024-01-{i % 28 + 1:02d} 00:00:00 +0000")
+        out += ["", *(f"{k}\t{i % 5}\tsrc/f{rng.randrange(9)}.py" for k in range(rng.randrange(12)))]
+    return "\n".join(out) + "\n"
+
+
+def test_logs_are_read_by_splits(spark, tmp_path, rows):
+    (tmp_path / "one.log").write_bytes(b"a\r\nb\n\n\nc")
     got = git_log.read_git_logs(spark, str(tmp_path)).orderBy("line_no").collect()
-    assert [(r.repo_id, r.line_no, r.line) for r in got] == [("one", 0, "a"), ("one", 1, "b"), ("one", 2, "")]
+    assert [(r.repo_id, r.line) for r in got] == [("one", x) for x in ("a", "b", "", "", "c")]
+    rng = random.Random(6)
+    logs, folder = {f"r.{i}": _log_of(rng, 60) for i in range(3)}, tmp_path / "logs"
+    folder.mkdir()
+    for repo, text in logs.items():
+        (folder / f"{repo}.log").write_text(text)
+    whole = spark.createDataFrame([(r, i, line) for r, t in logs.items() for i, line in enumerate(t.split("\n"))], "repo_id string, line_no bigint, line string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        split = git_log.read_git_logs(spark, str(folder))
+        assert split.select("line_no").rdd.getNumPartitions() > 6
+        for repo, text in logs.items():
+            assert [r.line for r in split.where(F.col("repo_id") == repo).orderBy("line_no").collect()] == text.split("\n")[:-1]
+        for got, want in zip(git_log.parse_git_log(split, "2030-01-01 00:00:00", 64), git_log.parse_git_log(whole, "2030-01-01 00:00:00")):
+            columns = [c for c in want.columns if c not in ("log_pos", "line_no")]
+            assert rows(got, *columns) == rows(want, *columns)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_rename_paths(spark):
@@ -62,14 +88,31 @@ def test_source_tree(spark, tmp_path, rows):
         target.write_text(text)
     (tmp_path / "r2/raw.py").write_bytes(b"x = '\xff'\n")
     (tmp_path / "r2/logo.png").write_bytes(b"\x89PNG")
-    source = tree.scan_source_tree(spark, str(tmp_path))
+    manifest = tmp_path / "manifest.tsv"
+    listed = [p for p in sorted(tmp_path.rglob("*")) if p.is_file()]
+    manifest.write_text("".join(f"{p.stat().st_size}\t{p.relative_to(tmp_path).as_posix()}\n" for p in listed))
+    sizes = tree.read_manifest(spark, str(manifest))
+    assert sizes.count() == 10 and sizes.where("size = 0").count() == 4
+    manifest.rename(tmp_path.parent / f"{tmp_path.name}.tsv")
+    sizes = tree.read_manifest(spark, str(tmp_path.parent / f"{tmp_path.name}.tsv"))
+    assert rows(tree.to_files(tree.scan_source_tree(spark, str(tmp_path))), "path") == [("raw.py",), ("src/a.py",)]
+    source = tree.scan_source_tree(spark, str(tmp_path), sizes)
     assert rows(tree.to_files(source), "repo_id", "path", "language", "loc") == [("r1", "src/a.py", "python", 3), ("r2", "c.tsx", "typescript", 1), ("r2", "raw.py", "python", 2)]
-    listing = tree.scan_tree(spark, str(tmp_path))
+    listing = tree.scan_tree(spark, str(tmp_path), sizes)
     assert listing.count() == 10
     assert {r.path: r.content for r in listing.where("path LIKE '%.p%' AND repo_id = 'r2'").collect()} == {"raw.py": "x = '\ufffd'\n", "logo.png": None}
     assert rows(tree.pick_readme(listing)) == [("r1", "hi"), ("r2", "two")]
 
 
+def test_stored_listing_keeps_empty_and_unopened_files(spark, tmp_path, rows):
+    files = spark.createDataFrame([("r", "a.py", "x\n"), ("r", "b.py", ""), ("r", "logo.png", None), ("q", "README.md", "hi")], "repo_id string, path string, content string")
+    tree.write_listing(files, str(tmp_path / "listing"))
+    back = tree.read_listing(spark, str(tmp_path / "listing"))
+    assert rows(back) == rows(files)
+    plan = tree.keep_source_files(back).select("repo_id", "path")._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema:")[1]
+
+
 def test_pull_requests(spark, tmp_path):
     raw = [
         {"repo_id": "r", "number": 1, "title": " T ", "body": None, "user": None, "requested_reviewers": [{"login": "a"}, {"login": None}], "changed_files": None, "merged_at": "2024-01-01T00:00:00Z", "updated_at": "2024-01-02"},
