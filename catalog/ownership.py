@@ -220,6 +220,13 @@ def glossary_search(spark, d):
     return stats.search_glossary(terms, "RING").selectExpr("p_partkey", "name AS p_name", "definition AS p_brand")
 
 
+@C.query("glossary_next_page", """SELECT p_partkey, p_name FROM part
+WHERE (p_name ILIKE '%d_b%' OR p_brand ILIKE '%d_b%') AND (p_name > 'c' OR (p_name = 'c' AND p_partkey > 50)) ORDER BY p_name, p_partkey LIMIT 20""")
+def glossary_next_page(spark, d):
+    terms = table(spark, d, "part").selectExpr("p_partkey", "p_name AS name", "p_brand AS definition")
+    return stats.page_after(stats.search_glossary(terms, "d_b"), ["name", "p_partkey"], ("c", 50), 20).selectExpr("p_partkey", "name AS p_name")
+
+
 # Terms of all kinds: parts of names in both cases, wildcards inside and alone, runs that no entry has.
 _TERMS = (
     "CASE s_suppkey % 12 WHEN 0 THEN upper(substr(s_name, 1, 4)) WHEN 1 THEN 'd_b' WHEN 2 THEN '%' WHEN 3 THEN '' WHEN 4 THEN 'r%g' WHEN 5 THEN 'zzz' "

@@ -6,8 +6,15 @@ top-k reduce on the map side, and ranking splits a key over many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stratacode.session import cut_lineage
 
@@ -32,36 +39,57 @@ def top_k(df: DataFrame, keys: list[str], order: list, k, rank_col: str = "rank"
     return df.withColumn(rank_col, F.row_number().over(window)).where(F.col(rank_col) <= k)
 
 
+def _run_places(n_keys: int):
+    """Adds to sorted rows: the slice (task), the run of equal keys within it from 0, and the place in the run from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, runs, place, last = TaskContext.get().partitionId(), 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.zeros(batch.num_rows, bool)
+            for column in batch.columns[:n_keys]:
+                codes = pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                starts[1:] |= codes[1:] != codes[:-1]
+            first = [column[0].as_py() for column in batch.columns[:n_keys]]
+            starts[0] = last is not None and first != last
+            at = np.arange(batch.num_rows)
+            begin = np.maximum.accumulate(np.where(starts, at, -1))
+            places = np.where(begin < 0, place + at + 1, at - begin + 1)
+            run_no = runs + np.cumsum(starts)
+            last, place, runs = [column[-1].as_py() for column in batch.columns[:n_keys]], int(places[-1]), int(run_no[-1])
+            added = [pa.array(np.full(batch.num_rows, task, np.int64)), pa.array(run_no.astype(np.int64)), pa.array(places.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_slice", "_run", "_place"])
+
+    return run
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list, position_col: str = "position") -> DataFrame:
     """1-based position of every row within its key, for keys of any size.
 
-    Rows are range-partitioned on (key, order), so a hot key spreads over many
-    tasks.  The ranged rows are written to the checkpoint folder first: partition
-    numbers must not change between counting and numbering.  Positions are then
-    the rank inside the slice plus the size of the key's earlier slices.
-    ``order`` must be total within the key.
+    One exchange: rows are range-partitioned on (key, order), so a hot key spreads over many tasks, sorted in their task and numbered as they pass.  They are
+    written to the checkpoint folder then, because slices must not change afterwards.  Only the first key of a slice can have begun in an earlier one; what
+    it had there is one number per slice, and that table (as many rows as slices) is broadcast.  ``order`` must be total within the key.
     """
     ordering = [F.col(k) for k in keys] + as_columns(order)
-    ranged = cut_lineage(
-        df.repartitionByRange(*ordering).withColumn("_slice", F.spark_partition_id())
-    )
-    slice_keys = [*keys, "_slice"]
-    before = F.coalesce(
-        F.sum("_n").over(
-            Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0),
+    columns = [*keys, *(c for c in df.columns if c not in keys)]
+    placed = StructType([*df.select(*columns).schema.fields, *[StructField(c, LongType()) for c in ("_slice", "_run", "_place")]])
+    ranged = df.repartitionByRange(*ordering).sortWithinPartitions(*ordering).select(*columns)
+    numbered = cut_lineage(ranged.mapInArrow(_run_places(len(keys)), placed))
+    key, at = F.struct(*keys), F.struct("_run", "_place")
+    slices = numbered.groupBy("_slice").agg(
+        F.min_by(key, at).alias("first_key"), F.max_by(key, at).alias("last_key"), F.max_by("_place", at).alias("n_last")
     )
-    offsets = (
-        ranged.groupBy(*slice_keys).agg(F.count(F.lit(1)).alias("_n"))
-        .select(*slice_keys, before.alias("_before"))
+    earlier = slices.select(F.col("_slice").alias("earlier"), F.col("last_key").alias("ended_key"), F.col("n_last").alias("n_ended"))
+    before = (
+        slices.join(earlier, F.col("first_key").eqNullSafe(F.col("ended_key")) & (F.col("earlier") < F.col("_slice")))
+        .groupBy("_slice").agg(F.sum("n_ended").alias("_before"))
     )
-    inside = F.row_number().over(Window.partitionBy(*slice_keys).orderBy(*as_columns(order)))
+    begun = F.when(F.col("_run") == 0, F.coalesce("_before", F.lit(0))).otherwise(0)
     return (
-        ranged.withColumn("_inside", inside)
-        .join(offsets, slice_keys)
-        .withColumn(position_col, (F.col("_inside") + F.col("_before")).cast("bigint"))
-        .drop("_slice", "_inside", "_before")
+        numbered.join(F.broadcast(before), "_slice", "left")
+        .withColumn(position_col, (F.col("_place") + begun).cast("bigint"))
+        .select(*df.columns, position_col)
     )
 
 

@@ -189,11 +189,35 @@ def list_repositories(repositories: DataFrame, user_id=None, limit: int = 200) -
 
 
 def paginate(df: DataFrame, order: list[str], page: int, page_size: int, max_page_size: int = 100):
-    """(rows of one page, one-row total).  Pages count from 1; order must be total."""
+    """(rows of one page, one-row total).  Pages count from 1; order must be total.
+
+    The first page is a top-k.  A later one is cut from distributed positions, so no task sorts the pages before it; who walks through all pages takes ``page_after``.
+    """
     if page < 1 or not 1 <= page_size <= max_page_size:
         raise ValueError(f"page >= 1 and 1 <= page_size <= {max_page_size} required")
-    rows = df.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
-    return rows, df.agg(F.count(F.lit(1)).alias("total"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    if page == 1:
+        return df.orderBy(*order).limit(page_size), total
+    last = page * page_size
+    numbered = number_rows(df.withColumn("_all", F.lit(0)), ["_all"], order, "_at")
+    return numbered.where(F.col("_at").between(last - page_size + 1, last)).orderBy("_at").select(*df.columns), total
+
+
+def page_after(df: DataFrame, order: list[str], last: tuple | None, page_size: int) -> DataFrame:
+    """The page that follows a row: ``last`` holds that row's values of ``order`` (rising, without nulls), ``None`` for the first page.
+
+    A filter and a top-k, whatever the depth of the page.
+    """
+    if last is None:
+        return df.orderBy(*order).limit(page_size)
+    if len(last) != len(order):
+        raise ValueError("last holds one value for each column of order")
+    beyond, equal = F.lit(False), F.lit(True)
+    for column, value in zip(order, last):
+        beyond = beyond | (equal & (F.col(column) > F.lit(value)))
+        equal = equal & (F.col(column) == F.lit(value))
+    # The bound on the first column alone reaches the scan.
+    return df.where((F.col(order[0]) >= F.lit(last[0])) & beyond).orderBy(*order).limit(page_size)
 
 
 def number_pages(df: DataFrame, keys: list[str], order: list, page_size: int) -> DataFrame:

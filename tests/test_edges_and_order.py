@@ -211,6 +211,31 @@ def test_number_rows_splits_a_hot_key(spark):
         assert [r.position for r in rows] == list(range(1, len(rows) + 1))
 
 
+def test_number_rows_of_nulls_small_keys_and_batches(spark):
+    made = [(k, i) for i, k in enumerate(["a", None, "b", "a", None, "c"] * 700)]
+    df = spark.createDataFrame(made, "repo_id string, v int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {(r.repo_id, r.v): r.position for r in number_rows(df, ["repo_id"], [F.desc("v")]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for key in ("a", "b", "c", None):
+        for at, v in enumerate(sorted((v for k, v in made if k == key), reverse=True)):
+            want[key, v] = at + 1
+    assert got == want and number_rows(df.limit(0), ["repo_id"], ["v"]).count() == 0
+
+
+def test_number_rows_moves_rows_once(spark):
+    df = spark.range(100).selectExpr("id % 3 AS repo_id", "id AS v")
+    numbered = number_rows(df, ["repo_id"], ["v"])
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan and "BroadcastHashJoin" in plan
+    # Exchanges are left only on the side of the table of slices.
+    assert all("_place" not in line or "functions" in line or "keys=" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
 def test_top_k_cuts_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 AS repo_id", "id AS v")
     plan = top_k(df, ["repo_id"], ["v"], 2)._jdf.queryExecution().executedPlan().toString()

@@ -110,3 +110,16 @@ def test_glossary_candidates_put_unknown_fan_in_first(spark):
         "repo_id string, symbol_id string, file_id string, kind string, name string, start_line int, end_line int, source_code string")
     got = stats.glossary_candidates(symbols, files, 2).orderBy("rank").collect()
     assert [r.symbol_id for r in got] == ["s1", "s2"]
+
+
+def test_pages_by_key_equal_pages_by_number(spark):
+    df = spark.createDataFrame([(i % 4, f"n{i:03d}", i) for i in range(103)], "v int, name string, i int")
+    last, seen = None, []
+    for page in range(1, 13):
+        rows = [tuple(r) for r in stats.page_after(df, ["v", "name"], last, 10).collect()]
+        assert rows == [tuple(r) for r in stats.paginate(df, ["v", "name"], page, 10)[0].collect()]
+        seen += rows
+        last = rows[-1][:2] if rows else last
+    assert seen == sorted(map(tuple, df.collect()))
+    plan = stats.page_after(df, ["v", "name"], (2, "n050"), 10)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
