@@ -23,43 +23,60 @@ def token_estimates(spark, d):
     )
 
 
-_SYMBOL_CHUNKS = """symbol_texts AS (
+# Every third document has no symbol that is embedded for itself, so its file is chunked as a whole.
+_CHUNK_KIND = "CASE WHEN file_id LIKE '%3' OR file_id LIKE '%6' OR file_id LIKE '%9' THEN 'variable' ELSE kind END"
+
+
+def _chunk_symbols(spark, d):
+    return line_symbols(spark, d).withColumn("kind", F.expr(_CHUNK_KIND))
+
+
+_SOURCES = f"""{LINE_CORPUS.replace("symbols AS (", "line_symbols AS (")},
+symbols AS (SELECT repo_id, symbol_id, file_id, {_CHUNK_KIND} AS kind, name, source_code, ordinal FROM line_symbols)"""
+
+_SYMBOL_TEXTS = """symbol_texts AS (
   SELECT repo_id, 'symbol' AS source_type, symbol_id AS source_id, file_id,
          '# ' || path || chr(10) || '## ' || kind || ': ' || name || chr(10) || source_code AS chunk_text
-  FROM symbols JOIN files USING (repo_id, file_id) WHERE kind IN ('function', 'class', 'method') AND source_code <> ''),
-symbol_chunks AS (SELECT * FROM symbol_texts WHERE length(chunk_text) // 4 <= 2048)"""
+  FROM symbols JOIN files USING (repo_id, file_id) WHERE kind IN ('function', 'class', 'method') AND source_code <> '')"""
 
-_FILE_CHUNKS = """rest AS (
+_FILE_TEXTS = r"""rest AS (
   SELECT * FROM files f WHERE NOT EXISTS (SELECT 1 FROM symbol_chunks c WHERE c.repo_id = f.repo_id AND c.file_id = f.file_id)),
 file_texts AS (
   SELECT repo_id, 'symbol' AS source_type, file_id AS source_id, file_id,
          '# ' || path || chr(10) || string_agg(source_code, chr(10) ORDER BY ordinal) AS chunk_text
-  FROM symbols JOIN rest USING (repo_id, file_id) WHERE source_code <> '' GROUP BY repo_id, file_id, path),
-file_chunks AS (SELECT * FROM file_texts WHERE length(chunk_text) // 4 <= 2048)"""
+  FROM symbols JOIN rest USING (repo_id, file_id) WHERE source_code <> '' GROUP BY repo_id, file_id, path
+  HAVING bool_or(regexp_matches(source_code, '\S')))"""
 
+_COMMIT_TEXTS = """commit_texts AS (
+  SELECT role AS repo_id, 'commit' AS source_type, sha1(conv_id || '-' || turn) AS source_id, NULL::VARCHAR AS file_id,
+         '# Commit ' || left(sha1(conv_id || '-' || turn), 8) || ' by user ' || conv_id || chr(10) || text AS chunk_text FROM conversations)"""
+_PR_TEXTS = r"""pr_texts AS (
+  SELECT 'user' AS repo_id, 'pull_request' AS source_type, item_id::VARCHAR AS source_id, NULL::VARCHAR AS file_id,
+         regexp_replace('# PR #' || item_id || ': Item ' || item_id || chr(10) || text, '\s+$', '') AS chunk_text FROM benchmark)"""
+_README_TEXTS = """readme_texts AS (
+  SELECT 'doc' || doc_id AS repo_id, 'document' AS source_type, 'doc' || doc_id AS source_id, NULL::VARCHAR AS file_id,
+         '# README' || chr(10) || text AS chunk_text FROM documents WHERE text <> '')"""
 
-@C.query("symbol_chunks", f"WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS} SELECT * FROM symbol_chunks")
-def symbol_chunks(spark, d):
-    return ch.symbol_chunks(line_symbols(spark, d), line_files(spark, d), oversize="drop")
+_WINDOW = 8195
 
 
-@C.query("skipped_chunks", f"""WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}
-SELECT repo_id, count(*) FILTER (length(chunk_text) // 4 <= 2048) AS kept,
-       count(*) FILTER (length(chunk_text) // 4 > 2048) AS skipped FROM symbol_texts GROUP BY 1""")
-def skipped_chunks(spark, d):
-    return ch.skipped_counts(line_symbols(spark, d), line_files(spark, d))
+def _fitted_sql(texts: str, chunks: str, oversize: str) -> str:
+    """Common table expression of the chunks made of texts."""
+    if oversize == "drop":
+        return f"{chunks} AS (SELECT * FROM {texts} WHERE length(chunk_text) <= {_WINDOW})"
+    return f"""{chunks} AS (
+  SELECT repo_id, source_type, source_id || CASE WHEN part = 0 THEN '' ELSE chr(31) || part END AS source_id, file_id,
+         substr(chunk_text, part * {_WINDOW} + 1, {_WINDOW}) AS chunk_text
+  FROM (SELECT *, unnest(range(greatest(1, (length(chunk_text) + {_WINDOW - 1}) // {_WINDOW}))) AS part FROM {texts}))"""
 
 
-@C.query("file_chunks", f"WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}, {_FILE_CHUNKS} SELECT * FROM file_chunks")
-def file_chunks(spark, d):
-    symbols, files = line_symbols(spark, d), line_files(spark, d)
-    return ch.file_chunks(symbols, files, ch.symbol_chunks(symbols, files, oversize="drop"))
+def _chunk_sql(oversize: str) -> str:
+    made = [(_SYMBOL_TEXTS, "symbol"), (_FILE_TEXTS, "file"), (_COMMIT_TEXTS, "commit"), (_PR_TEXTS, "pr"), (_README_TEXTS, "readme")]
+    return ",\n".join([_SOURCES, *(f"{texts},\n{_fitted_sql(f'{name}_texts', f'{name}_chunks', oversize)}" for texts, name in made)])
 
 
-@C.query("unembedded_files", f"""WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}, {_FILE_CHUNKS} SELECT repo_id, file_id, path FROM rest""")
-def unembedded_files(spark, d):
-    symbols, files = line_symbols(spark, d), line_files(spark, d)
-    return ch.unembedded_files(files, ch.symbol_chunks(symbols, files, oversize="drop"))
+_SPLIT, _DROP = _chunk_sql("split"), _chunk_sql("drop")
+_ALL_CHUNKS = " UNION ALL ".join(f"SELECT * FROM {name}_chunks" for name in ("symbol", "file", "commit", "pr", "readme"))
 
 
 def _commits(spark, d):
@@ -78,51 +95,69 @@ def _readmes(spark, d):
     return table(spark, d, "documents").selectExpr("concat('doc', doc_id) AS repo_id", "text AS content")
 
 
-_COMMIT_CHUNKS = """commit_chunks AS (
-  SELECT role AS repo_id, 'commit' AS source_type, sha1(conv_id || '-' || turn) AS source_id, NULL::VARCHAR AS file_id,
-         '# Commit ' || left(sha1(conv_id || '-' || turn), 8) || ' by user ' || conv_id || chr(10) || text AS chunk_text
-  FROM conversations WHERE length('# Commit 12345678 by user ' || conv_id || chr(10) || text) // 4 <= 2048)"""
-_PR_CHUNKS = r"""pr_chunks AS (
-  SELECT 'user' AS repo_id, 'pull_request' AS source_type, item_id::VARCHAR AS source_id, NULL::VARCHAR AS file_id,
-         regexp_replace('# PR #' || item_id || ': Item ' || item_id || chr(10) || text, '\s+$', '') AS chunk_text FROM benchmark
-  WHERE length(regexp_replace('# PR #' || item_id || ': Item ' || item_id || chr(10) || text, '\s+$', '')) // 4 <= 2048)"""
-_README_CHUNKS = """readme_chunks AS (
-  SELECT 'doc' || doc_id AS repo_id, 'document' AS source_type, 'doc' || doc_id AS source_id, NULL::VARCHAR AS file_id,
-         '# README' || chr(10) || text AS chunk_text FROM documents WHERE text <> '' AND (length(text) + 9) // 4 <= 2048)"""
+def _all_chunks(spark, d, **options):
+    return ch.build_chunks(_chunk_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d), **options)
 
 
-@C.query("commit_chunks", f"WITH {_COMMIT_CHUNKS} SELECT * FROM commit_chunks")
+@C.query("symbol_chunks", f"WITH {_SPLIT} SELECT * FROM symbol_chunks")
+def symbol_chunks(spark, d):
+    return ch.symbol_chunks(_chunk_symbols(spark, d), line_files(spark, d))
+
+
+@C.query("skipped_chunks", f"""WITH {_SPLIT}
+SELECT repo_id, count(*) FILTER (length(chunk_text) // 4 <= 2048) AS kept,
+       count(*) FILTER (length(chunk_text) // 4 > 2048) AS skipped FROM symbol_texts GROUP BY 1""")
+def skipped_chunks(spark, d):
+    return ch.skipped_counts(_chunk_symbols(spark, d), line_files(spark, d))
+
+
+@C.query("file_chunks", f"WITH {_SPLIT} SELECT * FROM file_chunks")
+def file_chunks(spark, d):
+    symbols, files = _chunk_symbols(spark, d), line_files(spark, d)
+    return ch.file_chunks(symbols, files, ch.symbol_chunks(symbols, files))
+
+
+@C.query("file_chunk_lengths", f"WITH {_SPLIT} SELECT repo_id, file_id, length(chunk_text)::BIGINT AS chars, (length(chunk_text) + {_WINDOW - 1}) // {_WINDOW} AS n_windows FROM file_texts")
+def file_chunk_lengths(spark, d):
+    """The windows of a file add up to its text."""
+    return file_chunks(spark, d).groupBy("repo_id", "file_id").agg(F.sum(F.length("chunk_text")).alias("chars"), F.count(F.lit(1)).alias("n_windows"))
+
+
+@C.query("unembedded_files", f"WITH {_SPLIT} SELECT repo_id, file_id, path FROM rest")
+def unembedded_files(spark, d):
+    symbols, files = _chunk_symbols(spark, d), line_files(spark, d)
+    return ch.unembedded_files(files, ch.symbol_chunks(symbols, files))
+
+
+@C.query("commit_chunks", f"WITH {_SPLIT} SELECT * FROM commit_chunks")
 def commit_chunks(spark, d):
-    return ch.commit_chunks(_commits(spark, d), oversize="drop")
+    return ch.commit_chunks(_commits(spark, d))
 
 
-@C.query("pr_chunks", f"WITH {_PR_CHUNKS} SELECT * FROM pr_chunks")
+@C.query("pr_chunks", f"WITH {_SPLIT} SELECT * FROM pr_chunks")
 def pr_chunks(spark, d):
-    return ch.pr_chunks(_requests(spark, d), oversize="drop")
+    return ch.pr_chunks(_requests(spark, d))
 
 
-@C.query("doc_chunks", f"WITH {_README_CHUNKS} SELECT * FROM readme_chunks")
+@C.query("doc_chunks", f"WITH {_SPLIT} SELECT * FROM readme_chunks")
 def doc_chunks(spark, d):
-    return ch.doc_chunks(_readmes(spark, d), oversize="drop")
+    return ch.doc_chunks(_readmes(spark, d))
 
 
-@C.query("build_chunks", f"""WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}, {_FILE_CHUNKS}, {_COMMIT_CHUNKS}, {_PR_CHUNKS}, {_README_CHUNKS}
-SELECT * FROM symbol_chunks UNION ALL SELECT * FROM file_chunks UNION ALL SELECT * FROM commit_chunks
-UNION ALL SELECT * FROM pr_chunks UNION ALL SELECT * FROM readme_chunks""")
+@C.query("build_chunks", f"WITH {_SPLIT} {_ALL_CHUNKS}")
 def build_chunks(spark, d):
-    return ch.build_chunks(
-        line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d),
-        oversize="drop",
-    )
+    return _all_chunks(spark, d)
+
 
+@C.query("build_chunks_dropping", f"WITH {_DROP} {_ALL_CHUNKS}")
+def build_chunks_dropping(spark, d):
+    """The form that leaves out what exceeds the budget."""
+    return _all_chunks(spark, d, oversize="drop")
 
-@C.query("build_chunks_of_symbol_repos", f"""WITH {LINE_CORPUS}, {_SYMBOL_CHUNKS}, {_FILE_CHUNKS}, {_COMMIT_CHUNKS}
-SELECT * FROM symbol_chunks UNION ALL SELECT * FROM file_chunks""")
+
+@C.query("build_chunks_of_symbol_repos", f"WITH {_SPLIT} SELECT * FROM symbol_chunks UNION ALL SELECT * FROM file_chunks")
 def build_chunks_of_symbol_repos(spark, d):
-    return ch.build_chunks(
-        line_symbols(spark, d), line_files(spark, d), _commits(spark, d), _requests(spark, d), _readmes(spark, d),
-        require_symbols=True, oversize="drop",
-    )
+    return _all_chunks(spark, d, require_symbols=True)
 
 
 @C.query("hash_embeddings")

@@ -21,11 +21,20 @@ def within_budget(text: Column, max_tokens: int = MAX_CHUNK_TOKENS) -> Column:
     return F.length(text) < F.lit((max_tokens + 1) * CHARS_PER_TOKEN)
 
 
+def window_chars(max_tokens: int = MAX_CHUNK_TOKENS) -> int:
+    """The longest text within the budget, in characters."""
+    return (max_tokens + 1) * CHARS_PER_TOKEN - 1
+
+
+def windows(text: Column, size: int) -> Column:
+    """The text in consecutive windows of ``size`` characters, in one pass over it; an empty text has none."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def parts_within_budget(text: Column, max_tokens: int = MAX_CHUNK_TOKENS) -> Column:
     """The text in consecutive windows within the budget; an empty text is one window."""
-    size = (max_tokens + 1) * CHARS_PER_TOKEN - 1
-    last = F.greatest(F.ceil(F.length(text) / F.lit(size)).cast("int") - 1, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(text, i * F.lit(size) + F.lit(1), F.lit(size)))
+    size = window_chars(max_tokens)
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(windows(text, size))
 
 
 def symbol_chunk(path: Column, kind: Column, name: Column, source: Column) -> Column:

@@ -8,14 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from stratacode.functions.paths import strip_ws
 from stratacode.functions.text import (
-    CHARS_PER_TOKEN, MAX_CHUNK_TOKENS, PART_MARK, commit_chunk, file_chunk, parts_within_budget, pull_request_chunk, readme_chunk, symbol_chunk,
-    within_budget,
+    MAX_CHUNK_TOKENS, PART_MARK, commit_chunk, file_chunk, parts_within_budget, pull_request_chunk, readme_chunk, symbol_chunk, window_chars,
+    windows, within_budget,
 )
 from stratacode.operators.common import ordered_texts
 from stratacode.operators.edges import EMBEDDABLE_KINDS, has_source, of_kind, with_file
@@ -75,32 +75,46 @@ def unembedded_files(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def file_chunks(
-    symbols: DataFrame, files: DataFrame, chunks: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS, oversize: str = "drop"
+    symbols: DataFrame, files: DataFrame, chunks: DataFrame, max_tokens: int = MAX_CHUNK_TOKENS, oversize: str = "split"
 ) -> DataFrame:
-    """Fallback chunk of a file without symbol chunk: all its symbol sources, in order.
+    """Fallback chunks of a file without symbol chunk: all its symbol sources, in order, in windows within the budget.
 
-    Files over the budget are left out unless ``oversize="split"``.  To leave them out, the length of the joined text
-    is summed first and texts follow only for files that fit, so a huge file costs one partial sum.
+    A file's text is never put together: running sums over the lengths of its sources say in which windows each source lies, and only the pieces of one window
+    meet.  With ``oversize="drop"`` a file over the budget is left out, as soon as the sum of its lengths is known.
     """
+    if oversize not in ("split", "drop"):
+        raise ValueError(f"oversize is split or drop, not {oversize!r}")
+    size, keys = window_chars(max_tokens), ["repo_id", "file_id"]
     rest = unembedded_files(files.select("repo_id", "file_id", "path"), chunks)
-    keys = ["repo_id", "file_id"]
-    sources, small = has_source(symbols), rest
+    sources = has_source(symbols)
+    spoken = sources.groupBy(*keys).agg(
+        F.bool_or(strip_ws(F.col("source_code")) != "").alias("spoken"), (F.sum(F.length("source_code") + 1) - 1).alias("chars")
+    ).where("spoken")
+    # "# " + path + newline + text
+    head = F.length("path") + 3
+    wanted = rest.join(spoken, keys)
     if oversize == "drop":
-        lengths = sources.groupBy(*keys).agg((F.sum(F.length("source_code") + 1) - 1).alias("chars"))
-        # "# " + path + newline + text
-        small = rest.join(lengths, keys).where(F.length("path") + 3 + F.col("chars") < (max_tokens + 1) * CHARS_PER_TOKEN)
-    texts = (
-        sources.select(*keys, "ordinal", "symbol_id", "source_code")
-        .join(small.select(*keys, "path"), keys)
-        .groupBy(*keys, "path")
-        .agg(ordered_texts(F.col("source_code"), ["ordinal", "symbol_id"], "\n").alias("text"))
-        .where(strip_ws(F.col("text")) != "")
+        wanted = wanted.where(head + F.col("chars") <= size)
+    placed = ["ordinal", "symbol_id"]
+    before = Window.partitionBy(*keys).orderBy(*placed).rowsBetween(Window.unboundedPreceding, -1)
+    lengths = sources.select(*keys, *placed, F.length("source_code").alias("n")).join(wanted.select(*keys, "path"), keys)
+    starts = lengths.select(*keys, *placed, "path", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).alias("start"))
+    # The first source brings the header, every other one the line break before it.
+    opening = F.when(F.col("start") == 0, file_chunk(F.col("path"), F.lit(""))).otherwise("\n")
+    at = F.when(F.col("start") == 0, 0).otherwise(head + F.col("start") - 1)
+    pieces = starts.join(sources.select(*keys, *placed, "source_code"), [*keys, *placed]).select(
+        *keys, *placed, at.alias("at"), F.concat(opening, "source_code").alias("text")
     )
-    joined = texts.select(
-        "repo_id", F.lit("symbol").alias("source_type"), F.col("file_id").alias("source_id"), "file_id",
-        file_chunk(F.col("path"), F.col("text")).alias("chunk_text"),
+    room = (F.lit(size) - F.col("at") % size).cast("int")
+    cut = F.concat(F.array(F.left("text", room)), windows(F.substring("text", room + 1, F.length("text")), size))
+    dealt = pieces.select(*keys, *placed, F.floor(F.col("at") / size).alias("first"), F.posexplode(cut).alias("nth", "piece"))
+    window = dealt.withColumn("window", F.col("first") + F.col("nth")).where(F.col("piece") != "")
+    joined = window.groupBy(*keys, "window").agg(ordered_texts(F.col("piece"), placed, "").alias("chunk_text"))
+    marked = F.concat("file_id", F.lit(PART_MARK), F.col("window").cast("string"))
+    return joined.select(
+        "repo_id", F.lit("symbol").alias("source_type"), F.when(F.col("window") == 0, F.col("file_id")).otherwise(marked).alias("source_id"),
+        "file_id", "chunk_text",
     )
-    return joined if oversize == "drop" else _fitted(joined, max_tokens, oversize)
 
 
 def _document_chunks(df: DataFrame, source_type: str, source_id, text, max_tokens: int, oversize: str) -> DataFrame:
@@ -135,12 +149,12 @@ def build_chunks(
     readmes: DataFrame,
     max_tokens: int = MAX_CHUNK_TOKENS,
     require_symbols: bool = False,
-    oversize: str = "drop",
+    oversize: str = "split",
 ) -> DataFrame:
     """All chunks of all repositories.
 
     With ``require_symbols`` a repository without any embeddable symbol gives no
-    chunk of any kind.  Texts over the budget are left out unless ``oversize="split"``, as the ingest asks.
+    chunk of any kind.  Texts over the budget are split into windows; ``oversize="drop"`` leaves them out.
     """
     from_symbols = symbol_chunks(symbols, files, max_tokens, oversize)
     parts = [

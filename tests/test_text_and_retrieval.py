@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
 from stratacode.operators import chunks as ch
@@ -27,7 +29,7 @@ def _inputs(spark):
 
 
 def test_build_chunks(spark, rows):
-    got = rows(ch.build_chunks(*_inputs(spark), require_symbols=True), "source_type", "source_id", "file_id", "chunk_text")
+    got = rows(ch.build_chunks(*_inputs(spark), require_symbols=True, oversize="drop"), "source_type", "source_id", "file_id", "chunk_text")
     assert got == [
         ("commit", "abcdef0123", None, "# Commit abcdef01 by me\nfix"),
         ("document", "r", None, "# README\nhello"),
@@ -45,7 +47,28 @@ def test_file_chunk_budget_edge(spark):
     for size, kept in ((8191, 1), (8192, 0)):
         # "# p\n" + text: 4 more characters.
         symbols = spark.createDataFrame([("r", "f", "s", "import", "n", "x" * size, 0)], SYMBOL)
-        assert ch.file_chunks(symbols, files, none).count() == kept
+        assert ch.file_chunks(symbols, files, none, oversize="drop").count() == kept
+        assert sorted(len(r.chunk_text) for r in ch.file_chunks(symbols, files, none).collect()) == ([8195] if kept else [1, 8195])
+
+
+def test_windows_of_many_sources_equal_the_cut_text(spark):
+    rng = random.Random(2)
+    made, want = [], {}
+    for f in range(12):
+        sources = ["".join(rng.choice("ab \n\té😀") for _ in range(rng.choice([0, 1, 3, 30, 90, 400]))) for _ in range(rng.randint(1, 30))]
+        made += [("r", f"f{f}", f"s{i:02d}", "import", "n", t, i // 2) for i, t in enumerate(sources)]
+        filled = [t for t in sources if t]
+        text = f"# p{f}\n" + "\n".join(filled)
+        if any(t.strip() for t in filled):
+            want[f"f{f}"] = [text[i:i + 83] for i in range(0, len(text), 83)]
+    rng.shuffle(made)
+    files = spark.createDataFrame([("r", f"f{f}", f"p{f}") for f in range(12)], FILES)
+    none = spark.createDataFrame([], "repo_id string, file_id string")
+    got = {}
+    for r in ch.file_chunks(spark.createDataFrame(made, SYMBOL), files, none, max_tokens=20).collect():
+        _, _, part = r.source_id.partition("\x1f")
+        got.setdefault(r.file_id, {})[int(part or 0)] = r.chunk_text
+    assert {f: [parts[i] for i in range(len(parts))] for f, parts in got.items()} == want
 
 
 def test_embed_with_user_function(spark):
@@ -213,7 +236,7 @@ def test_long_texts_are_split_and_found_again(spark):
     symbols = spark.createDataFrame([("r", "f1", "s1", "function", "a", long, 0), ("r", "f2", "s2", "import", "b", long, 0)], SYMBOL)
     readmes = spark.createDataFrame([("r", long), ("q", "")], "repo_id string, content string")
     texts: dict = {}
-    for r in ch.build_chunks(symbols, files, commits, prs, readmes, oversize="split").collect():
+    for r in ch.build_chunks(symbols, files, commits, prs, readmes).collect():
         source, _, part = r.source_id.partition("\x1f")
         texts.setdefault((r.source_type, source), {})[int(part or 0)] = r.chunk_text
         assert len(r.chunk_text) <= 8195
