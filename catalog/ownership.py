@@ -11,6 +11,7 @@ from catalog.corpora import (
 from stratacode.operators import ownership as own
 from stratacode.operators import stats
 from stratacode.operators.tests_lookup import detect_tests
+from stratacode.session import cut_lineage
 
 C = Catalog()
 
@@ -115,8 +116,9 @@ SELECT f.repo_id, f.file_id, coalesce(o.change_frequency, -1)::DOUBLE AS change_
 FROM files f LEFT JOIN ownership o USING (repo_id, path)""")
 def apply_git_stats(spark, d):
     files = order_files(spark, d)
-    owned = _owned(spark, d)
-    tests = detect_tests(order_touches(spark, d).select("repo_id", "path"), _listing(files))
+    # One pass over the touch log: the paths are those of the statistics.
+    owned = cut_lineage(own.path_stats(own.author_stats(order_touches(spark, d), LOG_ORDER)))
+    tests = detect_tests(owned.select("repo_id", "path"), _listing(files))
     bare = files.selectExpr(
         "*", "CAST(-1 AS DOUBLE) AS change_frequency", "CAST(NULL AS TIMESTAMP) AS git_last_modified",
         "CAST(NULL AS BOOLEAN) AS has_tests",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacode.functions.paths import owner_label, slashes
-from stratacode.operators.common import restrict_to
+from stratacode.operators.common import ordered_items, restrict_to
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ssxxx"
 LOG_ORDER = ("log_pos", "line_no")
@@ -28,21 +28,15 @@ def author_stats(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame:
     ).withColumn("name", F.col("first_pos.name"))
 
 
-def _per_path(stats: DataFrame) -> DataFrame:
-    """One row per path; its authors sorted by commits, then by first appearance.
-
-    Only the ``authors`` array needs all authors of a path together.  Where it is not
-    selected, the optimiser drops it and the rest combines on the map side.
-    """
+def path_stats(authors: DataFrame) -> DataFrame:
+    """Change frequency, last change, owner and silo flag per path, from ``author_stats``; combined on the map side, whatever the number of authors."""
     rank = F.struct((-F.col("commit_count")).alias("neg_count"), "first_pos")
-    author = F.struct(rank.alias("rank"), "email", "name", "commit_count", "last_commit")
-    return stats.groupBy("repo_id", "path").agg(
-        F.sum("commit_count").alias("total_commits"),
+    return authors.groupBy("repo_id", "path").agg(
+        F.sum("commit_count").alias("change_frequency"),
         F.max("last_commit").alias("git_last_modified"),
         F.min_by(owner_label(F.col("name"), F.col("email")), rank).alias("primary_owner"),
         F.count(F.lit(1)).cast("int").alias("bus_factor"),
-        F.array_sort(F.collect_list(author)).alias("authors"),
-    )
+    ).withColumn("is_knowledge_silo", F.col("bus_factor") == 1)
 
 
 def _share(count, total):
@@ -50,44 +44,43 @@ def _share(count, total):
     return F.bround(count / total * 100, 1)
 
 
-def file_ownership(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame:
-    """Change frequency, last change, ranked contributors, owner and silo flag per path."""
-    paths = _per_path(author_stats(commit_files, log_order))
-    contributors = F.transform(
-        "authors",
-        lambda a: F.struct(
-            a["email"].alias("email"),
-            a["name"].alias("name"),
-            a["commit_count"].alias("commit_count"),
-            _share(a["commit_count"], F.col("total_commits")).alias("percentage"),
-            F.date_format(a["last_commit"], ISO_UTC).alias("last_commit"),
-        ),
-    )
-    return paths.select(
-        "repo_id",
-        "path",
-        F.col("total_commits").alias("change_frequency"),
-        "git_last_modified",
-        "primary_owner",
-        contributors.alias("contributors"),
-        "bus_factor",
-        (F.col("bus_factor") == 1).alias("is_knowledge_silo"),
+def contributors(authors: DataFrame, paths: DataFrame, max_rank: int | None = None) -> DataFrame:
+    """One row per (path, author) with its 1-based rank and share: the stored form of a path's contributors.
+
+    ``authors`` are ``author_stats``, ``paths`` their ``path_stats``.  With ``max_rank`` every map task cuts a path down to so many authors; without it the
+    authors of a path go through a sorted window that can spill.  They are never one array.
+    """
+    by_commits = Window.partitionBy("repo_id", "path").orderBy(F.desc("commit_count"), "first_pos")
+    ranked = authors.withColumn("rank", F.row_number().over(by_commits))
+    if max_rank is not None:
+        ranked = ranked.where(F.col("rank") <= max_rank)
+    totals = paths.select("repo_id", "path", F.col("change_frequency").alias("_total"))
+    return ranked.join(totals, ["repo_id", "path"]).select(
+        "repo_id", "path", "rank", "email", "name", "commit_count", _share(F.col("commit_count"), F.col("_total")).alias("percentage"), "last_commit",
     )
 
 
 def rank_contributors(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame:
-    """One row per (path, author) with its 1-based rank.
+    """``contributors`` of a touch log, all of them."""
+    authors = author_stats(commit_files, log_order)
+    return contributors(authors, path_stats(authors))
 
-    The authors of a path are streamed through a sorted window that can spill, never
-    held as one array.
+
+MAX_CONTRIBUTORS = 100
+
+
+def file_ownership(commit_files: DataFrame, log_order=LOG_ORDER, max_contributors: int = MAX_CONTRIBUTORS) -> DataFrame:
+    """Change frequency, last change, ranked contributors, owner and silo flag per path.
+
+    The ``contributors`` array shows the first ``max_contributors`` authors of a path; ``bus_factor`` and the shares count all of them, and
+    ``rank_contributors`` gives all as rows.
     """
-    stats = author_stats(commit_files, log_order)
-    path = Window.partitionBy("repo_id", "path")
-    rank = F.row_number().over(path.orderBy(F.desc("commit_count"), "first_pos"))
-    return stats.select(
-        "repo_id", "path", rank.alias("rank"), "email", "name", "commit_count",
-        _share(F.col("commit_count"), F.sum("commit_count").over(path)).alias("percentage"), "last_commit",
-    )
+    authors = author_stats(commit_files, log_order)
+    paths = path_stats(authors)
+    shown = F.struct("email", "name", "commit_count", "percentage", F.date_format("last_commit", ISO_UTC).alias("last_commit"))
+    first = contributors(authors, paths, max_contributors).groupBy("repo_id", "path").agg(ordered_items(shown, ["rank"]).alias("contributors"))
+    return paths.join(first, ["repo_id", "path"]).select(
+        "repo_id", "path", "change_frequency", "git_last_modified", "primary_owner", "contributors", "bus_factor", "is_knowledge_silo")
 
 
 def resolve_path(df: DataFrame, files: DataFrame) -> DataFrame:

@@ -43,9 +43,17 @@ def test_scalar_ownership_needs_no_author_array(spark):
         "'r' AS repo_id", "IF(id % 3 = 0, 'hot', concat('p', id)) AS path", "concat(id % 50, '@x') AS author_email", "'n' AS author_name",
         "TIMESTAMP '2024-01-01' AS ts", "id AS log_pos", "id AS line_no",
     )
-    lean = ownership.file_ownership(touches).select("path", "primary_owner", "bus_factor", "is_knowledge_silo")
+    authors = ownership.author_stats(touches)
+    lean = ownership.path_stats(authors)
     assert "collect_list" not in _plan(lean)
     assert lean.where("path = 'hot'").first().bus_factor == 50
+    # The array holds a bounded number of authors, cut before the shuffle; all of them are rows.
+    shown = ownership.file_ownership(touches, max_contributors=7)
+    assert _plan(shown).count("WindowGroupLimit") >= 2
+    hot = shown.where("path = 'hot'").first()
+    everyone = ownership.rank_contributors(touches).where("path = 'hot'").orderBy("rank").collect()
+    assert hot.bus_factor == 50 and len(everyone) == 50
+    assert [(c.email, c.commit_count, c.percentage) for c in hot.contributors] == [(r.email, r.commit_count, r.percentage) for r in everyone[:7]]
 
 
 def test_broadcast_hint_only_when_small(spark):
