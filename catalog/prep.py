@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog, table
@@ -10,10 +12,11 @@ from catalog.corpora import (
 )
 from catalog.graphs import _TIERS, _reading
 
+from stratacode import schemas
 from stratacode.operators import edges as e
 from stratacode.operators import flow, rules, stats, textgen, writes
 from stratacode.plans import brief as briefs
-from stratacode.session import cut_lineage
+from stratacode.session import cut_lineage, ensure_checkpoint_dir
 
 C = Catalog()
 
@@ -264,6 +267,81 @@ def upsert_keeping_bus_factor(spark, d):
     return writes.upsert(*_owner_tables(spark, d), ["repo_id", "file_id"], ["primary_owner"])
 
 
+def _stored_folder(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+
+
+_OWNER_DDL = "repo_id string, file_id bigint, primary_owner string, bus_factor int"
+
+
+@C.query("stored_upsert", """SELECT o_orderpriority AS repo_id, o_orderkey AS file_id,
+  CASE WHEN o_orderkey % 3 < 2 THEN 'c' || o_custkey ELSE o_orderstatus END AS primary_owner,
+  CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey % 9)::INT ELSE 1 END AS bus_factor FROM orders""")
+def stored_upsert(spark, d):
+    """Written, merged and read back; the repeated batch is known by its token."""
+    path, (old, new) = _stored_folder(spark), _owner_tables(spark, d)
+    writes.write_table(old, path)
+    for _ in range(2):
+        writes.store_upsert(spark, path, _OWNER_DDL, new, ["repo_id", "file_id"], ["primary_owner"], token="batch 1")
+    return writes.read_table(spark, path, _OWNER_DDL)
+
+
+_PART_DDL = "repo_id string, p_partkey bigint, state string"
+
+
+@C.query("stored_replace", """SELECT p_brand AS repo_id, p_partkey, 'old' AS state FROM part WHERE p_brand NOT LIKE '%1%'
+UNION ALL SELECT p_brand, p_partkey, 'new' FROM part WHERE p_brand LIKE '%1%' AND p_size > 25""")
+def stored_replace(spark, d):
+    part, path = table(spark, d, "part"), _stored_folder(spark)
+    writes.write_table(part.selectExpr("p_brand AS repo_id", "CAST(p_partkey AS BIGINT) AS p_partkey", "'old' AS state"), path)
+    new = part.where("p_brand LIKE '%1%' AND p_size > 25").selectExpr("p_brand AS repo_id", "CAST(p_partkey AS BIGINT) AS p_partkey", "'new' AS state")
+    writes.replace_partition(spark, path, _PART_DDL, new, _brands(spark, d))
+    return writes.read_table(spark, path, _PART_DDL)
+
+
+@C.query("stored_delete", """SELECT 'doc' || d.doc_id AS repo_id, t.table_name FROM documents d, (VALUES ('commits'), ('files'), ('guides'), ('repositories')) t(table_name)
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def stored_delete(spark, d):
+    """Repositories deleted from all twelve stored tables; four of them hold rows."""
+    folder = _stored_folder(spark)
+    docs = table(spark, d, "documents").selectExpr("concat('doc', doc_id) AS repo_id", "text", "source")
+    writes.clear_tables(spark, folder, buckets=16)
+    filled = {"repositories": {"architecture_summary": "text"}, "files": {"path": "source"}, "commits": {"message": "text"}, "guides": {"architecture_narrative": "text"}}
+    for name, columns in filled.items():
+        empty = spark.createDataFrame([], schemas.TABLES[name])
+        value = lambda f: F.col("repo_id") if f.name == "repo_id" else F.col(columns[f.name]) if f.name in columns else F.lit(None).cast(f.dataType)  # noqa: B023, E731
+        writes.write_table(docs.select(*[value(f).alias(f.name) for f in empty.schema]), f"{folder}/{name}", "append")
+    writes.delete_repositories(spark, folder, table(spark, d, "labels").selectExpr("concat('doc', doc_id) AS repo_id"))
+    left = [df.select("repo_id", F.lit(name).alias("table_name")) for name, df in writes.load_tables(spark, folder).items()]
+    out = left[0]
+    for more in left[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+@C.query("stored_guides", """SELECT 'doc' || d.doc_id AS repo_id, coalesce(CASE WHEN l.quality = 1 THEN 'quality ' || d.lang END, d.text) AS architecture_narrative,
+  CASE WHEN l.doc_id IS NULL THEN 'm_' || d.source ELSE 'n_' || l.toxic END AS module, CASE WHEN l.doc_id IS NULL THEN d.n_chars ELSE l.toxic END::INT AS fan_in
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def stored_guides(spark, d):
+    """Guides stored, then updated; a null narrative leaves the old one."""
+    path = f"{_stored_folder(spark)}/guides"
+
+    def guides(rows, narrative, module, fan_in):
+        made = rows.select(F.concat(F.lit("doc"), "doc_id").alias("repo_id"), narrative.alias("architecture_narrative"),
+                           F.array(F.struct(module.alias("path"), fan_in.cast("int").alias("fan_in"))).alias("key_modules"))
+        columns = spark.createDataFrame([], schemas.GUIDES).schema
+        return made.select(*[F.col(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in columns])
+
+    docs = table(spark, d, "documents")
+    writes.write_table(guides(docs, F.col("text"), F.concat(F.lit("m_"), "source"), F.col("n_chars")), path)
+    marked = table(spark, d, "labels").join(docs.select("doc_id", "lang"), "doc_id")
+    narrative = F.when(F.col("quality") == 1, F.concat(F.lit("quality "), "lang"))
+    new = guides(marked, narrative, F.concat(F.lit("n_"), F.col("toxic").cast("string")), F.col("toxic"))
+    writes.store_upsert(spark, path, schemas.GUIDES, new, ["repo_id"], ["architecture_narrative", "key_modules"], keep_when_null=True)
+    return writes.read_table(spark, path, schemas.GUIDES).select(
+        "repo_id", "architecture_narrative", F.col("key_modules")[0]["path"].alias("module"), F.col("key_modules")[0]["fan_in"].alias("fan_in"))
+
+
 @C.query("upsert_guides", """SELECT 'doc' || d.doc_id AS repo_id, d.text AS reading_order,
   coalesce(CASE WHEN l.quality = 1 THEN 'crit' END, d.source) AS critical_files FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def upsert_guides(spark, d):

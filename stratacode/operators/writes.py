@@ -1,9 +1,7 @@
 """Merges and table writes: insert-ignore, upsert, replace, cascade delete.
 
-The merges are plain DataFrame functions; the writers below store tables as Parquet
-partitioned by a hash bucket of ``repo_id``, so the number of directories does not
-grow with the repositories and one repository can be rewritten without touching
-the other buckets.
+The merges are plain DataFrame functions; the writers below apply them to stored tables (``stored``), of which one repository can be rewritten without touching
+the buckets of others, and every change is visible at once or not at all.
 """
 
 from __future__ import annotations
@@ -12,12 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratacode import schemas
+from stratacode.operators import stored
 from stratacode.session import cut_lineage
 
-BUCKET = "repo_bucket"
-N_BUCKETS = 256
-
-
 def insert_ignore(target: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of ``new`` to append: first per key by ``order``, keys of ``target`` left out.
 
@@ -86,76 +81,46 @@ def reset_for_reingest(repositories: DataFrame, repo_ids: DataFrame) -> DataFram
     return marked.withColumn("status", F.when(again, "pending").otherwise(F.col("status"))).drop("_wanted")
 
 
-def bucketed(df: DataFrame) -> DataFrame:
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64("repo_id"), F.lit(N_BUCKETS)).cast("int"))
-
-
-def write_table(df: DataFrame, path: str, mode: str = "error") -> None:
-    bucketed(df).write.mode(mode).partitionBy(BUCKET).parquet(path)
-
-
-def _stored(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return spark.read.schema(f"{ddl}, {BUCKET} int").parquet(path)
+def write_table(df: DataFrame, path: str, mode: str = "error", buckets: int = stored.N_BUCKETS) -> None:
+    """Create, extend (``append``) or replace (``overwrite``) a stored table; a new one gets ``buckets`` buckets."""
+    spark = df.sparkSession
+    if mode == "error" and stored.load(spark, path) is not None:
+        raise FileExistsError(f"{path} holds a table")
+    stored.commit(spark, path, df, [] if mode == "append" else None, buckets=buckets)
 
 
 def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    return _stored(spark, path, ddl).drop(BUCKET)
-
-
-def _buckets(repo_ids: DataFrame) -> list[int]:
-    """Bucket numbers of the given repositories: at most N_BUCKETS integers."""
-    return [row[0] for row in bucketed(repo_ids.select("repo_id")).select(BUCKET).distinct().collect()]
-
+    return stored.read(spark, path, ddl)
 
-def _touched(spark: SparkSession, path: str, ddl: str, buckets: list[int]) -> DataFrame:
-    """Rows of some buckets; the list prunes the partitions that are read."""
-    return _stored(spark, path, ddl).where(F.col(BUCKET).isin(buckets)).drop(BUCKET)
 
-
-def append_ignore(spark: SparkSession, path: str, ddl: str, new: DataFrame, keys: list[str], order: list[str]) -> int:
+def append_ignore(spark: SparkSession, path: str, ddl: str, new: DataFrame, keys: list[str], order: list[str], token: str | None = None) -> int:
     """Insert-ignore into a stored table; returns the number of rows really inserted.
 
     Only the buckets of the repositories in ``new`` are compared, so a small batch
     does not read the whole table.
     """
     new = cut_lineage(new)
-    target = _touched(spark, path, ddl, _buckets(new))
+    target = stored.read(spark, path, ddl, stored.buckets_of(spark, path, new))
     fresh = cut_lineage(insert_ignore(target, new, keys, order))
     inserted = fresh.count()
-    if inserted:
-        write_table(fresh, path, "append")
-    return inserted
-
-
-def _overwrite_buckets(df: DataFrame, path: str) -> None:
-    (
-        bucketed(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BUCKET).parquet(path)
-    )
+    return inserted if inserted and stored.commit(spark, path, fresh, [], token) else 0
 
 
-def store_upsert(spark: SparkSession, path: str, ddl: str, new: DataFrame, keys: list[str], update_cols=None) -> None:
-    """Upsert into a stored table, rewriting only the buckets of the repositories in ``new``.
-
-    The merged buckets are checkpointed before the first file is replaced.
-    """
+def store_upsert(
+    spark: SparkSession, path: str, ddl: str, new: DataFrame, keys: list[str], update_cols=None, keep_when_null: bool = False, token: str | None = None
+) -> bool:
+    """Upsert into a stored table, rewriting only the buckets of the repositories in ``new``; False if the token was stored before."""
     new = cut_lineage(new)
-    target = _touched(spark, path, ddl, _buckets(new))
-    merged = cut_lineage(upsert(target, new, keys, update_cols))
-    _overwrite_buckets(merged, path)
+    buckets = stored.buckets_of(spark, path, new)
+    merged = upsert(stored.read(spark, path, ddl, buckets), new, keys, update_cols, keep_when_null)
+    return stored.commit(spark, path, merged, buckets, token)
 
 
-def replace_partition(spark: SparkSession, path: str, ddl: str, new: DataFrame, repo_ids: DataFrame) -> None:
-    """Delete-then-replace of whole repositories in a stored table.
-
-    A bucket that becomes empty is not rewritten by a dynamic overwrite, so its
-    remaining rows are checked for and its directory replaced by an empty one.
-    """
-    buckets = _buckets(repo_ids)
-    kept = cut_lineage(replace_rows(_touched(spark, path, ddl, buckets), new, repo_ids))
-    _overwrite_buckets(kept, path)
-    for bucket in set(buckets) - set(_buckets(kept)):
-        spark.createDataFrame([], ddl).write.mode("overwrite").parquet(f"{path}/{BUCKET}={bucket}")
+def replace_partition(spark: SparkSession, path: str, ddl: str, new: DataFrame, repo_ids: DataFrame, token: str | None = None) -> bool:
+    """Delete-then-replace of whole repositories in a stored table, as one change."""
+    repo_ids = cut_lineage(repo_ids.select("repo_id"))
+    buckets = stored.buckets_of(spark, path, repo_ids)
+    return stored.commit(spark, path, replace_rows(stored.read(spark, path, ddl, buckets), new, repo_ids), buckets, token)
 
 
 def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -163,12 +128,19 @@ def load_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: read_table(spark, f"{folder}/{name}", ddl) for name, ddl in schemas.TABLES.items()}
 
 
-def delete_repositories(spark: SparkSession, folder: str, repo_ids: DataFrame) -> None:
-    """Remove repositories and all their rows from the stored tables."""
-    for name, ddl in schemas.TABLES.items():
-        replace_partition(spark, f"{folder}/{name}", ddl, spark.createDataFrame([], ddl), repo_ids)
+def delete_repositories(spark: SparkSession, folder: str, repo_ids: DataFrame, token: str | None = None) -> None:
+    """Remove repositories and all their rows from the stored tables.
+
+    Each table changes at once.  A run that ends between two tables is finished by running it again: the children go first, the repositories last.
+    """
+    repo_ids = cut_lineage(repo_ids.select("repo_id"))
+    for name in [n for n in schemas.TABLES if n != "repositories"] + ["repositories"]:
+        ddl, state = schemas.TABLES[name], stored.load(spark, f"{folder}/{name}")
+        if state is None or not state.folders:
+            continue  # nothing is stored
+        replace_partition(spark, f"{folder}/{name}", ddl, spark.createDataFrame([], ddl), repo_ids, token)
 
 
-def clear_tables(spark: SparkSession, folder: str) -> None:
-    for name, ddl in schemas.TABLES.items():
-        write_table(spark.createDataFrame([], ddl), f"{folder}/{name}", "overwrite")
+def clear_tables(spark: SparkSession, folder: str, buckets: int = stored.N_BUCKETS) -> None:
+    for name in schemas.TABLES:
+        stored.clear(spark, f"{folder}/{name}", buckets)

@@ -18,7 +18,7 @@ def commit_ingest(stream: DataFrame, table_path: str, checkpoint: str) -> DataSt
     A replayed batch inserts nothing new, so the table stays exact after a restart.
     """
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        append_ignore(batch.sparkSession, table_path, schemas.COMMITS, batch, COMMIT_KEYS, COMMIT_ORDER)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_ignore(batch.sparkSession, table_path, schemas.COMMITS, batch, COMMIT_KEYS, COMMIT_ORDER, f"{checkpoint}#{batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -3,10 +3,11 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratacode import schemas
-from stratacode.operators import writes
+from stratacode.operators import stored, writes
 from stratacode.streaming import commit_ingest, keyed, progress
 
 
@@ -44,6 +45,61 @@ def test_replace_partition_and_delete(spark, tmp_path, rows):
     assert left == [("r0", "f"), ("r2", "n"), *[(f"r{i}", "f") for i in range(3, 8)]]
 
 
+def test_an_interrupted_write_changes_nothing(spark, tmp_path, rows, monkeypatch):
+    path = str(tmp_path / "owners")
+    writes.write_table(spark.createDataFrame([(f"r{i}", "f1", "a", i) for i in range(6)], OWNERS), path)
+    before = rows(writes.read_table(spark, path, OWNERS))
+    new, gone = spark.createDataFrame([("r1", "f1", "z", 9), ("r9", "f1", "y", 9)], OWNERS), spark.createDataFrame([("r2",)], "repo_id string")
+    reader = writes.read_table(spark, path, OWNERS)
+    runs = [
+        lambda: writes.store_upsert(spark, path, OWNERS, new, ["repo_id", "file_id"], token="u"),
+        lambda: writes.replace_partition(spark, path, OWNERS, spark.createDataFrame([], OWNERS), gone, token="d"),
+        lambda: writes.append_ignore(spark, path, OWNERS, new, ["repo_id", "file_id"], ["primary_owner"], token="a"),
+    ]
+
+    def stopped(*_):
+        raise KeyboardInterrupt
+
+    for run in runs:
+        with monkeypatch.context() as m:
+            m.setattr(stored, "_switch", stopped)
+            with pytest.raises(KeyboardInterrupt):
+                run()
+        assert rows(writes.read_table(spark, path, OWNERS)) == before
+    assert runs[0]() and runs[1]()
+    want = sorted([("r0", "f1", "a", 0), ("r1", "f1", "z", 9), *[(f"r{i}", "f1", "a", i) for i in (3, 4, 5)], ("r9", "f1", "y", 9)])
+    assert rows(writes.read_table(spark, path, OWNERS)) == want
+    # The same tokens again change nothing, even with other rows; a reader of before still reads what it found.
+    other = spark.createDataFrame([("r0", "f1", "other", 0)], OWNERS)
+    assert not writes.store_upsert(spark, path, OWNERS, other, ["repo_id", "file_id"], token="u")
+    assert rows(writes.read_table(spark, path, OWNERS)) == want and rows(reader) == before
+    assert stored.remove_unused(spark, path) and rows(writes.read_table(spark, path, OWNERS)) == want
+    with pytest.raises(FileExistsError):
+        writes.write_table(other, path)
+
+
+def test_a_changed_bucket_leaves_the_others_alone(spark, tmp_path):
+    path = str(tmp_path / "owners")
+    writes.write_table(spark.createDataFrame([(f"r{i}", "f", "a", i) for i in range(50)], OWNERS), path)
+    old = stored.load(spark, path).folders
+    writes.store_upsert(spark, path, OWNERS, spark.createDataFrame([("r7", "f", "b", 1)], OWNERS), ["repo_id", "file_id"])
+    new = stored.load(spark, path).folders
+    assert sum(old[b] != new[b] for b in old) == 1 and set(old) == set(new)
+
+
+def test_delete_cascade_over_all_stored_tables(spark, tmp_path, rows):
+    folder = str(tmp_path)
+    writes.clear_tables(spark, folder)
+    for name, ddl in schemas.TABLES.items():
+        columns = spark.createDataFrame([], ddl).schema
+        made = spark.createDataFrame([("r",), ("q",)], "repo_id string")
+        filled = made.select("repo_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in columns if f.name != "repo_id"])
+        writes.write_table(filled, f"{folder}/{name}", "append")
+    writes.delete_repositories(spark, folder, spark.createDataFrame([("r",)], "repo_id string"))
+    assert {name: rows(df, "repo_id") for name, df in writes.load_tables(spark, folder).items()} == {name: [("q",)] for name in schemas.TABLES}
+    assert set(schemas.REPO_CHILDREN) | {"repositories"} == set(schemas.TABLES) and "guides" in schemas.TABLES
+
+
 def test_delete_cascade(spark, rows):
     files = spark.createDataFrame([("r", "f"), ("q", "f")], "repo_id string, file_id string")
     kept = writes.delete_cascade({"files": files}, spark.createDataFrame([("r",)], "repo_id string"))
