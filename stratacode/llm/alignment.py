@@ -34,9 +34,9 @@ from stratacode.llm.staging import stage
 CHUNK_BYTES = 1 << 16
 FANOUT = 16
 HEAVY_BITS = 20
-UNITS = 300_000  # distinct units that a worker remembers, but for those of one batch
+UNITS = 200_000  # distinct units that a worker remembers, but for those of one batch
 BATCH_BYTES = 1 << 20
-HELD_LINKS = 2_000_000  # links that a task sums before it sends them
+HELD_LINKS = 1_000_000  # links that a task sums before it sends them
 PAIR = 1 << 32
 
 # White space other than ASCII, in UTF-8 (fixed values of the Unicode property).
@@ -385,6 +385,7 @@ def _whole_texts(paths: tuple[str, str]):
                         rows.append((0, 0, 0, 0, "", [], []))
                 columns = [pa.array(ids, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]]
                 yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], *_SHORT.names])
+        align._forget()  # the worker lives on through stages that need no units
 
     return run
 
