@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog, table
@@ -32,8 +33,8 @@ def _measured(spark, d):
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY tier, fan_in DESC, path) AS position
   FROM measured JOIN tiers USING (repo_id, file_id))
 SELECT repo_id, (position - 1) // 10 AS batch_id, count(*) AS n_items,
-       string_agg(((position - 1) % 10 + 1) || '. file_path=' || path || ' | fan_in=' || fan_in || ' | fan_out=' || fan_out ||
-                  ' | tier=' || tier || ' | language=' || language, chr(10) ORDER BY position) AS items
+       string_agg('{{"file_path":"' || path || '","fan_in":' || fan_in || ',"fan_out":' || fan_out || ',"tier":' || tier || ',"language":"' || language || '"}}',
+                  chr(10) ORDER BY position) AS items
 FROM numbered WHERE position <= 100 GROUP BY 1, 2""")
 def annotation_requests(spark, d):
     return textgen.annotation_requests(_reading(spark, d)[0], max_files=100).drop("prompt")
@@ -58,11 +59,11 @@ def glossary_candidates(spark, d):
 
 @C.query("glossary_requests", f"""WITH {_CANDIDATES}
 SELECT repo_id, ((rank - 1) // 25)::BIGINT AS batch_id, count(*) AS n_items,
-       string_agg('Symbol ' || name || chr(10) || 'in ' || path || chr(10) || 'at lines ' || start_line || '-' || end_line || chr(10) ||
-                  'which begins' || chr(10) || left(source_code, 300), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS items
+       string_agg('{{"name":"' || name || '","path":"' || path || '","lines":[' || start_line || ',' || end_line || '],"source":"' ||
+                  replace(left(source_code, 300), chr(10), chr(92) || 'n') || '"}}', chr(10) ORDER BY rank) AS items
 FROM candidates GROUP BY 1, 2""")
 def glossary_requests(spark, d):
-    return textgen.glossary_requests(_candidates(spark, d)).drop("prompt").withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    return textgen.glossary_requests(_candidates(spark, d), source_chars=textgen.SOURCE_PREVIEW).drop("prompt").withColumn("batch_id", F.col("batch_id").cast("bigint"))
 
 
 # Responses: JSON arrays of fifty parts each, fenced, some of them broken.
@@ -124,7 +125,7 @@ def attach_narrative(spark, d):
 
 
 @C.query("module_symbols", f"""WITH {PART_FILES}, {PART_SYMBOLS}, ranked AS (
-  SELECT repo_id, split_part(path, '/', 1) AS module, kind || ' `' || name || '` (' || path || ':' || start_line || ')' AS line,
+  SELECT repo_id, split_part(path, '/', 1) AS module, kind || ' ' || name || ' at ' || path || ':' || start_line AS line,
          row_number() OVER (PARTITION BY repo_id, split_part(path, '/', 1) ORDER BY path, start_line, symbol_id) AS rn
   FROM symbols JOIN files USING (repo_id, file_id) WHERE kind IN ('function', 'class', 'method'))
 SELECT repo_id, module, string_agg(line, chr(10) ORDER BY rn) FILTER (rn <= 8) AS lines, count(*) AS n_symbols,
@@ -152,12 +153,54 @@ def _brief_parts(spark, d):
     return files, symbols, repos, rules.detect_stack(listing), entries, modules, steps, used
 
 
-@C.query("brief_requests")
+# The stack of a repository of parts follows from the suffixes of its files.
+_PART_LANGUAGES = """list_filter(['Go', 'JavaScript', 'Python', 'TypeScript'], lambda x: list_contains(found, x))"""
+
+_BRIEF_PROMPT = f"""WITH {PART_MEASURED}, rated AS (
+  SELECT *, CASE WHEN fan_in >= 10 THEN 'critical' WHEN fan_in >= 5 THEN 'caution' ELSE 'safe' END AS criticality FROM measured),
+head AS (
+  SELECT repo_id, count(*) AS n, list(DISTINCT CASE split_part(path, '.', -1) WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' WHEN 'js' THEN 'JavaScript' ELSE 'Go' END) AS found
+  FROM files GROUP BY 1),
+entries AS (
+  SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path)::INT AS rk FROM rated WHERE fan_in = 0),
+entry_line AS (
+  SELECT repo_id, '{{"section":"entry_points","items":[' || string_agg('{{"path":"' || path || '"}}', ',' ORDER BY path) || ']}}' AS line FROM entries WHERE rk <= 8 GROUP BY 1),
+key_line AS (
+  SELECT repo_id, '{{"section":"key_modules","items":[' || string_agg('{{"path":"' || path || '","fan_in":' || fan_in || ',"criticality":"' || criticality || '"}}', ',' ORDER BY rk) || ']}}' AS line
+  FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY fan_in DESC, path) AS rk FROM rated) WHERE rk <= 10 GROUP BY 1),
+declared AS (
+  SELECT s.repo_id, split_part(path, '/', 1) AS module, '"' || kind || ' ' || s.name || ' at ' || path || ':' || start_line || '"' AS line,
+         row_number() OVER (PARTITION BY s.repo_id, split_part(path, '/', 1) ORDER BY path, start_line, symbol_id) AS rn
+  FROM symbols s JOIN files USING (repo_id, file_id) WHERE kind IN ('function', 'class', 'method')),
+module_item AS (
+  SELECT repo_id, module, '{{"module":"' || module || '","lines":[' || string_agg(line, ',' ORDER BY rn) FILTER (rn <= 8) || '],"n_more":' || greatest(count(*) - 8, 0) || '}}' AS item
+  FROM declared GROUP BY 1, 2),
+module_line AS (SELECT repo_id, '{{"section":"modules","items":[' || string_agg(item, ',' ORDER BY module) || ']}}' AS line FROM module_item GROUP BY 1),
+named AS (
+  SELECT DISTINCT x.repo_id, s.path AS from_path, t.path AS to_path
+  FROM edges x JOIN files s ON s.repo_id = x.repo_id AND s.file_id = src_file_id JOIN files t ON t.repo_id = x.repo_id AND t.file_id = tgt_file_id),
+module_pair AS (
+  SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY a, b) AS rk FROM (
+    SELECT DISTINCT repo_id, split_part(from_path, '/', 1) AS a, split_part(to_path, '/', 1) AS b FROM named) WHERE a <> b),
+edge_line AS (
+  SELECT repo_id, '{{"section":"module_edges","items":[' || string_agg('{{"src_module":"' || a || '","tgt_module":"' || b || '"}}', ',' ORDER BY rk) || ']}}' AS line
+  FROM module_pair WHERE rk <= 20 GROUP BY 1),
+used AS (SELECT DISTINCT repo_id, CASE WHEN lower(name) LIKE 'small%' THEN 'small' WHEN lower(name) LIKE 'hot%' THEN 'hot' ELSE 'cold' END AS name
+  FROM symbols WHERE kind = 'import' AND (lower(name) LIKE 'small%' OR lower(name) LIKE 'hot%' OR lower(name) LIKE 'cold%')),
+used_line AS (SELECT repo_id, '{{"section":"integrations","items":[' || string_agg('{{"integration":"' || name || '"}}', ',' ORDER BY name) || ']}}' AS line FROM used GROUP BY 1)
+SELECT repo_id, concat_ws(chr(10), '{textgen.BRIEF_TASK}',
+  '{{"section":"repository","name":"' || repo_id || '","files":' || n || ',"languages":' || to_json({_PART_LANGUAGES}) || ',"frameworks":[],"databases":[],"ci_cd":[]}}',
+  e.line, k.line, m.line, g.line, u.line) AS prompt
+FROM head LEFT JOIN entry_line e USING (repo_id) LEFT JOIN key_line k USING (repo_id) LEFT JOIN module_line m USING (repo_id)
+LEFT JOIN edge_line g USING (repo_id) LEFT JOIN used_line u USING (repo_id)"""
+
+
+@C.query("brief_requests", _BRIEF_PROMPT)
 def brief_requests(spark, d):
-    """One prompt per repository; its sections have their own checked queries."""
+    """One prompt per repository; the section of the data flow is left out here, it has a checked query of its own."""
     files, symbols, repos, stacks, entries, modules, steps, used = _brief_parts(spark, d)
     return textgen.brief_requests(
-        repos, stacks, entries, stats.key_modules(files), textgen.module_symbols(symbols, files), modules, steps, used,
+        repos, stacks, entries, stats.key_modules(files), textgen.module_symbols(symbols, files), modules, steps.limit(0), used,
         stats.file_totals(files),
     )
 
@@ -177,20 +220,50 @@ edge_list AS (
   SELECT repo_id, string_agg(a || '>' || b, ',' ORDER BY a, b) AS module_edges FROM (
     SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY a, b) AS rn FROM pairs) WHERE rn <= 30 GROUP BY 1),
 silo AS (
-  SELECT repo_id, string_agg(file_id, ',' ORDER BY file_id) AS ownership FROM ranked WHERE rn <= 10 GROUP BY 1)
-SELECT totals.*, total_symbols, module_edges, ownership, 'n/a' AS narrative FROM totals JOIN syms USING (repo_id)
-LEFT JOIN edge_list USING (repo_id) LEFT JOIN silo USING (repo_id)""")
+  SELECT repo_id, string_agg(file_id || ':' || CASE WHEN loc % 2 = 0 THEN 'x' ELSE 'y' END || ':' || coalesce(loc, 0) || ':' || (coalesce(loc, 0) = 1), ',' ORDER BY file_id) AS ownership
+  FROM ranked WHERE rn <= 10 GROUP BY 1),
+stack AS (
+  SELECT repo_id, array_to_string({_PART_LANGUAGES}, ',') || '|||' AS tech_stack FROM (
+    SELECT repo_id, list(DISTINCT CASE split_part(path, '.', -1) WHEN 'py' THEN 'Python' WHEN 'ts' THEN 'TypeScript' WHEN 'js' THEN 'JavaScript' ELSE 'Go' END) AS found FROM files GROUP BY 1)),
+used AS (SELECT DISTINCT repo_id, CASE WHEN lower(name) LIKE 'small%' THEN 'small' WHEN lower(name) LIKE 'hot%' THEN 'hot' ELSE 'cold' END AS name
+  FROM symbols WHERE kind = 'import' AND (lower(name) LIKE 'small%' OR lower(name) LIKE 'hot%' OR lower(name) LIKE 'cold%')),
+used_list AS (SELECT repo_id, string_agg(name, ',' ORDER BY name) AS external_integrations FROM used GROUP BY 1),
+term_list AS (
+  SELECT repo_id, string_agg(name || ':d:' || file_id, ',' ORDER BY name, symbol_id) AS glossary_preview FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY name, symbol_id) AS rn FROM symbols WHERE kind = 'class') WHERE rn <= 10 GROUP BY 1),
+order_list AS (
+  SELECT repo_id, string_agg(path || ':' || fan_in || ':' || fan_out || ':' || coalesce(language, '-') || ':0:' || rn || ':', ',' ORDER BY rn) AS reading_order_preview FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn FROM scored) WHERE rn <= 10 GROUP BY 1),
+one_flow AS (
+  SELECT repo_id, string_agg(path || '>' || path || ':' || rn, ',' ORDER BY rn) AS data_flow FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn FROM scored) WHERE rn <= 3 GROUP BY 1)
+SELECT totals.*, total_symbols, module_edges, ownership, 'n/a' AS narrative, tech_stack, external_integrations, glossary_preview, reading_order_preview, data_flow
+FROM totals JOIN syms USING (repo_id) JOIN stack USING (repo_id) JOIN order_list USING (repo_id) JOIN one_flow USING (repo_id)
+LEFT JOIN edge_list USING (repo_id) LEFT JOIN silo USING (repo_id) LEFT JOIN used_list USING (repo_id) LEFT JOIN term_list USING (repo_id)""")
 def onboarding_brief(spark, d):
     files, symbols, repos, stacks, entries, modules, steps, used = _brief_parts(spark, d)
-    owners = files.selectExpr("repo_id", "file_id", "'x' AS primary_owner", "1 AS bus_factor", "true AS is_knowledge_silo")
+    owners = files.selectExpr(
+        "repo_id", "file_id", "IF(loc % 2 = 0, 'x', 'y') AS primary_owner", "coalesce(loc, 0) AS bus_factor", "coalesce(loc, 0) = 1 AS is_knowledge_silo")
     glossary = symbols.where("kind = 'class'").selectExpr("repo_id", "symbol_id", "name", "'d' AS definition", "file_id AS file_path")
-    order = files.selectExpr("repo_id", "file_id", "path", "fan_in", "fan_out", "language", "0 AS tier", "fan_in AS position", "'' AS annotation")
+    by_path = F.row_number().over(Window.partitionBy("repo_id").orderBy("path"))
+    order = files.select("repo_id", "file_id", "path", "fan_in", "fan_out", "language", F.lit(0).alias("tier"), by_path.alias("position"), F.lit("").alias("annotation"))
+    # The trace itself has a query of its own; here it is what the section shows of a given one.
+    steps = order.where("position <= 3").selectExpr("repo_id", "position AS step", "path AS from_path", "path AS to_path", "position AS hop")
     brief = briefs.build_brief(repos, files, symbols, stacks, entries, modules, steps, used, owners, glossary, order)
+
+    def shown(column, *fields, between=":"):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(between, *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])), ",").alias(column)
+
+    stack = F.concat_ws("|", *[F.array_join(F.col("tech_stack")[c], ",") for c in ("languages", "frameworks", "databases", "ci_cd")])
+    steps_shown = F.transform("data_flow", lambda x: F.concat(x["from"], F.lit(">"), x["to"], F.lit(":"), x["hop"].cast("string")))
     return brief.select(
         "repo_id", "total_files", "n_critical_files", "n_entry_points", "total_symbols", "narrative",
-        F.array_join(F.transform("key_modules", lambda x: F.concat(x["path"], F.lit(":"), x["fan_in"].cast("string"))), ",").alias("key_modules"),
-        F.array_join(F.transform("module_edges", lambda x: F.concat(x["from"], F.lit(">"), x["to"])), ",").alias("module_edges"),
-        F.array_join(F.transform("ownership_summary", lambda x: x["file_id"]), ",").alias("ownership"),
+        shown("key_modules", "path", "fan_in"), shown("module_edges", "from", "to", between=">"),
+        shown("ownership_summary", "file_id", "primary_owner", "bus_factor", "is_knowledge_silo").alias("ownership"),
+        stack.alias("tech_stack"), F.array_join("external_integrations", ",").alias("external_integrations"),
+        shown("glossary_preview", "term", "definition", "file_path"),
+        shown("reading_order_preview", "path", "fan_in", "fan_out", "language", "tier", "position", "annotation"),
+        F.array_join(steps_shown, ",").alias("data_flow"),
     )
 
 

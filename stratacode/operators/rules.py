@@ -21,6 +21,7 @@ CRITICAL_PATH_PATTERNS = (
     r"auth\.", r"security\.", r"celery\.", r"main\.",
 )
 
+# The age from which a file counts as untouched, the fan-in steps and scores, and the texts of the reasons below.
 STALE_DAYS = 180
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,58 +12,71 @@ from stratacode.operators.common import batch_of_rank, ordered_items, top_k
 from stratacode.operators.edges import TARGET_KINDS, of_kind, with_file
 
 # Request sizes.
-ANNOTATION_BATCH = 10
-GLOSSARY_BATCH, SOURCE_PREVIEW = 25, 300
+ANNOTATION_BATCH, GLOSSARY_BATCH = 10, 25
+SOURCE_PREVIEW = 300
 ENTRY_PREVIEW, MODULE_SYMBOL_PREVIEW, EDGE_PREVIEW, FLOW_PREVIEW = 8, 8, 20, 20
-BLOCK_SEPARATOR = "\n\n---\n\n"
 NO_NARRATIVE = "Architecture summary could not be generated."
 
 ANNOTATION_TASK = (
-    "Explain in one or two sentences per file why a new engineer should read it at this point. "
-    "Reply with a JSON array of objects with the keys file_path and annotation.\n\nFiles in reading order:\n"
+    "Each line below is a JSON object about one file, in reading order. For every file say in one or two sentences what a newcomer gains from reading it now. "
+    'Answer with a JSON array of {"file_path": ..., "annotation": ...}.'
 )
 GLOSSARY_TASK = (
-    "Define each symbol in one or two plain sentences. "
-    "Reply with a JSON array of objects with the keys name and definition.\n\nSymbols:\n"
+    "Each line below is a JSON object about one symbol. For every symbol write one or two sentences that say what it is for. "
+    'Answer with a JSON array of {"name": ..., "definition": ...}.'
 )
 BRIEF_TASK = (
-    "## Task\nSummarise the architecture in five to eight sentences: purpose, modules, data and control flow, "
-    "patterns, external services. Use only names that occur above."
+    "Each line below is a JSON object about one aspect of a repository. Write five to eight sentences on its architecture: what it does, how it is divided, "
+    "how data and control move, what it depends on. Name nothing that the lines do not name."
+)
+
+
+@dataclass(frozen=True)
+class Section:
+    """A line of a brief prompt: the rows of a table as JSON objects of some columns, the first ``shown`` by ``order`` (all with None)."""
+
+    name: str
+    order: tuple[str, ...]
+    columns: tuple[str, ...]
+    shown: int | None = None
+
+
+BRIEF_SECTIONS = (
+    Section("entry_points", ("path",), ("path",), ENTRY_PREVIEW),
+    Section("key_modules", ("rank",), ("path", "fan_in", "criticality")),
+    Section("modules", ("module",), ("module", "lines", "n_more")),
+    Section("module_edges", ("src_module", "tgt_module"), ("src_module", "tgt_module"), EDGE_PREVIEW),
+    Section("data_flow", ("step",), ("hop", "from_path", "to_path"), FLOW_PREVIEW),
+    Section("integrations", ("integration",), ("integration",)),
 )
 
 
-def _s(col) -> Column:
-    return (F.col(col) if isinstance(col, str) else col).cast("string")
+def _json(item: Column) -> Column:
+    return F.to_json(item, {"ignoreNullFields": "false"})
+
+
+def _batched(rows: DataFrame, rank: str, size: int, item: Column, task: str) -> DataFrame:
+    """One prompt per ``size`` rows of a repository: the task, then a JSON object a line."""
+    return (
+        batch_of_rank(rows, rank, size).groupBy("repo_id", "batch_id")
+        .agg(F.count(F.lit(1)).alias("n_items"), F.array_join(ordered_items(_json(item), ["batch_pos"]), "\n").alias("items"))
+        .withColumn("prompt", F.concat(F.lit(task + "\n"), F.col("items")))
+    )
 
 
 def annotation_requests(order: DataFrame, task: str = ANNOTATION_TASK, max_files: int | None = None) -> DataFrame:
     """One prompt per ten files of each reading order, or of its first ``max_files``."""
     wanted = order if max_files is None else order.where(F.col("position") <= max_files)
-    first = batch_of_rank(wanted, "position", ANNOTATION_BATCH)
-    item = F.concat(
-        _s("batch_pos"), F.lit(". file_path="), F.col("path"), F.lit(" | fan_in="), _s("fan_in"),
-        F.lit(" | fan_out="), _s("fan_out"), F.lit(" | tier="), _s("tier"),
-        F.lit(" | language="), F.coalesce(F.nullif("language", F.lit("")), F.lit("unknown")),
-    )
-    return first.groupBy("repo_id", "batch_id").agg(
-        F.count(F.lit(1)).alias("n_items"), F.array_join(ordered_items(item, ["batch_pos"]), "\n").alias("items")
-    ).withColumn("prompt", F.concat(F.lit(task), F.col("items")))
-
-
-def glossary_requests(candidates: DataFrame, task: str = GLOSSARY_TASK) -> DataFrame:
-    """One prompt per 25 glossary candidates (they carry ``rank``)."""
-    source = F.col("source_code")
-    entry = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Symbol "), F.col("name")),
-        F.concat(F.lit("in "), F.col("path")),
-        F.concat(F.lit("at lines "), _s("start_line"), F.lit("-"), _s("end_line")),
-        F.when(source != "", F.concat(F.lit("which begins\n"), F.left(source, F.lit(SOURCE_PREVIEW)))),
-    )
-    return batch_of_rank(candidates, "rank", GLOSSARY_BATCH).groupBy("repo_id", "batch_id").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.array_join(ordered_items(entry, ["batch_pos"]), BLOCK_SEPARATOR).alias("items"),
-    ).withColumn("prompt", F.concat(F.lit(task), F.col("items")))
+    language = F.coalesce(F.nullif("language", F.lit("")), F.lit("unknown"))
+    item = F.struct(F.col("path").alias("file_path"), "fan_in", "fan_out", "tier", language.alias("language"))
+    return _batched(wanted, "position", ANNOTATION_BATCH, item, task)
+
+
+def glossary_requests(candidates: DataFrame, task: str = GLOSSARY_TASK, source_chars: int | None = None) -> DataFrame:
+    """One prompt per 25 glossary candidates (they carry ``rank``), with their sources or the first ``source_chars`` characters of them."""
+    source = F.col("source_code") if source_chars is None else F.left("source_code", F.lit(source_chars))
+    item = F.struct("name", "path", F.array("start_line", "end_line").alias("lines"), source.alias("source"))
+    return _batched(candidates, "rank", GLOSSARY_BATCH, item, task)
 
 
 def parse_responses(responses: DataFrame, item_schema: str) -> DataFrame:
@@ -124,9 +139,7 @@ def module_symbols(symbols: DataFrame, files: DataFrame, k: int = MODULE_SYMBOL_
     rows = with_file(
         of_kind(symbols, TARGET_KINDS).select("repo_id", "file_id", "symbol_id", "kind", "name", "start_line"), files
     ).withColumn("module", top_dir(F.col("path")))
-    line = F.concat(
-        F.col("kind"), F.lit(" `"), F.col("name"), F.lit("` ("), F.col("path"), F.lit(":"), _s("start_line"), F.lit(")")
-    )
+    line = F.concat_ws(" ", "kind", "name", F.lit("at"), F.concat("path", F.lit(":"), F.col("start_line").cast("string")))
     totals = rows.groupBy("repo_id", "module").agg(F.count(F.lit(1)).alias("n_symbols"))
     shown = top_k(rows, ["repo_id", "module"], ["path", "start_line", "symbol_id"], k).groupBy("repo_id", "module").agg(
         ordered_items(line, ["rank"]).alias("lines")
@@ -136,14 +149,12 @@ def module_symbols(symbols: DataFrame, files: DataFrame, k: int = MODULE_SYMBOL_
     )
 
 
-def _section(df: DataFrame, order: list, line: Column, n: int | None, name: str) -> DataFrame:
-    rows = df if n is None else top_k(df, ["repo_id"], order, n, "_shown")
-    return rows.groupBy("repo_id").agg(F.array_join(ordered_items(line, order), "\n").alias(name))
-
-
-def _bullets(names: Column, empty: str) -> Column:
-    joined = F.array_join(names, ", ")
-    return F.when(F.size(names) > 0, joined).otherwise(F.lit(empty))
+def _section(table: DataFrame, section: Section) -> DataFrame:
+    """(repo_id, line): the line of one section per repository that has rows of it."""
+    rows = table if section.shown is None else top_k(table, ["repo_id"], list(section.order), section.shown, "_shown")
+    items = ordered_items(F.struct(*section.columns), list(section.order))
+    return rows.groupBy("repo_id").agg(items.alias("items")).select(
+        "repo_id", _json(F.struct(F.lit(section.name).alias("section"), "items")).alias("line"))
 
 
 def brief_requests(
@@ -159,52 +170,19 @@ def brief_requests(
     max_modules: int | None = None,
     task: str = BRIEF_TASK,
 ) -> DataFrame:
-    """One architecture prompt per repository with files.
+    """One architecture prompt per repository with files: the task, the repository and its stack, then the lines of ``BRIEF_SECTIONS``.
 
-    Each section is cut to its preview length before it is collected.  The module
-    section lists every module; ``max_modules`` can bound it for repositories with
-    very many top directories.
+    A section is cut to its preview length before it is collected; a repository without rows of a section has no such line.  ``max_modules`` bounds the
+    module section for repositories with very many top directories.
     """
-    entries = _section(entry_points, ["path"], F.concat(F.lit("  - "), F.col("path")), ENTRY_PREVIEW, "entries")
-    key_line = F.concat(
-        F.lit("  - "), F.col("path"), F.lit(": "), _s("fan_in"), F.lit(" importers, rated "),
-        F.coalesce(F.nullif("criticality", F.lit("")), F.lit("not at all")),
-    )
-    keys = key_modules.groupBy("repo_id").agg(F.array_join(ordered_items(key_line, ["rank"]), "\n").alias("keys"))
-    module_text = F.concat(
-        F.lit("\n### "), F.col("module"), F.lit("/\n"),
-        F.array_join(F.transform("lines", lambda x: F.concat(F.lit("  - "), x)), "\n"),
-        F.when(F.col("n_more") > 0, F.concat(F.lit("\n  - "), _s("n_more"), F.lit(" further ones"))).otherwise(F.lit("")),
-    )
-    module_part = _section(modules, ["module"], module_text, max_modules, "modules")
-    edge_line = F.concat(F.lit("  - "), F.col("src_module"), F.lit("/ → "), F.col("tgt_module"), F.lit("/"))
-    edge_part = _section(module_edges, ["src_module", "tgt_module"], edge_line, EDGE_PREVIEW, "edges")
-    flow_line = F.concat(
-        F.lit("  - hop "), _s("hop"), F.lit(": "), F.col("from_path"), F.lit(" → "), F.col("to_path")
-    )
-    flow_part = _section(data_flow, ["step"], flow_line, FLOW_PREVIEW, "flow")
-    used = _section(integrations, ["integration"], F.concat(F.lit("  - "), F.col("integration")), None, "integrations")
-
-    def titled(title: str, col: str) -> Column:
-        return F.when(F.col(col).isNotNull(), F.concat(F.lit(f"\n\n## {title}\n"), F.col(col))).otherwise(F.lit(""))
-
-    joined = file_counts.select("repo_id", "total_files").join(repositories.select("repo_id", "name"), "repo_id")
-    for part in (stacks, entries, keys, module_part, edge_part, flow_part, used):
-        joined = joined.join(part, "repo_id", "left")
+    tables = dict(zip([s.name for s in BRIEF_SECTIONS], (entry_points, key_modules, modules, module_edges, data_flow, integrations)))
+    joined = file_counts.select("repo_id", "total_files").join(repositories.select("repo_id", "name"), "repo_id").join(stacks, "repo_id", "left")
+    lines = []
+    for section in BRIEF_SECTIONS:
+        cut = replace(section, shown=max_modules) if section.name == "modules" else section
+        joined = joined.join(_section(tables[section.name], cut).withColumnRenamed("line", f"_{section.name}"), "repo_id", "left")
+        lines.append(F.col(f"_{section.name}"))
     none = F.array().cast("array<string>")
-    stack = {c: F.coalesce(F.col(c), none) for c in ("languages", "frameworks", "databases", "ci_cd")}
-    prompt = F.concat(
-        F.lit("This is "), F.col("name"), F.lit(", files read: "), _s("total_files"),
-        F.lit("\n\n## What it is built with\nwritten in "), _bullets(stack["languages"], "unknown"),
-        F.lit("\non top of "), _bullets(stack["frameworks"], "nothing known"),
-        F.lit("\nstoring in "), _bullets(stack["databases"], "nothing known"),
-        F.lit("\nbuilt and shipped by "), _bullets(stack["ci_cd"], "nothing known"),
-        F.lit("\n\n## Where it starts\n"), F.coalesce("entries", F.lit("  - nowhere known")),
-        titled("Most imported files", "keys"),
-        titled("Folders and what they declare", "modules"),
-        titled("Which folder uses which", "edges"),
-        titled("Imports followed from the start", "flow"),
-        titled("Outside services", "integrations"),
-        F.lit("\n\n" + task),
-    )
-    return joined.select("repo_id", prompt.alias("prompt"))
+    stack = [F.coalesce(F.col(c), none).alias(c) for c in ("languages", "frameworks", "databases", "ci_cd")]
+    head = _json(F.struct(F.lit("repository").alias("section"), "name", F.col("total_files").alias("files"), *stack))
+    return joined.select("repo_id", F.concat_ws("\n", F.lit(task), head, *lines).alias("prompt"))

@@ -80,4 +80,4 @@ def test_chunks_and_brief(run, rows):
     assert [r.file_path for r in briefs.guide_reading_order(result.reading_order).where("repo_id = 'shop'").collect()][0] == "app/db.py"
     assert [r.file_path for r in briefs.guide_critical_files(result.files).where("repo_id = 'shop'").collect()] == ["app/main.py"]
     prompts = {r.repo_id: r.prompt for r in brief_prompts(result, repos).collect()}
-    assert "hop 1: app/main.py → app/db.py" in prompts["shop"] and "React" in prompts["web"]
+    assert '{"hop":1,"from_path":"app/main.py","to_path":"app/db.py"}' in prompts["shop"] and "React" in prompts["web"]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -199,7 +200,7 @@ def test_module_preview_counts_the_rest(spark):
     symbols = spark.createDataFrame([("r", "f", f"s{i:02d}", "function", f"n{i}", i) for i in range(11)],
                                     "repo_id string, file_id string, symbol_id string, kind string, name string, start_line int")
     row = textgen.module_symbols(symbols, files).first()
-    assert row.lines[0] == "function `n0` (m/a.py:0)" and len(row.lines) == 8 and row.n_more == 3
+    assert row.lines[0] == "function n0 at m/a.py:0" and len(row.lines) == 8 and row.n_more == 3
 
 
 def test_brief_prompt_sections(spark):
@@ -215,10 +216,25 @@ def test_brief_prompt_sections(spark):
         one("repo_id string, integration string", ("r", "redis")),
         one("repo_id string, total_files bigint", ("r", 7)),
     ).first().prompt
-    for part in ("written in Go, Rust", "on top of nothing known", "shipped by Docker", "  - e7.py", "4 importers, rated not at all",
-                 "### m/\n  - x\n  - 2 further ones", "a/ → b/", "hop 1: a.py → b.py", "  - redis", "files read: 7"):
-        assert part in prompt, part
-    assert "e8.py" not in prompt
+    task, *lines = prompt.split("\n")
+    assert task == textgen.BRIEF_TASK
+    said = {x["section"]: x for x in map(json.loads, lines)}
+    assert said["repository"] == {"section": "repository", "name": "demo", "files": 7, "languages": ["Go", "Rust"], "frameworks": [], "databases": [], "ci_cd": ["Docker"]}
+    assert [x["path"] for x in said["entry_points"]["items"]] == [f"e{i}.py" for i in range(8)]
+    assert said["key_modules"]["items"] == [{"path": "k.py", "fan_in": 4, "criticality": None}]
+    assert said["modules"]["items"] == [{"module": "m", "lines": ["x"], "n_more": 2}]
+    assert said["module_edges"]["items"] == [{"src_module": "a", "tgt_module": "b"}]
+    assert said["data_flow"]["items"] == [{"hop": 1, "from_path": "a.py", "to_path": "b.py"}] and said["integrations"]["items"] == [{"integration": "redis"}]
+
+
+def test_glossary_requests_hold_whole_sources(spark):
+    made = [("r", f"s{i}", f"n{i}", "p.py", i, i + 1, 'a "b"\n' * 200, i) for i in range(1, 28)]
+    candidates = spark.createDataFrame(made, "repo_id string, symbol_id string, name string, path string, start_line int, end_line int, source_code string, rank int")
+    for limit, size in ((None, 1200), (300, 300)):
+        got = textgen.glossary_requests(candidates, source_chars=limit).orderBy("batch_id").collect()
+        items = [json.loads(line) for r in got for line in r["items"].split("\n")]
+        assert [r.n_items for r in got] == [25, 2] and [x["name"] for x in items] == [f"n{i}" for i in range(1, 28)]
+        assert all(len(x["source"]) == size for x in items) and items[0]["lines"] == [1, 2]
 
 
 def test_every_file_gets_an_annotation_request(spark):
@@ -227,7 +243,7 @@ def test_every_file_gets_an_annotation_request(spark):
     for limit, files, batches in ((None, 235, 24), (100, 100, 10)):
         got = textgen.annotation_requests(order, max_files=limit).collect()
         assert (sum(r.n_items for r in got), len(got)) == (files, batches)
-        assert all(f"file_path=p{i}.py |" in "".join(r.prompt for r in got) for i in (1, files))
+        assert all(f'"file_path":"p{i}.py"' in "".join(r.prompt for r in got) for i in (1, files))
 
 
 def test_long_texts_are_split_and_found_again(spark):
