@@ -191,3 +191,130 @@ def integrations(spark, d):
         "p_brand AS repo_id", "upper(p_name) AS name", "IF(p_size % 2 = 0, 'import', 'class') AS kind"
     )
     return rules.detect_integrations(imports, ("small r", "small", "cold.ring", "hot"))
+
+
+# --- every rule with a file that it hits and one that it just misses ----------------------------------
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _samples():
+    """(path, content) pairs: for every stack rule a hit and a near miss."""
+    out = []
+    for i, (scope, needle, _, _) in enumerate(rules.STACK_RULES):
+        name, _, word = needle.partition("|")
+        field = "dependencies" if i % 2 else "devDependencies"
+        out += {
+            "suffix": [(f"m/a{needle}", ""), (f"m/a{needle}x", "")],
+            "package_dep": [("w/package.json", f'{{"{field}": {{"{needle}": "1"}}}}'),
+                            ("w/package.json", f'{{"peerDependencies": {{"{needle}": "1"}}, "dependencies": {{"{needle}-x": "1"}}}}')],
+            "py_text": [("t.py", f"IMPORT {needle.upper()}"), ("t.txt", needle)],
+            "name_text": [(f"sub/{name.upper()}", f"<x {word.upper()}>"), (f"sub/{name}.bak", word)],
+            "root_text": [(name, f"needs {word.upper()}"), (f"sub/{name}", word)],
+            "composer": [("composer.json", f'{{"require": {{"{needle}": "1"}}}}'), ("composer.json", f'{{"require": {{"{needle}-x": "1"}}}}')],
+            "composer_any": [("composer.json", f'{{"require": {{"{needle}/x": "1"}}}}'), ("composer.json", f'{{"require-dev": {{"{needle}/x": "1"}}}}')],
+            "root_file": [(needle, "x"), (f"sub/{needle}", "x")],
+            "root_dir": [(f"{needle}/x.txt", "x"), (f"{needle}s/x.txt", "x")],
+            "segment": [(f"mod{needle.upper()}x/a.txt", "x"), (f"node_modules/{needle}/a.txt", "x")],
+            "path": [(f"a/{needle}z/b.txt", "x"), (f"node_modules/{needle}/b.txt", "x")],
+        }[scope]
+    for needle in rules.ENTRY_NAMES + rules.ENTRY_MANIFESTS:
+        out += [(f"sub/{needle.upper()}", "x"), (f"sub/a{needle}", "x"), (f"node_modules/{needle}", "x")]
+    for needle in rules.ENTRY_SCRIPT_NAMES:
+        out += [(f"lib/{needle}", "x"), (f"src/{needle}", "x"), (f"src/api/{needle}", "x")]
+    for folder, name in (("src", "app.tsx"), ("src", "app.jsx"), ("app", "page.tsx"), ("app", "page.jsx"), ("pages", "index.tsx"), ("pages", "index.jsx")):
+        out += [(f"{folder}/{name}", "x"), (f"other/{name}", "x")]
+    for marker in rules.ENTRY_MARKERS:
+        out += [(f"m{suffix}", f"a\n{marker.upper()} b") for suffix in rules.ENTRY_TEXT_SUFFIXES]
+        out += [("m.txt", marker), ("m.py", marker[:-1])]
+    return out
+
+
+_SAMPLES = _samples()
+# Repositories of one file each, and one in seven with the two folders of a monorepo, or with one of them only.
+_MONO = ("apps/a.txt", "packages/b.txt")
+
+
+def _sampled(spark, d):
+    n = len(_SAMPLES)
+    samples = spark.createDataFrame([(i, p, c) for i, (p, c) in enumerate(_SAMPLES)], "sample int, path string, content string")
+    repos = table(spark, d, "part").selectExpr("concat('repo', p_partkey) AS repo_id", f"CAST(p_partkey % {n} AS INT) AS sample", "p_partkey")
+    extra = [repos.where(f"p_partkey % 7 < {k}").selectExpr("repo_id", f"'{p}' AS path", "CAST(NULL AS STRING) AS content") for k, p in zip((1, 2), _MONO)]
+    return repos.join(samples, "sample").select("repo_id", "path", "content").unionByName(extra[0]).unionByName(extra[1])
+
+
+_SAMPLED_SQL = f"""samples(sample, path, content) AS (VALUES {", ".join(f"({i}, {_quoted(p)}, {_quoted(c)})" for i, (p, c) in enumerate(_SAMPLES))}),
+sampled AS (
+  SELECT 'repo' || p_partkey AS repo_id, path, content FROM part JOIN samples ON sample = p_partkey % {len(_SAMPLES)}
+  UNION ALL SELECT 'repo' || p_partkey, '{_MONO[0]}', NULL FROM part WHERE p_partkey % 7 < 1
+  UNION ALL SELECT 'repo' || p_partkey, '{_MONO[1]}', NULL FROM part WHERE p_partkey % 7 < 2),
+cut AS (
+  SELECT *, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name, coalesce(lower(content), '') AS body,
+         list_position(list_transform(string_split(path, '/'), lambda x: x IN ({", ".join(_quoted(x) for x in sorted(rules.SKIP_DIRS))})), true) AS skip FROM sampled),
+seen AS (
+  SELECT *, coalesce(skip, 0) = 0 AS visible, regexp_extract(name, '[^.](\\.[^.]*)$', 1) AS suffix,
+         list_transform(CASE WHEN coalesce(skip, 0) = 0 THEN parts ELSE parts[1:skip - 1] END, lambda x: lower(x)) AS low,
+         CASE WHEN name IN ('package.json', 'composer.json') AND json_valid(content) THEN content ELSE '{{}}' END AS json FROM cut)"""
+
+_STACK_SQL = f"""WITH {_SAMPLED_SQL},
+rule(scope, needle, category, label) AS (VALUES {", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rules.STACK_RULES)}),
+hits AS (
+  SELECT repo_id, category, label FROM seen CROSS JOIN rule WHERE CASE scope
+    WHEN 'suffix' THEN visible AND suffix = needle
+    WHEN 'package_dep' THEN visible AND name = 'package.json' AND
+      (coalesce(list_contains(json_keys(json, '$.dependencies'), needle), false) OR coalesce(list_contains(json_keys(json, '$.devDependencies'), needle), false))
+    WHEN 'py_text' THEN visible AND suffix = '.py' AND contains(body, needle)
+    WHEN 'name_text' THEN visible AND lower(name) = split_part(needle, '|', 1) AND contains(body, split_part(needle, '|', 2))
+    WHEN 'root_text' THEN path = split_part(needle, '|', 1) AND contains(body, split_part(needle, '|', 2))
+    WHEN 'composer' THEN path = 'composer.json' AND coalesce(list_contains(json_keys(json, '$.require'), needle), false)
+    WHEN 'composer_any' THEN path = 'composer.json' AND coalesce(contains((json->'$.require')::VARCHAR, needle), false)
+    WHEN 'root_file' THEN path = needle
+    WHEN 'root_dir' THEN starts_with(path, needle || '/')
+    WHEN 'segment' THEN len(list_filter(low, lambda x: contains(x, needle))) > 0
+    ELSE contains(array_to_string(low, '/'), needle) END
+  UNION ALL
+  SELECT repo_id, 'frameworks', 'Monorepo' FROM sampled GROUP BY 1 HAVING bool_or(starts_with(path, 'apps/')) AND bool_or(starts_with(path, 'packages/')))
+SELECT DISTINCT repo_id, category, label FROM hits"""
+
+
+@C.query("stack_rules", _STACK_SQL)
+def stack_rules(spark, d):
+    """Labels of repositories among which every stack rule hits and just misses."""
+    return rules.stack_labels(_sampled(spark, d))
+
+
+def _names(names) -> str:
+    return ", ".join(map(_quoted, names))
+
+
+@C.query("entry_rules", f"""WITH {_SAMPLED_SQL}
+SELECT DISTINCT repo_id, path FROM seen WHERE visible AND (
+  lower(name) IN ({_names(rules.ENTRY_NAMES + rules.ENTRY_MANIFESTS)})
+  OR (lower(name) IN ({_names(rules.ENTRY_SCRIPT_NAMES)}) AND (NOT contains(path, 'src') OR contains(path, 'server') OR contains(path, 'api')))
+  OR (lower(name) IN ('app.tsx', 'app.jsx') AND contains(path, 'src')) OR (lower(name) IN ('page.tsx', 'page.jsx') AND contains(path, 'app'))
+  OR (lower(name) IN ('index.tsx', 'index.jsx') AND contains(path, 'pages'))
+  OR (suffix IN ({_names(rules.ENTRY_TEXT_SUFFIXES)}) AND ({" OR ".join(f"contains(body, {_quoted(m)})" for m in rules.ENTRY_MARKERS)})))""")
+def entry_rules(spark, d):
+    """Entry points among files that every name and every marker hits and just misses."""
+    return rules.detect_entry_points(_sampled(spark, d))
+
+
+_PREFIXES = ", ".join(f"({i}, {_quoted(p)})" for i, p in enumerate(rules.INTEGRATION_PREFIXES))
+
+
+@C.query("integration_rules", f"""WITH prefix(no, prefix) AS (VALUES {_PREFIXES}),
+imported AS (
+  SELECT 'repo' || p_size AS repo_id, CASE p_partkey % 3 WHEN 0 THEN upper(prefix) || '.x' WHEN 1 THEN 'x' || prefix ELSE left(prefix, length(prefix) - 1) END AS name
+  FROM part JOIN prefix ON no = p_partkey % {len(rules.INTEGRATION_PREFIXES)} WHERE p_partkey % 5 > 0),
+first AS (SELECT i.repo_id, i.name, arg_min(prefix, no) AS hit FROM imported i JOIN prefix ON starts_with(lower(i.name), prefix) GROUP BY 1, 2)
+SELECT DISTINCT repo_id, split_part(hit, '.', 1) AS integration FROM first""")
+def integration_rules(spark, d):
+    """All prefixes of the rule list: names that begin with one, hold one elsewhere, or lack its last letter."""
+    prefixes = spark.createDataFrame(list(enumerate(rules.INTEGRATION_PREFIXES)), "no int, prefix string")
+    part = table(spark, d, "part").selectExpr("concat('repo', p_size) AS repo_id", "p_partkey", f"CAST(p_partkey % {len(rules.INTEGRATION_PREFIXES)} AS INT) AS no")
+    imported = part.join(prefixes, "no").selectExpr(
+        "repo_id", "CASE p_partkey % 3 WHEN 0 THEN concat(upper(prefix), '.x') WHEN 1 THEN concat('x', prefix) ELSE left(prefix, length(prefix) - 1) END AS name",
+        "IF(p_partkey % 5 > 0, 'import', 'class') AS kind")
+    return rules.detect_integrations(imported)
