@@ -160,11 +160,16 @@ def build_chunks_of_symbol_repos(spark, d):
     return _all_chunks(spark, d, require_symbols=True)
 
 
-@C.query("hash_embeddings")
+@C.query("hash_embeddings", f"""WITH {_SPLIT}, words AS (
+  SELECT source_id, ('0x' || left(md5(lower(word)), 8))::BIGINT % 64 AS dim_no FROM (
+    SELECT source_id, unnest(regexp_extract_all(chunk_text, '[A-Za-z0-9_]+')) AS word FROM readme_chunks)),
+counts AS (SELECT source_id, dim_no, count(*) AS n FROM words GROUP BY 1, 2)
+SELECT source_id, dim_no, round((n / sqrt(sum(n * n) OVER (PARTITION BY source_id)))::FLOAT::DOUBLE, 6) AS value FROM counts""")
 def hash_embeddings(spark, d):
+    """Every number of the vectors that is not zero."""
     chunks = ch.embed_chunks(ch.doc_chunks(_readmes(spark, d)), dim=64)
-    return chunks.select("repo_id", F.size("embedding").alias("dim"), F.round(
-        F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+    numbers = chunks.select("source_id", F.posexplode("embedding").alias("dim_no", "value")).where("value <> 0")
+    return numbers.select("source_id", F.col("dim_no").cast("bigint").alias("dim_no"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @C.query("cosine_distances", """SELECT a.vec_id,

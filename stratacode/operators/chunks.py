@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
@@ -22,6 +23,7 @@ from stratacode.operators.edges import EMBEDDABLE_KINDS, has_source, of_kind, wi
 
 CHUNK_COLUMNS = ("repo_id", "source_type", "source_id", "file_id", "chunk_text")
 EMBED_BATCH = 100
+KNOWN_WORDS = 500_000  # words whose hash a task remembers
 
 
 def _fitted(chunks: DataFrame, max_tokens: int, oversize: str) -> DataFrame:
@@ -172,13 +174,39 @@ def build_chunks(
     return chunks.select(*CHUNK_COLUMNS)
 
 
+_WORD = re.compile(r"[A-Za-z0-9_]+")
+
+
+def _bucket(word: str, dim: int) -> int:
+    return int(hashlib.md5(word.lower().encode()).hexdigest()[:8], 16) % dim
+
+
+def _hashed(dim: int, at: int):
+    """Adds unit vectors of hashed word counts to batches whose text is column ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            vectors = np.zeros((batch.num_rows, dim))
+            for row, text in enumerate(batch.column(at).to_pylist()):
+                found = _WORD.findall(text or "")
+                known.update((w, _bucket(w, dim)) for w in set(found).difference(known))
+                vectors[row] = np.bincount([known[w] for w in found], minlength=dim)
+            if len(known) > KNOWN_WORDS:
+                known = {}
+            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+            unit = (vectors / np.where(norms > 0, norms, 1)).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "embedding"])
+
+    return run
+
+
 def hash_embedding(chunks: DataFrame, dim: int = 256) -> DataFrame:
-    """Offline embedding: hashed word counts scaled to unit length, all on the JVM."""
-    words = RegexTokenizer(inputCol="chunk_text", outputCol="_words", pattern=r"\W+")
-    counts = HashingTF(numFeatures=dim, inputCol="_words", outputCol="_counts")
-    unit = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit")
-    vectors = unit.transform(counts.transform(words.transform(chunks)))
-    return vectors.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_counts", "_unit")
+    """Offline embedding: counts of words (runs of ASCII letters, digits and ``_``, lower case) by the first 32 bits of their md5 modulo ``dim``, scaled to
+    unit length; a text without words is a vector of zeros."""
+    schema = StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))])
+    return chunks.mapInArrow(_hashed(dim, chunks.columns.index("chunk_text")), schema)
 
 
 def embed_chunks(
