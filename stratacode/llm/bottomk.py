@@ -29,6 +29,7 @@ from pyspark.sql import types as st
 from stratacode.llm.components import connected_components
 from stratacode.llm.shingles import shingle_hashes, word_hashes
 from stratacode.llm.staging import stage
+from stratacode.llm.text import fresh
 
 K, LEAST_SHARED, WIDTH = 32, 12, 5
 PERCENT = 75  # links need 100 * intersection >= PERCENT * union
@@ -224,11 +225,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Of rows repeated under one id the one with the smallest text stays (a null text first); rows without an id all stay.
     """
     key = F.col(f"`{id_col}`")
+    gone, many, whole_row = fresh(docs, "gone", "many", "row")
     marks = stage(near_duplicates(docs, id_col, text_col, **options), "marks")
-    dropped = stage(marks.where(~F.col("kept")).select(key.alias("_gone")).distinct(), "dropped")
-    kept = docs.join(dropped, key == F.col("_gone"), "left_anti")
-    several = stage(marks.where(key.isNotNull()).groupBy(key.alias("_many")).count().where("count > 1").select("_many"), "several")
-    repeated = kept.join(several, key == F.col("_many"), "left_semi")
-    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    first = repeated.groupBy(key).agg(F.min_by(whole_row, F.struct(text_col)).alias("_row")).select("_row.*")
-    return kept.join(several, key == F.col("_many"), "left_anti").unionAll(first)
+    dropped = stage(marks.where(~F.col("kept")).select(key.alias(gone)).distinct(), "dropped")
+    kept = docs.join(dropped, key == F.col(gone), "left_anti")
+    several = stage(marks.where(key.isNotNull()).groupBy(key.alias(many)).count().where("count > 1").select(many), "several")
+    repeated = kept.join(several, key == F.col(many), "left_semi")
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = repeated.groupBy(key).agg(F.min_by(columns, F.struct(F.col(f"`{text_col}`"))).alias(whole_row)).select(f"{whole_row}.*")
+    return kept.join(several, key == F.col(many), "left_anti").unionAll(first)

@@ -22,6 +22,7 @@ from pyspark.sql import types as st
 
 from stratacode.llm.shingles import mix, word_hashes
 from stratacode.llm.staging import stage
+from stratacode.llm.text import fresh
 
 WINDOW, PERCENT = 16, 75
 # Places read by each mask; together they miss no window of 16 words with up to 4 substitutions.
@@ -187,6 +188,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark; rows without an id stay."""
+    (leak,) = fresh(docs, "leak")
     spans = contaminated_spans(docs, benchmark, id_col=id_col, **options)
-    leaks = stage(spans.select(F.col("doc_id").alias("_leak")).where("_leak is not null").distinct(), "leaks")
-    return docs.join(leaks, F.col(f"`{id_col}`") == F.col("_leak"), "left_anti")
+    leaks = stage(spans.select(F.col("doc_id").alias(leak)).where(F.col(leak).isNotNull()).distinct(), "leaks")
+    return docs.join(leaks, F.col(f"`{id_col}`") == F.col(leak), "left_anti")
