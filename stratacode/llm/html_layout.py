@@ -384,7 +384,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", result_col: str = "te
     Null and empty pages give an empty text; rows are independent, so repeated pages give repeated texts and an empty table
     none; an input column of the name ``result_col`` is replaced.
     """
-    kept = [c for c in pages.columns if c != result_col or c == html_col]
+    kept = [c for c in pages.columns if c.lower() != result_col.lower() or c == html_col]
     rows = pages.select(*[F.col(f"`{c}`") for c in kept])
     place = kept.index(html_col)
     if result_col == html_col:
