@@ -131,16 +131,14 @@ def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 4: toxicity by a classifier chain -------------------------------------------------------------
 
-# Words that name a category of abuse in the labelled rows; they weakly label the first links of the chain.
-CATEGORY_TERMS = {"insult": ("idiot", "moron", "stupid", "clown", "loser"), "contempt": ("worthless", "pathetic", "trash", "scum", "disgusting")}
 TOXIC_FROM = 0.5
 
 
 @C.query("op4_toxicity_chain")
 def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain runs over the two judgements of the labels: whether a text is of low quality, then whether it is toxic."""
     docs = read(spark, sf_dir, "documents")
-    named = {name: F.col("toxic").cast("boolean") & F.lower("text").rlike("\\b(" + "|".join(terms) + ")\\b") for name, terms in CATEGORY_TERMS.items()}
-    chain = toxicity.train(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"), named | {"toxic": F.col("toxic")})
+    chain = toxicity.train(docs, read(spark, sf_dir, "labels"), {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
     scored = toxicity.score(docs.select("doc_id", "text"), chain)
     return scored.select("doc_id", *[F.col(f"p_{c}") for c in chain.categories], (F.col("p_toxic") >= TOXIC_FROM).cast("int").alias("toxic"))
 

@@ -116,7 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], id_
     ids = labels.where(key.isNotNull()).select(key).distinct().orderBy(order, key).limit(max_rows)
     # The sample is bounded by max_rows, so it may be broadcast to where the texts are.
     chosen = labels.join(F.broadcast(ids), id_col, "left_semi").orderBy(order).limit(4 * max_rows)
-    marked = docs.select(key, text).join(F.broadcast(chosen), id_col).select(key, text, *[c.cast("int").alias(n) for n, c in categories.items()])
+    # One text an id, the one of the least hash: ids bound the sample, however often one repeats in ``docs``.
+    mine = docs.select(key, text).join(F.broadcast(ids), id_col).groupBy(id_col).agg(F.min_by(text, F.xxhash64(text)).alias(text_col))
+    marked = mine.join(F.broadcast(chosen), id_col).select(key, text, *[c.cast("int").alias(n) for n, c in categories.items()])
     sample = (
         marked.dropna(subset=[id_col, *categories]).groupBy(id_col, text_col).agg(*[F.max(c).alias(c) for c in categories])
         .select(text.alias("_text"), F.pmod(order, F.lit(folds)).cast("int").alias("_fold"), *categories).toPandas()
@@ -131,7 +133,8 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     Input columns named like a result column are replaced.
     """
     names = [f"p_{c}" for c in chain.categories]
-    kept = [c for c in docs.columns if c not in names]
+    replaced = {n.lower() for n in names}
+    kept = [c for c in docs.columns if c.lower() not in replaced]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     model = docs.sparkSession.sparkContext.broadcast(chain)
     place = kept.index(text_col)

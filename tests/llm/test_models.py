@@ -160,3 +160,12 @@ def test_chunks_close_on_rows_without_bytes(make, monkeypatch):
     docs = make([(i, None if i % 3 else "a b c") for i in range(60)])
     column = lambda **o: sorted((r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in ip.score(docs, F.lit(False), bitmap_bits=20, **o).collect())
     assert column() == column(chunk_rows=7) == column(chunk_rows=7, broadcast_bytes=0)
+
+
+def test_one_repeated_id_does_not_grow_the_sample(make, spark):
+    rng = random.Random(2)
+    docs = make([(1, prose(rng, 20)) for _ in range(300)] + [(i, prose(rng, 20)) for i in range(2, 20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)], "doc_id bigint, toxic int")
+    chain = toxicity.train(docs, labels, {"toxic": F.col("toxic")}, max_rows=10)
+    out = toxicity.score(docs.withColumnRenamed("kept", "P_TOXIC"), chain)
+    assert out.where("p_toxic between 0 and 1").count() == 318 and [c.lower() for c in out.columns].count("p_toxic") == 1
