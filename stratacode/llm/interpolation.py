@@ -33,9 +33,9 @@ from stratacode.llm.decontaminate import slots
 from stratacode.llm.shingles import mix, word_hashes
 from stratacode.llm.staging import stage
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 18
-PLACE_BITS = 31  # an Arrow column holds fewer rows
+PLACE_BITS, CHUNK_BITS = 24, 16  # of a document's number: its place in a chunk, the chunk in its task; the task has the rest
 BITMAP_BITS = 27
 HEAVY_BITS = 20
 EM_ROUNDS = 60
@@ -97,7 +97,7 @@ def _gathered(function, chunk_bytes: int, chunk_rows: int = CHUNK_ROWS):
     """``function`` of a table as a function of batches: tables of about ``chunk_bytes`` of text and ``chunk_rows`` rows at most, numbered within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held, size, count = TaskContext.get().partitionId() << 12, [], 0, 0
+        first, held, size, count = TaskContext.get().partitionId() << CHUNK_BITS, [], 0, 0
 
         def emit(number: int) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held)
