@@ -101,6 +101,7 @@ class Aligner:
         self.groups: list[str] = []
         self.facts = np.empty((0, 5), np.int64)  # tokens of either side, groups, links, units that do not give back their bytes
         self.pairs, self.bounds = np.empty(0, np.int64), np.zeros(1, np.int64)
+        self.seen = np.empty(0, np.int64)
 
     def numbers(self, stretch: bytes) -> np.ndarray:
         """The units of a stretch that begins at a cut, by number."""
@@ -116,14 +117,26 @@ class Aligner:
         missing = list(set().union(*split).difference(known))
         if missing:
             self._learn(missing)
-        return [np.array([known[u] for u in units], np.int64) for units in split]
-
-    def make_room(self) -> bool:
-        """Forgets all units if there are too many; to be called between texts."""
-        full = len(self.known) > self.limit
-        if full:
-            self._forget()
-        return full
+        numbers = [np.array([known[u] for u in units], np.int64) for units in split]
+        self.seen += np.bincount(np.concatenate(numbers) if numbers else [], minlength=len(self.groups)).astype(np.int64)
+        return numbers
+
+    def make_room(self) -> None:
+        """Forgets rare units if there are too many; to be called between texts, since all numbers change."""
+        if len(self.known) > self.limit:
+            self.shrink()
+
+    def shrink(self) -> None:
+        """Keeps the units seen twice or more, or as often as it takes to keep half of the limit at most.  What was seen long ago counts less each time."""
+        least = 2
+        while np.count_nonzero(self.seen >= least) > self.limit // 2:
+            least *= 2
+        kept = np.flatnonzero(self.seen >= least)
+        many, units = np.diff(self.bounds)[kept], list(self.known)  # in the order of their numbers
+        self.pairs, self.bounds = self.links(kept), np.concatenate([[0], np.cumsum(many)])
+        self.facts, self.seen = self.facts[kept], self.seen[kept] // 2
+        self.groups = [self.groups[i] for i in kept.tolist()]
+        self.known = {units[i]: number for number, i in enumerate(kept.tolist())}
 
     def closed(self, numbers: np.ndarray, with_pairs: bool = True) -> Closed:
         sums = self.facts[numbers].sum(0).tolist()
@@ -157,6 +170,7 @@ class Aligner:
         self.known.update(zip(units, range(len(self.groups), len(self.groups) + len(units))))
         self.groups += names
         self.facts = np.concatenate([self.facts, facts])
+        self.seen = np.concatenate([self.seen, np.zeros(len(units), np.int64)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(many)])
 
     @staticmethod
@@ -385,7 +399,7 @@ def _whole_texts(paths: tuple[str, str]):
                         rows.append((0, 0, 0, 0, "", [], []))
                 columns = [pa.array(ids, batch.schema.field(0).type), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]]
                 yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], *_SHORT.names])
-        align._forget()  # the worker lives on through stages that need no units
+        align.shrink()  # the worker lives on through stages that need no units
 
     return run
 
