@@ -23,8 +23,10 @@ def _deps(spark, d):
 
 
 def _edges(spark, d):
-    files, symbols, deps = _deps(spark, d)
-    return files, symbols, deps, e.file_edges(deps, symbols)
+    """Files, symbols, dependencies and edges; the resolver knows the files of both ends."""
+    files, symbols = part_files(spark, d), part_symbols(spark, d)
+    resolved = e.resolve_imports(files, symbols)
+    return files, symbols, resolved.select("repo_id", "source_symbol_id", "target_symbol_id", "dep_type"), e.import_edges(resolved)
 
 
 @C.query("symbols_with_file", f"""WITH {PART_FILES}, {PART_SYMBOLS}
@@ -61,7 +63,9 @@ def resolve_dependencies(spark, d):
 
 @C.query("file_edges", f"WITH {PART_EDGES} SELECT * FROM edges")
 def file_edges(spark, d):
-    return _edges(spark, d)[3]
+    """From the stored form of the dependencies, which knows symbols only."""
+    _, symbols, deps = _deps(spark, d)
+    return e.file_edges(deps, symbols)
 
 
 @C.query("fan_metrics", f"WITH {PART_MEASURED} SELECT repo_id, file_id, fan_in, fan_out FROM measured")

@@ -24,8 +24,8 @@ C = Catalog()
 
 def _measured(spark, d):
     files, symbols = part_files(spark, d), part_symbols(spark, d)
-    deps = e.resolve_dependencies(files, symbols)
-    edges = e.file_edges(deps, symbols)
+    resolved = e.resolve_imports(files, symbols)
+    deps, edges = resolved.select("repo_id", "source_symbol_id", "target_symbol_id", "dep_type"), e.import_edges(resolved)
     return e.fan_metrics(files, edges), symbols, deps, edges
 
 

@@ -24,7 +24,7 @@ _CORE_SPARK = (
 def _aged(spark, d):
     symbols = part_symbols(spark, d)
     files = part_files(spark, d)
-    edges = e.file_edges(e.resolve_dependencies(files, symbols), symbols)
+    edges = e.import_edges(e.resolve_imports(files, symbols))
     names = table(spark, d, "part").selectExpr("concat('f', p_partkey) AS file_id", "p_name", "p_brand AS repo_id")
     last = table(spark, d, "lineitem").groupBy(F.expr("concat('f', l_partkey)").alias("file_id")).agg(
         F.max(F.col("l_shipdate").cast("timestamp")).alias("git_last_modified")
@@ -109,7 +109,7 @@ SELECT repo_id, file_id, path, fan_in, fan_out, language, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY fan_in DESC, path)::INT AS rank FROM measured) WHERE rank <= 10""")
 def key_modules(spark, d):
     files, symbols = part_files(spark, d), part_symbols(spark, d)
-    edges = e.file_edges(e.resolve_dependencies(files, symbols), symbols)
+    edges = e.import_edges(e.resolve_imports(files, symbols))
     measured = e.fan_metrics(files, edges).withColumn("criticality", F.lit(None).cast("string"))
     return stats.key_modules(measured).drop("criticality")
 

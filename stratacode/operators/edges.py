@@ -73,8 +73,8 @@ def normalise_imports(symbols: DataFrame) -> DataFrame:
     )
 
 
-def resolve_dependencies(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """At most one ``imports`` edge per import symbol.
+def resolve_imports(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """At most one ``imports`` edge per import symbol: (repo_id, source_symbol_id, src_file_id, target_symbol_id, tgt_file_id, dep_type).
 
     The whole import path is tried first, then its last segment; a match on the
     importing file itself is passed over.  Each try is one equi-join with a key
@@ -100,21 +100,31 @@ def resolve_dependencies(files: DataFrame, symbols: DataFrame) -> DataFrame:
         F.col("short.file_id") != own, F.col("short")
     )
     return (
-        tried.select("repo_id", F.col("symbol_id").alias("source_symbol_id"), hit.alias("hit"))
+        tried.select("repo_id", F.col("symbol_id").alias("source_symbol_id"), own.alias("src_file_id"), hit.alias("hit"))
         .where(F.col("hit.target_symbol_id").isNotNull())
         .select(
-            "repo_id", "source_symbol_id", F.col("hit.target_symbol_id").alias("target_symbol_id"),
-            F.lit("imports").alias("dep_type"),
+            "repo_id", "source_symbol_id", "src_file_id", F.col("hit.target_symbol_id").alias("target_symbol_id"),
+            F.col("hit.file_id").alias("tgt_file_id"), F.lit("imports").alias("dep_type"),
         )
     )
 
 
+def resolve_dependencies(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The dependency table: ``resolve_imports`` by symbols alone."""
+    return resolve_imports(files, symbols).select("repo_id", "source_symbol_id", "target_symbol_id", "dep_type")
+
+
+def import_edges(resolved: DataFrame) -> DataFrame:
+    """``file_edges`` of freshly resolved imports, whose files are known: no join."""
+    return cross_file(resolved).select("repo_id", "src_file_id", "tgt_file_id", "dep_type")
+
+
 def cross_file(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src_file_id") != F.col("tgt_file_id"))
 
 
 def file_edges(dependencies: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One row per dependency between two files (rows inside one file drop out).
+    """One row per dependency of a stored table between two files (rows inside one file drop out).
 
     Only (symbol_id, file_id) of the symbols travels through the joins.
     """

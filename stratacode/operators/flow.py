@@ -26,7 +26,8 @@ def trace(entry_points: DataFrame, files: DataFrame, edges: DataFrame, hops: int
     """Every import met by the walks: (repo_id, entry_rank, hop, via, from_path, to_path), in the order of ``ORDER`` within a repository.
 
     ``entry_points`` has (repo_id, path, entry_rank); ``via`` lists the files from the entry to ``from_path``, the least such list where several lead
-    there.  Entries that are no file of their repository are left out.  There is one small job per rank and hop, whatever the number of repositories.
+    there.  Entries that are no file of their repository are left out.  There is one small job per rank and two hops, whatever the number of
+    repositories.
     """
     paths = files.select("repo_id", "file_id", F.col("path").alias("from_path"))
     # Every step reads this table, so it is materialised once.
@@ -41,17 +42,29 @@ def trace(entry_points: DataFrame, files: DataFrame, edges: DataFrame, hops: int
     )
     ranks = sorted(r[0] for r in entries.select("entry_rank").distinct().collect())
     node = ["repo_id", "from_path"]
+
+    def after(wave: DataFrame) -> DataFrame:
+        """The files that a wave leads to, each by its least way."""
+        met = wave.join(imports, node).select("repo_id", "to_path", F.concat("via", F.array("to_path")).alias("via"))
+        return met.groupBy("repo_id", F.col("to_path").alias("from_path")).agg(F.min("via").alias("via"))
+
     expanded, steps = entries.select(*node).limit(0), None
     for rank in ranks:
-        level = entries.where(F.col("entry_rank") == rank).groupBy(*node).agg(F.array("from_path").alias("via"))
-        for hop in range(1, hops + 1):
-            fresh = cut_lineage(level.join(expanded, node, "left_anti"))
-            if fresh.isEmpty():
+        level, hop = entries.where(F.col("entry_rank") == rank).groupBy(*node).agg(F.array("from_path").alias("via")), 1
+        while hop <= hops:
+            # Two hops a job: the second one's anti join sees what the first expands.
+            wave = level.join(expanded, node, "left_anti").withColumn("hop", F.lit(hop))
+            reach = min(hop + 1, hops)
+            if reach > hop:
+                second = after(wave).join(expanded.unionByName(wave.select(*node)), node, "left_anti").withColumn("hop", F.lit(reach))
+                wave = wave.unionByName(second)
+            wave = cut_lineage(wave)
+            if wave.isEmpty():
                 break
-            expanded = expanded.unionByName(fresh.select(*node))
-            step = fresh.join(imports, node).select("repo_id", F.lit(rank).alias("entry_rank"), F.lit(hop).alias("hop"), "via", "from_path", "to_path")
+            expanded = expanded.unionByName(wave.select(*node))
+            step = wave.join(imports, node).select("repo_id", F.lit(rank).alias("entry_rank"), "hop", "via", "from_path", "to_path")
             steps = step if steps is None else steps.unionByName(step)
-            level = step.groupBy("repo_id", F.col("to_path").alias("from_path")).agg(F.min(F.concat("via", F.array("to_path"))).alias("via"))
+            level, hop = after(wave.where(F.col("hop") == reach)), reach + 1
     if steps is None:
         none = F.lit(None)
         return imports.limit(0).select("repo_id", none.cast("int").alias("entry_rank"), none.cast("int").alias("hop"), none.cast("array<string>").alias("via"), "from_path", "to_path")

@@ -12,7 +12,7 @@ from stratacode.operators import edges as edge_ops
 from stratacode.operators import flow, order, ownership, rules, stats, symbols as symbol_ops, textgen
 from stratacode.operators.tests_lookup import detect_tests
 from stratacode.plans.brief import build_brief
-from stratacode.session import cut_lineage
+from stratacode.session import stage
 from stratacode.sources.git_log import newest_commits, parse_git_log
 from stratacode.sources.tree import keep_source_files, pick_readme, to_files
 
@@ -53,15 +53,16 @@ def ingest(
 
     The whole history counts; ``max_commits`` keeps the newest so many commits of each repository only.
 
-    Symbols, file edges, the touch log and ownership are each used several times, so they
-    are materialised once in the checkpoint folder; everything else stays lazy.
+    Source files, symbols, resolved imports, the touch log and ownership are each used several times, so they are written once as Parquet in the checkpoint
+    folder, and every consumer reads only its columns; everything else stays lazy.
     """
-    source_files = to_files(keep_source_files(listing))
-    symbols = cut_lineage(symbol_ops.extract_symbols(source_files))
+    source_files = stage(to_files(keep_source_files(listing)), "source-files")
+    symbols = stage(symbol_ops.extract_symbols(source_files), "symbols")
     bare = source_files.drop("content")
 
-    dependencies = edge_ops.resolve_dependencies(bare, symbols)
-    edges = cut_lineage(edge_ops.file_edges(dependencies, symbols))
+    resolved = stage(edge_ops.resolve_imports(bare, symbols), "imports")
+    dependencies = resolved.select("repo_id", "source_symbol_id", "target_symbol_id", "dep_type")
+    edges = edge_ops.import_edges(resolved)
     measured = edge_ops.fan_metrics(bare, edges).select(
         "*",
         F.lit(None).cast("double").alias("change_frequency"),
@@ -73,8 +74,8 @@ def ingest(
     if max_commits is not None:
         commits = newest_commits(commits, max_commits)
         all_changes = all_changes.join(commits.select("repo_id", "log_pos"), ["repo_id", "log_pos"], "left_semi")
-    commit_files = cut_lineage(all_changes)
-    owned = cut_lineage(ownership.file_ownership(commit_files))
+    commit_files = stage(all_changes, "commit-files")
+    owned = stage(ownership.file_ownership(commit_files), "ownership")
     tests = detect_tests(owned, listing)
     files = rules.criticality(ownership.apply_git_stats(measured, owned, tests), now, git_aware)
     owners = ownership.code_owners(owned, files)

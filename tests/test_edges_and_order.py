@@ -242,6 +242,17 @@ def test_top_k_cuts_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") >= 2
 
 
+def test_edges_of_the_resolver_equal_those_of_the_stored_dependencies(spark, rows):
+    rng = random.Random(12)
+    files = spark.createDataFrame([("r", f"f{i}", f"d{i % 3}/m{i}.py") for i in range(12)], FILES)
+    made = [("r", f"f{rng.randrange(12)}", f"s{i}", rng.choice(["import", "function"]), f"m{rng.randrange(14)}", i) for i in range(200)]
+    symbols = spark.createDataFrame(made, SYMBOLS)
+    direct = e.import_edges(e.resolve_imports(files, symbols))
+    stored = e.file_edges(e.resolve_dependencies(files, symbols), symbols)
+    assert rows(direct) == rows(stored) and direct.count() > 20
+    assert direct._jdf.queryExecution().executedPlan().toString().count("Join ") < stored._jdf.queryExecution().executedPlan().toString().count("Join ")
+
+
 def test_edge_plans_do_not_read_source_text(spark, tmp_path):
     path = str(tmp_path / "symbols")
     spark.createDataFrame([("r", "f", "s", "import", "x", 0, "text")], SYMBOLS + ", source_code string").write.parquet(path)

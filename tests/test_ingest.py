@@ -81,3 +81,19 @@ def test_chunks_and_brief(run, rows):
     assert [r.file_path for r in briefs.guide_critical_files(result.files).where("repo_id = 'shop'").collect()] == ["app/main.py"]
     prompts = {r.repo_id: r.prompt for r in brief_prompts(result, repos).collect()}
     assert '{"hop":1,"from_path":"app/main.py","to_path":"app/db.py"}' in prompts["shop"] and "React" in prompts["web"]
+
+
+def test_ingest_tables_are_staged_and_pruned(spark):
+    """Every consumer of the symbols scans a stored table and only the columns that it needs."""
+    from stratacode.plans import ingest as plan
+
+    listing = spark.createDataFrame([("r", "a.py", "import b\n\ndef f():\n    return 1\n"), ("r", "b.py", "def g():\n    pass\n")], "repo_id string, path string, content string")
+    repos = spark.createDataFrame([("r", "demo", None)], "repo_id string, name string, architecture_summary string")
+    log = spark.createDataFrame([], "repo_id string, line_no bigint, line string")
+    requests = spark.createDataFrame([], "repo_id string, number int, title string, description string")
+    terms = spark.createDataFrame([], "repo_id string, symbol_id string, name string, definition string, file_path string")
+    run = plan.ingest(repos, listing, log, requests, terms, now="2024-07-01 00:00:00")
+    text = run.integrations._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in text and "source_code" not in text and "ExistingRDD" not in text
+    edges = run.edges._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in edges and "Join" not in edges and run.edges.count() == 1
