@@ -168,6 +168,23 @@ def symbol_graph_links(spark, d):
     return graph.symbol_links(symbols, deps)
 
 
+@C.query("symbol_graph_metadata", f"""WITH {PART_FILES}, {PART_SYMBOLS}, {_WILD_DEPS}, first_node AS (
+  SELECT repo_id, file_id, symbol_id AS first_node FROM (
+    SELECT *, row_number() OVER (PARTITION BY repo_id, file_id ORDER BY ordinal, symbol_id) AS rn
+    FROM symbols WHERE kind IN ('function', 'class')) WHERE rn = 1),
+ends AS (
+  SELECT repo_id, symbol_id, CASE WHEN kind = 'import' THEN first_node ELSE symbol_id END AS node
+  FROM symbols LEFT JOIN first_node USING (repo_id, file_id) WHERE kind IN ('function', 'class', 'import')),
+links AS (
+  SELECT d.repo_id, count(DISTINCT (s.node, t.node)) AS n FROM deps d JOIN ends s ON s.repo_id = d.repo_id AND s.symbol_id = source_symbol_id
+  JOIN ends t ON t.repo_id = d.repo_id AND t.symbol_id = target_symbol_id WHERE s.node <> t.node GROUP BY 1)
+SELECT s.repo_id, count(*) AS total_nodes, any_value(coalesce(n, 0)) AS total_edges, count(DISTINCT split_part(path, '/', 1)) AS clusters
+FROM symbols s JOIN files USING (repo_id, file_id) LEFT JOIN links l ON l.repo_id = s.repo_id WHERE kind IN ('function', 'class') GROUP BY 1""")
+def symbol_graph_metadata(spark, d):
+    symbols, deps = _wild_deps(spark, d)
+    return graph.symbol_graph(_scored(part_files(spark, d)), symbols, deps)[2]
+
+
 @C.query("module_edges", f"""WITH {PART_EDGES}
 SELECT DISTINCT x.repo_id, split_part(s.path, '/', 1) AS src_module, split_part(t.path, '/', 1) AS tgt_module
 FROM edges x JOIN files s ON s.repo_id = x.repo_id AND s.file_id = src_file_id
@@ -196,13 +213,21 @@ def nation_module_edges(spark, d):
     return e.module_edges(edges, files.join(repos, "repo_id", "left_semi"))
 
 
-@C.query("file_dependency_map", f"""WITH {PART_EDGES}
-SELECT x.repo_id, src_file_id AS file_id, string_agg(path, ',' ORDER BY path) AS targets
-FROM (SELECT DISTINCT repo_id, src_file_id, tgt_file_id FROM edges) x
-JOIN files t ON t.repo_id = x.repo_id AND t.file_id = tgt_file_id GROUP BY 1, 2""")
+@C.query("file_dependencies", f"""WITH {PART_EDGES}
+SELECT DISTINCT x.repo_id, src_file_id AS file_id, path AS target_path FROM edges x JOIN files t ON t.repo_id = x.repo_id AND t.file_id = tgt_file_id""")
+def file_dependencies(spark, d):
+    """The imports of a file as rows, of any number."""
+    files, _, _, edges = _edges(spark, d)
+    return e.file_dependency_paths(edges, files)
+
+
+@C.query("file_dependency_map", f"""WITH {PART_EDGES}, named AS (
+  SELECT x.repo_id, src_file_id AS file_id, path, row_number() OVER (PARTITION BY x.repo_id, src_file_id ORDER BY path) AS nth
+  FROM (SELECT DISTINCT repo_id, src_file_id, tgt_file_id FROM edges) x JOIN files t ON t.repo_id = x.repo_id AND t.file_id = tgt_file_id)
+SELECT repo_id, file_id, string_agg(path, ',' ORDER BY path) FILTER (nth <= 5) AS targets, count(*) AS n_targets FROM named GROUP BY 1, 2""")
 def file_dependency_map(spark, d):
     files, _, _, edges = _edges(spark, d)
-    return e.file_dep_map(edges, files).withColumn("targets", F.array_join("targets", ","))
+    return e.file_dep_map(edges, files, 5).withColumn("targets", F.array_join("targets", ","))
 
 
 @C.query("adjacency", f"""WITH {TYPED_EDGES}

@@ -172,12 +172,25 @@ def ownership_page(spark, d):
     return stats.paginate(rows, ["path", "repo_id"], 3, 50, max_page_size=200)[0]
 
 
+# The files that some order priorities share a name with.
+_ONE_PATH = "f/y1995/order_%.py"
+
+
 @C.query("ownership_by_path", f"""WITH {ORDER_OWNED}
-SELECT repo_id, path, primary_owner FROM owners WHERE path = (SELECT max(path) FROM files)""")
+SELECT repo_id, path, primary_owner FROM owners WHERE path = (SELECT min(path) FROM files WHERE path LIKE '{_ONE_PATH}')""")
 def ownership_by_path(spark, d):
     owners, files = _owners(spark, d)
-    last = files.agg(F.max("path").alias("path"))
-    return own.owners_with_file(owners, files).join(last, "path", "left_semi").select("repo_id", "path", "primary_owner")
+    wanted = files.where(F.col("path").like(_ONE_PATH)).agg(F.min("path")).first()[0]
+    return stats.by_path(own.owners_with_file(owners, files), wanted).select("repo_id", "path", "primary_owner")
+
+
+@C.query("ownership_filtered_page", f"""WITH {ORDER_OWNED}, chosen AS (SELECT repo_id, path, primary_owner FROM owners WHERE path LIKE 'o/%')
+SELECT *, (SELECT count(*) FROM chosen) AS total FROM chosen ORDER BY path, repo_id LIMIT 50 OFFSET 50""")
+def ownership_filtered_page(spark, d):
+    """The second page of the owners below a folder, with the total of all pages."""
+    rows = own.owners_with_file(*_owners(spark, d)).select("repo_id", "path", "primary_owner").where("path LIKE 'o/%'")
+    page, total = stats.paginate(rows, ["path", "repo_id"], 2, 50)
+    return page.withColumn("total", F.lit(total.first()["total"]).cast("bigint"))
 
 
 _REPOS = """repos AS (

@@ -205,7 +205,7 @@ def brief_requests(spark, d):
     )
 
 
-@C.query("onboarding_brief", f"""WITH {PART_MEASURED}, scored AS (
+_BRIEF = f"""WITH {PART_MEASURED}, scored AS (
   SELECT *, CASE WHEN fan_in >= 10 THEN 3 WHEN fan_in >= 5 THEN 1 ELSE 0 END + 1 AS score FROM measured),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY fan_in DESC, path) AS rn FROM scored),
 totals AS (
@@ -239,8 +239,10 @@ one_flow AS (
     SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS rn FROM scored) WHERE rn <= 3 GROUP BY 1)
 SELECT totals.*, total_symbols, module_edges, ownership, 'n/a' AS narrative, tech_stack, external_integrations, glossary_preview, reading_order_preview, data_flow
 FROM totals JOIN syms USING (repo_id) JOIN stack USING (repo_id) JOIN order_list USING (repo_id) JOIN one_flow USING (repo_id)
-LEFT JOIN edge_list USING (repo_id) LEFT JOIN silo USING (repo_id) LEFT JOIN used_list USING (repo_id) LEFT JOIN term_list USING (repo_id)""")
-def onboarding_brief(spark, d):
+LEFT JOIN edge_list USING (repo_id) LEFT JOIN silo USING (repo_id) LEFT JOIN used_list USING (repo_id) LEFT JOIN term_list USING (repo_id)"""
+
+
+def _brief(spark, d):
     files, symbols, repos, stacks, entries, modules, steps, used = _brief_parts(spark, d)
     owners = files.selectExpr(
         "repo_id", "file_id", "IF(loc % 2 = 0, 'x', 'y') AS primary_owner", "coalesce(loc, 0) AS bus_factor", "coalesce(loc, 0) = 1 AS is_knowledge_silo")
@@ -249,22 +251,39 @@ def onboarding_brief(spark, d):
     order = files.select("repo_id", "file_id", "path", "fan_in", "fan_out", "language", F.lit(0).alias("tier"), by_path.alias("position"), F.lit("").alias("annotation"))
     # The trace itself has a query of its own; here it is what the section shows of a given one.
     steps = order.where("position <= 3").selectExpr("repo_id", "position AS step", "path AS from_path", "path AS to_path", "position AS hop")
-    brief = briefs.build_brief(repos, files, symbols, stacks, entries, modules, steps, used, owners, glossary, order)
+    return briefs.build_brief(repos, files, symbols, stacks, entries, modules, steps, used, owners, glossary, order)
+
+
+def _shown_sections(*names):
+    """Sections of a brief as texts."""
+
+    def items(column, *fields, between=":"):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(between, *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])), ",")
 
-    def shown(column, *fields, between=":"):
-        return F.array_join(F.transform(column, lambda x: F.concat_ws(between, *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])), ",").alias(column)
+    made = {
+        "key_modules": lambda: items("key_modules", "path", "fan_in"),
+        "module_edges": lambda: items("module_edges", "from", "to", between=">"),
+        "ownership": lambda: items("ownership_summary", "file_id", "primary_owner", "bus_factor", "is_knowledge_silo"),
+        "tech_stack": lambda: F.concat_ws("|", *[F.array_join(F.col("tech_stack")[c], ",") for c in rules.STACK_CATEGORIES]),
+        "external_integrations": lambda: F.array_join("external_integrations", ","),
+        "glossary_preview": lambda: items("glossary_preview", "term", "definition", "file_path"),
+        "reading_order_preview": lambda: items("reading_order_preview", "path", "fan_in", "fan_out", "language", "tier", "position", "annotation"),
+        "data_flow": lambda: F.array_join(F.transform("data_flow", lambda x: F.concat(x["from"], F.lit(">"), x["to"], F.lit(":"), x["hop"].cast("string"))), ","),
+    }
+    return [made[n]().alias(n) for n in names]
 
-    stack = F.concat_ws("|", *[F.array_join(F.col("tech_stack")[c], ",") for c in ("languages", "frameworks", "databases", "ci_cd")])
-    steps_shown = F.transform("data_flow", lambda x: F.concat(x["from"], F.lit(">"), x["to"], F.lit(":"), x["hop"].cast("string")))
-    return brief.select(
+
+@C.query("onboarding_brief", _BRIEF)
+def onboarding_brief(spark, d):
+    return _brief(spark, d).select(
         "repo_id", "total_files", "n_critical_files", "n_entry_points", "total_symbols", "narrative",
-        shown("key_modules", "path", "fan_in"), shown("module_edges", "from", "to", between=">"),
-        shown("ownership_summary", "file_id", "primary_owner", "bus_factor", "is_knowledge_silo").alias("ownership"),
-        stack.alias("tech_stack"), F.array_join("external_integrations", ",").alias("external_integrations"),
-        shown("glossary_preview", "term", "definition", "file_path"),
-        shown("reading_order_preview", "path", "fan_in", "fan_out", "language", "tier", "position", "annotation"),
-        F.array_join(steps_shown, ",").alias("data_flow"),
-    )
+        *_shown_sections("key_modules", "module_edges", "ownership", "tech_stack", "external_integrations", "glossary_preview", "reading_order_preview", "data_flow"))
+
+
+@C.query("guide_view", f"SELECT repo_id, external_integrations, data_flow, module_edges, key_modules, ownership FROM ({_BRIEF})")
+def guide_view(spark, d):
+    """What the guide shows of a brief."""
+    return briefs.guide_view(_brief(spark, d)).select("repo_id", *_shown_sections("external_integrations", "data_flow", "module_edges", "key_modules", "ownership"))
 
 
 @C.query("brief_lists", f"""WITH {PART_MEASURED}, scored AS (

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from catalog.base import Catalog, table
 from stratacode import schemas
@@ -40,9 +41,9 @@ def _stream(spark, d, name):
 def _late_events(spark, d):
     """The event table as a stream of ``BATCHES`` files, one a micro-batch; every file holds events of all times."""
     events, path = table(spark, d, "events"), f"{_run_dir(spark)}/in"
-    for i in range(BATCHES):
-        events.where(f"{LATE} = {i}").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    events.withColumn("batch", F.expr(LATE)).repartition("batch").write.partitionBy("batch").parquet(path)
+    with_batch = StructType([*events.schema.fields, StructField("batch", IntegerType())])
+    stream = spark.readStream.schema(with_batch).option("maxFilesPerTrigger", 1).parquet(path)
     return progress.progress_events(stream.selectExpr(*_RAW))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratacode.functions.paths import (
     full_stem, import_path, last_segment, slashes, top_dir,
 )
-from stratacode.operators.common import first_per_key, ordered_items
+from stratacode.operators.common import first_per_key, ordered_items, top_k
 
 # Symbol kinds by use.
 EMBEDDABLE_KINDS = ("function", "class", "method")
@@ -199,11 +199,16 @@ def file_dependency_paths(edges: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def file_dep_map(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Imported paths per file as one array, by path."""
-    return file_dependency_paths(edges, files).groupBy("repo_id", "file_id").agg(
-        ordered_items(F.col("target_path"), ["target_path"]).alias("targets")
-    )
+def file_dep_map(edges: DataFrame, files: DataFrame, max_targets: int | None = 1000) -> DataFrame:
+    """Imported paths per file as one array, by path: the first ``max_targets`` and their number.
+
+    All of them as rows are ``file_dependency_paths``; every map task cuts a file down before the arrays are built.
+    """
+    paths = file_dependency_paths(edges, files)
+    shown = paths if max_targets is None else top_k(paths, ["repo_id", "file_id"], ["target_path"], max_targets, "_nth").drop("_nth")
+    arrays = shown.groupBy("repo_id", "file_id").agg(ordered_items(F.col("target_path"), ["target_path"]).alias("targets"))
+    totals = paths.groupBy("repo_id", "file_id").agg(F.count(F.lit(1)).alias("n_targets"))
+    return arrays.join(totals, ["repo_id", "file_id"])
 
 
 def dependency_counts(dependencies: DataFrame, symbols: DataFrame) -> DataFrame:
