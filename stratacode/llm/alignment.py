@@ -3,7 +3,8 @@
 A text (with one space before it) is encoded by a byte-level and a SentencePiece tokenizer.  Byte offsets at which tokens of both end cut the tokens into
 groups; a link is a pair of tokens whose byte ranges overlap.
 
-Neither tokenizer has a token that goes on over a space between two characters that are no white space, so such a space is a *cut*: what lies between
+Neither tokenizer has a token that goes on over a space between two characters that are no white space, so such a space is a *cut* (and no token of theirs
+holds a line break between such characters and anything else): what lies between
 two cuts is encoded on its own, and both tokenizers end there.  Any byte range of a text is a ``Fragment``: an open head up to the first cut that can be
 seen in it, closed groups, an open tail from the last cut on.  ``join`` encodes what a tail and the next head form together; it is
 associative, so the ranges of one text may be joined in any bracketing.  Texts of up to ``chunk_bytes`` are one fragment in the task that reads them.
@@ -43,9 +44,18 @@ PAIR = 1 << 32
 _WIDE = [rb"\xc2[\x85\xa0]", rb"\xe1\x9a\x80", rb"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]", rb"\xe2\x81\x9f", rb"\xe3\x80\x80"]
 _BLANK = rb"[\x09-\x0d\x1c-\x20]"
 _ANY_WIDE = re.compile(b"|".join(_WIDE))
-#: A space between two characters that are no white space; the first form suffices where no wide white space occurs.
-_CUT = re.compile(rb"(?<!" + _BLANK + rb")(?!\A)\x20(?!" + _BLANK + rb"|\Z)")
-_WIDE_CUT = re.compile(b"".join(rb"(?<!" + w + rb")" for w in _WIDE) + _CUT.pattern + rb"(?!" + b"|".join(_WIDE) + rb")")
+
+
+def _between(mark: bytes) -> tuple[re.Pattern[bytes], re.Pattern[bytes]]:
+    """A mark between two characters that are no white space: where no wide white space occurs, and anywhere."""
+    plain = rb"(?<!" + _BLANK + rb")(?!\A)" + mark + rb"(?!" + _BLANK + rb"|\Z)"
+    return re.compile(plain), re.compile(b"".join(rb"(?<!" + w + rb")" for w in _WIDE) + plain + rb"(?!" + b"|".join(_WIDE) + rb")")
+
+
+_CUT, _WIDE_CUT = _between(rb"\x20")
+# Neither tokenizer joins a single line break to what stands beside it, so units end there too.
+_BREAK, _WIDE_BREAK = _between(rb"\n")
+LINE = b"\xff"  # begins the name of a unit that begins with a line break; no text holds this byte
 SEEN = 3  # bytes that must be known on either side of a cut: the longest white space
 
 
@@ -54,8 +64,23 @@ def _cut(stretch: bytes) -> re.Pattern[bytes]:
 
 
 def split_units(stretch: bytes) -> list[bytes]:
-    """A stretch that begins at a cut, split before every cut; each part but the first lacks its space."""
-    return _cut(stretch).split(stretch) if stretch else []
+    """The names of the units of a stretch that begins at a cut: what follows their space, or ``LINE`` and what follows their line break."""
+    if not stretch:
+        return []
+    cut, line_break = (_WIDE_CUT, _WIDE_BREAK) if _ANY_WIDE.search(stretch) else (_CUT, _BREAK)
+    first, *lines = line_break.split(stretch)
+    out = cut.split(first)
+    out[0] = out[0][1:]
+    for line in lines:
+        units = cut.split(line)
+        units[0] = LINE + units[0]
+        out += units
+    return out
+
+
+def spelled(unit: bytes) -> bytes:
+    """The bytes of a unit."""
+    return b"\n" + unit[1:] if unit[:1] == LINE else b" " + unit
 
 
 @dataclass
@@ -110,9 +135,6 @@ class Aligner:
     def all_numbers(self, stretches: list[bytes]) -> list[np.ndarray]:
         """``numbers`` of several stretches; new units of all of them are encoded together."""
         split = [split_units(x) for x in stretches]
-        for units in split:
-            if units and units[0][:1] == b" ":
-                units[0] = units[0][1:]
         known = self.known
         missing = list(set().union(*split).difference(known))
         if missing:
@@ -146,22 +168,25 @@ class Aligner:
 
     def links(self, numbers: np.ndarray) -> np.ndarray:
         """The linked pairs of the units, in order."""
-        first, many = self.bounds[numbers], np.diff(self.bounds)[numbers]
+        first = self.bounds[numbers]
+        many = self.bounds[numbers + 1] - first
         ends = np.cumsum(many)
         return self.pairs[np.repeat(first - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def _learn(self, units: list[bytes]) -> None:
-        whole = [b" " + u for u in units]
+        whole = [spelled(u) for u in units]
         words = [w.decode("utf-8") for w in whole]
         ids_a = [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        # The second tokenizer sets a space before the text itself.
-        ids_b = self.b.encode([w[1:] for w in words], num_threads=1)
-        good = [i for i, w in enumerate(whole) if self._spelled(self.bytes_a, ids_a[i]) == w and self._spelled(self.bytes_b, ids_b[i]) == w]
+        # The second tokenizer sets a space before the text itself; before a line break it is a token of its own.
+        ids_b = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        ids_b = [ids if w[0] == " " else ids[1:] for w, ids in zip(words, ids_b)]
+        good = self._given_back(whole, ids_a, ids_b)
         facts, names = np.zeros((len(units), 5), np.int64), [""] * len(units)
         facts[:, 4] = 1
         many = np.zeros(len(units), np.int64)
         if good:
-            pairs, groups, own = self._linked([ids_a[i] for i in good], [ids_b[i] for i in good], np.array([len(whole[i]) for i in good], np.int64))
+            kept = (ids_a, ids_b) if len(good) == len(whole) else ([x[i] for i in good] for x in (ids_a, ids_b))
+            pairs, groups, own = self._linked(*kept, np.array([len(whole[i]) for i in good], np.int64))
             facts[good] = own
             many[good] = own[:, 3]
             for i, text in zip(good, groups):
@@ -173,6 +198,16 @@ class Aligner:
         self.seen = np.concatenate([self.seen, np.zeros(len(units), np.int64)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(many)])
 
+    def _given_back(self, whole: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[int]:
+        """Which texts both sides spell byte for byte; all of them are compared as one row of bytes first."""
+        sizes, text = np.array([len(w) for w in whole]), b"".join(whole)
+        for table, lengths, ids in ((self.bytes_a, self.sizes_a, ids_a), (self.bytes_b, self.sizes_b, ids_b)):
+            flat = list(chain.from_iterable(ids))
+            spelled = np.bincount(np.repeat(np.arange(len(ids)), [len(x) for x in ids]), lengths[flat], len(ids))
+            if (spelled != sizes).any() or self._spelled(table, flat) != text:
+                return [i for i, w in enumerate(whole) if self._spelled(self.bytes_a, ids_a[i]) == w and self._spelled(self.bytes_b, ids_b[i]) == w]
+        return list(range(len(whole)))
+
     @staticmethod
     def _spelled(table: list[bytes], ids: list[int]) -> bytes:
         return b"".join([table[i] for i in ids])
