@@ -222,12 +222,12 @@ def file_dependencies(spark, d):
 
 
 @C.query("file_dependency_map", f"""WITH {PART_EDGES}, named AS (
-  SELECT x.repo_id, src_file_id AS file_id, path, row_number() OVER (PARTITION BY x.repo_id, src_file_id ORDER BY path) AS nth
+  SELECT x.repo_id, src_file_id AS file_id, path
   FROM (SELECT DISTINCT repo_id, src_file_id, tgt_file_id FROM edges) x JOIN files t ON t.repo_id = x.repo_id AND t.file_id = tgt_file_id)
-SELECT repo_id, file_id, string_agg(path, ',' ORDER BY path) FILTER (nth <= 5) AS targets, count(*) AS n_targets FROM named GROUP BY 1, 2""")
+SELECT repo_id, file_id, string_agg(path, ',' ORDER BY path) AS targets, count(*) AS n_targets FROM named GROUP BY 1, 2""")
 def file_dependency_map(spark, d):
     files, _, _, edges = _edges(spark, d)
-    return e.file_dep_map(edges, files, 5).withColumn("targets", F.array_join("targets", ","))
+    return e.file_dep_map(edges, files).withColumn("targets", F.array_join("targets", ","))
 
 
 @C.query("adjacency", f"""WITH {TYPED_EDGES}

@@ -199,14 +199,18 @@ def file_dependency_paths(edges: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def file_dep_map(edges: DataFrame, files: DataFrame, max_targets: int | None = 1000) -> DataFrame:
-    """Imported paths per file as one array, by path: the first ``max_targets`` and their number.
+def file_dep_map(edges: DataFrame, files: DataFrame, max_targets: int | None = None) -> DataFrame:
+    """Imported paths per file as one array, by path, and their number.
 
-    All of them as rows are ``file_dependency_paths``; every map task cuts a file down before the arrays are built.
+    With ``max_targets`` only the first so many are shown, and every map task cuts a file down before the arrays are built.  The same as rows is
+    ``file_dependency_paths``.
     """
     paths = file_dependency_paths(edges, files)
-    shown = paths if max_targets is None else top_k(paths, ["repo_id", "file_id"], ["target_path"], max_targets, "_nth").drop("_nth")
-    arrays = shown.groupBy("repo_id", "file_id").agg(ordered_items(F.col("target_path"), ["target_path"]).alias("targets"))
+    listed = ordered_items(F.col("target_path"), ["target_path"]).alias("targets")
+    if max_targets is None:
+        return paths.groupBy("repo_id", "file_id").agg(listed, F.count(F.lit(1)).alias("n_targets"))
+    shown = top_k(paths, ["repo_id", "file_id"], ["target_path"], max_targets, "_nth").drop("_nth")
+    arrays = shown.groupBy("repo_id", "file_id").agg(listed)
     totals = paths.groupBy("repo_id", "file_id").agg(F.count(F.lit(1)).alias("n_targets"))
     return arrays.join(totals, ["repo_id", "file_id"])
 

@@ -261,3 +261,15 @@ def test_edge_plans_do_not_read_source_text(spark, tmp_path):
     plan = e.file_edges(e.resolve_dependencies(files, symbols), symbols)._jdf.queryExecution().executedPlan().toString()
     assert "source_code" not in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_file_dep_map_lists_every_import(spark):
+    from catalog.graphs import C
+
+    edges = spark.range(1200).selectExpr("'r' AS repo_id", "'a' AS src_file_id", "concat('t', id) AS tgt_file_id", "'imports' AS dep_type")
+    files = spark.range(1200).selectExpr("'r' AS repo_id", "concat('t', id) AS file_id", "concat('p', lpad(id, 4, '0')) AS path")
+    whole = e.file_dep_map(edges.unionAll(edges), files).first()
+    assert whole.n_targets == 1200 and whole.targets == [f"p{i:04d}" for i in range(1200)]
+    cut = e.file_dep_map(edges, files, 5).first()
+    assert cut.n_targets == 1200 and cut.targets == whole.targets[:5]
+    assert "nth" not in C.oracle["file_dependency_map"]
