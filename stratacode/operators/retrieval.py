@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,31 +32,32 @@ _HITS = "repo_id string, query_id string, bucket string, source_id string, dista
 
 
 class _Slab:
-    """Some questions by repository, as unit vectors.  A question without a direction asks for nothing."""
+    """Some questions by repository, as unit vectors by their length.  A question without a direction asks for nothing."""
 
-    def __init__(self, questions: pa.Table) -> None:
-        unit, kept = _directions(questions.column("embedding"))
+    def __init__(self, questions: pa.Table | pa.RecordBatch) -> None:
         repos, ids = (questions.column(c).to_pylist() for c in ("repo_id", "query_id"))
-        rows: dict[str, list[int]] = {}
-        for at, row in enumerate(kept.tolist()):
-            rows.setdefault(repos[row], []).append(at)
-        self.by_repo = {repo: ([ids[kept[i]] for i in at], unit[at]) for repo, at in rows.items()}
+        self.by_repo: dict[str, dict[int, tuple[list[str], np.ndarray]]] = {}
+        for unit, kept in _directions(questions.column("embedding")):
+            rows: dict[str, list[int]] = {}
+            for at, row in enumerate(kept.tolist()):
+                rows.setdefault(repos[row], []).append(at)
+            for repo, at in rows.items():
+                self.by_repo.setdefault(repo, {})[unit.shape[1]] = ([ids[kept[i]] for i in at], unit[at])
 
 
-def _directions(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors, their rows) of the vectors that have a direction: all of one length, finite and not zero."""
+def _directions(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(unit vectors, their rows) of the vectors that have a direction, finite and not zero, one pair for each length."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    if not sizes.any():
-        return np.empty((0, 0)), np.empty(0, np.int64)
-    dim = int(np.bincount(sizes[sizes > 0]).argmax())
-    rows = np.flatnonzero(sizes == dim)
-    matrix = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
-    largest = np.abs(matrix).max(axis=1)
-    good = np.isfinite(largest) & (largest > 0)
-    matrix = matrix[good] / largest[good, None]
-    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True), rows[good]
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == dim)
+        matrix = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+        largest = np.abs(matrix).max(axis=1)
+        good = np.isfinite(largest) & (largest > 0)
+        if good.any():
+            matrix = matrix[good] / largest[good, None]
+            yield matrix / np.linalg.norm(matrix, axis=1, keepdims=True), rows[good]
 
 
 class _Best:
@@ -79,38 +81,113 @@ class _Best:
                 self.bound[row] = self.hits[row][-1][0]
 
 
-def _nearest(slab, quotas: dict[str, int], vector_block: int):
-    """Kernel over the vectors of a task: keeps the quota of each question and nothing else."""
+class _Search:
+    """The nearest vectors of the questions of one slab among the batches that pass."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, best = slab.value.by_repo, {}
-        for whole in batches:
-            for start in range(0, whole.num_rows, vector_block):
-                batch = whole.slice(start, vector_block)
-                unit, rows = _directions(batch.column(3))
+    def __init__(self, slab: _Slab, quotas: dict[str, int], vector_block: int) -> None:
+        self.asked, self.quotas, self.vector_block = slab.by_repo, quotas, vector_block
+        self.best: dict[tuple[str, str, int], _Best] = {}
+
+    def add(self, whole: pa.RecordBatch) -> None:
+        """``whole`` has repo_id, bucket, source_id, embedding."""
+        for start in range(0, whole.num_rows, self.vector_block):
+            batch = whole.slice(start, self.vector_block)
+            for unit, rows in _directions(batch.column(3)):
+                dim = unit.shape[1]
                 repos, buckets, ids = (batch.column(i).take(pa.array(rows)).to_pylist() for i in range(3))
                 groups: dict[tuple[str, str], list[int]] = {}
                 for i, key in enumerate(zip(repos, buckets)):
-                    if key[0] in asked:
+                    if dim in self.asked.get(key[0], ()):
                         groups.setdefault(key, []).append(i)
                 for (repo, bucket), at in groups.items():
-                    query_ids, questions = asked[repo]
-                    if questions.shape[1] != unit.shape[1]:
-                        continue
-                    state = best.setdefault((repo, bucket), _Best(len(query_ids), quotas[bucket]))
+                    query_ids, questions = self.asked[repo][dim]
+                    state = self.best.setdefault((repo, bucket, dim), _Best(len(query_ids), self.quotas[bucket]))
                     state.add(np.round(1.0 - questions @ unit[at].T, DISTANCE_DECIMALS), [ids[i] for i in at])
-        for (repo, bucket), state in best.items():
-            hits = [(repo, q, bucket, i, d) for q, found in zip(asked[repo][0], state.hits) for d, i in found]
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        for (repo, bucket, dim), state in self.best.items():
+            hits = [(repo, q, bucket, i, d) for q, near in zip(self.asked[repo][dim][0], state.hits) for d, i in near]
             if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*hits)], ["repo_id", "query_id", "bucket", "source_id", "distance"])
+                columns = [pa.array(c, pa.string()) for c in list(zip(*hits))[:4]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([h[4] for h in hits])], ["repo_id", "query_id", "bucket", "source_id", "distance"])
+
+
+def _nearest(slab, quotas: dict[str, int], vector_block: int):
+    """Kernel over the vectors of a task: keeps the quota of each question and nothing else."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _Search(slab.value, quotas, vector_block)
+        for batch in batches:
+            search.add(batch)
+        yield from search.found()
 
     return kernel
 
 
-def _slabs(queries: DataFrame, size: int) -> Iterator[_Slab]:
-    """The questions in slabs of at most ``size``, neighbours by repository."""
-    questions = cut_lineage(queries.select("repo_id", "query_id", "embedding"))
-    n = questions.count()
+_CELL = ["repo_id", "block", "slice"]
+
+
+def _nearest_by_cell(quotas: dict[str, int], vector_block: int):
+    """Kernel over rows sorted by cell, the questions of each cell (those that ask) before its vectors."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asking, search = None, [], None
+        for batch in batches:
+            new = np.zeros(batch.num_rows, bool)
+            new[:1] = True
+            for name in (*_CELL, "asks"):
+                codes = pc.dictionary_encode(batch.column(name), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(new).tolist()
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                part = batch.slice(start, end - start)
+                *at, asks = (part.column(name)[0].as_py() for name in (*_CELL, "asks"))
+                if at != cell:
+                    if search is not None:
+                        yield from search.found()
+                    cell, asking, search = at, [], None
+                if asks:
+                    asking.append(part.select(["repo_id", "id", "embedding"]).rename_columns(["repo_id", "query_id", "embedding"]))
+                elif asking:
+                    search = search or _Search(_Slab(pa.Table.from_batches(asking)), quotas, vector_block)
+                    search.add(part.select(["repo_id", "bucket", "id", "embedding"]))
+        if search is not None:
+            yield from search.found()
+
+    return kernel
+
+
+# Slabs of questions that are sent through the driver at most, and vectors of a repository that one cell sees.
+SLABS = 8
+CELL_VECTORS = 1 << 16
+
+
+def _cells(vectors: DataFrame, questions: DataFrame, query_block: int) -> DataFrame:
+    """Questions and vectors by cell: each block of ``query_block`` questions of a repository meets each slice of its vectors in one cell.
+
+    A question goes to every slice and a vector to every block of its repository, so a repository of any size is spread over tasks and none is held whole.
+    """
+    def counted(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("bigint").alias(name))
+
+    asking = counted(questions, query_block, "blocks").withColumnRenamed("repo_id", "of")
+    grid = asking.join(counted(vectors, CELL_VECTORS, "slices"), F.col("of").eqNullSafe(F.col("repo_id"))).drop("repo_id")
+    grid = broadcast_if_small(grid)  # without the repositories that have no vector or no question
+    first = F.lit(0).cast("bigint")
+
+    def dealt(df: DataFrame, block, part) -> DataFrame:
+        placed = df.join(grid, F.col("repo_id").eqNullSafe(F.col("of"))).withColumn("own", F.xxhash64("id", "embedding"))
+        return placed.select(*df.columns, block.alias("block"), "slices", "own").select(*df.columns, "block", part.alias("slice"))
+
+    every_block, every_slice = (F.explode(F.sequence(first, F.col(n) - 1)) for n in ("blocks", "slices"))
+    own_block, own_slice = (F.pmod("own", F.col(n)) for n in ("blocks", "slices"))
+    asked = questions.select("repo_id", F.lit(None).cast("string").alias("bucket"), F.col("query_id").alias("id"), "embedding", F.lit(True).alias("asks"))
+    known = vectors.select("repo_id", "bucket", F.col("source_id").alias("id"), "embedding", F.lit(False).alias("asks"))
+    return dealt(asked, own_block, every_slice).unionAll(dealt(known, every_block, own_slice))
+
+
+def _slabs(questions: DataFrame, n: int, size: int) -> Iterator[_Slab]:
+    """The ``n`` questions in slabs of at most ``size``, neighbours by repository."""
     if n <= size:
         yield _Slab(questions.toArrow())
         return
@@ -122,23 +199,27 @@ def _slabs(queries: DataFrame, size: int) -> Iterator[_Slab]:
 def _search(vectors: DataFrame, queries: DataFrame, quotas: dict[str, int], vector_block: int, query_block: int) -> DataFrame:
     """Candidates per (question, bucket): the nearest of every task.
 
-    Questions go to the vectors in slabs of bounded size, and each slab is one pass over the vectors where they lie: no vector is shuffled or copied, and
-    only the quota of a question leaves a task.
+    Up to ``SLABS`` slabs of ``query_block`` questions go to the vectors where they lie, one pass each.  More questions meet the vectors in cells of one repository;
+    no question or vector passes the driver then, and a vector moves once for each ``query_block`` questions of its repository.  Only the quota of a
+    question leaves a task or a cell.
     """
     spark = vectors.sparkSession
     narrow = vectors.select("repo_id", "bucket", "source_id", "embedding")
-    passes = [narrow.mapInArrow(_nearest(spark.sparkContext.broadcast(slab), quotas, vector_block), _HITS) for slab in _slabs(queries, query_block)]
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionAll(more)
-    return found
+    questions = cut_lineage(queries.select("repo_id", "query_id", "embedding"))
+    n = questions.count()
+    if n > SLABS * query_block:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # small rows that take long: not to be coalesced by their size
+        cells = _cells(narrow, questions, query_block).repartition(tasks, *_CELL).sortWithinPartitions(*_CELL, F.desc("asks"), "bucket")
+        return cells.mapInArrow(_nearest_by_cell(quotas, vector_block), _HITS)
+    passes = [narrow.mapInArrow(_nearest(spark.sparkContext.broadcast(slab), quotas, vector_block), _HITS) for slab in _slabs(questions, n, query_block)]
+    return reduce(DataFrame.unionAll, passes)
 
 
 def vector_topk(embeddings: DataFrame, queries: DataFrame, k: int = 10, vector_block: int = 2048, query_block: int = 1024) -> DataFrame:
     """``k`` nearest chunks of the question's repository by cosine distance, ties by source_id.
 
     Vectors that are zero, hold a null, NaN or infinite number, or have another length than the question have no direction and are no hits.
-    ``query_block`` questions go over the vectors at a time, ``vector_block`` vectors into one product.
+    ``query_block`` questions meet the vectors at a time, ``vector_block`` vectors go into one product.
     """
     vectors = embeddings.select("repo_id", F.lit("all").alias("bucket"), F.col("source_id"), "embedding")
     partial = _search(vectors, queries, {"all": k}, vector_block, query_block)

@@ -267,3 +267,19 @@ def test_long_texts_are_split_and_found_again(spark):
     named = symbols.selectExpr("repo_id", "symbol_id", "name", "1 AS start_line", "2 AS end_line")
     got = ret.resolve_sources(hits, chunks, named, files, commits, prs).collect()
     assert sorted(r.chunk_text for r in got) == sorted(texts["symbol", "s1"].values()) and {r.symbol_name for r in got} == {"a"}
+
+
+def test_many_questions_meet_the_vectors_in_cells(spark, monkeypatch):
+    rng = random.Random(11)
+    made = [(rng.choice(("r1", "r1", "r1", "r2", None)), f"s{i:03d}", "symbol", [rng.uniform(-1, 1) for _ in range(rng.choice((3, 3, 4)))]) for i in range(300)]
+    emb = spark.createDataFrame(made, "repo_id string, source_id string, source_type string, embedding array<double>").repartition(5)
+    q = emb.selectExpr("repo_id", "source_id AS query_id", "embedding")
+    whole = ret.vector_topk(emb, q, 5)
+    want = sorted(map(tuple, whole.collect()), key=repr)
+    monkeypatch.setattr(ret, "CELL_VECTORS", 16)
+    sent = []
+    context = type(spark.sparkContext)
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value))
+    cells = ret.vector_topk(emb, q, 5, vector_block=7, query_block=20)
+    assert sorted(map(tuple, cells.collect()), key=repr) == want and len(want) >= 1200
+    assert not sent  # no question passes the driver
