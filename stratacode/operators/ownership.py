@@ -44,18 +44,25 @@ def _share(count, total):
     return F.bround(count / total * 100, 1)
 
 
+def _ranked(authors: DataFrame) -> DataFrame:
+    by_commits = Window.partitionBy("repo_id", "path").orderBy(F.desc("commit_count"), "first_pos")
+    return authors.withColumn("rank", F.row_number().over(by_commits))
+
+
 def contributors(authors: DataFrame, paths: DataFrame, max_rank: int | None = None) -> DataFrame:
     """One row per (path, author) with its 1-based rank and share: the stored form of a path's contributors.
 
     ``authors`` are ``author_stats``, ``paths`` their ``path_stats``.  With ``max_rank`` every map task cuts a path down to so many authors; without it the
     authors of a path go through a sorted window that can spill.  They are never one array.
     """
-    by_commits = Window.partitionBy("repo_id", "path").orderBy(F.desc("commit_count"), "first_pos")
-    ranked = authors.withColumn("rank", F.row_number().over(by_commits))
-    if max_rank is not None:
-        ranked = ranked.where(F.col("rank") <= max_rank)
-    totals = paths.select("repo_id", "path", F.col("change_frequency").alias("_total"))
-    return ranked.join(totals, ["repo_id", "path"]).select(
+    if max_rank is None:
+        # One exchange gives rank and total.
+        total = F.sum("commit_count").over(Window.partitionBy("repo_id", "path"))
+        ranked = _ranked(authors.where("repo_id is not null and path is not null")).withColumn("_total", total)
+    else:
+        totals = paths.select("repo_id", "path", F.col("change_frequency").alias("_total"))
+        ranked = _ranked(authors).where(F.col("rank") <= max_rank).join(totals, ["repo_id", "path"])
+    return ranked.select(
         "repo_id", "path", "rank", "email", "name", "commit_count", _share(F.col("commit_count"), F.col("_total")).alias("percentage"), "last_commit",
     )
 
@@ -77,10 +84,14 @@ def file_ownership(commit_files: DataFrame, log_order=LOG_ORDER, max_contributor
     """
     authors = author_stats(commit_files, log_order)
     paths = path_stats(authors)
-    shown = F.struct("email", "name", "commit_count", "percentage", F.date_format("last_commit", ISO_UTC).alias("last_commit"))
-    first = contributors(authors, paths, max_contributors).groupBy("repo_id", "path").agg(ordered_items(shown, ["rank"]).alias("contributors"))
+    # The touch log is read and exchanged once: both sides need the same columns of the authors, and shares are taken when the total has arrived.
+    item = F.struct("email", "name", "commit_count", "last_commit")
+    first = _ranked(authors).where(F.col("rank") <= max_contributors).groupBy("repo_id", "path").agg(ordered_items(item, ["rank"]).alias("contributors"))
+    shown = F.transform("contributors", lambda c: F.struct(
+        c["email"].alias("email"), c["name"].alias("name"), c["commit_count"].alias("commit_count"),
+        _share(c["commit_count"], F.col("change_frequency")).alias("percentage"), F.date_format(c["last_commit"], ISO_UTC).alias("last_commit")))
     return paths.join(first, ["repo_id", "path"]).select(
-        "repo_id", "path", "change_frequency", "git_last_modified", "primary_owner", "contributors", "bus_factor", "is_knowledge_silo")
+        "repo_id", "path", "change_frequency", "git_last_modified", "primary_owner", shown.alias("contributors"), "bus_factor", "is_knowledge_silo")
 
 
 def resolve_path(df: DataFrame, files: DataFrame) -> DataFrame:

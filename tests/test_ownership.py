@@ -108,3 +108,20 @@ def test_silos_are_sorted(spark):
     files = spark.createDataFrame([("r", "f1", "b"), ("r", "f2", "a"), ("r", "f3", "c")], "repo_id string, file_id string, path string")
     assert [r.path for r in own.silos(owners, files).collect()] == ["a", "b"]
     assert own.silo_totals(owners).first().total == 2
+
+
+def test_touch_log_is_read_once_a_side(spark, rows):
+    touches = spark.range(600).selectExpr(
+        "'r' AS repo_id", "IF(id % 50 = 0, NULL, concat('p', id % 7)) AS path", "concat(id % 13, '@x') AS author_email", "'n' AS author_name",
+        "TIMESTAMP '2024-01-01' AS ts", "id AS log_pos", "id AS line_no",
+    )
+
+    def scans(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Range (")
+
+    everyone, shown = own.rank_contributors(touches), own.file_ownership(touches, max_contributors=20)
+    assert scans(everyone) == 1 and scans(shown) == 2
+    authors = own.author_stats(touches)
+    assert rows(everyone) == rows(own.contributors(authors, own.path_stats(authors), 20)) and everyone.where("path is null").isEmpty()
+    listed = shown.selectExpr("repo_id", "path", "posexplode(contributors) AS (at, c)").selectExpr("repo_id", "path", "at + 1 AS rank", "c.email", "c.percentage")
+    assert rows(listed) == rows(everyone, "repo_id", "path", "rank", "email", "percentage")
