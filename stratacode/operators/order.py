@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratacode.operators.common import number_rows
 from stratacode.operators.edges import distinct_edges
-from stratacode.session import cut_lineage
+from stratacode.session import cut_lineage, stage
 
 
 # Rounds whose results are folded into one table, so that deep graphs keep a small plan.
@@ -27,9 +27,10 @@ def peel(edges: DataFrame) -> DataFrame:
     leaves once its last dependency has left; its level is the number of rounds it
     was present.  Files that stay for ever (cycle members and everything above
     them) get a null level.  All repositories advance together, and each round
-    costs one semi-join and one checkpoint of the shrinking edge set.
+    costs one semi-join and one staged table of the shrinking edge set.  The joins are
+    merges: tables broadcast round by round would add up in the driver.
     """
-    current = cut_lineage(distinct_edges(edges))
+    current = stage(distinct_edges(edges), "edges")
     left = current.count()
     presence = []
     rounds = 0
@@ -38,8 +39,8 @@ def peel(edges: DataFrame) -> DataFrame:
         presence.append(present.withColumn("level", F.lit(rounds + 1)))
         if len(presence) >= FOLD_ROUNDS:
             presence = [cut_lineage(_highest(presence))]
-        unresolved = present.withColumnRenamed("file_id", "tgt_file_id")
-        kept = cut_lineage(current.join(unresolved, ["repo_id", "tgt_file_id"], "left_semi").select(current.columns))
+        unresolved = present.withColumnRenamed("file_id", "tgt_file_id").hint("merge")
+        kept = stage(current.join(unresolved, ["repo_id", "tgt_file_id"], "left_semi").select(current.columns), "edges")
         still = kept.count()
         rounds += 1
         if still == left:

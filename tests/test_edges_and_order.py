@@ -273,3 +273,18 @@ def test_file_dep_map_lists_every_import(spark):
     cut = e.file_dep_map(edges, files, 5).first()
     assert cut.n_targets == 1200 and cut.targets == whole.targets[:5]
     assert "nth" not in C.oracle["file_dependency_map"]
+
+
+def test_tiers_broadcast_no_files(spark, monkeypatch):
+    plans, whole = [], order.stage
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, name)
+
+    monkeypatch.setattr(order, "stage", seen)
+    files = spark.range(9).selectExpr("'r' AS repo_id", "concat('f', id) AS file_id", "concat('p', id) AS path")
+    chain = spark.range(8).selectExpr("'r' AS repo_id", "concat('f', id + 1) AS src_file_id", "concat('f', id) AS tgt_file_id", "'imports' AS dep_type")
+    got = {r.file_id: r.tier for r in order.topological_tiers(files, chain).collect()}
+    assert got == {f"f{i}": i for i in range(9)}
+    assert len(plans) == 9 and not any("Broadcast" in plan for plan in plans)
