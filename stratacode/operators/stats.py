@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratacode.functions.text import preview
 from stratacode.operators.common import broadcast_if_small, number_rows, top_k
 from stratacode.operators.edges import GLOSSARY_KINDS, dependency_counts, of_kind
+from stratacode.session import cut_lineage
 
 # Severity order of the criticality labels.
 SEVERITY = ("critical", "caution", "safe")
@@ -135,26 +136,30 @@ def search_terms(glossary: DataFrame, terms: DataFrame, entry_key: str = "entry_
     """``search_glossary`` for a table of terms: (``term_key``, repo_id, ``entry_key``) of every entry that contains the term.
 
     ``glossary`` has (repo_id, ``entry_key``, name, definition), ``terms`` (repo_id, ``term_key``, term).  Entries are indexed by the runs of one to three characters of
-    their texts.  A term is looked up by the run of its literal parts that the fewest entries of its repository have, and each entry found is verified with ``ilike``.  A
-    term of wildcards only, or an empty one, looks up the empty run, which every entry has.  Null terms find nothing; ``%`` and ``_`` stay wildcards and no
+    their texts.  A term is looked up by the run of its literal parts that the fewest entries of its repository have, and each entry found is verified with ``ilike``.
+    Terms asked for several times are looked up and verified once; what matches is dealt to their keys last, so only keys travel with the rows of the result.  A
+    term of wildcards only, or an empty one, is verified against every entry and has no postings.  Null terms find nothing; ``%`` and ``_`` stay wildcards and no
     character escapes them.
     """
     lowered = [F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "definition")]
-    runs = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(c) for c in lowered]))
-    postings = glossary.select("repo_id", entry_key, F.explode(runs).alias("gram"))
-    asked = terms.where("term is not null").select(
-        "repo_id", term_key, "term",
-        F.explode(F.concat(F.array(F.lit("")), F.flatten(F.transform(_literal_parts(F.lower("term")), _grams)))).alias("gram"),
-    )
-    frequency = postings.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    texts = glossary.select("repo_id", entry_key, "name", "definition")
+    postings = glossary.select("repo_id", entry_key, F.explode(F.array_distinct(F.concat(*[_grams(c) for c in lowered]))).alias("gram"))
+    asked = terms.where("term is not null").select("repo_id", term_key, "term").distinct()
+    grams = F.array_distinct(F.flatten(F.transform(_literal_parts(F.lower("term")), _grams)))
+    distinct = cut_lineage(asked.select("repo_id", "term").distinct().withColumn("grams", grams))
+
     # A run that no entry has ends the search; else the rarest one decides, a longer one first among equals.
-    rated = asked.join(frequency, ["repo_id", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = rated.groupBy("repo_id", term_key, "term").agg(F.min_by("gram", F.struct("n", -F.length("gram"), "gram")).alias("gram"))
-    found = rarest.join(postings, ["repo_id", "gram"]).select("repo_id", term_key, "term", entry_key)
+    literal = distinct.select("repo_id", "term", F.explode("grams").alias("gram"))
+    frequency = postings.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rated = literal.join(frequency, ["repo_id", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = rated.groupBy("repo_id", "term").agg(F.min_by("gram", F.struct("n", -F.length("gram"), "gram")).alias("gram"))
+    found = rarest.join(postings, ["repo_id", "gram"]).select("repo_id", "term", entry_key)
+    open_terms = distinct.where(F.size("grams") == 0).select("repo_id", "term")
+    candidates = found.unionAll(open_terms.join(glossary.select("repo_id", entry_key), "repo_id"))
     pattern = F.concat(F.lit("%"), F.replace("term", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
-    texts = glossary.select("repo_id", entry_key, "name", "definition")
     matches = F.call_function("ilike", F.col("name"), pattern) | F.call_function("ilike", F.col("definition"), pattern)
-    return found.join(texts, ["repo_id", entry_key]).where(matches).select(term_key, "repo_id", entry_key)
+    hits = candidates.join(texts, ["repo_id", entry_key]).where(matches).select("repo_id", "term", entry_key)
+    return hits.join(asked, ["repo_id", "term"]).select(term_key, "repo_id", entry_key)
 
 
 def by_path(df: DataFrame, path: str, column: str = "path") -> DataFrame:

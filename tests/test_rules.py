@@ -123,3 +123,20 @@ def test_pages_by_key_equal_pages_by_number(spark):
     assert seen == sorted(map(tuple, df.collect()))
     plan = stats.page_after(df, ["v", "name"], (2, "n050"), 10)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_glossary_terms_are_verified_once(spark, rows):
+    glossary = spark.createDataFrame(
+        [("r", i, f"name {i}", "Def" if i % 2 else None) for i in range(6)] + [("q", 9, "other", "x")], "repo_id string, entry_id int, name string, definition string")
+    asked = [("r", i, t) for i, t in enumerate(("%", "", "__", "NAME 1", "name 1", "d_f", "zzz", None, "name 1"))] + [("q", 20, "%")]
+    terms = spark.createDataFrame(asked, "repo_id string, term_id int, term string")
+    found = stats.search_terms(glossary, terms)
+    want = [(t, r, e) for r, t, term in asked if term is not None
+            for e in stats.search_glossary(glossary.where(f"repo_id = '{r}'"), term).select("entry_id").toPandas().entry_id]
+    assert rows(found) == sorted(want, key=repr)
+    # Below the join that fetches the texts no row carries the key of a term.
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    top = next(i for i, line in enumerate(lines) if "Join" in line and "entry_id#" in line)
+    end = next((i for i in range(top + 1, len(lines)) if depth[i] <= depth[top]), len(lines))
+    assert not any("term_id#" in line for line in lines[top:end])
