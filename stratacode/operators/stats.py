@@ -142,24 +142,25 @@ def search_terms(glossary: DataFrame, terms: DataFrame, entry_key: str = "entry_
     character escapes them.
     """
     lowered = [F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "definition")]
-    texts = glossary.select("repo_id", entry_key, "name", "definition")
+    # The size of runs and entries shows neither in that of their table nor before they are made: these sides are merged, never broadcast unseen.
+    texts = glossary.select("repo_id", entry_key, "name", "definition").hint("merge")
     postings = glossary.select("repo_id", entry_key, F.explode(F.array_distinct(F.concat(*[_grams(c) for c in lowered]))).alias("gram"))
-    asked = terms.where("term is not null").select("repo_id", term_key, "term").distinct()
+    asked = broadcast_if_small(terms.where("term is not null").select("repo_id", term_key, "term").distinct())
     grams = F.array_distinct(F.flatten(F.transform(_literal_parts(F.lower("term")), _grams)))
     distinct = cut_lineage(asked.select("repo_id", "term").distinct().withColumn("grams", grams))
 
     # A run that no entry has ends the search; else the rarest one decides, a longer one first among equals.
     literal = distinct.select("repo_id", "term", F.explode("grams").alias("gram"))
     frequency = postings.groupBy("repo_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    rated = literal.join(frequency, ["repo_id", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rated = literal.join(frequency.hint("merge"), ["repo_id", "gram"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = rated.groupBy("repo_id", "term").agg(F.min_by("gram", F.struct("n", -F.length("gram"), "gram")).alias("gram"))
-    found = rarest.join(postings, ["repo_id", "gram"]).select("repo_id", "term", entry_key)
-    open_terms = distinct.where(F.size("grams") == 0).select("repo_id", "term")
-    candidates = found.unionAll(open_terms.join(glossary.select("repo_id", entry_key), "repo_id"))
+    found = rarest.join(postings.hint("merge"), ["repo_id", "gram"]).select("repo_id", "term", entry_key)
+    open_terms = broadcast_if_small(distinct.where(F.size("grams") == 0).select("repo_id", "term"))
+    candidates = found.unionAll(open_terms.join(glossary.select("repo_id", entry_key).hint("merge"), "repo_id").select("repo_id", "term", entry_key))
     pattern = F.concat(F.lit("%"), F.replace("term", F.lit("\\"), F.lit("\\\\")), F.lit("%"))
     matches = F.call_function("ilike", F.col("name"), pattern) | F.call_function("ilike", F.col("definition"), pattern)
     hits = candidates.join(texts, ["repo_id", entry_key]).where(matches).select("repo_id", "term", entry_key)
-    return hits.join(asked, ["repo_id", "term"]).select(term_key, "repo_id", entry_key)
+    return hits.hint("merge").join(asked, ["repo_id", "term"]).select(term_key, "repo_id", entry_key)
 
 
 def by_path(df: DataFrame, path: str, column: str = "path") -> DataFrame:

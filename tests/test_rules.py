@@ -140,3 +140,15 @@ def test_glossary_terms_are_verified_once(spark, rows):
     top = next(i for i, line in enumerate(lines) if "Join" in line and "entry_id#" in line)
     end = next((i for i in range(top + 1, len(lines)) if depth[i] <= depth[top]), len(lines))
     assert not any("term_id#" in line for line in lines[top:end])
+    # Runs are many more than their table shows, so they are never broadcast.
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    runs = [i for i, line in enumerate(plan) if "Generate explode(array_distinct" in line and "entry_id#" in line]
+    assert runs
+    for i in runs:
+        above, at = [], depth[i]
+        for k in range(i, -1, -1):
+            if depth[k] < at:
+                above.append(plan[k])
+                at = depth[k]
+        assert not any("BroadcastExchange" in line for line in above)
