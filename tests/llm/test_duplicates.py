@@ -4,6 +4,7 @@ import random
 from itertools import combinations, product
 
 import numpy as np
+import pytest
 
 from stratacode.llm import bottomk, compact_windows as cw, decontaminate as dc
 
@@ -114,6 +115,53 @@ def test_an_earlier_partial_quote_hides_no_exact_repeat(make):
     assert not missed
 
 
+def _after_quotes(rng, quotes, part, cases):
+    """Passages held by two documents, with one word changed in the later one, after others that quote their first ``part`` words."""
+    pairs, want = [], set()
+    for _ in range(cases):
+        p = prose(rng, 54, 10**6).split()
+        q = [*p]
+        q[part + 2 if part < 40 else 30] = "new" + str(rng.random())
+        pairs += [(len(pairs) + k, " ".join([prose(rng, 40, 10**6), *held, prose(rng, 40, 10**6)])) for k, held in enumerate([p[:part]] * quotes + [p, q])]
+        want.add((len(pairs) - 1, len(pairs) - 2))
+    return pairs, want
+
+
+@pytest.mark.parametrize("quotes,part", [(1, 38), (1, 43), (20, 36)])
+def test_every_holder_of_a_window_meets_every_other(make, quotes, part):
+    pairs, want = _after_quotes(random.Random(31), quotes, part, 24 if quotes > 1 else 40)
+    found = {(r["doc_id"], r["kept_doc_id"]) for r in cw.repeated_passages(make(pairs), block=8).collect()}
+    assert want <= found
+
+
+def test_crowded_windows_lose_no_similar_pair():
+    rng, t = np.random.default_rng(32), 12
+    quote, near, rank = rng.integers(1, 2**32, 8, np.uint32), [], []
+    for i in range(150):
+        x = rng.integers(1, 2**32, 2 * t - 1, np.uint32)
+        x[t - 1 : t + 7] = quote
+        near.append(x)
+        if i % 3 == 0:  # a changed copy of another one
+            y = x.copy()
+            y[rng.integers(0, 2 * t - 1, 2)] = rng.integers(1, 2**32, 2, np.uint32)
+            near.append(y)
+    near, rank = np.array(near), rng.permutation(len(near))
+    windows = [(x, x + t) for x in range(t)]
+    similar = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    sets = [[set(r[x:y].tolist()) for x, y in windows] for r in near]
+    want = {(i, j) for i in range(len(near)) for j in range(len(near)) if rank[j] < rank[i] and any(similar(a, b) for a in sets[i] for b in sets[j])}
+    got = set()
+    side = rng.integers(0, 2, len(near))
+    for x, y in ((0, 0), (0, 1), (1, 1)):
+        rows = np.flatnonzero((side == x) | (side == y))
+        got |= {(rows[i], rows[j]) for i, j in zip(*cw.crowded_pairs(near[rows], rank[rows], side[rows], t, 75))}
+    assert len(want) >= 40 and want <= got and len(got) < 3 * len(want)
+    # Equal neighbourhoods are a class: each meets its first row and no other.
+    same = np.tile(near[0], (500, 1))
+    later, earlier = cw.crowded_pairs(same, np.arange(500), np.zeros(500, int), t, 75)
+    assert len(later) == 499 and set(earlier.tolist()) == {0}
+
+
 def test_edits_at_the_edges_and_in_blocks_are_found(make):
     rng = random.Random(20)
     pairs, want = [], []
