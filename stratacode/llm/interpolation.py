@@ -64,7 +64,7 @@ class Corpus:
 class _Chunk:
     """The documents of one chunk with the corpus counts of their words."""
 
-    def __init__(self, rows: pa.Table, counts: tuple[np.ndarray, np.ndarray], corpus: Corpus) -> None:
+    def __init__(self, rows: pa.Table, counts: tuple[bytes, bytes, bytes], corpus: Corpus) -> None:
         ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
         held = rows.column("held").to_pylist()
         # A fixed order, so that a repeated task numbers the documents alike.
@@ -79,18 +79,39 @@ class _Chunk:
         before[first] = START
         self.keys = mix(before * np.uint64(0xD1342543DE82EF95) + tokens)
         self.doc = np.repeat(np.arange(len(parts)), self.sizes)
-        known, n = counts
-        self.cv = n[np.searchsorted(known, tokens)]
+        del parts
+        self.cv = _looked_up(counts, tokens)
         self.cu = np.append(np.int64(0), self.cv[:-1])
         self.cu[first] = corpus.documents
         self.train = ~self.held[self.doc]
 
 
-def _by_hash(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in the order of the unsigned hashes, for look-ups."""
+def _by_hash(words: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Word counts for look-ups, as bytes that a worker reads in place: the sorted hashes of repeated words, their counts and the sorted hashes of single words.
+
+    Words that only held-out rows have are left out, since their count is 0.
+    """
     known = words.view(np.uint64)
-    order = np.argsort(known)
-    return known[order], counts[order]
+    often = counts > 1
+    order = np.argsort(known[often])
+    n = counts[often][order]
+    small = n.astype(np.uint32 if n.max(initial=0) < 1 << 32 else np.int64)
+    return known[often][order].tobytes(), small.tobytes(), np.sort(known[counts == 1]).tobytes()
+
+
+def _looked_up(table: tuple[bytes, bytes, bytes], tokens: np.ndarray) -> np.ndarray:
+    """Counts of the tokens."""
+    known, once = np.frombuffer(table[0], np.uint64), np.frombuffer(table[2], np.uint64)
+    n = np.frombuffer(table[1], np.uint32 if len(table[1]) == 4 * len(known) else np.int64)
+    out = np.zeros(len(tokens), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        out = np.where(known[at] == tokens, n[at], 0).astype(np.int64)
+    if len(once):
+        rest = np.flatnonzero(out == 0)
+        at = np.minimum(np.searchsorted(once, tokens[rest]), len(once) - 1)
+        out[rest] = once[at] == tokens[rest]
+    return out
 
 
 def _gathered(function, chunk_bytes: int, chunk_rows: int = CHUNK_ROWS):
@@ -133,7 +154,7 @@ def _word_counts(table: pa.Table) -> pa.Table:
 
 
 def _bigram_counts(corpus: Corpus):
-    def run(rows: pa.Table, counts: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    def run(rows: pa.Table, counts: tuple[bytes, bytes, bytes]) -> pa.Table:
         if not rows.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("key", "train", "held", "cu", "cv")})
         x = _Chunk(rows, counts, corpus)
@@ -185,7 +206,7 @@ def learn_weights(seen: dict[tuple[int, int, int], float], rounds: int = EM_ROUN
 def _scorer(bitmap, heavy, corpus: Corpus, weights: np.ndarray, bits: int, schema_type: pa.DataType):
     fields = [("id", schema_type), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("rest", pa.float64())]
 
-    def run(rows: pa.Table, counts: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    def run(rows: pa.Table, counts: tuple[bytes, bytes, bytes]) -> pa.Table:
         if not rows.num_rows:
             longs = {c: pa.array([], pa.int64()) for c in ("uid", "key", "n")}
             return pa.table(longs | {"doc": pa.array([], pa.struct(fields))})

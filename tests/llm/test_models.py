@@ -143,6 +143,18 @@ def test_scores_of_nothing(edge):
     assert alone["n_known"] == 0 and alone["train_tokens"] == 0 and math.isfinite(alone["score"])
 
 
+def test_word_table_holds_what_is_counted():
+    rng = np.random.default_rng(24)
+    words = np.unique(rng.integers(0, 2**64, 3000, np.uint64))
+    for top in (9, 2**40):
+        counts = np.where(rng.random(len(words)) < 0.6, 1, rng.integers(0, top, len(words)))
+        table = ip._by_hash(words.view(np.int64), counts)
+        assert (ip._looked_up(table, words) == counts).all() and not ip._looked_up(table, words + np.uint64(1))[~np.isin(words + np.uint64(1), words)].any()
+        if top == 9:
+            assert sum(map(len, table)) < 0.7 * 16 * len(words)
+    assert not ip._looked_up(ip._by_hash(words[:0].view(np.int64), counts[:0]), words).any()
+
+
 def test_weights_are_shares_and_prefer_what_predicts():
     w = ip.learn_weights({(3, -10, 12): 90.0, (3, -10, ip._NONE): 10.0, (4, -10, ip._NONE): 50.0})
     assert np.allclose(w.sum(1), 1) and w[3, 0] > 0.5 and w[4, 0] < 0.01
