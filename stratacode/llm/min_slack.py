@@ -155,6 +155,7 @@ def _packer(path: str, room: int, end_id: int, buffer_tokens: int, rest_tokens:
                         out.place(sequence, number)
                         number += 1
                 yield from out.batches(ROWS)
+        encode.forget()
         for sequence in pool.sequences(last=rest_tokens):
             out.place(sequence, number)
             number += 1

@@ -1,16 +1,18 @@
 from __future__ import annotations
 
 import random
+import types
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hst
 from tokenizers import Tokenizer
 
-from stratacode.llm import packing
+from stratacode.llm import min_slack, packing, tokens
 from stratacode.llm.tokens import WordEncoder
 
 from llm_corpora import prose
@@ -77,3 +79,20 @@ def test_steps_of_a_tier_are_balanced(make):
 def test_tiers_are_checked(make):
     with pytest.raises(ValueError):
         packing.pack_documents(make([(1, "a")]), PATH, tiers=(100, 200))
+
+
+@pytest.mark.parametrize("packer", [
+    lambda: packing._packer(PATH, packing.TIERS, 2, 1 << 20),
+    lambda: min_slack._packer(PATH, 2048, 0, 1 << 20, 1 << 16, 32, pa.schema([(n, pa.int64()) for n in ("doc_id", "piece", "start", "length", "doc_tokens", "sequence_id", "offset", "rest_of")] + [("ids", pa.binary())])),
+])
+def test_a_worker_holds_no_words_after_its_task(monkeypatch, packer):
+    task = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(packing, "TaskContext", task)
+    monkeypatch.setattr(min_slack, "TaskContext", task)
+    texts = [f"word{i} and w{i * i} more" for i in range(300)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    out = pa.Table.from_batches(list(packer()(iter([rows]))))
+    assert sum(out.column("length").to_pylist()) == sum(len(ENCODER(t)) // 4 + 1 for t in texts)
+    known = tokens.encoder(PATH)
+    assert not any(m.fresh or m.old for m in (known.words, known.parts))
+    assert list(known.batch(pa.array(texts[:2]))) == [ENCODER(t) for t in texts[:2]]
