@@ -38,6 +38,7 @@ CHUNK_ROWS = 1 << 18
 PLACE_BITS, CHUNK_BITS = 24, 16  # of a document's number: its place in a chunk, the chunk in its task; the task has the rest
 BITMAP_BITS = 27
 HEAVY_BITS = 20
+HELD_BITS = 24  # of a bigram's count: chunks in which held-out rows have it; the training count has the rest
 EM_ROUNDS = 60
 BROADCAST_BYTES = 64 << 20
 # Hashes of the two tokens that are no words: fixed values that no short word's hash takes.
@@ -49,6 +50,16 @@ def _tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes(text), np.uint64(END))
 
 
+def _distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens, ascending, and the place of each token among them; by hashing, since most tokens of a chunk are repeats."""
+    found = pa.array(tokens.view(np.int64)).dictionary_encode()
+    words = found.dictionary.to_numpy().view(np.uint64)
+    order = np.argsort(words)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return words[order], place[found.indices.to_numpy()]
+
+
 def _half_octaves(x: np.ndarray) -> np.ndarray:
     """Bin of a probability or ratio, two bins per doubling."""
     return np.where(x > 0, np.floor(2 * np.log2(np.where(x > 0, x, 1.0)) + 0.5), _NONE).astype(np.int64)
@@ -80,7 +91,8 @@ class _Chunk:
         self.keys = mix(before * np.uint64(0xD1342543DE82EF95) + tokens)
         self.doc = np.repeat(np.arange(len(parts)), self.sizes)
         del parts
-        self.cv = _looked_up(counts, tokens)
+        words, at = _distinct(tokens)
+        self.cv = _looked_up(counts, words)[at]
         self.cu = np.append(np.int64(0), self.cv[:-1])
         self.cu[first] = corpus.documents
         self.train = ~self.held[self.doc]
@@ -148,27 +160,37 @@ def _word_counts(table: pa.Table) -> pa.Table:
     parts = [_tokens(t) for t in table.column("text").to_pylist()]
     tokens = np.concatenate(parts)
     weight = np.repeat(~held, [len(p) for p in parts]).astype(np.float64)
-    words, at = np.unique(tokens, return_inverse=True)
+    words, at = _distinct(tokens)
     n = np.bincount(at, weight, len(words)).astype(np.int64)
     return pa.table({"chunk": pa.array(np.full(len(words), chunk, np.int64)), "w": pa.array(words.view(np.int64)), "n": pa.array(n)})
 
 
-def _bigram_counts(corpus: Corpus):
+def _bigram_counts(corpus: Corpus, packed: bool):
+    """Distinct bigrams of a chunk: key, n (training count and, in the last ``HELD_BITS`` bits, 1 if held-out rows have it), counts of the context and the word.
+
+    ``packed``: both counts are below 2^31 and share a column; else they have one each.
+    """
+    names = ("key", "n", "cc") if packed else ("key", "n", "cu", "cv")
+
     def run(rows: pa.Table, counts: tuple[bytes, bytes, bytes]) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("key", "train", "held", "cu", "cv")})
+            return pa.table({c: pa.array([], pa.int64()) for c in names})
         x = _Chunk(rows, counts, corpus)
-        keys, first, at = np.unique(x.keys, return_index=True, return_inverse=True)
-        train = np.bincount(at, x.train, len(keys)).astype(np.int64)
-        held = np.bincount(at, ~x.train, len(keys)).astype(np.int64)
+        order = np.argsort(x.keys)
+        keys = x.keys[order]
+        start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, first = keys[start], order[start]  # equal bigrams have equal counts, so any will do
+        train = np.add.reduceat(x.train[order], start, dtype=np.int64)
+        held = np.diff(np.append(start, len(order))) - train
         # Training tokens by bucket of the context and bin of the deleted unigram, under small keys of their own.
         bucket = _bit_length(x.cu[x.train])
         deleted = _half_octaves((x.cv[x.train] - 1) / max(1, corpus.tokens - 1))
         code, times = np.unique(bucket * 4096 + (deleted + 2048), return_counts=True)
         minus = np.full(len(code), -1, np.int64)
-        columns = (np.concatenate([keys.view(np.int64), code]), np.concatenate([train, times]), np.concatenate([held, 0 * times]),
-                   np.concatenate([x.cu[first], minus]), np.concatenate([x.cv[first], minus]))
-        return pa.table({c: pa.array(v) for c, v in zip(("key", "train", "held", "cu", "cv"), columns)})
+        cu, cv = np.concatenate([x.cu[first], minus]), np.concatenate([x.cv[first], minus])
+        n = np.concatenate([(train << HELD_BITS) | (held > 0), times << HELD_BITS])
+        columns = (np.concatenate([keys.view(np.int64), code]), n, *([np.where(cu < 0, -1, (cu << 31) | cv)] if packed else [cu, cv]))
+        return pa.table({c: pa.array(v) for c, v in zip(names, columns)})
 
     return run
 
@@ -270,7 +292,7 @@ def _marked(spark, keys: DataFrame, bits: int):
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
           bitmap_bits: int = BITMAP_BITS, heavy_bits: int = HEAVY_BITS, broadcast_bytes: int = BROADCAST_BYTES,
-          chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+          chunk_rows: int = CHUNK_ROWS, pack_below: int = 1 << 31) -> DataFrame:
     """One row per input row: ``id_col``, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
     Rows for which ``held_out`` is true are scored but not learned from; a null condition (of a null id, say) counts as false.  A null or empty
@@ -284,7 +306,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     longs = lambda *names: st.StructType([st.StructField(n, st.LongType()) for n in names])
     words = rows.mapInArrow(_gathered(_word_counts, chunk_bytes, chunk_rows), longs("chunk", "w", "n"))
     unigrams = stage(words.groupBy("w").agg(F.sum("n").alias("c")), "unigrams")
-    size = unigrams.agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    size = unigrams.agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.max("c").alias("most")).first()
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held")).alias("d")).first()
     corpus = Corpus(size["n"] or 0, size["v"] or 0, total["d"] or 0)
 
@@ -309,9 +331,16 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
             return dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, schema)
 
-    met = by_chunk(_bigram_counts(corpus), longs("key", "train", "held", "cu", "cv"))
-    pairs = met.groupBy("key").agg(F.sum("train").alias("train"), F.sum("held").alias("held"), F.max("cu").alias("cu"), F.max("cv").alias("cv"))
-    pairs = stage(pairs.where("train > 1 or (train > 0 and held > 0) or cu < 0"), "bigrams")
+    # Fewer columns are less to shuffle: nearly all the disk of the job is this table.
+    packed = max(size["most"] or 0, corpus.documents) < pack_below
+    held = F.col("n").bitwiseAND((1 << HELD_BITS) - 1)
+    met = by_chunk(_bigram_counts(corpus, packed), longs("key", "n", "cc") if packed else longs("key", "n", "cu", "cv"))
+    pairs = met.groupBy("key").agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in met.columns[2:]])
+    if packed:
+        low = F.when(F.col("cc") < 0, F.col("cc")).otherwise(F.col("cc").bitwiseAND((1 << 31) - 1))
+        pairs = pairs.withColumns({"cu": F.shiftright("cc", 31), "cv": low})
+    pairs = pairs.select("key", F.shiftright("n", HELD_BITS).alias("train"), held.alias("held"), "cu", "cv")
+    pairs = stage(pairs.where("train > 1 or (train > 0 and held > 0) or cu < 0").drop("held"), "bigrams")
     repeated = pairs.where("cu >= 0")
 
     # Deleted counts by bucket and bins.
@@ -351,7 +380,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     n = F.col("n")
     gain = F.coalesce(F.when(n > 0, n * F.col("gain_train")).when(n < 0, -n * F.col("gain_held")), F.lit(0.0))
     return (
-        sent.join(gains.drop("train"), "key", "left")
+        # A hash table of the gains of a partition, which has a key once, spares sorting the many rows that are sent.
+        sent.join(gains.drop("train").hint("shuffle_hash"), "key", "left")
         .select("uid", gain.alias("gain"), "doc.*")
         .groupBy("uid").agg(*[F.max(c).alias(c) for c in ("id", "held", "n_tokens", "n_known", "base")], (F.max("rest") + F.sum("gain")).alias("score"))
         .select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(corpus.tokens).cast("bigint").alias("train_tokens"),

@@ -181,3 +181,16 @@ def test_one_repeated_id_does_not_grow_the_sample(make, spark):
     chain = toxicity.train(docs, labels, {"toxic": F.col("toxic")}, max_rows=10)
     out = toxicity.score(docs.withColumnRenamed("kept", "P_TOXIC"), chain)
     assert out.where("p_toxic between 0 and 1").count() == 318 and [c.lower() for c in out.columns].count("p_toxic") == 1
+
+
+def test_bigram_counts_share_columns(make):
+    rng = random.Random(3)
+    docs = make([(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(30)))) for i in range(120)])
+    rows = pa.table({"id": [0, 1], "text": ["a b a b", "b a"], "held": [False, True]})
+    counts = ip._by_hash(*np.unique(ip._tokens("a b a b").view(np.int64), return_counts=True))
+    corpus = ip.Corpus(5, 3, 1)
+    apart, shared = (ip._bigram_counts(corpus, packed)(rows, counts).to_pydict() for packed in (False, True))
+    assert list(shared) == ["key", "n", "cc"] and shared["key"] == apart["key"] and shared["n"] == apart["n"]
+    assert [(c >> 31, c & (1 << 31) - 1 if c >= 0 else c) for c in shared["cc"]] == list(zip(apart["cu"], apart["cv"]))
+    scores = lambda **o: sorted((r["doc_id"], r["base_score"], round(r["score"], 9)) for r in ip.score(docs, F.col("doc_id") % 4 == 1, bitmap_bits=20, **o).collect())
+    assert scores() == scores(pack_below=0)
