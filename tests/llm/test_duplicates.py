@@ -1,15 +1,19 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratacode.llm import bottomk, compact_windows as cw, decontaminate as dc
 
 from llm_corpora import prose, words_of
 
+from stratacode.llm.staging import BATCH, stage
+
 
 def shingles(text):
     w = words_of(text)
@@ -74,6 +78,48 @@ def test_one_id_with_two_texts_ties_their_groups(make):
     assert {r["component_id"] for r in out} == {1}
 
 
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_block_comparison_is_exact_and_small(blocks):
+    rng = np.random.default_rng(3)
+    common = rng.integers(-(2**62), 2**62, 600)
+    sets = [np.unique(np.append(common[60 * (i % 4) : 60 * (i % 4) + 360], rng.integers(-(2**62), 2**62, rng.integers(0, 220)))) for i in range(900)]
+    block = rng.integers(0, blocks, len(sets))
+    ids = np.arange(len(sets))
+    table = pa.table({"id": ids, "label": ids, "block": block.astype(np.int32), "set": pa.array([s.tobytes() for s in sets], pa.binary())})
+    tracemalloc.start()
+    got = bottomk._block_forest(75)(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * table.nbytes  # 15 times its rows before
+
+    def joined(links):
+        label = list(range(len(sets)))
+        for a, b in links:
+            old, new = sorted((label[a], label[b]))[::-1]
+            label = [new if x == old else x for x in label]
+        return label
+
+    bags = [set(s.tolist()) for s in sets]
+    links = [(a, b) for a, b in combinations(range(len(sets)), 2)
+             if (blocks == 1 or block[a] != block[b]) and 100 * len(bags[a] & bags[b]) >= 75 * len(bags[a] | bags[b])]
+    found = list(zip(got.column("a").to_pylist(), got.column("b").to_pylist()))
+    assert links and set(found) <= set(links) and joined(found) == joined(links)
+
+
+def test_staged_batches_are_bounded(make, spark):
+    before = spark.conf.get(BATCH)
+    docs = make([(i, "w " * 2000) for i in range(400)]).coalesce(1)
+
+    def sizes(batches):
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([rows.nbytes])], ["n"])
+
+    sent = docs.select("text").mapInArrow(sizes, "n bigint")
+    whole, bounded = ([r["n"] for r in stage(sent, "sizes", most).collect()] for most in (None, 1 << 17))
+    assert max(whole) > 1 << 20 and max(bounded) < 1 << 18 and sum(bounded) >= 400 * 4000
+    assert spark.conf.get(BATCH) == before
+
+
 def spans_of(docs, **options):
     out: dict[int, set[int]] = {}
     for r in cw.repeated_passages(docs, **options).collect():
