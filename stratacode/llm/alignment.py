@@ -18,6 +18,7 @@ than one link in ``2^HEAVY_BITS`` (at most that many pairs) are broadcast, the l
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -288,7 +289,11 @@ _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 def aligner(path_a: str, path_b: str) -> Aligner:
-    """One aligner per pair of files and worker process."""
+    """One aligner per pair of files and worker process.
+
+    A task has one core: the tokenizer's own threads would only add the CPU time of handing them words.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if (path_a, path_b) not in _ALIGNERS:
         _ALIGNERS[path_a, path_b] = Aligner(path_a, path_b)
     return _ALIGNERS[path_a, path_b]

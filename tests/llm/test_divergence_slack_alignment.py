@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -201,6 +202,12 @@ def test_any_ranges_in_any_bracketing_close_alike(parts, rng):
     assert facts(alignment.close(fragments[0], ALIGNER)) == wanted(text)
 
 
+def test_tokenizer_of_a_task_has_one_thread(monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    alignment.aligner(BYTE_BPE, PIECES)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_identity_of_the_monoid():
     x, none = alignment.lift(b" some words that go on and on", ALIGNER), alignment.Fragment()
     for y in (alignment.join(x, none, ALIGNER), alignment.join(none, x, ALIGNER)):
