@@ -35,6 +35,8 @@ from stratacode.llm.staging import stage
 
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 1 << 18
+PART_ROWS = 64  # rows that join a chunk at once, so that it ends soon after it is full
+BATCH_BYTES = 4 << 20  # of texts that go to Python at once
 PLACE_BITS, CHUNK_BITS = 24, 16  # of a document's number: its place in a chunk, the chunk in its task; the task has the rest
 BITMAP_BITS = 27
 HEAVY_BITS = 20
@@ -76,13 +78,16 @@ class _Chunk:
         self.sizes = np.array([len(p) for p in parts], np.int64)
         tokens = np.concatenate(parts)
         first = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        del texts
         before = np.append(np.uint64(0), tokens[:-1])
         before[first] = START
         self.keys = mix(before * np.uint64(0xD1342543DE82EF95) + tokens)
-        self.doc = np.repeat(np.arange(len(parts)), self.sizes)
-        del parts
+        self.doc = np.repeat(np.arange(len(parts), dtype=np.int32), self.sizes)
+        del parts, before
         words, at = np.unique(tokens, return_inverse=True)
+        del tokens
         self.cv = _looked_up(counts, words)[at]
+        del words, at
         self.cu = np.append(np.int64(0), self.cv[:-1])
         self.cu[first] = corpus.documents
         self.train = ~self.held[self.doc]
@@ -130,7 +135,7 @@ def _gathered(function, chunk_bytes: int, chunk_rows: int = CHUNK_ROWS):
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, min(1000, chunk_rows - count))
+                part = batch.slice(at, min(PART_ROWS, chunk_rows - count))
                 at += part.num_rows
                 held.append(part)
                 size += pc.sum(pc.binary_length(part.column(1))).as_py() or 0
@@ -170,8 +175,10 @@ def _bigram_counts(corpus: Corpus, packed: bool):
         keys = x.keys[order]
         start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         keys, first = keys[start], order[start]  # equal bigrams have equal counts, so any will do
+        del x.keys, x.doc
         train = np.add.reduceat(x.train[order], start, dtype=np.int64)
         held = np.diff(np.append(start, len(order))) - train
+        del order, start
         # Training tokens by bucket of the context and bin of the deleted unigram, under small keys of their own.
         bucket = _bit_length(x.cu[x.train])
         deleted = _half_octaves((x.cv[x.train] - 1) / max(1, corpus.tokens - 1))
@@ -225,10 +232,12 @@ def _scorer(bitmap, heavy, corpus: Corpus, weights: np.ndarray, bits: int, schem
         x = _Chunk(rows, counts, corpus)
         docs = len(x.ids)
         chunk = rows.column("chunk")[0].as_py()
-        w = weights[_bit_length(x.cu)]
-        rest = w[:, 1] * x.cv / max(1, corpus.tokens) + w[:, 2] / (corpus.words + 1)
-        once = np.where(x.train, w[:, 0] / np.maximum(1, x.cu), 0.0)
+        bucket = _bit_length(x.cu)
+        rest = weights[:, 1][bucket] * x.cv / max(1, corpus.tokens) + weights[:, 2][bucket] / (corpus.words + 1)
+        once = np.where(x.train, weights[:, 0][bucket] / np.maximum(1, x.cu), 0.0)
+        del bucket, x.cu
         logs = np.log10(rest + once)
+        del rest, once
         base = np.log10((x.cv + 1) / (corpus.tokens + corpus.words + 1))
         # The hottest bigrams are scored here.
         keys, gain_train, gain_held = heavy.value
@@ -236,14 +245,20 @@ def _scorer(bitmap, heavy, corpus: Corpus, weights: np.ndarray, bits: int, schem
         if len(keys):
             at = np.minimum(np.searchsorted(keys, x.keys), len(keys) - 1)
             hot = keys[at] == x.keys
-            logs[hot] += np.where(x.train, gain_train[at], gain_held[at])[hot]
+            at = at[hot]
+            logs[hot] += np.where(x.train[hot], gain_train[at], gain_held[at])
             left = ~hot
+            del at, hot
         marked = np.frombuffer(bitmap.value, np.uint8)
         high, low = slots(x.keys, bits)
         on = lambda p: (marked[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
         left &= (on(high) & on(low)) == 1
-        order = np.lexsort((x.keys[left], x.doc[left]))
-        doc, key = x.doc[left][order], x.keys[left][order]
+        del high, low
+        doc, key = x.doc[left], x.keys[left]
+        del x.keys, left
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        del order
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         start = np.flatnonzero(new)
@@ -295,7 +310,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     id_type = rows.schema["id"].dataType
     longs = lambda *names: st.StructType([st.StructField(n, st.LongType()) for n in names])
     words = rows.mapInArrow(_gathered(_word_counts, chunk_bytes, chunk_rows), longs("chunk", "w", "n"))
-    unigrams = stage(words.groupBy("w").agg(F.sum("n").alias("c")), "unigrams")
+    unigrams = stage(words.groupBy("w").agg(F.sum("n").alias("c")), "unigrams", BATCH_BYTES)
     size = unigrams.agg(F.count(F.lit(1)).alias("rows"), F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.max("c").alias("most")).first()
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("b"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("held")).alias("d")).first()
     corpus = Corpus(size["n"] or 0, size["v"] or 0, total["d"] or 0)
@@ -330,7 +345,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         low = F.when(F.col("cc") < 0, F.col("cc")).otherwise(F.col("cc").bitwiseAND((1 << 31) - 1))
         pairs = pairs.withColumns({"cu": F.shiftright("cc", 31), "cv": low})
     pairs = pairs.select("key", F.shiftright("n", HELD_BITS).alias("train"), held.alias("held"), "cu", "cv")
-    pairs = stage(pairs.where("train > 1 or (train > 0 and held > 0) or cu < 0").drop("held"), "bigrams")
+    pairs = stage(pairs.where("train > 1 or (train > 0 and held > 0) or cu < 0").drop("held"), "bigrams", BATCH_BYTES)
     repeated = pairs.where("cu >= 0")
 
     # Deleted counts by bucket and bins.

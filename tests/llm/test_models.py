@@ -160,6 +160,19 @@ def test_weights_are_shares_and_prefer_what_predicts():
     assert np.allclose(w.sum(1), 1) and w[3, 0] > 0.5 and w[4, 0] < 0.01
 
 
+def test_chunks_close_soon_after_they_are_full(monkeypatch):
+    monkeypatch.setattr(ip, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["x" * 100] * 3000), pa.array([False] * 3000)], ["id", "text", "held"])
+    sizes = []
+
+    def seen(table):
+        sizes.append(table.num_rows)
+        return table
+
+    out = pa.Table.from_batches(list(ip._gathered(seen, 20_000)(iter([rows]))))
+    assert out.column("id").to_pylist() == list(range(3000)) and max(sizes) <= 200 + ip.PART_ROWS  # 1000 before
+
+
 def test_chunks_close_on_rows_without_bytes(make, monkeypatch):
     monkeypatch.setattr(ip, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Of", (), {"partitionId": staticmethod(lambda: 3)}))}))
     texts = [None] * 2500 + [""] * 2500 + ["a b"] * 7
