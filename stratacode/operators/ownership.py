@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratacode.functions.paths import owner_label, slashes
@@ -28,14 +28,18 @@ def author_stats(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame:
     ).withColumn("name", F.col("first_pos.name"))
 
 
-def path_stats(authors: DataFrame) -> DataFrame:
-    """Change frequency, last change, owner and silo flag per path, from ``author_stats``; combined on the map side, whatever the number of authors."""
+def path_stats(authors: DataFrame, *more: Column) -> DataFrame:
+    """Change frequency, last change, owner and silo flag per path, from ``author_stats``; combined on the map side, whatever the number of authors.
+
+    ``more`` are further aggregates over the authors of a path.
+    """
     rank = F.struct((-F.col("commit_count")).alias("neg_count"), "first_pos")
     return authors.groupBy("repo_id", "path").agg(
         F.sum("commit_count").alias("change_frequency"),
         F.max("last_commit").alias("git_last_modified"),
         F.min_by(owner_label(F.col("name"), F.col("email")), rank).alias("primary_owner"),
         F.count(F.lit(1)).cast("int").alias("bus_factor"),
+        *more,
     ).withColumn("is_knowledge_silo", F.col("bus_factor") == 1)
 
 
@@ -73,24 +77,27 @@ def rank_contributors(commit_files: DataFrame, log_order=LOG_ORDER) -> DataFrame
     return contributors(authors, path_stats(authors))
 
 
-MAX_CONTRIBUTORS = 100
-
-
-def file_ownership(commit_files: DataFrame, log_order=LOG_ORDER, max_contributors: int = MAX_CONTRIBUTORS) -> DataFrame:
+def file_ownership(commit_files: DataFrame, log_order=LOG_ORDER, max_contributors: int | None = None) -> DataFrame:
     """Change frequency, last change, ranked contributors, owner and silo flag per path.
 
-    The ``contributors`` array shows the first ``max_contributors`` authors of a path; ``bus_factor`` and the shares count all of them, and
-    ``rank_contributors`` gives all as rows.
+    The ``contributors`` array holds every author of a path, made beside the other columns in one aggregate: a plan that drops the column makes no array and moves no
+    authors for it.  With ``max_contributors`` it shows the first so many authors, cut in every map task; ``bus_factor`` and the shares count all of them
+    either way, and ``rank_contributors`` gives all as rows.
     """
     authors = author_stats(commit_files, log_order)
-    paths = path_stats(authors)
-    # The touch log is read and exchanged once: both sides need the same columns of the authors, and shares are taken when the total has arrived.
     item = F.struct("email", "name", "commit_count", "last_commit")
-    first = _ranked(authors).where(F.col("rank") <= max_contributors).groupBy("repo_id", "path").agg(ordered_items(item, ["rank"]).alias("contributors"))
+    if max_contributors is None:
+        order = [(-F.col("commit_count")).alias("neg_count"), "first_pos", "email"]
+        # Equal log positions are told apart by e-mail.
+        listed = path_stats(authors.where("repo_id is not null and path is not null"), ordered_items(item, order).alias("contributors"))
+    else:
+        # The touch log is read and exchanged once: both sides need the same columns of the authors, and shares are taken when the total has arrived.
+        first = _ranked(authors).where(F.col("rank") <= max_contributors).groupBy("repo_id", "path").agg(ordered_items(item, ["rank"]).alias("contributors"))
+        listed = path_stats(authors).join(first, ["repo_id", "path"])
     shown = F.transform("contributors", lambda c: F.struct(
         c["email"].alias("email"), c["name"].alias("name"), c["commit_count"].alias("commit_count"),
         _share(c["commit_count"], F.col("change_frequency")).alias("percentage"), F.date_format(c["last_commit"], ISO_UTC).alias("last_commit")))
-    return paths.join(first, ["repo_id", "path"]).select(
+    return listed.select(
         "repo_id", "path", "change_frequency", "git_last_modified", "primary_owner", shown.alias("contributors"), "bus_factor", "is_knowledge_silo")
 
 

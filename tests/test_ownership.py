@@ -125,3 +125,21 @@ def test_touch_log_is_read_once_a_side(spark, rows):
     assert rows(everyone) == rows(own.contributors(authors, own.path_stats(authors), 20)) and everyone.where("path is null").isEmpty()
     listed = shown.selectExpr("repo_id", "path", "posexplode(contributors) AS (at, c)").selectExpr("repo_id", "path", "at + 1 AS rank", "c.email", "c.percentage")
     assert rows(listed) == rows(everyone, "repo_id", "path", "rank", "email", "percentage")
+
+
+def test_every_author_of_a_path_is_listed(spark, rows):
+    touches = spark.range(400).selectExpr(
+        "'r' AS repo_id", "IF(id % 100 = 0, NULL, IF(id % 4 = 1, 'p', 'hot')) AS path", "concat(id % 150, '@x') AS author_email", "'n' AS author_name",
+        "TIMESTAMP '2024-01-01' AS ts", "id AS log_pos", "id AS line_no",
+    )
+    shown = own.file_ownership(touches)
+    assert max(len(r.contributors) for r in shown.collect()) > 100 and shown.where("bus_factor != size(contributors)").isEmpty()
+    listed = shown.selectExpr("repo_id", "path", "posexplode(contributors) AS (at, c)").selectExpr("repo_id", "path", "at + 1 AS rank", "c.email", "c.percentage")
+    assert rows(listed) == rows(own.rank_contributors(touches), "repo_id", "path", "rank", "email", "percentage")
+
+
+def test_owners_alone_move_no_contributors(spark):
+    touches = spark.range(10).selectExpr(
+        "'r' AS repo_id", "'p' AS path", "'a@x' AS author_email", "'n' AS author_name", "TIMESTAMP '2024-01-01' AS ts", "id AS log_pos", "id AS line_no")
+    plan = own.file_ownership(touches).select("repo_id", "path", "primary_owner")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan and plan.count("Range (") == 1
