@@ -227,10 +227,14 @@ def page_after(df: DataFrame, order: list[str], last: tuple | None, page_size: i
 
 
 def number_pages(df: DataFrame, keys: list[str], order: list, page_size: int) -> DataFrame:
-    """Every row with its page, position and the total of its key, for all pages at once."""
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    """Every row with its page, position and the total of its key, for all pages at once.
+
+    Totals are counted over the numbered rows, which are written already, so ``df`` is made once.
+    """
+    numbered = number_rows(df, keys, order)
+    totals = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     return (
-        number_rows(df, keys, order)
+        numbered
         .withColumn("page", F.ceil(F.col("position") / F.lit(page_size)).cast("bigint"))
         .join(totals, keys)
     )

@@ -86,3 +86,15 @@ def test_key_modules_cut_before_the_shuffle(spark):
         "concat('r', id % 3) AS repo_id", "id AS file_id", "'p' AS path", "id AS fan_in", "0 AS fan_out", "'x' AS language", "'safe' AS criticality"
     )
     assert _plan(stats.key_modules(files)).count("WindowGroupLimit") == 2
+
+
+def _some_rows(spark):
+    return spark.range(500).selectExpr("IF(id % 50 = 0, NULL, concat('r', id % 3)) AS repo_id", "id AS v")
+
+
+def test_pages_and_their_totals_make_the_rows_once(spark):
+    df = _some_rows(spark)
+    pages = stats.number_pages(df, ["repo_id"], ["v"], 50)
+    assert "Range (" not in _plan(pages)  # it reads the numbered rows, which are written already
+    want = df.where("repo_id is not null").groupBy("repo_id").count().collect()
+    assert {(r.repo_id, r.total) for r in pages.collect()} == {tuple(r) for r in want}
