@@ -201,11 +201,13 @@ def paginate(df: DataFrame, order: list[str], page: int, page_size: int, max_pag
     """
     if page < 1 or not 1 <= page_size <= max_page_size:
         raise ValueError(f"page >= 1 and 1 <= page_size <= {max_page_size} required")
-    total = df.agg(F.count(F.lit(1)).alias("total"))
+    count = F.count(F.lit(1)).alias("total")
     if page == 1:
-        return df.orderBy(*order).limit(page_size), total
+        return df.orderBy(*order).limit(page_size), df.agg(count)
     last = page * page_size
     numbered = number_rows(df.withColumn("_all", F.lit(0)), ["_all"], order, "_at")
+    # The numbered rows are written already: counting them makes ``df`` no second time.
+    total = numbered.agg(count)
     return numbered.where(F.col("_at").between(last - page_size + 1, last)).orderBy("_at").select(*df.columns), total
 
 

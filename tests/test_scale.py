@@ -98,3 +98,9 @@ def test_pages_and_their_totals_make_the_rows_once(spark):
     assert "Range (" not in _plan(pages)  # it reads the numbered rows, which are written already
     want = df.where("repo_id is not null").groupBy("repo_id").count().collect()
     assert {(r.repo_id, r.total) for r in pages.collect()} == {tuple(r) for r in want}
+
+
+def test_a_page_and_the_total_make_the_rows_once(spark):
+    page, total = stats.paginate(_some_rows(spark), ["v"], 2, 50)
+    assert "Range (" not in _plan(page) and "Range (" not in _plan(total)
+    assert total.first().total == 500 and [r.v for r in page.collect()] == list(range(50, 100))
