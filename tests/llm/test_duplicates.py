@@ -208,6 +208,54 @@ def test_crowded_windows_lose_no_similar_pair():
     assert len(later) == 499 and set(earlier.tolist()) == {0}
 
 
+def _clusters(stretch, kept, diagonal, t, *spans):
+    """Per pair of stretches and run of diagonals no more than ``t`` apart: its first and last diagonal and the places it spans."""
+    out = []
+    for a, b, d, *x in sorted(zip(*[list(map(int, c)) for c in (stretch, kept, diagonal, *spans)])):
+        if out and out[-1][:2] == [a, b] and d - out[-1][3] <= t:
+            out[-1][3:] = [d, *[(min, max)[k % 2](y, z) for k, (y, z) in enumerate(zip(out[-1][4:], x))]]
+        else:
+            out.append([a, b, d, d, *x])
+    return out
+
+
+def test_chains_of_window_pairs_keep_their_ends():
+    rng, t = np.random.default_rng(33), 12
+    a, b, d = *rng.integers(0, 6, (2, 20000)), rng.choice([-400, 0, 900], 20000) + rng.integers(-60, 60, 20000)
+    order, chain, stays = cw.chained(a, b, d, t)
+    assert _clusters(a, b, d, t) == _clusters(a[order][stays], b[order][stays], d[order][stays], t) and stays.sum() < 3000
+    assert len(set(chain.tolist())) == len(_clusters(a, b, d, t))
+
+
+def test_repeated_lines_take_few_rows():
+    rng, t, width = np.random.default_rng(34), 16, 5
+    line, texts, windows = rng.integers(1, 2**32, 24, np.uint32), [], []
+    for _ in range(3):
+        # A line that comes 40 times, another word after it each time.
+        text = np.concatenate([np.append(line, rng.integers(1, 2**32, 1, np.uint32)) for _ in range(40)])
+        texts.append(text.tobytes())
+        windows.append([{"key": 5, "c": 100 + 25 * k + 9, "n": 120} for k in range(40)])
+    asked = pa.table({"doc_id": [1, 2, 3], "stretch": [7, 8, 9], "start": [100] * 3, "words": pa.array(texts, pa.binary()), "windows": windows})
+    got = pa.Table.from_batches(cw._neighbourhoods(t, width)(iter(asked.to_batches())))
+    assert sum(map(len, got.column("places").to_pylist())) == 120 and got.num_rows == 3 and got.nbytes < 120 * 4 * (2 * t - 1)
+    rows = got.append_column("block", pa.array(np.zeros(got.num_rows, np.int32)))
+    out = cw._crowded(t, 6, 75)(rows)
+    # All pairs, one row each, as the verifier got them before.
+    near, at = [], []
+    for text, stretch in zip(texts, (7, 8, 9)):
+        tokens = cw.shingle_hashes(np.frombuffer(text, np.uint32).astype(np.uint64), width).astype(np.uint32)
+        for k in range(40):
+            c = 25 * k + 9
+            near.append([int(tokens[x]) if 0 <= x < len(tokens) else 0 for x in range(c - t + 1, c + t)])
+            at.append((stretch, 100 + max(0, c - t + 1), 100 + c, 100 + min(len(tokens), c + t) - 1))
+    at = np.array(at)
+    later, earlier = cw.crowded_pairs(np.array(near, np.uint32), at[:, 0], np.zeros(len(at), int), t, 75)
+    want = _clusters(at[later, 0], at[earlier, 0], at[later, 2] - at[earlier, 2], t, *[x for k in (later, earlier) for x in (at[k, 1], at[k, 3])])
+    kept = {x: out.column(x).to_numpy() for x in out.column_names}
+    found = _clusters(kept["stretch"], kept["kept_stretch"], kept["c"] - kept["kc"], t, *[kept[x] for x in ("l", "r", "kl", "kr")])
+    assert want and found == want and out.num_rows <= len(later)
+
+
 def test_edits_at_the_edges_and_in_blocks_are_found(make):
     rng = random.Random(20)
     pairs, want = [], []
