@@ -234,7 +234,7 @@ def test_repeated_lines_take_few_rows():
         # A line that comes 40 times, another word after it each time.
         text = np.concatenate([np.append(line, rng.integers(1, 2**32, 1, np.uint32)) for _ in range(40)])
         texts.append(text.tobytes())
-        windows.append([{"key": 5, "c": 100 + 25 * k + 9, "n": 120} for k in range(40)])
+        windows.append([{"key": 5, "c": 100 + 25 * k + 9} for k in range(40)])
     asked = pa.table({"doc_id": [1, 2, 3], "stretch": [7, 8, 9], "start": [100] * 3, "words": pa.array(texts, pa.binary()), "windows": windows})
     got = pa.Table.from_batches(cw._neighbourhoods(t, width)(iter(asked.to_batches())))
     assert sum(map(len, got.column("places").to_pylist())) == 120 and got.num_rows == 3 and got.nbytes < 120 * 4 * (2 * t - 1)
